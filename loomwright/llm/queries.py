@@ -6,6 +6,7 @@ from loomwright.llm.bpe import op3_segment_tree_bpe
 from loomwright.llm.exact_dedup import OP2_SQL, op2_tree_merge_exact_dedup
 from loomwright.llm.packing import op9_martello_toth_best_fit_packing
 from loomwright.llm.sharding import op4_permutation_table_sharding, op4_sql
+from loomwright.llm.toxicity import op5_classifier_chain_toxicity
 from loomwright.llm.warc import op8_warc_derivatives
 from loomwright.llm.winnowing import op7_winnowing_fingerprints
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_tree_merge_exact_dedup": op2_tree_merge_exact_dedup,
     "op3_segment_tree_bpe": op3_segment_tree_bpe,
     "op4_permutation_table_sharding": op4_permutation_table_sharding,
+    "op5_classifier_chain_toxicity": op5_classifier_chain_toxicity,
     "op7_winnowing_fingerprints": op7_winnowing_fingerprints,
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_martello_toth_best_fit_packing": op9_martello_toth_best_fit_packing,
