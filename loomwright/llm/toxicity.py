@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwright.llm.bpe import chunks
 from loomwright.llm.common import table
@@ -171,11 +172,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     added = [f"p_{c}" for c in chain.categories] + [f"is_{c}" for c in chain.categories]
     docs = docs.drop(*added)
-    schema = docs.schema
-    for c in chain.categories:
-        schema = schema.add(f"p_{c}", "double")
-    for c in chain.categories:
-        schema = schema.add(f"is_{c}", "boolean")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType() if c[0] == "p" else T.BooleanType()) for c in added]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain = sent.value
