@@ -34,7 +34,7 @@ from loomwright.llm.tokens import words
 
 #: Bits of a feature's index within its kind; byte lengths of the kinds, 0 for the whole word.
 FEATURE_BITS, KINDS = 18, (0, 4, 6)
-ROWS_A_STRATUM, FOLDS, ROUNDS, RATE, DECAY = 2000, 3, 100, 1.5, 1e-5
+ROWS_A_STRATUM, FOLDS, ROUNDS, RATE, DECAY = 2000, 3, 70, 1.5, 1e-5
 N_FEATURES = len(KINDS) << FEATURE_BITS
 
 
@@ -73,7 +73,7 @@ class Linear:
     cut: float = field(default=np.inf)
 
     def log_odds(self, x: Sparse, before: np.ndarray) -> np.ndarray:
-        s = np.bincount(x.row, x.value * self.weights[x.col], minlength=x.n) + self.bias
+        s = np.bincount(x.row, x.value * self.weights.astype(np.float32)[x.col], minlength=x.n) + self.bias
         return np.clip(s + before @ self.earlier, -30, 30)
 
 
@@ -89,9 +89,9 @@ def fit(x: Sparse, before: np.ndarray, y: np.ndarray, weight: np.ndarray, n_feat
     scaled = before / 10  # log-odds are at most 30
     g_w, g_e, g_b = np.full(n_features, 1e-8), np.full(before.shape[1], 1e-8), 1e-8
     for _ in range(ROUNDS):
-        s = np.bincount(x.row, x.value * model.weights[x.col], minlength=x.n) + model.bias + scaled @ model.earlier
+        s = np.bincount(x.row, x.value * model.weights.astype(np.float32)[x.col], minlength=x.n) + model.bias + scaled @ model.earlier
         err = weight * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / total
-        d = np.bincount(x.col, x.value * err[x.row], minlength=n_features) + DECAY * model.weights
+        d = np.bincount(x.col, x.value * err.astype(np.float32)[x.row], minlength=n_features) + DECAY * model.weights
         g_w += d * d
         model.weights -= RATE * d / np.sqrt(g_w)
         e = scaled.T @ err + DECAY * model.earlier
@@ -128,9 +128,12 @@ class Chain:
 
 def fit_chain(texts: list[str | None], labels: np.ndarray, weight: np.ndarray, categories: list[str]) -> tuple[Chain, np.ndarray]:
     """The chain, and the out-of-fold log-odds of the rows it was fitted on."""
-    x = features(texts)
+    parts = [(i, features(texts[i:j])) for i, j in chunks([t or "" for t in texts])]
+    row = np.concatenate([np.empty(0, np.int32), *((p.row + i).astype(np.int32) for i, p in parts)])
+    x = Sparse(len(texts), row, np.concatenate([np.empty(0, np.int32), *(p.col.astype(np.int32) for _, p in parts)]), np.concatenate([np.empty(0, np.float32), *(p.value for _, p in parts)]))
+    del parts
     common = np.flatnonzero(np.bincount(x.col, minlength=N_FEATURES) > 1)  # what one row has alone teaches nothing of others
-    to = np.full(N_FEATURES, -1)
+    to = np.full(N_FEATURES, -1, np.int32)
     to[common] = np.arange(len(common))
     m = to[x.col] >= 0
     x = Sparse(x.n, x.row[m], to[x.col[m]], x.value[m])
