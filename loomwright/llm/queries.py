@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loomwright.llm.bpe import op3_segment_tree_bpe
 from loomwright.llm.exact_dedup import OP2_SQL, op2_tree_merge_exact_dedup
+from loomwright.llm.line_dedup import op6_deletion_neighbourhood_line_dedup
 from loomwright.llm.minhash import op10_circulant_minhash_near_dedup
 from loomwright.llm.packing import op9_martello_toth_best_fit_packing
 from loomwright.llm.sharding import op4_permutation_table_sharding, op4_sql
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_segment_tree_bpe": op3_segment_tree_bpe,
     "op4_permutation_table_sharding": op4_permutation_table_sharding,
     "op5_classifier_chain_toxicity": op5_classifier_chain_toxicity,
+    "op6_deletion_neighbourhood_line_dedup": op6_deletion_neighbourhood_line_dedup,
     "op7_winnowing_fingerprints": op7_winnowing_fingerprints,
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_martello_toth_best_fit_packing": op9_martello_toth_best_fit_packing,
