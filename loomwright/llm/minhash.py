@@ -13,9 +13,9 @@ Documents with the same set are one class with its smallest id; only classes go
 3. larger families are cut into blocks by bucket centre and salt, so no task holds more than a few blocks whatever the
    family's size. Each block is verified whole; the classes with most links in their blocks then are compared with all
    blocks, which joins what belongs together;
-4. what is left of a larger family are the pairs that share a bucket, are of different blocks, and are still apart.
-   In each bucket the classes outside of its largest component are compared with all others. No candidate is dropped,
-   and pairs that are together already are never made.
+4. what is left of a larger family are pairs that share a bucket, are of different blocks, and are still apart. For
+   each pair of blocks that has some, the classes outside of their bucket's largest component are compared with the
+   other block, in one task. Pairs of blocks are made, never pairs of classes, and no candidate is dropped.
 
 Links are 100 * intersection >= threshold * union on the full sets. Components are found by star contraction.
 
@@ -41,7 +41,7 @@ from loomwright.llm.tokens import mix, words
 
 BANDS, ROWS = 50, 5
 #: Classes of a block; hubs of a larger family; salts of the way back from classes to rows; columns of a count at once.
-BLOCK, HUBS, SALTS, COLUMNS = 64, 8, 64, 16384
+BLOCK, HUBS, SALTS, COLUMNS = 128, 8, 64, 16384
 _MULTIPLIERS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 
 
@@ -179,26 +179,9 @@ def verified_blocks(rows: DataFrame, by: list[str], k: int, threshold: int) -> D
     return rows.select(*by, "cid", "text").groupBy(*by).applyInPandas(run, ", ".join(f"{c} long" for c in by) + ", cid long, low long, degree long")
 
 
-def verified_stars(rows: DataFrame, k: int, threshold: int) -> DataFrame:
-    """For each task of one centre and some classes (x, part, cid, text): the links (a, b) of the centre x."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = shingle_sets(pdf["text"].tolist(), k)
-        cid, x = pdf["cid"].to_numpy(), pdf["x"].iloc[0]
-        hits = set()
-        for s in (s for s, c in zip(sets, cid, strict=True) if c == x and len(s)):
-            for t, c in zip(sets, cid, strict=True):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if c != x and 100 * both >= threshold * (len(s) + len(t) - both):
-                    hits.add(c)
-        return pd.DataFrame({"a": np.full(len(hits), x), "b": np.array(sorted(hits), np.int64)})
-
-    return rows.select("x", "part", "cid", "text").groupBy("x", "part").applyInPandas(run, "a long, b long")
-
-
 def near_links(classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Links (a, b) that make the components of the classes (cid, n, bands); docs has id and text."""
-    banded = classes.select("cid", "n", F.explode("bands").alias("key"))
+    """Links (a, b) that make the components of the classes (cid, bands); docs has id and text."""
+    banded = classes.select("cid", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("cid").alias("centre"), F.count("*").alias("size")).where("size > 1")
     buckets = stored(buckets, "buckets")
     stars = banded.join(buckets, "key").where("cid <> centre").select("cid", "centre").distinct()
@@ -232,19 +215,20 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> D
     # pairs of a bucket, of different blocks, that are still apart
     label = components(links).select(F.col("node").alias("cid"), F.col("component").alias("label"))
     apart = blocks.where("large").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    at = banded.join(apart, "cid").select("key", "cid", "n", "block", "label")
+    at = banded.join(apart, "cid").select("key", "cid", "block", "label")
     counts = at.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     at = at.join(mixed.select("key", "main"), "key")
-    few = at.where("label <> main").select("key", F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("block").alias("xb"), F.col("label").alias("xl"))
-    fits = (F.col("label") != F.col("xl")) & (F.col("block") != F.col("xb")) & ((F.col("label") == F.col("main")) | (F.col("cid") > F.col("x"))) & (100 * F.least("n", "xn") >= threshold * F.greatest("n", "xn"))
-    pairs = stored(at.join(few, "key").where(fits).select("x", "cid").distinct(), "pairs")
+    few = at.where("label <> main")
+    theirs = few.select("key", F.col("block").alias("bx")).distinct()
+    pairs = stored(theirs.join(at.select("key", F.col("block").alias("by")).distinct(), "key").where("bx <> by").select("bx", "by").distinct(), "pairs")
     if pairs.isEmpty():
         return links
-    tasks = pairs.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("long"))
-    words_of = texts.select("cid", "text")
-    sides = tasks.join(words_of, "cid").select("x", "part", "cid", "text").union(tasks.select("x", "part").distinct().join(words_of.withColumnRenamed("cid", "x"), "x").select("x", "part", F.col("x").alias("cid"), "text"))
-    return links.union(verified_stars(sides, k, threshold))
+    held = texts.where("large").select("block", "cid", "text")
+    left = pairs.join(held.join(few.select("cid").distinct(), "cid", "left_semi").withColumnRenamed("block", "bx"), "bx")
+    right = pairs.join(held.withColumnRenamed("block", "by"), "by")
+    rest = verified_blocks(left.select("bx", "by", "cid", "text").union(right.select("bx", "by", "cid", "text")), ["bx", "by"], k, threshold)
+    return links.union(rest.where("low <> cid").select(F.col("cid").alias("a"), F.col("low").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
