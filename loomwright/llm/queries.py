@@ -6,6 +6,7 @@ from loomwright.llm.bpe import op3_segment_tree_bpe
 from loomwright.llm.exact_dedup import OP2_SQL, op2_tree_merge_exact_dedup
 from loomwright.llm.line_dedup import op6_deletion_neighbourhood_line_dedup
 from loomwright.llm.minhash import op10_circulant_minhash_near_dedup
+from loomwright.llm.ngram import op1_elias_fano_ngram_scoring
 from loomwright.llm.packing import op9_martello_toth_best_fit_packing
 from loomwright.llm.sharding import op4_permutation_table_sharding, op4_sql
 from loomwright.llm.toxicity import op5_classifier_chain_toxicity
@@ -13,6 +14,7 @@ from loomwright.llm.warc import op8_warc_derivatives
 from loomwright.llm.winnowing import op7_winnowing_fingerprints
 
 QUERIES = {
+    "op1_elias_fano_ngram_scoring": op1_elias_fano_ngram_scoring,
     "op2_tree_merge_exact_dedup": op2_tree_merge_exact_dedup,
     "op3_segment_tree_bpe": op3_segment_tree_bpe,
     "op4_permutation_table_sharding": op4_permutation_table_sharding,
