@@ -168,13 +168,18 @@ def _labels(ids: np.ndarray, link: np.ndarray) -> np.ndarray:
         label = low
 
 
-def verified_blocks(rows: DataFrame, by: list[str], k: int, threshold: int) -> DataFrame:
-    """For each block (the columns `by`) of classes (cid, text): cid, the smallest cid it reaches inside, its links."""
+def verified_blocks(rows: DataFrame, by: list[str], k: int, threshold: int, moved: bool = False) -> DataFrame:
+    """For each block (the columns `by`) of classes (cid, text): cid, the smallest cid it reaches inside, its links.
+
+    With moved only for the classes that reach a smaller one.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, link = _block(pdf, k, threshold)
-        out = {c: np.full(len(ids), pdf[c].iloc[0]) for c in by}
-        return pd.DataFrame(out | {"cid": ids, "low": _labels(ids, link), "degree": link.sum(axis=1) - 1 if len(ids) else ids})
+        low, degree = _labels(ids, link), link.sum(axis=1) - 1 if len(ids) else ids
+        some = low < ids if moved else np.ones(len(ids), bool)
+        out = {c: np.full(int(some.sum()), pdf[c].iloc[0]) for c in by}
+        return pd.DataFrame(out | {"cid": ids[some], "low": low[some], "degree": degree[some]})
 
     return rows.select(*by, "cid", "text").groupBy(*by).applyInPandas(run, ", ".join(f"{c} long" for c in by) + ", cid long, low long, degree long")
 
@@ -210,7 +215,7 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> D
     hub_texts = hubs.select("family", "cid").join(texts.select("cid", "text"), "cid")
     cut = large.select("family", "block").distinct()
     wide = large.select("family", "block", "cid", "text").union(cut.join(hub_texts, "family").select("family", "block", "cid", "text"))
-    joined = stored(verified_blocks(wide, ["family", "block"], k, threshold), "joined")
+    joined = stored(verified_blocks(wide, ["family", "block"], k, threshold, moved=True), "joined")
     links = stored(links.union(joined.where("low <> cid").select(F.col("cid").alias("a"), F.col("low").alias("b"))).distinct(), "known")
     # pairs of a bucket, of different blocks, that are still apart
     label = components(links).select(F.col("node").alias("cid"), F.col("component").alias("label"))
@@ -227,7 +232,7 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> D
     held = texts.where("large").select("block", "cid", "text")
     left = pairs.join(held.join(few.select("cid").distinct(), "cid", "left_semi").withColumnRenamed("block", "bx"), "bx")
     right = pairs.join(held.withColumnRenamed("block", "by"), "by")
-    rest = verified_blocks(left.select("bx", "by", "cid", "text").union(right.select("bx", "by", "cid", "text")), ["bx", "by"], k, threshold)
+    rest = verified_blocks(left.select("bx", "by", "cid", "text").union(right.select("bx", "by", "cid", "text")), ["bx", "by"], k, threshold, moved=True)
     return links.union(rest.where("low <> cid").select(F.col("cid").alias("a"), F.col("low").alias("b")).distinct())
 
 
