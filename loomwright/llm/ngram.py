@@ -92,7 +92,7 @@ class Model:
         return f"{self.path}/level{order}/{i:06d}.ef"
 
 
-@lru_cache(256)
+@lru_cache(1024)
 def sequence(path: str, name: str) -> EliasFano:
     return EliasFano.read(read_arrays(path), name)
 
@@ -267,7 +267,13 @@ class Runs:
 
 
 def summed(p: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((w, p)) if len(w) and w.any() else np.argsort(p, kind="stable")
+    width = int(w.max()) + 1 if len(w) else 1
+    if width == 1:
+        order = np.argsort(p, kind="stable")
+    elif int(p.max()) < 2**62 // width:
+        order = np.argsort(p.astype(np.int64) * width + w, kind="stable")
+    else:
+        order = np.lexsort((w, p))
     p, w, c = p[order], w[order], c[order]
     at = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])])) if len(p) else np.empty(0, np.int64)
     return p[at], w[at], np.add.reduceat(c, at) if len(p) else c
