@@ -12,7 +12,8 @@ the earlier one found for it is verified on their words. Variants are keyed by h
 line of any length emits them in linear time.
 
 Before that, lines that cannot have a near one are left out without loss: two lines within one word share their first
-or their last h words, h being the power of two of the shorter one's half.
+or their last h words, h being the power of two of the shorter one's half. A bitmap of fixed size keeps the other lines
+of a document from being shuffled when the words of those that are left are fetched.
 
 Defined results: null text stays null; a text keeps its remaining lines in order, joined by newlines; a document all of
 whose lines go has the empty text; rows without an id come last in the order; equal lines of rows that repeat an id and
@@ -27,10 +28,17 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import SPACE, stored, table
 
 MIN_WORDS, NEAR_WORDS = 5, 10
+#: Places of the bitmap that thins lines before they are shuffled: 8 MB, whatever the input.
+BITS = 2**26
 
 
-def _words(line: Column | str) -> Column:
-    return F.filter(F.split(line, SPACE + "+"), lambda x: x != "")
+def _words(line: str, odd: str) -> Column:
+    """The words of a line; only where white space other than spaces is about, by a pattern."""
+    return F.array_remove(F.when(F.col(odd), F.split(line, SPACE + "+")).otherwise(F.split(line, " ")), "")
+
+
+def _odd(text: str) -> Column:
+    return F.col(text).contains("\t") | F.col(text).contains("\x0b") | F.col(text).contains("\f") | F.col(text).contains("\r")
 
 
 def _half(n: str) -> str:
@@ -45,64 +53,75 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def counted_lines(rows: DataFrame, near_words: int, min_words: int) -> DataFrame:
-    """Each line that counts: at (its place in the order), line (digest of its words), n, ends (keys of its ends)."""
-    lines = rows.select("id", "tie", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    lines = lines.withColumn("w", _words("raw")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
+    """Each line that counts: its place (id, tie, no), line (digest of its words), ends (keys of its ends)."""
+    lines = rows.select("id", "tie", _odd("text").alias("odd"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    lines = lines.withColumn("w", _words("raw", "odd")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
     ends = []
     for shorter in ("n", "n - 1"):
         h = _half(f"({shorter})")
         ends += [f"xxhash64({h}, 0, slice(w, 1, {h}))", f"xxhash64({h}, 1, slice(w, n - {h} + 1, {h}))"]
+    # most lengths have the same halves as the length before, and so the same ends
+    same, both = f"array({', '.join(ends[:2])})", f"array({', '.join(ends)})"
     return lines.select(
-        F.struct("id", "tie", "no").alias("at"),
+        "id",
+        "tie",
+        "no",
         F.unhex(F.md5(F.array_join("w", " ").cast("binary"))).alias("line"),
-        F.expr(f"CASE WHEN n >= {near_words} THEN array_distinct(array({', '.join(ends)})) ELSE CAST(array() AS array<bigint>) END").alias("ends"),
+        F.expr(f"CASE WHEN n < {near_words} THEN CAST(array() AS array<bigint>) WHEN {_half('n')} = {_half('(n - 1)')} THEN {same} ELSE {both} END").alias("ends"),
     )
 
 
-def _candidates(distinct: DataFrame) -> DataFrame:
+def _candidates(lines: DataFrame) -> DataFrame:
     """The lines that share one of their ends with another line."""
-    ends = distinct.select("line", F.explode("ends").alias("end"))
-    shared = ends.groupBy("end").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a < b").select("end")
+    ends = lines.select("line", F.explode("ends").alias("end"))
+    shared = ends.groupBy("end").agg(F.min(F.xxhash64("line")).alias("a"), F.max(F.xxhash64("line")).alias("b")).where("a < b").select("end")
     return ends.join(shared, "end", "left_semi").select("line").distinct()
 
 
+def _thinned(places: DataFrame, rows: DataFrame) -> DataFrame:
+    """The lines (id, tie, no, raw, odd) of the rows that may stand at one of the places: others are told by a bitmap."""
+    bit = F.pmod(F.xxhash64("id", "tie", "no"), F.lit(BITS)) + 1
+    maps = places.select(bit.alias("v")).groupBy(F.expr("bitmap_bucket_number(v)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(v))").alias("map"))
+    lines = rows.select("id", "tie", _odd("text").alias("odd"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    lines = lines.withColumn("v", bit).select("id", "tie", "no", "raw", "odd", F.expr("bitmap_bucket_number(v)").alias("bucket"), F.expr("CAST(bitmap_bit_position(v) AS int)").alias("at"))
+    there = "shiftright(CAST(conv(hex(substring(map, shiftright(at, 3) + 1, 1)), 16, 10) AS int), at & 7) & 1"
+    return lines.join(F.broadcast(maps), "bucket").where(f"({there}) = 1").select("id", "tie", "no", "raw", "odd")
+
+
 def _near(candidates: DataFrame, near_words: int) -> DataFrame:
     """Of candidates (line, at, w), the lines that have an earlier line within one word."""
-    each = candidates.select("line", "at", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+    each = candidates.select("at", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     # a word's value where it stands, and where it stands once a word before it is gone; 40 bits, so sums don't overflow
-    each = each.withColumn("f", F.expr("pmod(xxhash64(word, i), 1099511627776)")).withColumn("g", F.expr("pmod(xxhash64(word, i - 1), 1099511627776)"))
-    so_far, whole = Window.partitionBy("line").orderBy("i"), Window.partitionBy("line")
-    each = each.select("line", "at", "n", "i", (F.sum("f").over(so_far) - F.col("f") + F.sum("g").over(whole) - F.sum("g").over(so_far)).alias("variant"), F.sum("f").over(whole).alias("own"))
-    first = F.min(F.struct("at", "line"))
-    variants = each.select("line", "at", (F.col("n") - 1).alias("n"), "i", "variant")
-    owns = each.where("i = 0").select("line", "at", "n", F.col("own").alias("variant"))
-    replaced = variants.groupBy("variant", "n", "i").agg(first.alias("e"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shorter = owns.groupBy("variant", "n").agg(first.alias("e"))
-    longer = variants.groupBy("variant", "n").agg(first.alias("e"))
-    found = variants.join(replaced, ["variant", "n", "i"]).select("line", "at", "e")
-    found = found.union(variants.join(shorter, ["variant", "n"]).select("line", "at", "e")).union(owns.join(longer, ["variant", "n"]).select("line", "at", "e"))
-    pairs = found.where("e.at < at").groupBy("line").agg(F.min("e").alias("e")).select("line", F.col("e.line").alias("earlier"))
-    of = candidates.select(F.col("line").alias("earlier"), F.col("w").alias("v"))
-    both = pairs.join(candidates.select("line", "w"), "line").join(of, "earlier")
+    each = each.select("at", "n", "i", F.expr("pmod(xxhash64(word, i), 1099511627776)").alias("f"), F.expr("pmod(xxhash64(word, i - 1), 1099511627776)").alias("g"))
+    so_far, whole = Window.partitionBy("at").orderBy("i"), Window.partitionBy("at")
+    each = each.select("at", "n", "i", (F.sum("f").over(so_far) - F.col("f") + F.sum("g").over(whole) - F.sum("g").over(so_far)).alias("variant"), F.when(F.col("i") == 0, F.sum("f").over(whole)).alias("own"))
+    # each variant with the place of the missing word; the line itself as one where none is missing (-1)
+    keys = F.array_compact(F.array(F.struct(F.col("variant").alias("key"), (F.col("n") - 1).alias("n"), F.col("i").alias("i")), F.when(F.col("own").isNotNull(), F.struct(F.col("own").alias("key"), F.col("n").alias("n"), F.lit(-1).alias("i")))))
+    keyed = stored(each.select("at", F.explode(keys).alias("k")).select("at", "k.*"), "variants")
+    groups = keyed.groupBy("key", "n").agg(F.min(F.when(F.col("i") >= 0, F.col("at"))).alias("longer"), F.min(F.when(F.col("i") < 0, F.col("at"))).alias("own"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = stored(keyed.join(groups, ["key", "n"]), "met")
+    replaced = met.where("i >= 0").groupBy("key", "n", "i").agg(F.min("at").alias("e"), F.count("*").alias("c")).where("c > 1").drop("c")
+    found = met.join(replaced, ["key", "n", "i"]).select("at", "e").union(met.select("at", F.when(F.col("i") < 0, F.col("longer")).otherwise(F.col("own")).alias("e")))
+    pairs = found.where("e < at").groupBy("at").agg(F.min("e").alias("e"))
+    both = pairs.join(candidates, "at").join(candidates.select(F.col("at").alias("e"), F.col("w").alias("v")), "e")
     prefix = F.array_position(F.zip_with("w", "v", lambda a, b: a.eqNullSafe(b)), False)
     suffix = F.array_position(F.zip_with(F.reverse("w"), F.reverse("v"), lambda a, b: a.eqNullSafe(b)), False)
     m, n = F.least(F.size("w"), F.size("v")), F.greatest(F.size("w"), F.size("v"))
     same = F.when(prefix == 0, m).otherwise(prefix - 1) + F.when(suffix == 0, m).otherwise(suffix - 1)
-    return both.where((same >= n - 1) & (m >= near_words)).select("line")
+    return both.where((same >= n - 1) & (m >= near_words)).select("line").distinct()
 
 
 def repeated_lines(rows: DataFrame, near_words: int = NEAR_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """id, tie and gone (numbers of the lines that go, from 0) of the documents (id, tie, text) that lose lines."""
-    lines = counted_lines(rows, near_words, min_words)
-    distinct = stored(lines.groupBy("line", "ends").agg(F.min("at").alias("at"), F.count("*").alias("copies")), "lines")
-    picked = _candidates(distinct).join(distinct.select("line", "at"), "line")
-    places = picked.groupBy(F.col("at.id").alias("id"), F.col("at.tie").alias("tie")).agg(F.collect_list(F.struct(F.col("at.no").alias("no"), "line")).alias("places"))
-    found = rows.join(places.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", F.split("text", "\n").alias("all"), F.explode("places").alias("p"))
-    found = found.select(F.col("p.line").alias("line"), F.struct("id", "tie", F.col("p.no").alias("no")).alias("at"), _words(F.get("all", F.col("p.no"))).alias("w")).dropDuplicates(["line"])
-    near = _near(stored(found, "candidates"), near_words).withColumn("near", F.lit(True))
+    lines = stored(counted_lines(rows, near_words, min_words), "lines")
+    distinct = stored(lines.groupBy("line").agg(F.min(F.struct("id", "tie", "no")).alias("at"), F.count("*").alias("copies")), "distinct")
+    places = stored(_candidates(lines).join(distinct.select("line", "at"), "line").select("line", "at.*"), "places")
+    found = _thinned(places, rows).join(places, ["id", "tie", "no"])
+    candidates = stored(found.select("line", F.struct("id", "tie", "no").alias("at"), _words("raw", "odd").alias("w")), "candidates")
+    near = _near(candidates, near_words).withColumn("near", F.lit(True))
     verdict = distinct.join(near, "line", "left").where("copies > 1 OR near").select("line", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("line", "at").join(verdict, "line").where("near OR at > first")
-    return gone.groupBy(F.col("at.id").alias("id"), F.col("at.tie").alias("tie")).agg(F.array_sort(F.collect_set("at.no")).alias("gone"))
+    gone = lines.select("line", "id", "tie", "no").join(verdict, "line").where("near OR struct(id, tie, no) > first")
+    return gone.groupBy("id", "tie").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", gone_col: str = "gone_lines") -> DataFrame:
