@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from loomwright.plans import changes, filters, groups, joins, scalars  # noqa: F401
+from loomwright.plans import annotate, changes, filters, groups, joins, models, recommend, scalars  # noqa: F401

@@ -59,6 +59,7 @@ for _f in (
     lambda x: f"regexp_replace({x}, '([a-z]*[0-9]+[a-z]*)', '', 'g')",
     lambda x: rf"regexp_replace({x}, '[^\x00-\x7F]', '', 'g')",
     lambda x: f"array_to_string(list_filter({_SPLIT.format(x)}, lambda w: NOT list_contains({_STOP}, w)), ' ')",
+    *[lambda x, c=c: f"regexp_replace({x}, '{c}{{4,}}', '{c * 3}', 'g')" for c in "abcdefghijklmnopqrstuvwxyz_"],
     lambda x: f"array_to_string(list_transform({_SPLIT.format(x)}, lambda w: {_LEMMA}), ' ')",
 ):
     _CHAIN = _f(_CHAIN)
