@@ -32,9 +32,9 @@ MIN_WORDS, NEAR_WORDS = 5, 10
 BITS = 2**26
 
 
-def _words(line: str, odd: str) -> Column:
+def _words(line: Column, odd: Column) -> Column:
     """The words of a line; only where white space other than spaces is about, by a pattern."""
-    return F.array_remove(F.when(F.col(odd), F.split(line, SPACE + "+")).otherwise(F.split(line, " ")), "")
+    return F.array_remove(F.when(odd, F.split(line, SPACE + "+")).otherwise(F.split(line, " ")), "")
 
 
 def _odd(text: str) -> Column:
@@ -54,8 +54,10 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def counted_lines(rows: DataFrame, near_words: int, min_words: int) -> DataFrame:
     """Each line that counts: its place (id, tie, no), line (digest of its words), ends (keys of its ends)."""
-    lines = rows.select("id", "tie", _odd("text").alias("odd"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    lines = lines.withColumn("w", _words("raw", "odd")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
+    # the generator hands on the words of a line as a value; as an expression they would be split anew for each use
+    split = F.transform(F.split("text", "\n"), lambda raw: _words(raw, F.col("odd")))
+    lines = rows.withColumn("odd", _odd("text")).select("id", "tie", F.posexplode(split).alias("no", "w"))
+    lines = lines.withColumn("n", F.size("w")).where(F.col("n") >= min_words)
     ends = []
     for shorter in ("n", "n - 1"):
         h = _half(f"({shorter})")
@@ -117,7 +119,7 @@ def repeated_lines(rows: DataFrame, near_words: int = NEAR_WORDS, min_words: int
     distinct = stored(lines.groupBy("line").agg(F.min(F.struct("id", "tie", "no")).alias("at"), F.count("*").alias("copies")), "distinct")
     places = stored(_candidates(lines).join(distinct.select("line", "at"), "line").select("line", "at.*"), "places")
     found = _thinned(places, rows).join(places, ["id", "tie", "no"])
-    candidates = stored(found.select("line", F.struct("id", "tie", "no").alias("at"), _words("raw", "odd").alias("w")), "candidates")
+    candidates = stored(found.select("line", F.struct("id", "tie", "no").alias("at"), _words(F.col("raw"), F.col("odd")).alias("w")), "candidates")
     near = _near(candidates, near_words).withColumn("near", F.lit(True))
     verdict = distinct.join(near, "line", "left").where("copies > 1 OR near").select("line", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("line", "id", "tie", "no").join(verdict, "line").where("near OR struct(id, tie, no) > first")
