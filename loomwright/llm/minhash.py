@@ -52,7 +52,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     odd = np.uint64(2) * np.arange(1, k + 1, dtype=np.uint64) + np.uint64(1)
     times = np.resize(_MULTIPLIERS, k) * odd
     grams = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(min(k, n)):
         grams[: n - j] += h[j:] * times[j] if j else h * times[0]
     grams = mix(grams)
     out = []

@@ -145,7 +145,7 @@ def fit_chain(texts: list[str | None], labels: np.ndarray, weight: np.ndarray, c
             part = fit(x, before, y, np.where(fold == k, 0, weight), len(common))
             oof[fold == k] = part.log_odds(x, before)[fold == k]
         model = fit(x, before, y, weight, len(common))
-        model.cut = best_cut(oof, y, weight) if 0 < y.mean() < 1 else np.inf
+        model.cut = best_cut(oof, y, weight) if 0 < y.sum() < len(y) else np.inf
         full = np.zeros(N_FEATURES, np.float32)
         full[common] = model.weights
         models.append(Linear(model.bias, full, model.earlier, model.cut))
