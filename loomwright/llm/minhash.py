@@ -220,7 +220,7 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> D
     # pairs of a bucket, of different blocks, that are still apart
     label = components(links).select(F.col("node").alias("cid"), F.col("component").alias("label"))
     apart = blocks.where("large").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    at = banded.join(apart, "cid").select("key", "cid", "block", "label")
+    at = stored(banded.join(apart, "cid").select("key", "cid", "block", "label"), "apart")
     counts = at.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     at = at.join(mixed.select("key", "main"), "key")

@@ -34,7 +34,9 @@ from loomwright.llm.tokens import words
 
 #: Bits of a feature's index within its kind; byte lengths of the kinds, 0 for the whole word.
 FEATURE_BITS, KINDS = 18, (0, 4, 6)
-ROWS_A_STRATUM, FOLDS, ROUNDS, RATE, DECAY = 2000, 3, 70, 1.5, 1e-5
+ROWS_A_STRATUM, FOLDS, ROUNDS, RATE, DECAY = 2000, 3, 110, 1.5, 1e-5
+#: Characters of the sample whose features are made at once.
+SAMPLE_CHARS = 500_000
 N_FEATURES = len(KINDS) << FEATURE_BITS
 
 
@@ -128,15 +130,20 @@ class Chain:
 
 def fit_chain(texts: list[str | None], labels: np.ndarray, weight: np.ndarray, categories: list[str]) -> tuple[Chain, np.ndarray]:
     """The chain, and the out-of-fold log-odds of the rows it was fitted on."""
-    parts = [(i, features(texts[i:j])) for i, j in chunks([t or "" for t in texts])]
-    row = np.concatenate([np.empty(0, np.int32), *((p.row + i).astype(np.int32) for i, p in parts)])
-    x = Sparse(len(texts), row, np.concatenate([np.empty(0, np.int32), *(p.col.astype(np.int32) for _, p in parts)]), np.concatenate([np.empty(0, np.float32), *(p.value for _, p in parts)]))
-    del parts
-    common = np.flatnonzero(np.bincount(x.col, minlength=N_FEATURES) > 1)  # what one row has alone teaches nothing of others
+    parts, seen = [], np.zeros(N_FEATURES, np.int32)
+    for i, j in chunks([t or "" for t in texts], SAMPLE_CHARS):
+        p = features(texts[i:j])
+        seen += np.bincount(p.col, minlength=N_FEATURES).astype(np.int32)
+        parts.append(((p.row + i).astype(np.int32), p.col.astype(np.int32), p.value))
+    common = np.flatnonzero(seen > 1)  # what one row has alone teaches nothing of others
     to = np.full(N_FEATURES, -1, np.int32)
     to[common] = np.arange(len(common))
-    m = to[x.col] >= 0
-    x = Sparse(x.n, x.row[m], to[x.col[m]], x.value[m])
+    for k, (row, col, value) in enumerate(parts):
+        m = to[col] >= 0
+        parts[k] = row[m], to[col[m]], value[m]
+    row, col, value = (np.concatenate([np.empty(0, d), *(p[c] for p in parts)]) for c, d in enumerate((np.int32, np.int32, np.float32)))
+    x = Sparse(len(texts), row, col, value)
+    del parts
     fold = np.arange(x.n) % FOLDS
     before, models = np.zeros((x.n, 0)), []
     for c in range(len(categories)):
