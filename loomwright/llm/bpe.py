@@ -26,7 +26,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm.common import only, table
+from loomwright.llm.common import batched, only, table
 
 #: The pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -240,7 +240,7 @@ def encode_frame(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 yield pd.DataFrame({id_col: b[id_col].iloc[i:j].to_numpy(), "ids": ids})
 
     src = only(df, [id_col, text_col])
-    return src.mapInPandas(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return batched(src, run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode_frame(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -253,7 +253,7 @@ def decode_frame(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
             yield pd.DataFrame({id_col: b[id_col].to_numpy(), "text": texts})
 
     src = only(df, [id_col, ids_col])
-    return src.mapInPandas(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, text string")
+    return batched(src, run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, text string")
 
 
 def round_trip_digests(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,7 +275,7 @@ def round_trip_digests(df: DataFrame, path: str | None = None, id_col: str = "do
                 )
 
     src = only(df, [id_col, text_col])
-    return src.mapInPandas(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return batched(src, run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Separators of words: the ASCII white space, and nothing else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that a Python worker is sent at once.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +49,14 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def batched(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInPandas over batches of BATCH_ROWS rows at most, so a worker holds few long texts at a time."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInPandas(run, schema)
+
+
 def salt(n: int, *by: Column | str) -> Column:
     """One of n salts, the same in each attempt of a task."""
     return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")

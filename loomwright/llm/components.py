@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import stored
+from loomwright.llm.common import salt, stored
+
+#: Parts of the links of a node.
+PARTS = 32
 
 
 def _signature(links: DataFrame) -> tuple[int, int]:
@@ -21,16 +24,23 @@ def _signature(links: DataFrame) -> tuple[int, int]:
     return int(r["n"]), int(r["s"])
 
 
+def _beside_smallest(links: DataFrame) -> DataFrame:
+    """links with m, the smallest b of each a. A node with very many links meets m in parts: by node and a salt of b."""
+    links = links.withColumn("part", salt(PARTS, "b"))
+    low = links.groupBy("a", "part").agg(F.min("b").alias("m"))
+    back = low.select("a", "part").join(low.groupBy("a").agg(F.min("m").alias("m")), "a")
+    return links.join(back, ["a", "part"]).drop("part")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    near = _beside_smallest(both).where("b > a")
+    return near.select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    low = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
+    near = _beside_smallest(links)
+    return near.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("l")).select("l.a", "l.b").where("a <> b").distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

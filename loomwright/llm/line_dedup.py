@@ -122,6 +122,7 @@ def repeated_lines(rows: DataFrame, near_words: int = NEAR_WORDS, min_words: int
     candidates = stored(found.select("line", F.struct("id", "tie", "no").alias("at"), _words(F.col("raw"), F.col("odd")).alias("w")), "candidates")
     near = _near(candidates, near_words).withColumn("near", F.lit(True))
     verdict = distinct.join(near, "line", "left").where("copies > 1 OR near").select("line", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    verdict = stored(verdict, "verdict")  # a table, so that both sides of the join are exchanges and a hot line is split
     gone = lines.select("line", "id", "tie", "no").join(verdict, "line").where("near OR struct(id, tie, no) > first")
     return gone.groupBy("id", "tie").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe import chunks
-from loomwright.llm.common import salt, stored, table
+from loomwright.llm.common import batched, salt, stored, table
 from loomwright.llm.components import components
 from loomwright.llm.tokens import mix, words
 
@@ -123,7 +123,7 @@ def described(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     bands_of[x] = keys
                 yield pd.DataFrame({"id": b["id"].iloc[i:j].to_numpy(), "n": np.array([len(s) for s in sets], np.int64), "set": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": bands_of})
 
-    return docs.select("id", "text").where("id IS NOT NULL").mapInPandas(run, "id long, n long, set binary, bands array<long>")
+    return batched(docs.select("id", "text").where("id IS NOT NULL"), run, "id long, n long, set binary, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:

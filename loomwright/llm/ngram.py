@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe import chunks
-from loomwright.llm.common import scratch_path, table
+from loomwright.llm.common import batched, scratch_path, table
 from loomwright.llm.elias_fano import EliasFano, pack, read_arrays, unpack, write_arrays
 from loomwright.llm.tokens import words
 
@@ -315,7 +315,7 @@ def counted(train: DataFrame, model: Model) -> DataFrame:
                 yield from runs.add(p, w, np.bincount(back, minlength=len(p)))
         yield from runs.send()
 
-    return train.select("text").mapInPandas(run, RUN)
+    return batched(train.select("text"), run, RUN)
 
 
 def merged(runs: DataFrame, model: Model) -> list:
@@ -498,7 +498,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield out.assign(train_tokens=sent.value.tokens)
 
     own = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return own.mapInPandas(run, f"`{id_col}` {own.schema['_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, train_tokens long")
+    return batched(own, run, f"`{id_col}` {own.schema['_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, train_tokens long")
 
 
 def held_out(id_col: str = "doc_id"):  # noqa: ANN201

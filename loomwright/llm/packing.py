@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe import PATTERN, Bpe, chunks, default_path
-from loomwright.llm.common import only, salt, stored, table
+from loomwright.llm.common import batched, only, salt, stored, table
 
 CAPACITY, END_ID, SALTS = 2048, 0, 64
 #: Runs of one kind of character beyond which the fast encoder is left for the segment tree.
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
                 yield pd.DataFrame({id_col: b[id_col].iloc[at].to_numpy()} | dict(zip(("piece", "start", "length", "ids_crc32"), cols, strict=True)))
 
     src = only(docs, [id_col, text_col])
-    return src.mapInPandas(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return batched(src, run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[Group], dict[int, int]]:

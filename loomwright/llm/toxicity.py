@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwright.llm.bpe import chunks
-from loomwright.llm.common import table
+from loomwright.llm.common import batched, table
 from loomwright.llm.tokens import words
 
 #: Bits of a feature's index within its kind; byte lengths of the kinds, 0 for the whole word.
@@ -196,7 +196,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
                     out[f"is_{c}"] = (odds[:, k] > chain.models[k].cut) & np.array([bool(t) for t in texts[i:j]])
                 yield out
 
-    return docs.mapInPandas(run, schema)
+    return batched(docs, run, schema)
 
 
 def table_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

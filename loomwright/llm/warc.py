@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import only, table
+from loomwright.llm.common import batched, only, table
 
 NAMESPACE = uuid.UUID("6f0c2f0a-55a3-5c0e-9d0b-5d6b8a3c1e77")
 VERSION, CRLF = "WARC/1.1", "\r\n"
@@ -114,7 +114,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
 
     src = only(pages, [id_col, url_col, html_col]).withColumn(id_col, F.col(f"`{id_col}`").cast("string"))
     kind = pages.schema[id_col].dataType.simpleString()
-    return src.mapInPandas(run, f"`{id_col}` string, {RECORD}").withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
+    return batched(src, run, f"`{id_col}` string, {RECORD}").withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
 
 
 def derive(records: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -131,7 +131,7 @@ def derive(records: DataFrame, id_col: str = "page_id") -> DataFrame:
 
     src = only(records.where("record_type = 'response'"), [id_col, *fields]).withColumn(id_col, F.col(f"`{id_col}`").cast("string"))
     kind = records.schema[id_col].dataType.simpleString()
-    return src.mapInPandas(run, f"`{id_col}` string, {RECORD}").withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
+    return batched(src, run, f"`{id_col}` string, {RECORD}").withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
 
 
 def as_warc(records: DataFrame) -> DataFrame:
