@@ -23,7 +23,7 @@ def a02(spark, d):
     return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max("l_quantity").alias("q"), F.max("l_tax").alias("t"), F.bool_or(F.col("l_returnflag") == "R").alias("returned"))
 
 
-@query("a03_ordered_list", "SELECT l_suppkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber) AS parts FROM lineitem WHERE l_quantity > 45 GROUP BY l_suppkey")
+@query("a03_ordered_list", "SELECT l_suppkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber, l_partkey) AS parts FROM lineitem WHERE l_quantity > 45 GROUP BY l_suppkey")
 def a03(spark, d):
     g = table(spark, d, "lineitem").where("l_quantity > 45").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey"))).alias("x"))
     return g.select("l_suppkey", F.array_join(F.transform("x", lambda s: s["l_partkey"].cast("string")), ",").alias("parts"))
