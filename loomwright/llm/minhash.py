@@ -193,11 +193,12 @@ def near_links(classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> D
     stars = stored(stars, "stars")
     families = components(stars, "cid", "centre").select(F.col("node").alias("cid"), F.col("component").alias("family"))
     near = stars.groupBy("cid").agg(F.min("centre").alias("centre"))
-    members = families.join(near, "cid", "left").withColumn("centre", F.least("cid", F.coalesce("centre", "cid")))
+    members = families.join(near, "cid", "left").withColumn("centre", F.least("cid", F.coalesce("centre", "cid"))).withColumn("leaf", salt(SALTS, "cid"))
     size = families.groupBy("family").agg(F.count("*").alias("members"))
     centres = members.groupBy("family", "centre").agg(F.count("*").alias("around"))
     parts = centres.join(size, "family").select("family", "centre", "members", F.ceil(F.col("around") / BLOCK).alias("parts"))
-    blocks = members.join(parts, ["family", "centre"]).select(
+    leaves = members.select("family", "centre", "leaf").distinct().join(parts, ["family", "centre"])  # a centre of many is joined in parts
+    blocks = members.join(leaves, ["family", "centre", "leaf"]).select(
         "cid",
         "family",
         F.when(F.col("members") <= BLOCK, F.lit(0)).otherwise(F.xxhash64("centre", F.pmod(F.xxhash64("cid"), "parts"))).alias("block"),
