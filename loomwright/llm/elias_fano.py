@@ -105,6 +105,18 @@ class EliasFano:
         high = (self.select1(i) - i).astype(np.uint64)
         return ((high << _U(self.bits)) | self.low_bits(i)).astype(np.int64)
 
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places i and i + 1: the second bit mostly stands in the same word as the first."""
+        if not len(i):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = self.select1(i)
+        rest = self.high[at >> 6] >> (at & 63).astype(np.uint64) >> _ONE
+        then = at + 1 + np.bitwise_count((rest & (~rest + _ONE)) - _ONE)
+        far = np.flatnonzero(rest == 0)
+        then[far] = self.select1(i[far] + 1)
+        value = lambda p, k: (((p - k).astype(np.uint64) << _U(self.bits)) | self.low_bits(k)).astype(np.int64)
+        return value(at, i), value(then, i + 1)
+
     def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places from and to which values have these high bits."""
         end = self.select0(high) - high

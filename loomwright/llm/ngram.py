@@ -116,9 +116,8 @@ def find_words(m: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         i = sequence(m.file(1, f), "keys").find(hashes[at] & ((np.uint64(1) << shift) - np.uint64(1)))
         hit = i >= 0
         at, i = at[hit], i[hit]
-        c = sequence(m.file(1, f), "cum")
-        a = c.get(i)
-        ids[at], before[at], count[at] = i + level.first[f], a + level.total[f], c.get(i + 1) - a
+        a, b = sequence(m.file(1, f), "cum").get_two(i)
+        ids[at], before[at], count[at] = i + level.first[f], a + level.total[f], b - a
     return ids, count, before
 
 
@@ -130,9 +129,8 @@ def counts_of(m: Model, order: int, ids: np.ndarray) -> tuple[np.ndarray, np.nda
         if f >= len(level.first) - 1:
             count[at], before[at] = m.docs, level.sum
             continue
-        c, i = sequence(m.file(order, f), "cum"), ids[at] - level.first[f]
-        a = c.get(i)
-        before[at], count[at] = a + level.total[f], c.get(i + 1) - a
+        a, b = sequence(m.file(order, f), "cum").get_two(ids[at] - level.first[f])
+        before[at], count[at] = a + level.total[f], b - a
     return count, before
 
 
@@ -153,7 +151,7 @@ def find_grams(m: Model, order: int, parent: np.ndarray, word: np.ndarray, count
         at = at[(parent[at] >= level.low[f]) & (parent[at] <= level.high[f])]
         path, local = m.file(order, f), parent[at] - level.low[f]
         pointers, ids = sequence(path, "pointers"), sequence(path, "ids")
-        lo, hi = pointers.get(local), pointers.get(local + 1)
+        lo, hi = pointers.get_two(local)
         some = lo < hi
         at, lo, hi = at[some], lo[some], hi[some]
         base = np.where(lo > 0, ids.get(np.maximum(lo - 1, 0)), -1)

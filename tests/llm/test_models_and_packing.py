@@ -25,6 +25,9 @@ def test_elias_fano(values, others):
     v = np.sort(np.array(values, np.int64))
     e = elias_fano.EliasFano.of(v)
     assert (e.get(np.arange(len(v))) == v).all()
+    if len(v) > 1:
+        one, two = e.get_two(np.arange(len(v) - 1))
+        assert (one == v[:-1]).all() and (two == v[1:]).all()
     ask = np.array(values + others, np.int64)
     at = e.find(ask)
     assert all((i >= 0) == (x in set(values)) and (i < 0 or v[i] == x) for i, x in zip(at.tolist(), ask.tolist(), strict=True))
