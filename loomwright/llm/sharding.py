@@ -6,7 +6,7 @@ owns the same number of slots, give or take one, and the loss of a shard moves l
 holds `table_size` rows whatever the input, so it is broadcast; a row's place is one digest and one lookup.
 
 Defined results: a null key is placed as the empty text; equal keys share a shard; an empty table gives no rows; other
-columns are kept by place_rows() and left out by the query.
+columns are kept by place_rows(), but for those named like its own, and left out by the query.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def place_rows(df: DataFrame, key: Column | str = "doc_id", names: list[str] | N
     owner = lookup_table(names or shard_names(N_SHARDS), table_size)
     rows = [(i, int(x)) for i, x in enumerate(owner)]
     lookup = df.sparkSession.createDataFrame(rows, f"`{slot_col}` int, `{shard_col}` int")
-    return df.withColumn(slot_col, slot_of(key, table_size)).join(F.broadcast(lookup), slot_col)
+    return df.drop(slot_col, shard_col).withColumn(slot_col, slot_of(key, table_size)).join(F.broadcast(lookup), slot_col)
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", names: list[str] | None = None, table_size: int = TABLE_SIZE, files_per_shard: int = 8) -> None:

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomwright.llm import bpe, exact_dedup, line_dedup, sharding, winnowing
 from tests.llm.conftest import as_frame, odd_rows
@@ -46,7 +47,7 @@ def test_lookup_table_is_the_claiming_of_slots():
 
 
 def test_placement(spark, docs, no_docs, tmp_path):
-    got = sharding.place_rows(docs).collect()
+    got = sharding.place_rows(docs.withColumn("shard", F.lit("clash"))).collect()
     assert len(got) == len(odd_rows()) and all(0 <= r["shard"] < sharding.N_SHARDS for r in got)
     assert len({r["shard"] for r in got if r["doc_id"] == 8}) == 1
     assert sharding.place_rows(no_docs).count() == 0
