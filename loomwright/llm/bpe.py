@@ -31,7 +31,7 @@ from loomwright.llm.common import batched, only, table
 #: The pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers, leaves above which pieces are merged singly, characters encoded at once.
-CACHE_PIECES, WIDE, CHUNK_CHARS = 500_000, 256, 2_000_000
+CACHE_PIECES, WIDE, CHUNK_CHARS = 500_000, 256, 500_000
 NONE = np.int64(2**62)
 
 

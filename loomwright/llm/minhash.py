@@ -47,6 +47,10 @@ _MULTIPLIERS = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD6
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's k-word shingles."""
+    return [s for i, j in chunks([t or "" for t in texts]) for s in _sets(texts[i:j], k)]
+
+
+def _sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     w = words(texts)
     h, n = w.hashes, len(w.hashes)
     odd = np.uint64(2) * np.arange(1, k + 1, dtype=np.uint64) + np.uint64(1)

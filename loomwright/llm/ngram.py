@@ -41,6 +41,8 @@ from loomwright.llm.tokens import words
 MIN_COUNT, DISCOUNT = 2, 0.75
 #: Bytes of text for each file of a level, the fewest files, entries that a counting task holds before it sends them.
 FILE_BYTES, FEWEST_FILES, HELD = 32_000_000, 64, 2_000_000
+#: Characters that are looked up at once: the more, the fewer n-grams are looked up twice.
+TEXT_CHARS = 2_000_000
 #: The end of a text, as the hash of a word; 64 bits that no word is expected to have.
 END = np.uint64(0x5EED0FE2D0C0FFEE)
 
@@ -295,7 +297,7 @@ def counted(train: DataFrame, model: Model) -> DataFrame:
             runs = Runs(lambda p, w: file_of(m, order, *counts_of(m, order - 1, p)[::-1], w))
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
-            for i, j in chunks(texts):
+            for i, j in chunks(texts, TEXT_CHARS):
                 t = read_texts(texts[i:j])
                 if order == 1:
                     c = np.bincount(t.word[~t.is_start], minlength=len(t.hashes))
@@ -490,7 +492,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["_text"]]
-            for i, j in chunks(texts):
+            for i, j in chunks(texts, TEXT_CHARS):
                 out = score_texts(sent.value, texts[i:j])
                 out.insert(0, id_col, b["_id"].iloc[i:j].to_numpy())
                 yield out.assign(train_tokens=sent.value.tokens)

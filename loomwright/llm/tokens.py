@@ -32,18 +32,23 @@ with np.errstate(over="ignore"):
     _IS_WORD = np.ones(256, np.int8)
     _IS_WORD[[32, 9, 10, 11, 12, 13]] = 0
     _INVERSE = _U(pow(int(_BASE), -1, 2**64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+#: Powers that are kept; for more bytes at once they are made for that call alone.
+KEPT = 1 << 20
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n - 1, at least, of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, b in enumerate((_BASE, _INVERSE)):
-            x = np.full(size, b)
-            x[0] = 1
-            _powers[i] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    out = []
+    for b in (_BASE, _INVERSE):
+        x = np.full(max(n, KEPT), b)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    if n <= KEPT:
+        _powers[:] = out
+    return out[0], out[1]
 
 
 @dataclass
@@ -53,10 +58,11 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     sums: np.ndarray  #: running sums, for hashes of parts of words
+    inverse: np.ndarray  #: powers of the inverse of the base
 
     def part(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of the bytes from starts to ends."""
-        return mix((self.sums[ends] - self.sums[starts]) * _power_tables(len(self.sums))[1][starts])
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
     @property
     def counts(self) -> np.ndarray:
@@ -72,7 +78,8 @@ def words(texts: list[str | None]) -> Words:
     step = np.diff(_IS_WORD[buf], prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_VALUE[buf] * _power_tables(len(buf) + 1)[0][: len(buf)], out=sums[1:])
-    out = Words(np.empty(0, np.uint64), np.searchsorted(starts, text_at), starts, ends, sums)
+    powers, inverse = _power_tables(len(buf) + 1)
+    np.cumsum(_VALUE[buf] * powers[: len(buf)], out=sums[1:])
+    out = Words(np.empty(0, np.uint64), np.searchsorted(starts, text_at), starts, ends, sums, inverse)
     out.hashes = out.part(starts, ends)
     return out
