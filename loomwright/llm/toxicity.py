@@ -49,10 +49,6 @@ class Sparse:
     col: np.ndarray
     value: np.ndarray
 
-    def take(self, keep: np.ndarray) -> Sparse:
-        m = keep[self.row]
-        return Sparse(self.n, self.row[m], self.col[m], self.value[m])
-
 
 def features(texts: list[str | None]) -> Sparse:
     w = words(texts)
@@ -75,31 +71,37 @@ class Linear:
     cut: float = field(default=np.inf)
 
     def log_odds(self, x: Sparse, before: np.ndarray) -> np.ndarray:
-        s = np.bincount(x.row, x.value * self.weights.astype(np.float32)[x.col], minlength=x.n) + self.bias
+        s = np.bincount(x.row, x.value * self.weights[x.col], minlength=x.n) + self.bias
         return np.clip(s + before @ self.earlier, -30, 30)
 
 
-def fit(x: Sparse, before: np.ndarray, y: np.ndarray, weight: np.ndarray, n_features: int) -> Linear:
-    """Logistic regression by full-batch AdaGrad; rows of weight 0 are left out."""
-    x, total = x.take(weight > 0), weight.sum()
+def fit(parts: list[Sparse], before: np.ndarray, y: np.ndarray, weight: np.ndarray, n_features: int) -> Linear:
+    """Logistic regression by full-batch AdaGrad, part by part; rows of weight 0 don't count."""
+    total = weight.sum()
     share = float((weight * y).sum() / max(total, 1e-9))
-    model = Linear(0.0, np.zeros(n_features), np.zeros(before.shape[1]))
+    model = Linear(0.0, np.zeros(n_features, np.float32), np.zeros(before.shape[1]))
     if not 0 < share < 1:
         model.bias = -30.0 if share == 0 else 30.0
         return model
     model.bias = np.log(share / (1 - share))
     scaled = before / 10  # log-odds are at most 30
     g_w, g_e, g_b = np.full(n_features, 1e-8), np.full(before.shape[1], 1e-8), 1e-8
+    ends = np.cumsum([p.n for p in parts])
     for _ in range(ROUNDS):
-        s = np.bincount(x.row, x.value * model.weights.astype(np.float32)[x.col], minlength=x.n) + model.bias + scaled @ model.earlier
-        err = weight * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / total
-        d = np.bincount(x.col, x.value * err.astype(np.float32)[x.row], minlength=n_features) + DECAY * model.weights
+        d, e, b = DECAY * model.weights.astype(float), DECAY * model.earlier, 0.0
+        for p, end in zip(parts, ends.tolist(), strict=True):
+            rows = slice(end - p.n, end)
+            if not weight[rows].any():
+                continue
+            s = np.bincount(p.row, p.value * model.weights[p.col], minlength=p.n) + model.bias + scaled[rows] @ model.earlier
+            err = weight[rows] * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y[rows]) / total
+            d += np.bincount(p.col, p.value * err.astype(np.float32)[p.row], minlength=n_features)
+            e = e + scaled[rows].T @ err
+            b += float(err.sum())
         g_w += d * d
-        model.weights -= RATE * d / np.sqrt(g_w)
-        e = scaled.T @ err + DECAY * model.earlier
+        model.weights -= (RATE * d / np.sqrt(g_w)).astype(np.float32)
         g_e += e * e
         model.earlier -= 0.2 * RATE * e / np.sqrt(g_e)
-        b = float(err.sum())
         g_b += b * b
         model.bias -= 0.2 * RATE * b / np.sqrt(g_b)
     model.earlier /= 10
@@ -134,24 +136,24 @@ def fit_chain(texts: list[str | None], labels: np.ndarray, weight: np.ndarray, c
     for i, j in chunks([t or "" for t in texts], SAMPLE_CHARS):
         p = features(texts[i:j])
         seen += np.bincount(p.col, minlength=N_FEATURES).astype(np.int32)
-        parts.append(((p.row + i).astype(np.int32), p.col.astype(np.int32), p.value))
+        parts.append(Sparse(p.n, p.row.astype(np.int32), p.col.astype(np.int32), p.value))
     common = np.flatnonzero(seen > 1)  # what one row has alone teaches nothing of others
     to = np.full(N_FEATURES, -1, np.int32)
     to[common] = np.arange(len(common))
-    for k, (row, col, value) in enumerate(parts):
-        m = to[col] >= 0
-        parts[k] = row[m], to[col[m]], value[m]
-    row, col, value = (np.concatenate([np.empty(0, d), *(p[c] for p in parts)]) for c, d in enumerate((np.int32, np.int32, np.float32)))
-    x = Sparse(len(texts), row, col, value)
-    del parts
-    fold = np.arange(x.n) % FOLDS
-    before, models = np.zeros((x.n, 0)), []
+    for k, p in enumerate(parts):
+        m = to[p.col] >= 0
+        parts[k] = Sparse(p.n, p.row[m], to[p.col[m]], p.value[m])
+    n = len(texts)
+    ends = np.cumsum([p.n for p in parts]).tolist()
+    fold = np.arange(n) % FOLDS
+    before, models = np.zeros((n, 0)), []
     for c in range(len(categories)):
-        y, oof = labels[:, c].astype(float), np.zeros(x.n)
+        y, oof = labels[:, c].astype(float), np.zeros(n)
         for k in range(FOLDS):
-            part = fit(x, before, y, np.where(fold == k, 0, weight), len(common))
-            oof[fold == k] = part.log_odds(x, before)[fold == k]
-        model = fit(x, before, y, weight, len(common))
+            held = fit(parts, before, y, np.where(fold == k, 0, weight), len(common))
+            odds = np.concatenate([np.empty(0), *(held.log_odds(p, before[e - p.n : e]) for p, e in zip(parts, ends, strict=True))])
+            oof[fold == k] = odds[fold == k]
+        model = fit(parts, before, y, weight, len(common))
         model.cut = best_cut(oof, y, weight) if 0 < y.sum() < len(y) else np.inf
         full = np.zeros(N_FEATURES, np.float32)
         full[common] = model.weights
