@@ -15,31 +15,37 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import salt, stored
 
-#: Parts of the links of a node.
-PARTS = 32
+#: Links of one node from which on they are joined in parts, and the parts.
+HOT_LINKS, PARTS = 1_000_000, 32
 
 
-def _signature(links: DataFrame) -> tuple[int, int]:
-    r = links.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-    return int(r["n"]), int(r["s"])
+def _signature(links: DataFrame) -> tuple[int, int, int]:
+    """Number and checksum of the links, and the most that a node has."""
+    check = F.xxhash64("a", "b").cast("decimal(38,0)")
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), check.alias("s")), F.struct(F.col("b").alias("node"), F.lit(0).cast("decimal(38,0)").alias("s")))).alias("e"))
+    by = ends.groupBy("e.node").agg(F.count("*").alias("c"), F.sum("e.s").alias("s"))
+    r = by.agg(F.sum("c").alias("n"), F.sum("s").alias("s"), F.max("c").alias("most")).first()
+    return int(r["n"] or 0), int(r["s"] or 0), int(r["most"] or 0)
 
 
-def _beside_smallest(links: DataFrame) -> DataFrame:
+def _beside_smallest(links: DataFrame, parts: int) -> DataFrame:
     """links with m, the smallest b of each a. A node with very many links meets m in parts: by node and a salt of b."""
-    links = links.withColumn("part", salt(PARTS, "b"))
+    if parts == 1:
+        return links.join(links.groupBy("a").agg(F.min("b").alias("m")), "a")
+    links = links.withColumn("part", salt(parts, "b"))
     low = links.groupBy("a", "part").agg(F.min("b").alias("m"))
     back = low.select("a", "part").join(low.groupBy("a").agg(F.min("m").alias("m")), "a")
     return links.join(back, ["a", "part"]).drop("part")
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, parts: int) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = _beside_smallest(both).where("b > a")
-    return near.select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
+    near = _beside_smallest(both, parts).where("b > a")
+    return near.select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b")
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    near = _beside_smallest(links)
+def _small_star(links: DataFrame, parts: int) -> DataFrame:
+    near = _beside_smallest(links, parts)
     return near.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("l")).select("l.a", "l.b").where("a <> b").distinct()
 
 
@@ -49,7 +55,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = stored(links, "links")
     before = _signature(links)
     while before[0]:
-        links = stored(_small_star(_large_star(links)), "links")
+        parts = PARTS if before[2] >= HOT_LINKS else 1
+        links = stored(_small_star(_large_star(links, parts), parts), "links")
         now = _signature(links)
         if now == before:
             break

@@ -211,7 +211,9 @@ def test_linked_counts_whole_sets(monkeypatch):
             assert got[i, j] == (100 * both >= 50 * (len(a) + len(b) - both))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [1_000_000, 5])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT_LINKS", hot)
     rnd = random.Random(6)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
     parent = {}
