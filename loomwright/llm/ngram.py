@@ -2,7 +2,7 @@
 
 The model is an interpolated trigram model with absolute discounting. Its levels are files in the shared folder, which
 the workers map into memory: level 1 has the hashes of all words with exact cumulative counts; levels 2 and 3 have, for
-the n-grams seen MIN_COUNT times or more, monotone pointers from each context to its range of successors, the
+all n-grams seen (MIN_COUNT times or more, 1 as it stands), monotone pointers from each context to its range of successors, the
 successors' ids made monotone by the last value of the range before, and 8-bit codes of the smoothed log probabilities
 and of the contexts' interpolation weights, with a code book for each file. An n-gram is looked up by a successor search
 for its id, relative to its context's base, within the context's range.
@@ -10,8 +10,7 @@ for its id, relative to its context's base, within the context's range.
 A level is cut into files at equal steps of the cumulative count of (context, word), so a file's size does not depend
 on how frequent a context is: the most frequent contexts run over many files. Counting goes level by level over the
 whole training text: each task counts a part of the corpus, sends sorted, packed runs of n-grams to the files they
-belong to, and these runs are merged there. An n-gram can only be frequent if its parts are, so those that have a part
-that was seen less often are left out before the exchange; that changes no count.
+belong to, and these runs are merged there.
 
 p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
 p(w | context) = max(c(context w) - D, 0) / c(context) + weight(context) p(w | shorter context),
@@ -38,7 +37,7 @@ from loomwright.llm.common import batched, scratch_path, table
 from loomwright.llm.elias_fano import EliasFano, pack, read_arrays, unpack, write_arrays
 from loomwright.llm.tokens import words
 
-MIN_COUNT, DISCOUNT = 2, 0.75
+MIN_COUNT, DISCOUNT = 1, 0.75
 #: Bytes of text for each file of a level, the fewest files, entries that a counting task holds before it sends them.
 FILE_BYTES, FEWEST_FILES, HELD = 32_000_000, 64, 2_000_000
 #: Characters that are looked up at once: the more, the fewer n-grams are looked up twice.
