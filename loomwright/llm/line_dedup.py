@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join over words, in DataFrame and SQL functions only.
 
-A line is a sequence of words. Lines of MIN_WORDS words or more count; shorter ones are too common to say anything about
-copying and always stay. A line goes if an equal one stands earlier (smaller id, then earlier in the text), or if it has
+A line is a sequence of words. Lines of MIN_WORDS words or more count, which are all but blank ones; those always stay. So
+a line of unspaced text is one word and goes if it is an exact copy. A line goes if an equal one stands earlier (smaller id, then earlier in the text), or if it has
 NEAR_WORDS words or more and an earlier line is within one word of it: one word replaced, added or left out.
 
 Near lines are found by their deletion neighbourhoods. A line of n words emits n variants, each without one word, and
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import SPACE, stored, table
 
-MIN_WORDS, NEAR_WORDS = 5, 10
+MIN_WORDS, NEAR_WORDS = 1, 5
 #: Places of the bitmap that thins lines before they are shuffled: 8 MB, whatever the input.
 BITS = 2**26
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomwright.llm import ngram
+from loomwright.llm import line_dedup, ngram
 from tests.llm.conftest import as_frame
 
 
@@ -19,3 +19,15 @@ def test_ngrams_seen_once_are_kept(spark):
     got = ngram.score_texts(model, ["one passage that"])
     assert got["n_known"][0] == 4
     assert 10 ** (ngram.score_texts(model, ["one passage that stands"])["score"][0] - got["score"][0]) == pytest.approx(0.25 + 0.75 * two, rel=0.05)
+
+
+def test_short_and_unspaced_lines_go(spark):
+    rows = [
+        (1, "one\nlines of four words\n\n \nfive words stand in here\n" + "漢字の行" * 20),
+        (2, "one\nlines of four words\n\n \nfive words stand in there\n" + "漢字の行" * 20),
+        (3, "lines of some words\nfive words stand here\nsix more words stand in here\nfive words or six in here"),
+        (4, "seven words of which one goes away\nsix more words now stand in here\nseven words of which one goes"),
+    ]
+    got = {r["doc_id"]: r["gone_lines"] for r in line_dedup.dedup_lines(as_frame(spark, rows)).collect()}
+    # blank lines stay; of near lines both have five words or more
+    assert got == {1: [], 2: [0, 1, 4, 5], 3: [], 4: [1, 2]}
