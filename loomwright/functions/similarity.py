@@ -90,7 +90,7 @@ def segment(text: Column, counts: Mapping[str, int]) -> Column:
 
         def one(w: str) -> str:
             if w not in seen:
-                seen[w] = " ".join(split_words(w, known, total, longest)) if len(w) < 1000 else w
+                seen[w] = " ".join(split_words(w, known, total, longest))
             return seen[w]
 
         return s.map(lambda x: None if x is None else " ".join(one("".join(c for c in w if c.isalnum())) for w in x.lower().split()))
