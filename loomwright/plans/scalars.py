@@ -85,7 +85,7 @@ def f15(spark, d):
 
 @query("t09_fuzzy_top_k")
 def t09(spark, d):
-    words = [r["p_brand"] for r in table(spark, d, "part").select("p_brand").distinct().orderBy("p_brand").limit(200).collect()]
+    words = [r["p_brand"] for r in table(spark, d, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
     return table(spark, d, "part").select("p_partkey", S.close_matches(F.lower("p_brand"), [w.lower() for w in words], 3).alias("close"))
 
 

@@ -2,10 +2,19 @@
 
 from pyspark.sql import functions as F
 
+import loomwright.plans.catalogue  # noqa: F401
 from loomwright.functions import similarity
+from loomwright.registry import QUERIES
 
 
 def test_long_runs_are_segmented(spark):
     words = ["summer", "red", "dress"] * 400
     df = spark.createDataFrame([("".join(words),)], "t string")
     assert df.select(similarity.segment(F.col("t"), {"dress": 9, "red": 5, "summer": 3}).alias("x")).first()["x"].split() == words
+
+
+def test_all_brands_are_matched(spark, tmp_path):
+    brands = [f"brand{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    spark.createDataFrame(list(enumerate(brands)), "p_partkey int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = dict(QUERIES["t09_fuzzy_top_k"](spark, str(tmp_path)).collect())
+    assert all(got[i][0] == b for i, b in enumerate(brands))
