@@ -111,17 +111,17 @@ def item_features(spark, d) -> DataFrame:
 
 @query("m14_user_forests")
 def m14(spark, d):
-    return R.user_forests(ratings(spark, d).where("user_id < 2"), item_features(spark, d), tries=2)
+    return R.user_forests(ratings(spark, d), item_features(spark, d))
 
 
 @query("m15_fixed_forest")
 def m15(spark, d):
-    return R.fixed_forest(ratings(spark, d).where("user_id = 3"), item_features(spark, d), trees=20, depth=8)
+    return R.fixed_forest(ratings(spark, d).where("user_id = 3"), item_features(spark, d))
 
 
 def forest_recommendation(spark, d) -> DataFrame:
     r = ratings(spark, d).where("user_id = 1").select("user_id", "item", (F.col("rating") >= 2.5).cast("double").alias("rating"))
-    return R.fixed_forest(r, item_features(spark, d), trees=10, depth=6).where("prediction >= 0.5").select("item", "prediction")
+    return R.fixed_forest(r, item_features(spark, d)).where("prediction >= 0.5").select("item", "prediction")
 
 
 @query("m16_split", "SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10 = 0 AS test FROM labels")
