@@ -140,11 +140,26 @@ def x17(spark, d):
     return diversity(e, "vec_id", "embedding")
 
 
+def recommended_from_query(products: DataFrame, predicted: DataFrame, term: str, k: int = 3) -> DataFrame:
+    """item, prediction and grade of what a search recommends, by system grade.
+
+    products: item, word (its search words), grade. predicted: item and prediction of unrated items that a model keeps.
+    The k likest of all search words stand for the term; search words are those of a dimension.
+    """
+    words = [r["word"] for r in products.select(F.lower("word").alias("word")).where("word IS NOT NULL").distinct().orderBy("word").collect()]
+    asked = products.sparkSession.createDataFrame([(term.lower(),)], "term string")
+    found = asked.select(F.explode(S.close_matches(F.col("term"), words, k)).alias("word"))
+    matched = products.withColumn("word", F.lower("word")).join(found, "word").select("item", "grade")
+    return matched.join(predicted, "item").select("item", "prediction", "grade").orderBy("grade", "item")
+
+
 @query("x18_recommend_from_query")
 def x18(spark, d):
     from loomwright.plans.models import forest_recommendation
 
-    return forest_recommendation(spark, d)
+    grade = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg(F.max("l_linenumber").alias("grade"))
+    products = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("word")).join(grade, "item", "left")
+    return recommended_from_query(products, forest_recommendation(spark, d), "red widgets")
 
 
 @query("x21_feature_merge", "SELECT p_partkey, p_size, grade, CAST(p_size > 25 AS INTEGER) AS big FROM part JOIN (SELECT l_partkey, max(l_linenumber) AS grade FROM lineitem GROUP BY 1) ON p_partkey = l_partkey")

@@ -35,3 +35,12 @@ def test_forests_are_of_all_users_and_full_size(spark, tmp_path, monkeypatch):
     QUERIES["m15_fixed_forest"](spark, str(tmp_path))
     models.forest_recommendation(spark, str(tmp_path))
     assert asked == {"m14": (set(range(10)), {}), "fixed": [{}, {}]}  # all users, the operators' own sizes
+
+
+def test_recommendation_starts_from_search_words(spark):
+    from loomwright.plans import annotate
+
+    products = spark.createDataFrame([(1, "Red Dress", 3), (2, "red dress", 1), (3, "blue bolt", 1), (4, "red dresses", 2), (5, "RED DRESS", 2)], "item int, word string, grade int")
+    kept = spark.createDataFrame([(1, 0.9), (2, 0.6), (3, 0.8), (4, 0.7)], "item int, prediction double")  # 5 is rated
+    got = annotate.recommended_from_query(products, kept, "red dres", 2).collect()
+    assert [tuple(r) for r in got] == [(2, 0.6, 1), (4, 0.7, 2), (1, 0.9, 3)]
