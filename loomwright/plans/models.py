@@ -14,6 +14,9 @@ from loomwright.operators import online as O
 from loomwright.plans.joins import _LABELS, cluster_labels
 from loomwright.registry import query, table
 
+#: The numbers of clusters that are tried.
+KS = range(2, 31)
+
 
 def vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
@@ -40,17 +43,17 @@ def m02(spark, d):
 
 @query("m03_kmeans_selected")
 def m03(spark, d):
-    return C.select_and_label(vectors(spark, d), "id", "x", "kmeans", range(2, 6))
+    return C.select_and_label(vectors(spark, d), "id", "x", "kmeans", KS)
 
 
 @query("m04_birch_by_bisection")
 def m04(spark, d):
-    return C.select_and_label(vectors(spark, d), "id", "x", "bisecting", range(2, 5))
+    return C.select_and_label(vectors(spark, d), "id", "x", "bisecting", KS)
 
 
 @query("m05_fuzzy_c_means")
 def m05(spark, d):
-    return C.fuzzy_c_means(vectors(spark, d), "id", "x", 3, iterations=15)
+    return C.fuzzy_c_means(vectors(spark, d), "id", "x", 3)
 
 
 @query("m06_dbscan")
@@ -60,7 +63,7 @@ def m06(spark, d):
 
 @query("m07_gaussian_mixture")
 def m07(spark, d):
-    return C.select_and_label(vectors(spark, d), "id", "x", "gaussian", range(2, 4))
+    return C.select_and_label(vectors(spark, d), "id", "x", "gaussian", KS)
 
 
 @query("m08_online_feedback")
@@ -96,7 +99,7 @@ def m12(spark, d):
 
 @query("m13_model_selection")
 def m13(spark, d):
-    return C.scores_of_k(vectors(spark, d), "id", "x", "kmeans", range(2, 6))
+    return C.scores_of_k(vectors(spark, d), "id", "x", "kmeans", KS)
 
 
 def ratings(spark, d) -> DataFrame:

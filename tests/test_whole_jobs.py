@@ -44,3 +44,17 @@ def test_recommendation_starts_from_search_words(spark):
     kept = spark.createDataFrame([(1, 0.9), (2, 0.6), (3, 0.8), (4, 0.7)], "item int, prediction double")  # 5 is rated
     got = annotate.recommended_from_query(products, kept, "red dres", 2).collect()
     assert [tuple(r) for r in got] == [(2, 0.6, 1), (4, 0.7, 2), (1, 0.9, 3)]
+
+
+def test_clusterings_try_the_surveyed_range(spark, monkeypatch):
+    from loomwright.plans import models
+
+    asked = []
+    monkeypatch.setattr(models, "vectors", lambda spark, d: None)
+    for f in ("select_and_label", "scores_of_k"):
+        monkeypatch.setattr(models.C, f, lambda df, i, x, kind, ks: asked.append((kind, list(ks))))
+    monkeypatch.setattr(models.C, "fuzzy_c_means", lambda df, i, x, k, **more: asked.append(more))
+    for name in ("m03_kmeans_selected", "m04_birch_by_bisection", "m07_gaussian_mixture", "m13_model_selection", "m05_fuzzy_c_means"):
+        QUERIES[name](spark, "")
+    whole = list(range(2, 31))
+    assert asked == [("kmeans", whole), ("bisecting", whole), ("gaussian", whole), ("kmeans", whole), {}]
