@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 #: Separators of words: the ASCII white space, and nothing else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that a Python worker is sent at once.
+#: Rows that a Python worker takes up at once.
 BATCH_ROWS = 1000
 
 
@@ -49,12 +50,19 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def batched(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
-    """df.mapInPandas over batches of BATCH_ROWS rows at most, so a worker holds few long texts at a time."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df.mapInPandas(run, schema)
+def batched(df: DataFrame, run: Callable, schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
+    """df.mapInPandas, where `run` sees at most `rows` rows at once.
+
+    A batch that Spark sends holds at most spark.sql.execution.arrow.maxRecordsPerBatch rows and about
+    spark.sql.execution.arrow.maxBytesPerBatch bytes (one row may be longer), as the session has them.
+    """
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), rows):
+                yield b.iloc[i : i + rows].reset_index(drop=True)
+
+    return df.mapInPandas(lambda batches: run(parts(batches)), schema)
 
 
 def salt(n: int, *by: Column | str) -> Column:
@@ -62,6 +70,14 @@ def salt(n: int, *by: Column | str) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def only(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The named columns alone: extra ones may have any name."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -118,48 +118,72 @@ class EliasFano:
         return value(at, i), value(then, i + 1)
 
     def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places from and to which values have these high bits."""
-        end = self.select0(high) - high
-        start = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) - np.maximum(high - 1, 0), 0)
-        return start, end
+        """Places from and to which values have these high bits: from one zero to the next, mostly in the same word."""
+        zero = np.where(high > 0, self.select0(np.maximum(high - 1, 0)), -1)
+        at = zero + 1
+        rest = ~self.high[at >> 6] >> (at & 63).astype(np.uint64)
+        then = at + np.bitwise_count((rest & (~rest + _ONE)) - _ONE)
+        far = np.flatnonzero(rest == 0)
+        then[far] = self.select0(high[far])
+        return at - high, then - high
+
+    def find(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None, floor: np.ndarray | None = None, ceiling: np.ndarray | None = None) -> np.ndarray:
+        """The place (within lo to hi) of each value, -1 where it is absent: the successor of the value, compared with it.
 
-    def find(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """The place (within lo to hi) of each value, -1 where it is absent: the successor of the value, compared with it."""
+        Values between lo and hi are at least floor and below ceiling, if these are given. A bucket is searched by
+        interpolation, as values within a range are spread evenly, and by halves if that doesn't end it soon.
+        """
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
-        v = values.astype(np.uint64)
-        high = (v >> _U(self.bits)).astype(np.int64)
+        v = values.astype(np.int64)
+        high = v >> self.bits
         ok = np.flatnonzero(high <= len(self.high) * 64 - self.n - 1)
-        start, end = self.bucket(high[ok])
+        high = high[ok]
+        start, end = self.bucket(high)
+        begin = high << self.bits
+        least, most = np.zeros(len(ok), np.int64), np.full(len(ok), 1 << self.bits)
         if lo is not None and hi is not None:
             start, end = np.maximum(start, lo[ok]), np.minimum(end, hi[ok])
-        low = v[ok] & _U((1 << self.bits) - 1)
+        if floor is not None and ceiling is not None:
+            least, most = np.maximum(floor[ok] - begin, 0), np.minimum(ceiling[ok] - begin, most)
         live = np.flatnonzero(start < end)
-        from_, to, want = start[live], end[live], low[live]
-        while len(live):  # halves what is left of each bucket, down to the successor
-            mid = (from_ + to) >> 1
-            here = self.low_bits(mid)
+        from_, to, want, at = start[live], end[live], (v[ok] - begin)[live], ok[live]
+        least, most = least[live], most[live]
+        step = 0
+        while len(at):
+            if step % 6 < 5:
+                mid = from_ + ((want - least) * ((to - from_) / (most - least))).astype(np.int64)
+                mid = np.minimum(np.maximum(mid, from_), to - 1)
+            else:
+                mid = (from_ + to) >> 1
+            step += 1
+            here = self.low_bits(mid).astype(np.int64)
             hit = here == want
-            out[ok[live[hit]]] = mid[hit]
+            out[at[hit]] = mid[hit]
             less = here < want
-            from_, to = np.where(less, mid + 1, from_), np.where(less, to, mid)
-            more = (from_ < to) & ~hit
-            live, from_, to, want = live[more], from_[more], to[more], want[more]
+            from_, least = np.where(less, mid + 1, from_), np.where(less, here + 1, least)
+            to, most = np.where(less, to, mid), np.where(less, most, here)
+            more = np.flatnonzero((from_ < to) & ~hit & (least <= want) & (want < most))
+            at, from_, to, want, least, most = at[more], from_[more], to[more], want[more], least[more], most[more]
         return out
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Integers as compressed bytes; sorted ones as differences."""
+    """Integers as compressed bytes, byte plane after byte plane; sorted ones as differences."""
     v = values.astype(np.uint64)
     rising = bool(len(v) and (v[1:] >= v[:-1]).all())
     d = np.diff(v, prepend=_U(0)) if rising else v
-    return bytes([rising]) + zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(-1, 8).T.tobytes())
+    planes = max(1, -(-int(d.max()).bit_length() // 8)) if len(d) else 1
+    whole = d.view(np.uint8).reshape(-1, 8)
+    return bytes([rising, planes]) + zstandard.ZstdCompressor(level=1).compress(b"".join(whole[:, k].tobytes() for k in range(planes)))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
-    v = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), np.uint8).reshape(data[1], -1)
+    whole = np.zeros((raw.shape[1], 8), np.uint8)
+    whole[:, : data[1]] = raw.T
+    v = whole.view(np.uint64).ravel()
     return np.cumsum(v, dtype=np.uint64) if data[0] else v
 
 
@@ -197,7 +221,8 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
     store.move(name, inner)
 
 
-@lru_cache(384)
+#: Maps of files that a worker keeps: they take address space, not memory.
+@lru_cache(8192)
 def read_arrays(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped; from a store that can't be mapped, through an unnamed local copy."""
     if local := _plain(path):

@@ -2,19 +2,22 @@
 
 The model is an interpolated trigram model with absolute discounting. Its levels are files in the shared folder, which
 the workers map into memory: level 1 has the hashes of all words with exact cumulative counts; levels 2 and 3 have, for
-all n-grams seen (MIN_COUNT times or more, 1 as it stands), monotone pointers from each context to its range of successors, the
-successors' ids made monotone by the last value of the range before, and 8-bit codes of the smoothed log probabilities
-and of the contexts' interpolation weights, with a code book for each file. An n-gram is looked up by a successor search
-for its id, relative to its context's base, within the context's range.
+all n-grams seen, those seen once too, monotone pointers from each context to its range of successors, the successors' ids
+made monotone by the last value of the range before, and 8-bit codes of the smoothed log probabilities and of the
+contexts' interpolation weights, with a code book for each file. An n-gram is looked up by a successor search for its id,
+relative to its context's base, within the context's range.
 
 A level is cut into files at equal steps of the cumulative count of (context, word), so a file's size does not depend
 on how frequent a context is: the most frequent contexts run over many files. Counting goes level by level over the
 whole training text: each task counts a part of the corpus, sends sorted, packed runs of n-grams to the files they
-belong to, and these runs are merged there.
+belong to, and these runs are merged there. A run of trigrams brings along the smoothed probabilities of the shorter
+n-grams, which its task has just looked up, so nothing is looked up again when the level is written. What must be known
+of each file of a level (a row for each FILE_BYTES of text) is an index file beside them, mapped like them: neither the
+driver nor a broadcast holds it.
 
 p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
 p(w | context) = max(c(context w) - D, 0) / c(context) + weight(context) p(w | shorter context),
-where n-grams below MIN_COUNT count as 0 and the weight is what remains to 1.
+where the weight is what remains to 1.
 
 Defined results: null or empty text has the end token alone; rows with a null id are learned from; rows that repeat are
 counted and scored as often; words unknown to the model get p1 with a count of 0; with nothing to learn from N and V
@@ -23,8 +26,8 @@ are 0 and each token has probability 1; texts of any length are whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,15 +36,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe import chunks
-from loomwright.llm.common import batched, scratch_path, table
+from loomwright.llm.common import batched, scratch_path, stored, table
 from loomwright.llm.elias_fano import EliasFano, pack, read_arrays, unpack, write_arrays
 from loomwright.llm.tokens import words
 
-MIN_COUNT, DISCOUNT = 1, 0.75
+DISCOUNT = 0.75
 #: Bytes of text for each file of a level, the fewest files, entries that a counting task holds before it sends them.
 FILE_BYTES, FEWEST_FILES, HELD = 32_000_000, 64, 2_000_000
-#: Characters that are looked up at once: the more, the fewer n-grams are looked up twice.
-TEXT_CHARS = 2_000_000
+#: Characters that are looked up at once (the more, the fewer n-grams are looked up twice), and rows sent at once.
+TEXT_CHARS, ROWS_AT_ONCE = 3_000_000, 2000
+#: Steps of a natural logarithm in which runs carry probabilities: 16 bits reach down to exp(-32).
+LOG_STEPS = 2048
+#: Tasks that write a level, at most; each writes some files, one after the other.
+WRITERS = 20_000
 #: The end of a text, as the hash of a word; 64 bits that no word is expected to have.
 END = np.uint64(0x5EED0FE2D0C0FFEE)
 
@@ -52,10 +59,10 @@ class Level:
 
     first: np.ndarray
     total: np.ndarray
-    low: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    high: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    split: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  #: contexts at the ends of files
-    split_weight: np.ndarray = field(default_factory=lambda: np.empty(0))
+    low: np.ndarray
+    high: np.ndarray
+    split: np.ndarray  #: contexts at the ends of files
+    split_weight: np.ndarray
 
     @property
     def n(self) -> int:
@@ -66,12 +73,22 @@ class Level:
         return int(self.total[-1])
 
 
+@lru_cache(64)
+def index(path: str, order: int) -> Level:
+    a = read_arrays(f"{path}/index{order}.ef")
+    return Level(*(a[k] for k in ("first", "total", "low", "high", "split", "split_weight")))
+
+
 @dataclass
 class Model:
     path: str
     files: int
     docs: int = 0
-    levels: list[Level] = field(default_factory=list)
+    orders: int = 0
+
+    @property
+    def levels(self) -> list[Level]:
+        return [index(self.path, k + 1) for k in range(self.orders)]
 
     @property
     def tokens(self) -> int:
@@ -93,7 +110,7 @@ class Model:
         return f"{self.path}/level{order}/{i:06d}.ef"
 
 
-@lru_cache(1024)
+@lru_cache(16384)
 def sequence(path: str, name: str) -> EliasFano:
     return EliasFano.read(read_arrays(path), name)
 
@@ -150,13 +167,16 @@ def find_grams(m: Model, order: int, parent: np.ndarray, word: np.ndarray, count
         if level.first[f + 1] == level.first[f]:
             continue
         at = at[(parent[at] >= level.low[f]) & (parent[at] <= level.high[f])]
-        path, local = m.file(order, f), parent[at] - level.low[f]
+        path, one = m.file(order, f), parent[at] - level.low[f]
+        new = np.concatenate([[True], one[1:] != one[:-1]])[: len(one)]  # queries come sorted: once for each context
         pointers, ids = sequence(path, "pointers"), sequence(path, "ids")
-        lo, hi = pointers.get_two(local)
-        some = lo < hi
-        at, lo, hi = at[some], lo[some], hi[some]
+        lo, hi = pointers.get_two(one[new])
         base = np.where(lo > 0, ids.get(np.maximum(lo - 1, 0)), -1)
-        i = ids.find(base + 1 + word[at], lo, hi)
+        of = np.cumsum(new) - 1
+        lo, hi, base = lo[of], hi[of], base[of]
+        some = lo < hi
+        at, lo, hi, base = at[some], lo[some], hi[some], base[some]
+        i = ids.find(base + 1 + word[at], lo, hi, base + 1, base + 2 + m.vocabulary)
         hit = i >= 0
         a = read_arrays(path)
         place[at[hit]], p[at[hit]] = i[hit] + level.first[f], a["book"][a["code"][i[hit]]]
@@ -235,7 +255,7 @@ def level_one(m: Model, t: Text) -> Grams:
     ids, count, before = (np.append(x, y) for x, y in zip(find_words(m, t.hashes), (m.start, m.docs, m.tokens), strict=True))
     ids, count, before = ids[t.word], count[t.word], before[t.word]  # -1 is the start
     at = np.flatnonzero(~t.is_start)
-    known = at[(ids[at] >= 0) & (ids[at - 1] >= 0) & (count[at] >= MIN_COUNT) & (count[at - 1] >= MIN_COUNT)]
+    known = at[(ids[at] >= 0) & (ids[at - 1] >= 0)]
     a, b, back = distinct(ids[known - 1], ids[known], m.vocabulary + 1)
     pair_of = np.full(len(ids), -1, np.int64)
     pair_of[known] = back
@@ -245,13 +265,13 @@ def level_one(m: Model, t: Text) -> Grams:
 
 
 class Runs:
-    """Counts of a task, sent as sorted runs for each file when too many are held."""
+    """Counts of a task (context, word, count, code of the shorter n-gram), sent as sorted runs for each file when too many are held."""
 
-    def __init__(self, which: object) -> None:
+    def __init__(self, which: Callable) -> None:
         self.which, self.parts, self.held = which, [], 0
 
-    def add(self, p: np.ndarray, w: np.ndarray, c: np.ndarray) -> Iterator[pd.DataFrame]:
-        self.parts.append((p, w, c))
+    def add(self, p: np.ndarray, w: np.ndarray, c: np.ndarray, s: np.ndarray) -> Iterator[pd.DataFrame]:
+        self.parts.append((p, w, c.astype(np.int32), s.astype(np.uint16)))
         self.held += len(p)
         if self.held >= HELD:
             yield from self.send()
@@ -259,13 +279,14 @@ class Runs:
     def send(self) -> Iterator[pd.DataFrame]:
         if not self.held:
             return
-        p, w, c = summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+        got = summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
         self.parts, self.held = [], 0
-        rows = [(f, pack(p[at]), pack(w[at]), pack(c[at])) for f, at in by_file(self.which(p, w))]
-        yield pd.DataFrame(rows, columns=["file", "p", "w", "c"])
+        rows = [(f, *(pack(x[at]) for x in got)) for f, at in by_file(self.which(*got[:2]))]
+        yield pd.DataFrame(rows, columns=["file", "p", "w", "c", "s"])
 
 
-def summed(p: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def summed(p: np.ndarray, w: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order with the sums of their counts."""
     width = int(w.max()) + 1 if len(w) else 1
     if width == 1:
         order = np.argsort(p, kind="stable")
@@ -273,27 +294,25 @@ def summed(p: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.
         order = np.argsort(p.astype(np.int64) * width + w, kind="stable")
     else:
         order = np.lexsort((w, p))
-    p, w, c = p[order], w[order], c[order]
+    p, w, c, s = p[order], w[order], c[order], s[order]
     at = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])])) if len(p) else np.empty(0, np.int64)
-    return p[at], w[at], np.add.reduceat(c, at) if len(p) else c
+    return p[at], w[at], np.add.reduceat(c, at) if len(p) else c, s[at]
 
 
-RUN = "file long, p binary, w binary, c binary"
+RUN = "file long, p binary, w binary, c binary, s binary"
 STATS = "file long, n long, total long, low long, low_sum double, high long, high_sum double"
 
 
 def counted(train: DataFrame, model: Model) -> DataFrame:
     """Runs of the level that comes next."""
-    order = len(model.levels) + 1
-    sent = train.sparkSession.sparkContext.broadcast(model)
+    order = model.orders + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
         if order == 1:
-            shift = np.uint64(64 - (m.files.bit_length() - 1))
+            shift = np.uint64(64 - (model.files.bit_length() - 1))
             runs = Runs(lambda p, w: (p >> shift).astype(np.int64))
         else:
-            runs = Runs(lambda p, w: file_of(m, order, *counts_of(m, order - 1, p)[::-1], w))
+            runs = Runs(lambda p, w: file_of(model, order, *spread(p, lambda x: counts_of(model, order - 1, x))[::-1], w))
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             for i, j in chunks(texts, TEXT_CHARS):
@@ -301,45 +320,55 @@ def counted(train: DataFrame, model: Model) -> DataFrame:
                 if order == 1:
                     c = np.bincount(t.word[~t.is_start], minlength=len(t.hashes))
                     some = c > 0
-                    yield from runs.add(t.hashes[some], np.zeros(int(some.sum()), np.int64), c[some])
+                    none = np.zeros(int(some.sum()), np.int64)
+                    yield from runs.add(t.hashes[some], none, c[some], none)
                     continue
-                g = level_one(m, t)
+                g = level_one(model, t)
                 if order == 2:
-                    yield from runs.add(g.a, g.b, np.bincount(g.pair_of[g.pair_of >= 0], minlength=len(g.a)))
+                    yield from runs.add(g.a, g.b, np.bincount(g.pair_of[g.pair_of >= 0], minlength=len(g.a)), np.zeros(len(g.a), np.int64))
                     continue
-                place, _ = find_grams(m, 2, g.a, g.b, g.a_count, g.a_before)
+                place, q = find_grams(model, 2, g.a, g.b, g.a_count, g.a_before)
                 of = np.where(g.pair_of >= 0, np.append(place, -1)[g.pair_of], -1)
                 third = g.at[(of[g.at] >= 0) & (of[g.at - 1] >= 0)]
-                p, w, back = distinct(of[third - 1], g.ids[third], m.vocabulary + 1)
-                yield from runs.add(p, w, np.bincount(back, minlength=len(p)))
+                p, w, back = distinct(of[third - 1], g.ids[third], model.vocabulary + 1)
+                shorter = np.zeros(len(p), np.int64)
+                shorter[back] = np.minimum(np.rint(-np.log(q) * LOG_STEPS), 65535).astype(np.int64)[g.pair_of[third]]
+                yield from runs.add(p, w, np.bincount(back, minlength=len(p)), shorter)
         yield from runs.send()
 
-    return batched(train.select("text"), run, RUN)
+    return batched(train.select("text"), run, RUN, ROWS_AT_ONCE)
+
+
+def spread(keys: np.ndarray, of: Callable) -> tuple[np.ndarray, ...]:
+    """What `of` gives for sorted keys, asked once for each."""
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    back = np.cumsum(new) - 1
+    return tuple(x[back] for x in of(keys[new]))
 
 
-def merged(runs: DataFrame, model: Model) -> list:
-    """Merges the runs of each file, writes words whole and longer n-grams raw; what the driver must know of each file."""
-    order, path, files = len(model.levels) + 1, model.path, model.files
+STAT_NAMES = ["file", "n", "total", "low", "low_sum", "high", "high_sum"]
+
+
+def merged(runs: DataFrame, model: Model) -> DataFrame:
+    """Merges the runs of each file, writes words whole and longer n-grams raw; a stored row for each file."""
+    order, path, files = model.orders + 1, model.path, model.files
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         f = int(pdf["file"].iloc[0])
-        p, w, c = summed(*(np.concatenate([unpack(x) for x in pdf[k]]).astype(np.uint64 if order == 1 and k == "p" else np.int64) for k in "pwc"))
+        p, w, c, s = summed(*(np.concatenate([unpack(x) for x in pdf[k]]).astype(np.uint64 if order == 1 and k == "p" else np.int64) for k in "pwcs"))
         if order == 1:
             shift = np.uint64(64 - (files.bit_length() - 1))
             mask = (np.uint64(1) << shift) - np.uint64(1)
             arrays = {f"keys.{k}": v for k, v in EliasFano.of(p & mask, int(mask) + 1).arrays().items()}
             arrays |= {f"cum.{k}": v for k, v in EliasFano.of(np.append(0, np.cumsum(c))).arrays().items()}
             write_arrays(f"{path}/level1/{f:06d}.ef", arrays)
-            return pd.DataFrame([(f, len(p), c.sum(), 0, 0.0, 0, 0.0)], columns=["file", "n", "total", "low", "low_sum", "high", "high_sum"])
-        keep = c >= MIN_COUNT
-        p, w, c = p[keep], w[keep], c[keep]
-        packed = {k: np.frombuffer(pack(x), np.uint8) for k, x in zip("pwc", (p, w, c), strict=True)}
-        write_arrays(f"{path}/raw{order}/{f:06d}.ef", packed)
-        ends = (int(p[0]), int(p[-1])) if len(p) else (0, 0)
-        s = [float((c - DISCOUNT)[p == e].sum()) for e in ends]
-        return pd.DataFrame([(f, len(p), c.sum(), ends[0], s[0], ends[1], s[1])], columns=["file", "n", "total", "low", "low_sum", "high", "high_sum"])
+            return pd.DataFrame([(f, len(p), c.sum(), 0, 0.0, 0, 0.0)], columns=STAT_NAMES)
+        write_arrays(f"{path}/raw{order}/{f:06d}.ef", {k: np.frombuffer(pack(x), np.uint8) for k, x in zip("pwcs", (p, w, c, s), strict=True)})
+        ends = (int(p[0]), int(p[-1]))
+        left = [float((c - DISCOUNT)[p == e].sum()) for e in ends]
+        return pd.DataFrame([(f, len(p), c.sum(), ends[0], left[0], ends[1], left[1])], columns=STAT_NAMES)
 
-    return runs.groupBy("file").applyInPandas(run, STATS).collect()  # a row for each file
+    return stored(runs.groupBy("file").applyInPandas(run, STATS), "files")
 
 
 def book_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,69 +378,55 @@ def book_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return book, np.rint((values - low) / max((high - low) / 255, 1e-12)).astype(np.uint8)
 
 
-def smoothed(m: Model, order: int, p: np.ndarray, w: np.ndarray, c: np.ndarray, weight: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Probabilities of the n-grams of a file."""
-    if order == 2:
-        shorter = m.p1(counts_of(m, 1, w)[0])
-    else:
-        middle = words_of(m, p)
-        count, before = counts_of(m, 1, middle)
-        place, q = find_grams(m, 2, middle, w, count, before)
-        shorter = np.where(place >= 0, q, weights(m, 2, middle, count, before) * m.p1(counts_of(m, 1, w)[0]))
-    return (c - DISCOUNT) / context + weight * shorter
-
-
-def words_of(m: Model, place: np.ndarray) -> np.ndarray:
-    """The last words of the entries of level 2."""
-    out = np.zeros(len(place), np.int64)
-    level = m.levels[1]
-    for f, at in by_file(np.searchsorted(level.first, place, side="right") - 1):
-        path, i = m.file(2, f), place[at] - level.first[f]
-        ids, pointers = sequence(path, "ids"), sequence(path, "pointers")
-        parent = np.searchsorted(pointers.get(np.arange(pointers.n)), i, side="right") - 1
-        lo = pointers.get(parent)
-        out[at] = ids.get(i) - 1 - np.where(lo > 0, ids.get(np.maximum(lo - 1, 0)), -1)
-    return out
+def write_index(stats: DataFrame, model: Model) -> None:
+    """The index of a level from the rows of its files, which are few (one for each FILE_BYTES of text), by one task."""
+    order = model.orders + 1
 
-
-def built(spark: SparkSession, model: Model, stats: list) -> None:
-    """Adds a level to the model: its files are written by tasks, one a file."""
-    order = len(model.levels) + 1
-    by = {r["file"]: r for r in stats}
-    n, total = np.zeros(model.files, np.int64), np.zeros(model.files, np.int64)
-    low, high = np.zeros(model.files, np.int64), np.full(model.files, -1, np.int64)
-    sums: dict[int, float] = {}
-    for f, r in by.items():
-        n[f], total[f] = r["n"], r["total"]
-        if r["n"] and order > 1:
-            low[f], high[f] = r["low"], r["high"]
-            sums[r["low"]] = sums.get(r["low"], 0.0) + r["low_sum"]
-            if r["high"] != r["low"]:
-                sums[r["high"]] = sums.get(r["high"], 0.0) + r["high_sum"]
-    level = Level(np.append(0, np.cumsum(n)), np.append(0, np.cumsum(total)), low, high)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = pd.concat([pd.DataFrame({c: np.empty(0) for c in STAT_NAMES}), *batches])
+        n, total = np.zeros(model.files, np.int64), np.zeros(model.files, np.int64)
+        low, high = np.zeros(model.files, np.int64), np.full(model.files, -1, np.int64)
+        f = r["file"].to_numpy(np.int64)
+        n[f], total[f] = r["n"].to_numpy(np.int64), r["total"].to_numpy(np.int64)
+        split, weight = np.empty(0, np.int64), np.empty(0)
+        if order > 1 and len(f):
+            low[f], high[f] = r["low"].to_numpy(np.int64), r["high"].to_numpy(np.int64)
+            two = (r["high"] != r["low"]).to_numpy(bool)
+            split, back = np.unique(np.concatenate([low[f], high[f][two]]), return_inverse=True)
+            sums = np.bincount(back, np.concatenate([r["low_sum"].to_numpy(float), r["high_sum"].to_numpy(float)[two]]))
+            weight = 1 - sums / np.maximum(counts_of(model, order - 1, split)[0], 1)
+        arrays = {"first": np.append(0, np.cumsum(n)), "total": np.append(0, np.cumsum(total)), "low": low, "high": high, "split": split, "split_weight": weight}
+        write_arrays(f"{model.path}/index{order}.ef", arrays)
+        yield pd.DataFrame({"file": [order]})
+
+    one = stats.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in stats.schema.fields]).where("file IS NOT NULL")
+    stats.union(one).coalesce(1).mapInPandas(run, "file long").count()
+
+
+def built(stats: DataFrame, model: Model) -> None:
+    """Adds a level to the model: its index, and its files, which are written by tasks."""
+    spark, order = stats.sparkSession, model.orders + 1
+    write_index(stats, model)
     if order == 1:
-        model.levels.append(level)
+        model.orders = 1
         return
-    level.split = np.array(sorted(sums), np.int64)
-    if len(level.split):
-        level.split_weight = 1 - np.array([sums[k] for k in level.split.tolist()]) / np.maximum(counts_of(model, order - 1, level.split)[0], 1)
-    sent = spark.sparkContext.broadcast((model, level))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, level = sent.value
+        m, level = model, index(model.path, order)
         for b in batches:
             for f in b["file"].tolist():
                 raw = read_arrays(f"{m.path}/raw{order}/{f:06d}.ef")
-                p, w, c = (unpack(raw[k].tobytes()).astype(np.int64) for k in "pwc")
+                p, w, c, s = (unpack(raw[k].tobytes()).astype(np.int64) for k in "pwcs")
                 first = int(p[0])
                 parents = np.arange(first, int(p[-1]) + 1)
                 pointers = np.searchsorted(p, np.append(parents, parents[-1] + 1))
-                count = counts_of(m, order - 1, p)[0]
+                count = spread(p, lambda x: counts_of(m, order - 1, x))[0]
                 of = p - first
                 weight = 1 - np.bincount(of, c - DISCOUNT, minlength=len(parents)) / np.maximum(np.bincount(of, count, minlength=len(parents)) / np.maximum(np.diff(pointers), 1), 1)
                 i = np.minimum(np.searchsorted(level.split, parents), len(level.split) - 1)
                 weight = np.clip(np.where(level.split[i] == parents, level.split_weight[i], weight), 1e-6, 1)
-                prob = smoothed(m, order, p, w, c, weight[of], count)
+                shorter = m.p1(counts_of(m, 1, w)[0]) if order == 2 else np.exp(-s / LOG_STEPS)
+                prob = (c - DISCOUNT) / count + weight[of] * shorter
                 last = np.full(len(parents), -1)  # the highest word of each context
                 some = np.diff(pointers) > 0
                 last[some] = w[pointers[1:][some] - 1]
@@ -424,12 +439,10 @@ def built(spark: SparkSession, model: Model, stats: list) -> None:
                 write_arrays(m.file(order, f), arrays)
                 yield pd.DataFrame({"file": [f]})
 
-    full = [(int(f),) for f in np.flatnonzero(n)]
-    if full:
-        spark.createDataFrame(full, "file long").repartition(len(full)).mapInPandas(run, "file long").count()
+    stats.select("file").repartition(min(model.files, WRITERS), "file").mapInPandas(run, "file long").count()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{model.path}/raw{order}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    model.levels.append(level)
+    model.orders = order
 
 
 def train_model(train: DataFrame, orders: int = 3, path: str | None = None) -> Model:
@@ -439,7 +452,7 @@ def train_model(train: DataFrame, orders: int = 3, path: str | None = None) -> M
     files = 1 << max(FEWEST_FILES - 1, int((size["bytes"] or 0) // FILE_BYTES)).bit_length()
     model = Model(path or scratch_path(spark, "ngram"), files, int(size["docs"]))
     for _ in range(orders):
-        built(spark, model, merged(counted(train, model), model))
+        built(merged(counted(train, model), model), model)
     return model
 
 
@@ -486,18 +499,17 @@ def score_texts(m: Model, texts: list[str]) -> pd.DataFrame:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, the scores and train_tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["_text"]]
             for i, j in chunks(texts, TEXT_CHARS):
-                out = score_texts(sent.value, texts[i:j])
+                out = score_texts(model, texts[i:j])
                 out.insert(0, id_col, b["_id"].iloc[i:j].to_numpy())
-                yield out.assign(train_tokens=sent.value.tokens)
+                yield out.assign(train_tokens=model.tokens)
 
     own = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return batched(own, run, f"`{id_col}` {own.schema['_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, train_tokens long")
+    return batched(own, run, f"`{id_col}` {own.schema['_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, train_tokens long", ROWS_AT_ONCE)
 
 
 def held_out(id_col: str = "doc_id"):  # noqa: ANN201

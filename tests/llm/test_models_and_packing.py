@@ -66,19 +66,18 @@ def brute_scores(rows, order=3):
         for n in range(order):
             c[n].update(tuple(s[k - n : k + 1]) for k in range(max(1, n), len(s)))
     context = Counter({(0,): len(train)}) + c[0]
-    kept = [c[0]] + [Counter({k: v for k, v in x.items() if v >= ngram.MIN_COUNT}) for x in c[1:]]
     total, size = sum(c[0].values()), len(c[0])
     used = [defaultdict(float) for _ in range(order)]
     for n in range(1, order):
-        for k, v in kept[n].items():
+        for k, v in c[n].items():
             used[n][k[:-1]] += v - ngram.DISCOUNT
 
     def p(history, w):
         if not history:
             return (c[0][(w,)] + 0.5) / (total + 0.5 * (size + 1))
         n, shorter = len(history), p(history[1:], w)
-        have = context[history] if n == 1 else kept[n - 1][history]
-        return shorter if not have else max(kept[n][(*history, w)] - ngram.DISCOUNT, 0) / have + (1 - used[n][history] / have) * shorter
+        have = context[history] if n == 1 else c[n - 1][history]
+        return shorter if not have else max(c[n][(*history, w)] - ngram.DISCOUNT, 0) / have + (1 - used[n][history] / have) * shorter
 
     out = []
     for i, t in rows:
@@ -104,6 +103,23 @@ def test_ngram_scores(spark, no_docs):
     assert ngram.score(no_docs, model).count() == 0
 
 
+def test_packed_integers():
+    for v in ([], [0], [5, 5, 7, 2**40], [9, 3, 2**63], list(range(0, 3000, 3))):
+        assert elias_fano.unpack(elias_fano.pack(np.array(v, np.uint64))).tolist() == v
+
+
+def test_found_where_values_crowd():
+    rnd = np.random.default_rng(3)
+    v = np.unique(np.concatenate([rnd.integers(0, 10**9, 500), 4 * 10**8 + np.arange(0, 3000, 2), rnd.integers(10**6, 10**6 + 4000, 900)]))
+    e = elias_fano.EliasFano.of(v)
+    asked = np.concatenate([v, v + 1, v - 1, [0, 2 * 10**9]])
+    want = {int(x): k for k, x in enumerate(v)}
+    assert e.find(asked).tolist() == [want.get(int(x), -1) for x in asked]
+    lo, hi = np.full(len(asked), 100), np.full(len(asked), 1500)
+    got = e.find(asked, lo, hi, np.full(len(asked), v[100]), np.full(len(asked), v[1499] + 1))
+    assert got.tolist() == [k if 100 <= (k := want.get(int(x), -1)) < 1500 else -1 for x in asked]
+
+
 def test_contexts_may_run_over_files(spark):
     rows = [(i, " ".join(f"the x{(i + k) % 90}" for k in range(30))) for i in range(120)]
     df = as_frame(spark, rows)
