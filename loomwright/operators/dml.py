@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +21,18 @@ def insert(target: DataFrame, rows: DataFrame, key: str, order: Sequence[Column]
     return target.unionByName(next_ids(rows, target, key, order), allowMissingColumns=True)
 
 
+def _absent(rows: DataFrame, target: DataFrame, unique: Sequence[str]) -> DataFrame:
+    """The rows whose unique columns the target has not; null is a value like others."""
+    known = target.select(*[F.col(u).alias(f"_k{i}") for i, u in enumerate(unique)])
+    same = reduce(lambda a, b: a & b, [F.col(u).eqNullSafe(F.col(f"_k{i}")) for i, u in enumerate(unique)])
+    return rows.join(known, same, "left_anti")
+
+
 def insert_if_absent(target: DataFrame, rows: DataFrame, unique: Sequence[str], key: str, order: Sequence[Column]) -> DataFrame:
-    """Rows whose unique columns the target has not yet; of several alike among them the first comes."""
-    new = rows.join(target.select(*unique), list(unique), "left_anti")
+    """Rows whose unique columns (null included) the target has not yet; of several alike among them the first comes."""
+    new = _absent(rows, target, unique)
     rest = [c for c in rows.columns if c not in unique]
-    new = new.groupBy(*unique).agg(*[F.min_by(c, F.struct(*order)).alias(c) for c in rest]) if rest else new.distinct()
+    new = new.groupBy(*unique).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*unique, *[F.col("_r")[c].alias(c) for c in rest]) if rest else new.distinct()
     return target.unionByName(next_ids(new, target, key, [F.col(u) for u in unique]), allowMissingColumns=True)
 
 
@@ -45,9 +53,25 @@ def update_first(target: DataFrame, criteria: Mapping[str, object], values: Mapp
     return out.drop("_first"), hit
 
 
-def update_by_key(target: DataFrame, changes: DataFrame, key: str, strict: bool = False) -> DataFrame:
-    """Columns of the changes over those of the target. A null in the changes keeps the old value, or with strict sets null."""
-    named = [c for c in changes.columns if c != key]
+def one_change(changes: DataFrame, unique: Sequence[str], order: Sequence[Column] = (), strict: bool = True) -> DataFrame:
+    """A row for each key: the last change by the order, equal ones by their values. Without strict, the last value of each column that is not null."""
+    named = [c for c in changes.columns if c not in unique]
+    if not named:
+        return changes.distinct()
+    last = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c) for c in named])
+    if strict:
+        return changes.groupBy(*unique).agg(F.max_by(F.struct(*named), last).alias("_r")).select(*unique, *[F.col("_r")[c].alias(c) for c in named])
+    return changes.groupBy(*unique).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), last)).alias(c) for c in named])
+
+
+def update_by_key(target: DataFrame, changes: DataFrame, key: str, strict: bool = False, order: Sequence[Column] = ()) -> DataFrame:
+    """Columns of the changes over those of the target. A null in the changes keeps the old value, or with strict sets null.
+
+    Of changes that repeat a key the last by `order` counts (columns of the changes; those that the target has not are
+    for the order only), so the table keeps its rows; a null key changes nothing.
+    """
+    changes = one_change(changes, [key], order, strict)
+    named = [c for c in changes.columns if c != key and c in target.columns]
     new = changes.select(F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in named])
     out = target.join(new, key, "left")
     for c in named:
@@ -56,15 +80,18 @@ def update_by_key(target: DataFrame, changes: DataFrame, key: str, strict: bool
     return out.select(*target.columns)
 
 
-def upsert(target: DataFrame, rows: DataFrame, unique: Sequence[str], key: str, order: Sequence[Column]) -> DataFrame:
-    """Known rows take the given values, unknown ones are appended with new identities."""
+def upsert(target: DataFrame, rows: DataFrame, unique: Sequence[str], key: str, order: Sequence[Column], last: Sequence[Column] = ()) -> DataFrame:
+    """Known rows take the given values, unknown ones are appended with new identities, in `order`.
+
+    Of rows that repeat their unique columns (null included) the last by `last` counts.
+    """
+    rows = one_change(rows, unique, last)
     named = [c for c in rows.columns if c not in unique]
-    new = rows.select(*unique, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in named])
-    out = target.join(new, list(unique), "left")
+    new = rows.select(*[F.col(u).alias(f"_k{i}") for i, u in enumerate(unique)], F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in named])
+    out = target.join(new, reduce(lambda a, b: a & b, [F.col(u).eqNullSafe(F.col(f"_k{i}")) for i, u in enumerate(unique)]), "left")
     for c in named:
         out = out.withColumn(c, F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)))
-    added = rows.join(target.select(*unique), list(unique), "left_anti")
-    return out.select(*target.columns).unionByName(next_ids(added, target, key, order), allowMissingColumns=True)
+    return out.select(*target.columns).unionByName(next_ids(_absent(rows, target, unique), target, key, order), allowMissingColumns=True)
 
 
 def seed(target: DataFrame, rows: DataFrame, name: str, key: str) -> DataFrame:

@@ -72,13 +72,24 @@ def widen(long: DataFrame, key: str, tokens: list[str]) -> DataFrame:
 def diversity(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     """1 less the mean of the cosines of all pairs that are not 0, to three places, for a list of recommendations.
 
-    Each vector is made one of unit length; the sum of all cosines is the squared length of the sum of these vectors, so
-    no pairs are made. Pairs whose cosine is exactly 0 have disjoint or orthogonal vectors; of real-valued ones that none are.
+    Each vector is made one of unit length; the sum of all cosines is the squared length of the sum of these vectors. A
+    cosine is not 0 if two vectors have a component in common (features are not negative, so nothing cancels out, and
+    real-valued ones do so with probability 0). Such pairs are counted by pattern, the set of a vector's components, so
+    no pairs of rows are made. A vector of nothing has no cosine; without pairs the answer is null.
     """
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    unit = vectors.select(id_col, F.posexplode(vector).alias("i", "x"), norm.alias("n")).select(id_col, "i", (F.col("x") / F.col("n")).alias("u"))
+    some = vectors.select(id_col, vector, norm.alias("n")).where("n > 0")
+    unit = some.select(id_col, F.posexplode(vector).alias("i", "x"), "n").select(id_col, "i", (F.col("x") / F.col("n")).alias("u"))
     total = unit.groupBy("i").agg(F.sum("u").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("all"))
-    return vectors.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select(F.round(1 - (F.col("all") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 3).alias("diversity"))
+    parts = F.filter(F.transform(vector, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+    patterns = some.groupBy(parts.alias("p")).agg(F.count("*").alias("c"))
+    within = patterns.agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("within"))
+    by = patterns.select("p", "c", F.explode("p").alias("i"))
+    met = by.join(by.select("i", F.col("p").alias("q"), F.col("c").alias("d")), "i").where("p < q").select("p", "q", "c", "d").distinct()
+    across = met.agg(F.coalesce(F.sum(F.col("c") * F.col("d")), F.lit(0)).alias("across"))
+    one = within.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(across))
+    pairs = F.col("within") + F.col("across")
+    return one.select(F.round(1 - F.try_divide((F.col("all") - F.col("n")) / 2, pairs), 3).alias("diversity"))
 
 
 LABELS = [("Length", "the"), ("Length", "and"), ("Fit", "of the"), ("Fit", "of"), ("Sleeve", "la"), ("Sleeve", "und"), ("NeckDesign", "in"), ("NeckDesign", "is")]
@@ -93,11 +104,11 @@ def x09(spark, d):
 
 @query(
     "x09_label_positions",
-    """SELECT p_partkey, label, min(i) - 1 AS pos FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS label, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part) WHERE label IN (SELECT DISTINCT lower(string_split(p_name, ' ')[1]) FROM part WHERE p_partkey < 40) GROUP BY 1, 2""",
+    """SELECT p_partkey, label, min(i) - 1 AS pos FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS label, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part) WHERE label IN (SELECT DISTINCT lower(string_split(p_name, ' ')[1]) FROM part) GROUP BY 1, 2""",
 )
 def x09b(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name")
-    labels = p.where("p_partkey < 40").select(F.lit("any").alias("attr"), F.split(F.lower("p_name"), " ")[0].alias("label")).distinct()
+    labels = p.select(F.lit("any").alias("attr"), F.split(F.lower("p_name"), " ")[0].alias("label")).distinct()
     return occurrences(p, labels, "p_partkey", {"p_name": 0}).select("p_partkey", "label", "pos")
 
 
@@ -107,9 +118,9 @@ def x10(spark, d):
     return product_words(p, "p_partkey", ["a", "b"], ["of"])
 
 
-@query("x10_collapse", "SELECT l_partkey, count(*) AS n, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_quantity, l_suppkey) AS sups FROM lineitem WHERE l_discount = 0 GROUP BY l_partkey")
+@query("x10_collapse", "SELECT l_partkey, count(*) AS n, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_quantity, l_suppkey) AS sups FROM lineitem GROUP BY l_partkey")
 def x10b(spark, d):
-    li = table(spark, d, "lineitem").where("l_discount = 0").withColumn("seq", F.col("l_orderkey")).withColumn("one", F.lit("x"))
+    li = table(spark, d, "lineitem").withColumn("seq", F.col("l_orderkey")).withColumn("one", F.lit("x"))
     c = collapsed(li, "l_partkey", ["one"], {"l_suppkey": "l_quantity"})
     return c.select("l_partkey", F.size("l_suppkey").cast("long").alias("n"), F.array_join(F.transform("l_suppkey", lambda x: x.cast("string")), ",").alias("sups"))
 
@@ -133,13 +144,25 @@ def x14(spark, d):
 
 @query(
     "x17_diversity",
-    "SELECT round(1 - avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 3) AS diversity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id",
+    "SELECT round(1 - avg(c), 3) AS diversity FROM (SELECT list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE c <> 0",
 )
 def x17(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     return diversity(e, "vec_id", "embedding")
 
 
+@query(
+    "x17_diversity_of_attributes",
+    """WITH v AS (SELECT p_partkey AS id, [CAST(p_size % 7 = k AS DOUBLE) FOR k IN [0, 1, 2, 3, 4]] || [CAST(contains(p_name, w) AS DOUBLE) FOR w IN ['red', 'blue', 'widget', 'steel']] AS x FROM part),
+ s AS (SELECT * FROM v WHERE list_sum(x) > 0)
+ SELECT round(1 - avg(c), 3) AS diversity FROM (SELECT list_cosine_similarity(a.x, b.x) AS c FROM s a JOIN s b ON a.id < b.id) WHERE c <> 0""",
+)
+def x17b(spark, d):
+    size = [(F.col("p_size") % 7 == k).cast("double") for k in range(5)]
+    words = [F.contains("p_name", F.lit(w)).cast("double") for w in ("red", "blue", "widget", "steel")]
+    return diversity(table(spark, d, "part").select("p_partkey", F.array(*size, *words).alias("x")), "p_partkey", "x")
+
+
 def recommended_from_query(products: DataFrame, predicted: DataFrame, term: str, k: int = 3) -> DataFrame:
     """item, prediction and grade of what a search recommends, by system grade.
 

@@ -15,16 +15,20 @@ from loomwright.operators.ranking import linear_rank_score, min_max, ordinal, wi
 from loomwright.plans.filters import _FEEDBACK, feedback
 from loomwright.plans.scalars import _STOP, STOP
 from loomwright.registry import query, table
+from loomwright.storage import stored
 
 MISSING_ORDER = 99999
 QUERY = ["the", "with", "from", "the", "haus"]
 
 
 def attributes(products: DataFrame, history: DataFrame, key: str, texts: Sequence[str], orders: Sequence[str]) -> DataFrame:
-    """A row for each product: the first text that is there, by arrival, and the largest of each order."""
-    both = products.join(history, key, "left").fillna("", subset=["metadata"]).distinct()
+    """A row for each product: the first text that is there, by arrival (metadata may be empty), and the largest of each order.
+
+    Both sides are brought to a row for each product before they meet, so a text is not repeated for each row of history.
+    """
+    filled = products.fillna("", subset=["metadata"])
     first = [F.min(F.when(F.col(c).isNotNull(), F.struct("seq", c)))[c].alias(c) for c in texts]
-    return both.groupBy(key).agg(*first, *[F.max(c).alias(c) for c in orders])
+    return filled.groupBy(key).agg(*first).join(history.groupBy(key).agg(*[F.max(c).alias(c) for c in orders]), key, "left")
 
 
 def rank_shares(df: DataFrame, trending: str, reference: str) -> DataFrame:
@@ -56,8 +60,8 @@ def final_score(df: DataFrame, text_mult: float = 1.0, grading_mult: float = 1.0
 
 def recommend(products: DataFrame, history: DataFrame, key: str, query: Sequence[str], stop: Sequence[str], min_df: int = 3, max_df: float = 0.95) -> DataFrame:
     base = rank_shares(attributes(products, history, key, ["metadata"], ["reference_order", "trending_order"]), "trending_order", "reference_order")
-    weights = T.weights(base, key, "metadata", stop, 2, min_df, max_df)
-    hit = base.join(T.query_score(weights, key, query), key)
+    # scaling looks at all hits first, so they are a table: scored once
+    hit = stored(base.drop("metadata").join(T.query_score(base, key, "metadata", query, stop, 2, min_df, max_df), key), "hits")
     return final_score(ordering_score(hit)).select(key, "text_score", "trend_factor", "reference_factor", "ordering_score", "final_score")
 
 
@@ -104,8 +108,7 @@ def x02(spark, d):
 
 @query("x03_text_score", f"WITH {_weights(3, 0.95)} SELECT oid, round(sum(weight), 6) AS text_score FROM weight JOIN {_Q} USING (term) GROUP BY oid HAVING sum(weight) > 0")
 def x03(spark, d):
-    w = T.weights(products(spark, d), "oid", "metadata", STOP, 2, 3, 0.95)
-    return T.query_score(w, "oid", QUERY).withColumn("text_score", F.round("text_score", 6))
+    return T.query_score(products(spark, d), "oid", "metadata", QUERY, STOP, 2, 3, 0.95).withColumn("text_score", F.round("text_score", 6))
 
 
 @query("x04_ordering_score", f"WITH {_weights(3, 0.95)}, {_BASE} SELECT oid, round(tf_, 6) AS trend_factor, round(rf_, 6) AS reference_factor, round(ordering_score, 5) AS ordering_score FROM done")
@@ -149,10 +152,8 @@ def social_rank(posts: DataFrame, term: str, keywords: Sequence[str], stop: Sequ
     """Posts (oid, url, title, description, at): cosine with the term times keyword share, freshness, and both orders."""
     posts = posts.withColumn("_k", F.struct("at", "oid")).groupBy("url").agg(F.min_by(F.struct("oid", "title", "description", "at"), "_k").alias("p")).select("url", "p.*")
     posts = posts.withColumn("metadata", F.concat_ws(" ", "title", "description"))
-    tf, idf = T.counted(posts, "oid", "metadata", stop, 2, 2, 1.0)
-    weights = T.weights(posts, "oid", "metadata", stop, 2, 2)
-    cos = T.cosine_with(weights, "oid", term, idf, stop)
-    posts = posts.join(cos, "oid", "left").withColumn("factor", overlap_ratio(X.tokens(F.lower("metadata")), keywords))
+    cos = T.cosine_with(posts, "oid", "metadata", term, stop, 2, 2)
+    posts = posts.withColumn("factor", overlap_ratio(X.tokens(F.lower("metadata")), keywords)).drop("metadata").join(cos, "oid", "left")
     posts = posts.withColumn("cosine", F.coalesce("cosine", F.lit(0.0)) * F.col("factor") * times)
     posts = linear_rank_score(posts, [F.desc("at"), F.asc("oid")], "social")
     posts = posts.withColumn("final", 0.7 * F.col("cosine") + 0.3 * F.col("social"))

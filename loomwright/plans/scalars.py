@@ -38,11 +38,11 @@ _LEMMA = """CASE WHEN regexp_matches(w, 'men$') AND length(w) > 3 THEN regexp_re
  WHEN regexp_matches(w, 'ies$') AND length(w) > 4 THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '(ss|x|ch|sh|zz)es$') THEN regexp_replace(w, 'es$', '')
  WHEN regexp_matches(w, '(ss|us|is)$') THEN w ELSE regexp_replace(w, 's$', '') END"""
 _q("f11_noun_lemmas", f"array_to_string(list_transform({_SPLIT.format('text')}, lambda w: {_LEMMA}), ' ')", X.lemmatise)
-_q("f12_lemmas_of_words", f"array_to_string(list_transform(string_split(lower(substr(text, 1, 60)), ' '), lambda w: {_LEMMA}), '+')", lambda t: F.array_join(F.transform(F.split(F.lower(F.substring(t, 1, 60)), " "), X.lemma), "+"))
+_q("f12_lemmas_of_words", f"array_to_string(list_transform(string_split(lower(text), ' '), lambda w: {_LEMMA}), '+')", lambda t: F.array_join(F.transform(F.split(F.lower(t), " "), X.lemma), "+"))
 _q("f20_split_join", "array_to_string(list_transform(string_split(text, ','), lambda w: replace(w, ' ', '_')), ' ')", lambda t: F.array_join(F.transform(F.split(t, ","), lambda w: F.replace(w, F.lit(" "), F.lit("_"))), " "))
 _q("f21_unique_tokens", f"array_to_string(list_sort(list_distinct({_SPLIT.format('text')})), ' ')", lambda t: F.array_join(F.array_sort(F.array_distinct(X.tokens(t))), " "))
 _q("f23_letters_only", "array_to_string(regexp_extract_all(text, '[a-zA-Z]+'), ' ')", lambda t: F.array_join(F.regexp_extract_all(t, F.lit("[a-zA-Z]+"), 0), " "))
-_q("f24_folder_name", "replace(trim(regexp_replace(substr(text, 1, 80), '[0-9]', '', 'g')), ' ', '')", lambda t: X.folder_name(F.substring(t, 1, 80)))
+_q("f24_folder_name", "replace(trim(regexp_replace(text, '[0-9]', '', 'g')), ' ', '')", X.folder_name)
 _q("f33_unescape", "replace(replace(text, '''', '\\'''), '\\', '')", lambda t: F.replace(F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("\\"), F.lit("")))
 
 

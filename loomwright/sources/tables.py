@@ -16,6 +16,16 @@ def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> Data
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", tasks: int = 8, **options: str) -> None:
+    """Rows into a table of an outer database, over a bounded number of connections, in batches.
+
+    Changes of known rows go the way the library's own do: update_by_key() or upsert() over what read_jdbc() gave, then
+    mode "overwrite" with truncate, which keeps the table's definition; binary columns are bound as parameters.
+    """
+    made = {"truncate": "true", "batchsize": "5000"} | options
+    df.coalesce(tasks).write.format("jdbc").mode(mode).options(url=url, dbtable=table, **made).save()
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
 

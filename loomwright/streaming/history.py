@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomwright.operators.dml import upsert
-from loomwright.storage import replace_table
+from loomwright.storage import recover_table, replace_table
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
@@ -30,12 +30,23 @@ def sessions(events: DataFrame, at: str, user: str, gap: str = "30 minutes", lat
     return events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), user).agg(F.count("*").alias("n"))
 
 
-def upsert_stream(rows: DataFrame, path: str, unique: Sequence[str], key: str, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Each batch into the table at path: known keys take new values, others get identities."""
+def upsert_stream(rows: DataFrame, path: str, unique: Sequence[str], key: str, checkpoint: str, last: Sequence[Column] = (), **trigger: object) -> StreamingQuery:
+    """Each batch into the table at path: known keys take new values, others get identities.
 
-    def each(batch: DataFrame, _: int) -> None:
+    The table's column _batch has the number of the batch that last wrote it, so a batch that comes again after a crash
+    changes nothing. Of rows of a batch that repeat a key the last by `last` counts.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        replace_table(upsert(spark.read.parquet(path), batch.dropDuplicates(list(unique)), list(unique), key, [F.col(u) for u in unique]), path)
+        recover_table(spark, path)
+        target = spark.read.parquet(path)
+        if "_batch" not in target.columns:
+            target = target.withColumn("_batch", F.lit(-1).cast("long"))
+        if (target.agg(F.max("_batch").alias("m")).first()["m"] or -1) >= number:
+            return
+        changed = upsert(target.drop("_batch"), batch, list(unique), key, [F.col(u) for u in unique], last)
+        replace_table(changed.withColumn("_batch", F.lit(number).cast("long")), path)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 

@@ -31,7 +31,7 @@ def test_tfidf_by_hand(spark):
     df = spark.createDataFrame([(1, "red dress"), (2, "red shirt"), (3, "Blue dress"), (4, None)], "id int, t string").where("id < 4")
     w = {(r["id"], r["term"]): round(r["weight"], 6) for r in tfidf.weights(df, "id", "t", ngrams=1).collect()}
     assert w == {(1, "red"): 0.707107, (1, "dress"): 0.707107, (2, "red"): 0.605349, (2, "shirt"): 0.795961, (3, "blue"): 0.795961, (3, "dress"): 0.605349}
-    score = tfidf.query_score(tfidf.weights(df, "id", "t", ngrams=1), "id", ["red", "red", "none"])
+    score = tfidf.query_score(df, "id", "t", ["red", "red", "none"], ngrams=1)
     assert {r["id"]: round(r["text_score"], 5) for r in score.collect()} == {1: 1.41421, 2: 1.2107}
     assert tfidf.weights(df.limit(0), "id", "t").count() == 0
 
