@@ -1,11 +1,14 @@
 """Exact duplicates by a tree of merges over sorted runs of digests, in DataFrame operations only.
 
-Each document is a digest entry (SHA-256, with length and a second hash beside it as the check), its id and a leaf of the tree (a salt of its
-id). The leaves' runs hold one entry for each digest: the id that stays and a count. In each round the runs of `fanout`
-sibling nodes meet: entries are exchanged by node and slice of the digest, sorted, and merged, and the smallest (or
-largest) identifier of each verified digest is kept. After `levels` rounds the root's run is final, still spread over
-slices of the digests. The way back goes through the leaves' entries, so that a text that a third of all rows share is
-joined as fanout ** levels keys and not as one.
+Each document is a digest entry (SHA-256, with length and a second hash beside it as the check), its id and a leaf of the
+tree (a salt of its id). The leaves' runs hold one entry for each digest: the id that stays and a count. In each round the
+runs of `fanout` sibling nodes meet: their entries are exchanged by node and slice of the digest, and merged in the order
+of their digests (the sort over the runs that arrive; what does not fit into memory is merged from sorted spills). Entries
+of one digest then stand side by side, at most `fanout` of them, in the order of their identifiers, so one pass over the
+merged run adds up their counts and keeps the last, which holds the largest (or smallest) identifier. Entries are the
+same only if digest, length and second hash agree, at every level. After `levels` rounds the root's run is final, still
+spread over slices of the digests. The way back goes through the leaves' entries, so that a text that a third of all rows
+share is joined as fanout ** levels keys and not as one. Texts are read once: digests are a table of their own.
 
 Defined results: null text is empty text; rows with a null id are merged like others, are kept only if their group has
 no other id, and never win; rows that repeat id and text are one document seen twice, so all of them carry the same
@@ -14,37 +17,46 @@ answer; an empty table gives no rows; other columns do not matter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import salt, table
+from loomwright.llm.common import salt, stored, table
 
-#: Slices of the digests by which the runs of a node are spread.
-SLICE_DIGITS = 3
+#: Slices of the digests by which the runs of a node are spread: hexadecimal digits.
+SLICE_DIGITS = 4
 ENTRY = ["digest", "bytes", "check"]
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str, leaves: int) -> DataFrame:
+def digests(docs: DataFrame, id_col: str, text_col: str, leaves: int, digest_bytes: int = 32) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     got = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    return got.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("check"), salt(leaves, "id").alias("leaf"))
+    digest = F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, digest_bytes)
+    return got.select("id", digest.alias("digest"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("check"), salt(leaves, "id").alias("leaf"))
 
 
-def merged(runs: DataFrame, keep: str) -> DataFrame:
-    """One entry for each node and verified digest."""
-    best = F.max("keep_id") if keep == "max" else F.min("keep_id")
-    return runs.groupBy("node", "slice", *ENTRY).agg(best.alias("keep_id"), F.sum("group_size").alias("group_size"))
+def leaf_runs(rows: DataFrame, keep: str) -> DataFrame:
+    """One entry for each leaf and verified digest; counted before anything is exchanged."""
+    best = F.max("id") if keep == "max" else F.min("id")
+    slice_of = F.substring(F.hex("digest"), 1, SLICE_DIGITS)
+    return rows.groupBy(F.col("leaf").alias("node"), slice_of.alias("slice"), *ENTRY).agg(best.alias("keep_id"), F.count("*").alias("group_size"))
+
 
+def merge_round(runs: DataFrame, keep: str, fanout: int) -> DataFrame:
+    """The runs of the parents: the children's runs merged, one entry for each verified digest."""
+    up = runs.withColumn("node", F.floor(F.col("node") / fanout).cast("int")).repartition("node", "slice")
+    order = F.asc_nulls_first("keep_id") if keep == "max" else F.desc_nulls_first("keep_id")
+    run = Window.partitionBy("node", "slice", *ENTRY).orderBy(order)
+    both = up.withColumn("_sum", F.sum("group_size").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", F.lead(F.lit(1)).over(run))
+    return both.where("_after IS NULL").select("node", "slice", *ENTRY, "keep_id", F.col("_sum").alias("group_size"))
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fanout: int = 4, levels: int = 3) -> DataFrame:
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fanout: int = 4, levels: int = 3, digest_bytes: int = 32) -> DataFrame:
     """For each row: id, digest, keep_id (the id that stays), group_size, kept."""
-    rows = digests(docs, id_col, text_col, fanout**levels)
-    slice_of = F.substring(F.hex("digest"), 1, SLICE_DIGITS)
-    leaves = merged(rows.select(F.col("leaf").alias("node"), slice_of.alias("slice"), *ENTRY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")), keep)
+    rows = stored(digests(docs, id_col, text_col, fanout**levels, digest_bytes), "digests")
+    leaves = leaf_runs(rows, keep)
     runs = leaves
     for _ in range(levels):
-        up = runs.withColumn("node", F.floor(F.col("node") / fanout).cast("int"))
-        runs = merged(up.repartition("node", "slice").sortWithinPartitions("node", "slice", *ENTRY), keep)
+        runs = merge_round(runs, keep, fanout)
     root = runs.select(*ENTRY, "keep_id", "group_size")
     back = leaves.select(F.col("node").alias("leaf"), *ENTRY).join(root, ENTRY)
     out = rows.join(back, ["leaf", *ENTRY])
