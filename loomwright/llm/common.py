@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -11,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.storage import scratch_path, scratch_root, stored
+
+__all__ = ["BATCH_ROWS", "SPACE", "WORD", "batched", "drop_scratch", "only", "salt", "scratch_path", "scratch_root", "stored", "table", "unused"]
+
 #: Separators of words: the ASCII white space, and nothing else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,28 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomwright-"))
-        root = sc._jsc.sc().getCheckpointDir().get()
-    return f"{root}/loomwright/{sc.applicationId}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder, so that a lost executor costs no earlier stage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_scratch(spark: SparkSession) -> None:
     """Removes the scratch tables of this application; results still being read need them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
