@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import salt, stored
 
-#: Links of one node from which on they are joined in parts, and the parts.
-HOT_LINKS, PARTS = 1_000_000, 32
+#: A node's links are joined in so many parts at least, and in parts of about so many links.
+PARTS, LINKS_A_PART = 32, 100_000
 
 
 def _signature(links: DataFrame) -> tuple[int, int, int]:
@@ -29,9 +29,7 @@ def _signature(links: DataFrame) -> tuple[int, int, int]:
 
 
 def _beside_smallest(links: DataFrame, parts: int) -> DataFrame:
-    """links with m, the smallest b of each a. A node with very many links meets m in parts: by node and a salt of b."""
-    if parts == 1:
-        return links.join(links.groupBy("a").agg(F.min("b").alias("m")), "a")
+    """links with m, the smallest b of each a. A node meets m in parts, by node and a salt of b, however many links it has."""
     links = links.withColumn("part", salt(parts, "b"))
     low = links.groupBy("a", "part").agg(F.min("b").alias("m"))
     back = low.select("a", "part").join(low.groupBy("a").agg(F.min("m").alias("m")), "a")
@@ -55,7 +53,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = stored(links, "links")
     before = _signature(links)
     while before[0]:
-        parts = PARTS if before[2] >= HOT_LINKS else 1
+        parts = max(PARTS, before[2] // LINKS_A_PART)
         links = stored(_small_star(_large_star(links, parts), parts), "links")
         now = _signature(links)
         if now == before:

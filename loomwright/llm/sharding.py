@@ -16,6 +16,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwright.llm.common import only, table
 
@@ -66,11 +67,13 @@ def place_rows(df: DataFrame, key: Column | str = "doc_id", names: list[str] | N
     return df.drop(slot_col, shard_col).withColumn(slot_col, slot_of(key, table_size)).join(F.broadcast(lookup), slot_col)
 
 
-def write_shards(df: DataFrame, path: str, key: str = "doc_id", names: list[str] | None = None, table_size: int = TABLE_SIZE, files_per_shard: int = 8) -> None:
-    """Writes a folder for each shard; each shard's rows are split over several tasks by a salt of the key."""
+def write_shards(df: DataFrame, path: str, key: str = "doc_id", names: list[str] | None = None, table_size: int = TABLE_SIZE, rows_per_file: int = 1_000_000) -> None:
+    """Writes a folder for each shard; its rows are split over as many tasks as their number asks for, by a salt of the row."""
     placed = place_rows(df, key, names, table_size)
     n = len(names or shard_names(N_SHARDS))
-    placed.repartition(n * files_per_shard, "shard", F.pmod(F.xxhash64(key), F.lit(files_per_shard))).write.mode("overwrite").partitionBy("shard").parquet(path)
+    each = max(1, -(-df.count() // (n * rows_per_file)))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]), F.lit(each))
+    placed.repartition(n * each, "shard", spread).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def op4_permutation_table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

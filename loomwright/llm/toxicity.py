@@ -5,20 +5,24 @@ the first four and six bytes of words; log counts, scaled to unit length) and ov
 it. Those are out-of-fold predictions while training: a model that has not seen the document gives them, as it will be
 when new documents are scored. A category's cut is the one of the best F1 over its out-of-fold predictions.
 
-Models are fitted on the driver from a bounded sample of labelled rows: at most `rows_a_stratum` rows of each combination
-of labels, first by a hash of the id, weighted by what they stand for. Scoring reads every whole text once, without a
-shuffle; the models are broadcast and their size is fixed by FEATURE_BITS.
+Models are fitted on a bounded sample of labelled rows: at most `rows_a_stratum` ids of each combination of labels, first
+by a hash of the id, one row for each id, weighted by what they stand for. Tasks make the features of whole texts, one
+task lays them out as one file in the shared folder, and the models of all folds are fitted side by side, each by a task
+that maps the file; the driver sees weights and log-odds, never texts. A fold is a hash of the text, so equal texts share
+one and no model has seen what it predicts. Scoring reads every whole text once, without a shuffle; the models are
+broadcast and their size is fixed by FEATURE_BITS.
 
 The tables label two categories: junk (quality 0) and toxic. The chain takes any list of label columns.
 
 Defined results: null or empty text has no features, gets the prior log-odds and no flag; rows with a null label or id
-are not learned from; of labels that contradict each other for an id the worse counts; a category without examples of
-both kinds has probability 0; rows with equal text get equal scores, repeated rows stay repeated; an empty table gives
-no rows; the pipeline stage keeps all columns.
+are not learned from; ids may be numbers or texts; of labels that contradict each other for an id the worse counts, of
+rows that repeat an id one is learned from; a category without examples of both kinds has probability 0; rows with equal
+text get equal scores, repeated rows stay repeated; an empty table gives no rows; the pipeline stage keeps all columns.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,14 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwright.llm.bpe import chunks
-from loomwright.llm.common import batched, table
+from loomwright.llm.common import batched, scratch_path, stored, table
+from loomwright.llm.elias_fano import read_arrays, write_arrays
 from loomwright.llm.tokens import words
 
 #: Bits of a feature's index within its kind; byte lengths of the kinds, 0 for the whole word.
 FEATURE_BITS, KINDS = 18, (0, 4, 6)
 ROWS_A_STRATUM, FOLDS, ROUNDS, RATE, DECAY = 2000, 3, 110, 1.5, 1e-5
-#: Characters of the sample whose features are made at once.
-SAMPLE_CHARS = 500_000
+#: Entries of the sample that a step of fitting looks at together, and tasks that make its features.
+ENTRIES_AT_ONCE, SAMPLE_TASKS = 250_000, 32
 N_FEATURES = len(KINDS) << FEATURE_BITS
 
 
@@ -130,53 +135,112 @@ class Chain:
         return out
 
 
-def fit_chain(texts: list[str | None], labels: np.ndarray, weight: np.ndarray, categories: list[str]) -> tuple[Chain, np.ndarray]:
-    """The chain, and the out-of-fold log-odds of the rows it was fitted on."""
-    parts, seen = [], np.zeros(N_FEATURES, np.int32)
-    for i, j in chunks([t or "" for t in texts], SAMPLE_CHARS):
-        p = features(texts[i:j])
-        seen += np.bincount(p.col, minlength=N_FEATURES).astype(np.int32)
-        parts.append(Sparse(p.n, p.row.astype(np.int32), p.col.astype(np.int32), p.value))
-    common = np.flatnonzero(seen > 1)  # what one row has alone teaches nothing of others
-    to = np.full(N_FEATURES, -1, np.int32)
-    to[common] = np.arange(len(common))
-    for k, p in enumerate(parts):
-        m = to[p.col] >= 0
-        parts[k] = Sparse(p.n, p.row[m], to[p.col[m]], p.value[m])
-    n = len(texts)
-    ends = np.cumsum([p.n for p in parts]).tolist()
-    fold = np.arange(n) % FOLDS
+def laid_out(path: str) -> tuple[list[Sparse], dict[str, np.ndarray]]:
+    """The sample's features in parts of about ENTRIES_AT_ONCE entries, and the arrays of its file."""
+    a = read_arrays(path)
+    ends, parts, at = a["ends"], [], 0
+    while at < len(ends):
+        begin = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, begin + ENTRIES_AT_ONCE, side="right")))
+        row = np.repeat(np.arange(to - at, dtype=np.int32), np.diff(ends[at:to], prepend=begin))
+        parts.append(Sparse(to - at, row, a["col"][begin : ends[to - 1]], a["value"][begin : ends[to - 1]]))
+        at = to
+    return parts, a
+
+
+def lay_out(sampled: DataFrame, label_cols: list[str], path: str) -> int:
+    """Writes the features of the sampled rows (id, text, labels, weight) as one file; how many rows there are."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+            for i, j in chunks(texts):
+                x = features(texts[i:j])
+                ends = np.cumsum(np.bincount(x.row, minlength=x.n)).tolist()
+                out = b.iloc[i:j].drop(columns=["text"])
+                out["fold"] = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts[i:j]]
+                out["col"] = [x.col[p:q].astype(np.int32).tobytes() for p, q in zip([0, *ends], ends, strict=False)]
+                out["value"] = [x.value[p:q].tobytes() for p, q in zip([0, *ends], ends, strict=False)]
+                yield out
+
+    labels = ", ".join(f"`{c}` boolean" for c in label_cols)
+    rows = stored(batched(sampled.repartition(SAMPLE_TASKS, "id"), made, f"id string, {labels}, weight double, fold int, col binary, value binary"), "sample")
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(batches)).sort_values("id", ignore_index=True)
+        col, value = (np.frombuffer(b"".join(got[c]), d) for c, d in (("col", np.int32), ("value", np.float32)))
+        owner = np.repeat(np.arange(len(got)), [len(x) // 4 for x in got["col"]])
+        shared = (np.bincount(col, minlength=N_FEATURES) > 1)[col]  # what one row has alone teaches nothing of others
+        common, col = np.unique(col[shared], return_inverse=True)
+        arrays = {"ends": np.cumsum(np.bincount(owner[shared], minlength=len(got))), "col": col.astype(np.int32), "value": value[shared], "common": common.astype(np.int64)}
+        arrays |= {"weight": got["weight"].to_numpy(float), "fold": got["fold"].to_numpy(np.int64), "labels": got[label_cols].to_numpy(bool).astype(np.uint8).ravel()}
+        write_arrays(path, arrays)
+        yield pd.DataFrame({"n": [len(got)]})
+
+    n = rows.coalesce(1).mapInPandas(whole, "n long").collect() if not rows.isEmpty() else []  # one task: the sample is bounded
+    return int(n[0]["n"]) if n else 0
+
+
+def fit_category(spark: SparkSession, path: str, c: int, before: np.ndarray, categories: int) -> tuple[Linear, np.ndarray]:
+    """The model of a category after those whose out-of-fold log-odds are `before`, and its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for fold in (f for b in batches for f in b["id"].tolist()):
+            parts, a = laid_out(path)
+            y = a["labels"].reshape(-1, categories)[:, c].astype(float)
+            n = len(a["common"])
+            model = fit(parts, before, y, np.where(a["fold"] == fold, 0, a["weight"]), n)
+            ends = np.cumsum([p.n for p in parts]).tolist()
+            held = np.zeros(0)
+            if fold < FOLDS:
+                odds = np.concatenate([model.log_odds(p, before[e - p.n : e]) for p, e in zip(parts, ends, strict=True)])
+                held = odds[a["fold"] == fold]
+            full = np.zeros(N_FEATURES, np.float32)
+            full[a["common"]] = model.weights
+            yield pd.DataFrame([(fold, model.bias, model.earlier.tobytes(), full.tobytes() if fold == FOLDS else b"", held.astype(float).tobytes())], columns=["fold", "bias", "earlier", "weights", "held"])
+
+    got = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInPandas(run, "fold long, bias double, earlier binary, weights binary, held binary").collect()  # FOLDS + 1 rows
+    a = read_arrays(path)
+    oof = np.zeros(len(a["fold"]))
+    for r in got:
+        if r["fold"] < FOLDS:
+            oof[a["fold"] == r["fold"]] = np.frombuffer(bytes(r["held"]))
+        else:
+            model = Linear(r["bias"], np.frombuffer(bytes(r["weights"]), np.float32), np.frombuffer(bytes(r["earlier"])))
+    y = a["labels"].reshape(-1, categories)[:, c].astype(float)
+    model.cut = best_cut(oof, y, a["weight"]) if 0 < y.sum() < len(y) else np.inf
+    return model, oof
+
+
+def fit_chain(sampled: DataFrame, categories: list[str]) -> tuple[Chain, np.ndarray]:
+    """The chain, and the out-of-fold log-odds of the sampled rows in order of their ids."""
+    spark = sampled.sparkSession
+    path = scratch_path(spark, "toxicity") + ".ef"
+    n = lay_out(sampled, categories, path)
+    if not n:
+        return Chain(categories, [Linear(-30.0, np.zeros(N_FEATURES, np.float32), np.zeros(c)) for c in range(len(categories))]), np.zeros((0, len(categories)))
     before, models = np.zeros((n, 0)), []
     for c in range(len(categories)):
-        y, oof = labels[:, c].astype(float), np.zeros(n)
-        for k in range(FOLDS):
-            held = fit(parts, before, y, np.where(fold == k, 0, weight), len(common))
-            odds = np.concatenate([np.empty(0), *(held.log_odds(p, before[e - p.n : e]) for p, e in zip(parts, ends, strict=True))])
-            oof[fold == k] = odds[fold == k]
-        model = fit(parts, before, y, weight, len(common))
-        model.cut = best_cut(oof, y, weight) if 0 < y.sum() < len(y) else np.inf
-        full = np.zeros(N_FEATURES, np.float32)
-        full[common] = model.weights
-        models.append(Linear(model.bias, full, model.earlier, model.cut))
+        model, oof = fit_category(spark, path, c, before, len(categories))
+        models.append(model)
         before = np.column_stack([before, oof])
     return Chain(categories, models), before
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], rows_a_stratum: int, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
-    """Labelled rows for fitting, rows_a_stratum of each combination of labels at most, with weights."""
+def sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], rows_a_stratum: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Labelled rows for fitting (id, text, labels, weight): rows_a_stratum ids of each combination of labels at most."""
     spark = docs.sparkSession
-    named = labels.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").cast("boolean").alias(c) for c in label_cols]).dropna()
+    named = labels.select(F.col(f"`{id_col}`").cast("string").alias("id"), *[F.col(f"`{c}`").cast("boolean").alias(c) for c in label_cols]).dropna()
     named = named.groupBy("id").agg(*[F.max(c).alias(c) for c in label_cols])
     sizes = named.groupBy(*label_cols).count().collect()  # 2 ** categories rows at most
     parts = []
     for s in sizes:
         hit = named.where(" AND ".join(f"{'' if s[c] else 'NOT '}`{c}`" for c in label_cols))
         parts += [(*r, s["count"] / min(s["count"], rows_a_stratum)) for r in hit.orderBy(F.xxhash64("id"), "id").limit(rows_a_stratum).collect()]
-    if not parts:
-        return pd.DataFrame({"id": [], "text": [], "weight": []} | {c: [] for c in label_cols})
-    chosen = spark.createDataFrame(parts, ", ".join(["id bigint", *[f"`{c}` boolean" for c in label_cols], "weight double"]))
-    own = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return own.join(F.broadcast(chosen), "id").toPandas().sort_values(["id", "text"], ignore_index=True)
+    chosen = spark.createDataFrame(parts, ", ".join(["id string", *[f"`{c}` boolean" for c in label_cols], "weight double"]))
+    own = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = own.join(F.broadcast(chosen), "id")  # 2 ** categories * rows_a_stratum ids at most
+    return found.groupBy("id", *label_cols, "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", *label_cols, "weight")
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
@@ -206,8 +270,7 @@ def table_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_chain(docs: DataFrame, labels: DataFrame, categories: list[str], rows_a_stratum: int = ROWS_A_STRATUM) -> Chain:
-    got = sample(docs, labels, categories, rows_a_stratum)
-    return fit_chain(got["text"].tolist(), got[categories].to_numpy(bool).reshape(len(got), len(categories)), got["weight"].to_numpy(float), categories)[0]
+    return fit_chain(sample(docs, labels, categories, rows_a_stratum), categories)[0]
 
 
 def op5_classifier_chain_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

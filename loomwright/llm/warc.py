@@ -7,17 +7,21 @@ twice makes the same records. Records are made batch by batch from the rows alon
 
 Defined results: a null body is an empty body, whose conversion record is empty; a null URL leaves WARC-Target-URI out; a
 null id is the empty name; rows that repeat make records that repeat, with the same ids; bytes that are no UTF-8 become
-U+FFFD; an empty table gives no records; extra columns do not matter.
+U+FFFD; an empty table gives no records; extra columns do not matter. Comments, scripts and styles that nothing ends run to
+the end of the page; other elements that nothing ends lose their tag only.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +31,16 @@ from loomwright.llm.common import batched, only, table
 
 NAMESPACE = uuid.UUID("6f0c2f0a-55a3-5c0e-9d0b-5d6b8a3c1e77")
 VERSION, CRLF = "WARC/1.1", "\r\n"
-#: Elements whose content is no text, and those that end a line.
-DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)")
-TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-BREAKS = re.compile(r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>")
-TAGS = re.compile(r"<(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>")
+#: What stands in a tag after its name. No pattern below looks at a character of a page more than a few times.
+_REST = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+#: Comments and raw text, which run to the end of the page if nothing ends them.
+RAW = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b{_REST}.*?(?:</\1\s*+>|\Z)")
+#: Elements whose content is no text, if they are closed.
+HIDDEN = {name: (re.compile(rf"(?is)<{name}\b{_REST}.*?</{name}\s*+>"), re.compile(rf"(?i)</{name}\s*+>")) for name in ("noscript", "template", "svg")}
+TITLE, TITLE_END = re.compile(rf"(?i)<title\b{_REST}"), re.compile(r"(?i)</title\s*+>")
+#: Elements that end a line.
+BREAKS = re.compile(rf"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b{_REST}")
+TAGS = re.compile(rf"<{_REST}")
 SPACES, LINES = re.compile(r"[ \t\f\v\xa0]+"), re.compile(r" ?[\r\n][ \r\n]*")
 
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, date string, headers map<string,string>, block string, block_digest string"
@@ -46,10 +55,20 @@ def digest(data: bytes) -> str:
 
 
 def plain_text(page: str) -> str:
-    """The title, and the text of the body with a line for each block."""
-    title = TITLE.search(page)
-    body = TAGS.sub("", BREAKS.sub("\n", DROPPED.sub(" ", page)))
-    text = html.unescape(f"{title[1]}\n{body}" if title else body)
+    """The title, and the text of the body with a line for each block.
+
+    The head needs no end: apart from the title it holds tags, which are no text, and what RAW and HIDDEN leave out.
+    """
+    page = RAW.sub(" ", page)
+    for element, end in HIDDEN.values():
+        last = max((m.end() for m in end.finditer(page)), default=0)  # after it none is closed
+        page = element.sub(" ", page[:last]) + page[last:]
+    title = ""
+    if begin := TITLE.search(page):
+        end = TITLE_END.search(page, begin.end())
+        if end:
+            title, page = page[begin.end() : end.start()] + "\n", page[: begin.start()] + " " + page[end.end() :]
+    text = html.unescape(title + TAGS.sub("", BREAKS.sub("\n", page)))
     return LINES.sub("\n", SPACES.sub(" ", text)).strip()
 
 
@@ -140,6 +159,72 @@ def as_warc(records: DataFrame) -> DataFrame:
     return records.withColumn("warc", F.encode(F.concat(F.lit(VERSION + CRLF), head, F.lit(CRLF * 2), F.col("block"), F.lit(CRLF * 2)), "UTF-8"))
 
 
+def parsed(stream: BinaryIO) -> Iterator[dict[str, object]]:
+    """The records of a WARC stream, compressed or not, one at a time. What follows a broken record is left out."""
+    f = io.BufferedReader(stream)
+    if f.peek(2)[:2] == b"\x1f\x8b":
+        f = io.BufferedReader(gzip.GzipFile(fileobj=f))
+    while line := f.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            return
+        headers: dict[str, str] = {}
+        last = ""
+        while (line := f.readline()).strip():
+            text = line.decode("utf-8", "replace").rstrip("\r\n")
+            if text[0] in " \t" and last:
+                headers[last] += " " + text.strip()
+            else:
+                last, _, value = text.partition(":")
+                headers[last := last.strip()] = value.strip()
+        known = {k.lower(): v for k, v in headers.items()}
+        if not known.get("content-length", "").isdigit():
+            return
+        block = f.read(int(known["content-length"]))
+        if len(block) < int(known["content-length"]):
+            return
+        yield {
+            "record_type": known.get("warc-type"),
+            "record_id": known.get("warc-record-id"),
+            "refers_to": known.get("warc-refers-to"),
+            "target_uri": known.get("warc-target-uri"),
+            "date": known.get("warc-date"),
+            "headers": headers,
+            "block": block.decode("utf-8", "replace"),
+            "block_digest": known.get("warc-block-digest"),
+        }
+
+
+def opened(path: str) -> BinaryIO:
+    from pyarrow import fs
+
+    if "://" not in path:
+        path = "file://" + path
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(inner)
+
+
+def read_warc(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The records of WARC files (plain or gzip), with source (the path) and at (the record's number); a task for each file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for path in (p for b in batches for p in b["source"]):
+            rows, held = [], 0
+            with opened(path) as f:
+                for at, r in enumerate(parsed(f)):
+                    rows.append({"source": path, "at": at} | r)
+                    held += len(str(r["block"]))
+                    if len(rows) >= 256 or held > 1 << 22:
+                        yield pd.DataFrame(rows)
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows)
+
+    named = spark.createDataFrame([(p,) for p in paths], "source string").repartition(max(1, len(paths)))
+    return named.mapInPandas(run, f"source string, at long, {RECORD}")
+
+
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = derive(responses(table(spark, sf_dir, "pages")))
     return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", F.to_json("headers").alias("headers"), "block", "block_digest")

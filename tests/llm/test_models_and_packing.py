@@ -1,20 +1,26 @@
 """Language models, toxicity, near-dedup, packing, WARC and the pipeline against brute force."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import math
+import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomwright.llm import components, elias_fano, minhash, ngram, packing, tokens, toxicity, warc
+from loomwright.llm.common import stored
 from loomwright.llm.queries import QUERIES, oracle
 from tests.llm.conftest import as_frame, odd_rows
 
@@ -164,6 +170,66 @@ def test_toxicity_learns_and_leaves_clean_texts(spark, sf_dir, docs, no_docs):
     assert not toxicity.score(docs, none).where("is_toxic").count()
 
 
+def plain_fit(rows, before, y, weight):
+    """Logistic regression by full-batch AdaGrad, feature by feature. rows: {feature: value}."""
+    total = weight.sum()
+    share = (weight * y).sum() / total
+    w, e, b = defaultdict(float), np.zeros(before.shape[1]), math.log(share / (1 - share))
+    g_w, g_e, g_b = defaultdict(lambda: 1e-8), np.full(before.shape[1], 1e-8), 1e-8
+    for _ in range(toxicity.ROUNDS):
+        d_w, d_e, d_b = {f: toxicity.DECAY * x for f, x in w.items()}, toxicity.DECAY * e, 0.0
+        for x, z, t, u in zip(rows, before / 10, y, weight, strict=True):
+            s = sum(w[f] * v for f, v in x.items()) + b + z @ e
+            err = u * (1 / (1 + math.exp(-max(-30, min(30, s)))) - t) / total
+            for f, v in x.items():
+                d_w[f] = d_w.get(f, 0.0) + v * err
+            d_e, d_b = d_e + z * err, d_b + err
+        for f, d in d_w.items():
+            g_w[f] += d * d
+            w[f] -= toxicity.RATE * d / math.sqrt(g_w[f])
+        g_e, g_b = g_e + d_e * d_e, g_b + d_b * d_b
+        e, b = e - 0.2 * toxicity.RATE * d_e / np.sqrt(g_e), b - 0.2 * toxicity.RATE * d_b / math.sqrt(g_b)
+    return lambda x, z: sum(w[f] * v for f, v in x.items()) + b + z @ e / 10
+
+
+def test_chain_is_what_plain_loops_give(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ENTRIES_AT_ONCE", 40)
+    rnd = random.Random(3)
+    bad, plain = ["scum", "idiot"], [f"w{k}" for k in range(12)]
+    data = []
+    for i in range(36):
+        toxic, junk = i % 3 == 0, i % 4 == 0
+        data.append((f"id{i:02d}", " ".join(rnd.choices(plain, k=6) + rnd.choices(bad, k=2 * toxic) + ["###"] * (2 * junk)), junk, toxic, 1.0 + i % 2))
+    data[7] = (*data[7][:1], data[5][1], *data[7][2:])  # equal texts share a fold
+    chain, oof = toxicity.fit_chain(spark.createDataFrame(data, "id string, text string, junk boolean, toxic boolean, weight double"), ["junk", "toxic"])
+    x = toxicity.features([t for _, t, *_ in data])
+    seen = Counter(x.col.tolist())
+    rows = [{c: float(v) for c, v in zip(x.col[x.row == i].tolist(), x.value[x.row == i].tolist(), strict=True) if seen[c] > 1} for i in range(len(data))]
+    fold = np.array([zlib.crc32(t.encode()) % toxicity.FOLDS for _, t, *_ in data])
+    weight, before = np.array([r[4] for r in data]), np.zeros((len(data), 0))
+    for c in range(2):
+        y, out = np.array([float(r[2 + c]) for r in data]), np.zeros(len(data))
+        for k in range(toxicity.FOLDS):
+            odds = plain_fit(rows, before, y, np.where(fold == k, 0.0, weight))
+            out[fold == k] = [odds(rows[i], before[i]) for i in np.flatnonzero(fold == k)]
+        assert oof[:, c] == pytest.approx(out, rel=1e-3, abs=1e-3)
+        whole, model = plain_fit(rows, before, y, weight), chain.models[c]
+        assert model.log_odds(x, before) == pytest.approx([whole(r, z) for r, z in zip(rows, before, strict=True)], rel=1e-3, abs=1e-3)
+        best = max((2 * (weight * y)[out > cut].sum() / (weight[out > cut].sum() + (weight * y).sum()), cut) for cut in out - 1e-9)[0]
+        got = out > model.cut
+        assert 2 * (weight * y)[got].sum() / (weight[got].sum() + (weight * y).sum()) == pytest.approx(best)
+        before = np.column_stack([before, out])
+
+
+def test_sample_is_bounded(spark):
+    rows = [(f"x{i % 40}", f"text {i}") for i in range(400)] + [(None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"x{i}", i % 2 == 0, i % 4 == 0) for i in range(50)] * 2, "doc_id string, junk boolean, toxic boolean")
+    got = toxicity.sample(docs, labels, ["junk", "toxic"], 5).collect()
+    assert len({r["id"] for r in got}) == len(got) and max(Counter((r["junk"], r["toxic"]) for r in got).values()) <= 5
+    assert all(r["weight"] == pytest.approx({(False, False): 25, (True, False): 12, (True, True): 13}[r["junk"], r["toxic"]] / 5) for r in got)
+
+
 def brute_components(rows, k, threshold=80):
     def shingles(t):
         w = (t or "").encode().lower().split()
@@ -227,9 +293,10 @@ def test_linked_counts_whole_sets(monkeypatch):
             assert got[i, j] == (100 * both >= 50 * (len(a) + len(b) - both))
 
 
-@pytest.mark.parametrize("hot", [1_000_000, 5])
-def test_components(spark, monkeypatch, hot):
-    monkeypatch.setattr(components, "HOT_LINKS", hot)
+@pytest.mark.parametrize("each", [100_000, 2])
+def test_components(spark, monkeypatch, each):
+    monkeypatch.setattr(components, "PARTS", 3)
+    monkeypatch.setattr(components, "LINKS_A_PART", each)
     rnd = random.Random(6)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
     parent = {}
@@ -333,9 +400,41 @@ def test_packing(spark, docs, no_docs):
     assert packing.cuts(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cuts(2048, 2048) == [(0, 2048)]
 
 
-def test_long_runs_use_the_tree():
-    text = "a" * (packing.LONG_RUN + 5) + " b<|endoftext|>"
-    assert packing.encoder(packing.default_path()).ids(text).tolist() == library_ids([(1, text)])[0][1][:-1]
+@pytest.mark.parametrize("run", [packing.LONG_RUN, 7])
+def test_long_runs_use_the_tree(monkeypatch, run):
+    monkeypatch.setattr(packing, "LONG_RUN", run)
+    own = packing.FastEncoder(packing.default_path())
+    for n in (run - 1, run, run + 1):
+        text = "a" * n + " " * n + "b<|endoftext|>"
+        assert own.ids(text).tolist() == library_ids([(1, text)])[0][1][:-1]
+
+
+def test_groups_of_pieces_are_ranked_as_one(spark):
+    rows = [(i, "word " * (i % 7 + 1)) for i in range(300)] + [(1000, "long " * 400)]
+    cut = stored(packing.pieces(as_frame(spark, rows), capacity=64), "cut")
+    bins = {check_places(packing.pack(cut, 64, rows_a_group=n).collect(), library_ids(rows), 64) for n in (3, 20_000)}
+    assert len(bins) == 1
+
+
+def test_texts_of_a_megabyte(spark, sf_dir):
+    rnd = random.Random(12)
+    words = [f"w{rnd.randrange(40000)}" for _ in range(200_000)]
+    long = " ".join(words)
+    other = " ".join(words[:100_000] + ["changed"] + words[100_001:])
+    rows = [(1, long), (2, other), (3, long), (4, "\n".join(words)), (5, "x" * 1_200_000), (6, "short one")]
+    labels = [(i, i % 2, i % 3 == 0) for i in range(1, 7)]
+    d = sf_dir(rows, [(i, q, int(t)) for i, q, t in labels], [(1, "u", "<p>" + "<br>x" * 300_000)])
+    got = {name.split("_")[0]: {r[0]: r for r in query(spark, d).collect()} for name, query in QUERIES.items() if name.split("_")[0] not in ("op8", "op9")}
+    ids = dict(library_ids(rows))
+    for i, t in rows:
+        assert got["op1"][i]["n_tokens"] == len(t.split()) + 1
+        assert got["op2"][i]["keep_id"] == (3 if i == 1 else i)
+        assert got["op3"][i]["n_tokens"] == len(ids[i]) - 1 and got["op3"][i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+        assert got["op7"][i]["n_chars"] == len(t)
+        assert got["op10"][i]["component_id"] == (1 if i < 5 else i)  # lines or words, the shingles are the same
+    assert got["op6"][3]["n_gone"] == got["op6"][2]["n_gone"] == 1 and got["op6"][4]["n_gone"] == 200_000 - len(set(words))
+    check_places(QUERIES["op9_martello_toth_best_fit_packing"](spark, d).collect(), list(ids.items()), 2048)
+    assert {len(r["block"]) for r in QUERIES["op8_warc_derivatives"](spark, d).where("record_type = 'conversion'").collect()} == {2 * 300_000 - 1}
 
 
 PAGES = [
@@ -377,6 +476,104 @@ def test_warc(spark, sf_dir):
     assert QUERIES["op8_warc_derivatives"](spark, d).count() == 2 * len(PAGES)
 
 
+class PlainText(HTMLParser):
+    """The text of a page as the standard library's parser sees it."""
+
+    ENDS = {"address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+    HIDDEN = {"script", "style", "noscript", "template", "svg"}
+
+    def __init__(self):
+        super().__init__()
+        self.title, self.body, self.inside, self.hidden = "", "", False, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.body += " " if tag in self.HIDDEN else ""
+        self.hidden += tag in self.HIDDEN
+        self.inside |= tag == "title"
+        self.body += "\n" if tag in self.ENDS and not self.hidden else ""
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in self.HIDDEN
+        self.inside &= tag != "title"
+        self.body += "\n" if tag in self.ENDS and not self.hidden else ""
+
+    def handle_comment(self, data):
+        self.body += " "
+
+    def handle_data(self, data):
+        if self.inside:
+            self.title += data
+        elif not self.hidden:
+            self.body += data
+
+
+def squeezed(text):
+    return [" ".join(x.split()) for x in text.split("\n") if x.split()]
+
+
+def random_page(rnd):
+    word = lambda: rnd.choice(["ab", "c &amp; d", "é", "1 &lt; 2", "x&#233;", "  y  "])
+
+    def block(depth):
+        kind = rnd.choice(["p", "div", "ul", "b", "i", "a", "comment", "script", "style", "svg", "template", "noscript", "text", "br"])
+        inner = "".join(block(depth - 1) for _ in range(rnd.randint(0, 3))) if depth else word()
+        attrs = rnd.choice(["", ' class="a>b"', " id='<x>'", " hidden"])
+        if kind == "comment":
+            return f"<!-- {word()} <p> -->"
+        if kind in ("script", "style"):
+            return f"<{kind}{attrs}>var a = '<p>x</p>';</{kind}>"
+        if kind in ("svg", "template", "noscript"):
+            return f"<{kind}{attrs}><p>{word()}</p></{kind}>"
+        return {"text": word(), "br": "<br>"}.get(kind) or f"<{kind}{attrs}>{inner}</{kind}>"
+
+    head = rnd.choice(["<head><meta charset='u'><title>T &amp; U</title></head>", "<head><title>T</title>", ""])
+    return f"<!DOCTYPE html><html>{head}<body>{''.join(block(3) for _ in range(5))}</body></html>"
+
+
+def test_plain_text_is_what_a_parser_sees():
+    rnd = random.Random(7)
+    pages = [random_page(rnd) for _ in range(300)]
+    sample = "/root/testdata/sf0.001/pages.parquet"
+    if os.path.exists(sample):
+        pages += pd.read_parquet(sample)["html"].dropna().tolist()
+    for page in pages:
+        want = PlainText()
+        want.feed(page)
+        want.close()
+        assert squeezed(warc.plain_text(page)) == squeezed(want.title) + squeezed(want.body), page
+
+
+def test_pages_without_ends_keep_their_text():
+    assert warc.plain_text("<head><title>T</title><body><p>All of the body</p>") == "T\nAll of the body"
+    assert warc.plain_text("<p>a<template><p>b<svg><p>c<noscript>d") == "a\nb\nc\nd".replace("c\nd", "cd")
+    assert warc.plain_text("<title>no end <p>text") == "no end\ntext"
+    for piece in ("<!--", "<script", "<script>", "<svg>", "<template>", "<title>", "<title", "<p ", "<a href='", '<a "', "<head>", "</svg><svg>", "<", "<!-"):
+        began = time.perf_counter()
+        warc.plain_text(piece * 40000)
+        assert time.perf_counter() - began < 3, piece
+
+
+def test_warc_files_are_read(spark, sf_dir, tmp_path):
+    d = sf_dir([], pages=PAGES)
+    made = warc.responses(spark.read.parquet(f"{d}/pages.parquet"))
+    rows = made.collect()
+    whole = b"".join(warc.serialise(r.asDict() | {"headers": r["headers"]}) for r in rows)
+    (tmp_path / "a.warc").write_bytes(whole)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc.serialise(r.asDict())) for r in rows))
+    (tmp_path / "c.warc").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "d.warc").write_bytes(b"")
+    paths = [str(tmp_path / f) for f in ("a.warc", "b.warc.gz", "c.warc", "d.warc")]
+    got = warc.read_warc(spark, paths)
+    fields = ["record_type", "record_id", "refers_to", "target_uri", "date", "headers", "block", "block_digest"]
+    by = defaultdict(list)
+    for r in got.orderBy("source", "at").collect():
+        by[r["source"]].append(tuple(r[f] for f in fields))
+    want = [tuple(r[f] for f in fields) for r in rows]
+    assert by[paths[0]] == by[paths[1]] == want and by[paths[2]] == want[: len(by[paths[2]])] and len(by[paths[2]]) < len(want) and paths[3] not in by
+    derived = {(r["record_id"], r["block_digest"]) for r in warc.derive(got.where(F.col("source") == paths[1]), "source").collect()}
+    assert derived == {(r["record_id"], r["block_digest"]) for r in warc.derive(made).collect()}
+
+
 def test_queries_have_their_columns(spark, sf_dir):
     rows, labels = toxic_rows(60)
     d = sf_dir(rows + odd_rows(), labels, PAGES)

@@ -55,3 +55,16 @@ def test_odd_rows(spark, sf_dir):
             assert sum(r["doc_id"] is None and r["text"] is None for r in rows) == 1
         nothing = stage(spark, as_frame(spark, []), d)
         assert nothing.count() == 0, name
+
+
+def test_columns_with_names_of_its_own(spark, sf_dir):
+    rows, labels = toxic_rows(200)
+    d = sf_dir(rows, labels)
+    names = {"lang": "__id", "source": "p_toxic", "id": "__gone", "line": "is_junk", "set": "gone", "key": "tie"}
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumnsRenamed(names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all((r["__id"], r["p_toxic"], r["__gone"], r["is_junk"], r["gone"], r["tie"]) == ("en", "src0", 7, "x", "y", "z") for r in got), name
+    assert dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, d).count() >= len(rows)

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomwright.llm import bpe, exact_dedup, line_dedup, sharding, winnowing
@@ -26,6 +27,26 @@ def test_exact_groups(spark, docs, no_docs):
     assert exact_dedup.exact_groups(no_docs).count() == 0
 
 
+def test_every_round_merges_sorted_runs(spark, docs):
+    rows = exact_dedup.digests(docs, "doc_id", "text", 64)
+    runs = exact_dedup.leaf_runs(rows, "max")
+    before = runs._jdf.queryExecution().executedPlan().toString().count("HashAggregate")
+    for _ in range(3):
+        runs = exact_dedup.merge_round(runs, "max", 4)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [node") == plan.count("Window [") == 3 and plan.count("Aggregate") == before
+    assert plan.count("Exchange hashpartitioning(") == 4  # the leaves' and one a round
+
+
+def test_digests_that_collide_are_told_apart(spark):
+    rows = [(i, f"text {i % 7}" + "x" * (i % 3)) for i in range(100)]
+    got = {r["id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(as_frame(spark, rows), keep="min", digest_bytes=0).collect()}
+    same = defaultdict(list)
+    for i, t in rows:
+        same[t].append(i)
+    assert got == {i: (min(same[t]), len(same[t])) for i, t in rows}
+
+
 def test_lookup_table_is_the_claiming_of_slots():
     names, size = sharding.shard_names(7), 101
     lists = []
@@ -67,11 +88,11 @@ def test_bpe_equals_the_library(spark, docs, no_docs):
         ids = own.encode([t])[0]
         assert np.frombuffer(ids, "<u4").tolist() == e.ids
         assert own.decode(ids) == lib.decode(e.ids, skip_special_tokens=False)
-    got = {(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in bpe.round_trip_digests(docs).collect()}
+    got = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip_digests(docs).collect()}
     want = set()
     for i, t in odd_rows():
-        ids = np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4")
-        want.add((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest()))
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.add((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert got == want
     back = bpe.decode_frame(bpe.encode_frame(docs))
     assert sorted(r["text"] for r in back.collect()) == sorted(t or "" for _, t in odd_rows())
@@ -81,61 +102,100 @@ def test_bpe_equals_the_library(spark, docs, no_docs):
 def test_long_and_short_pieces_merge_alike():
     own = bpe.Bpe(bpe.default_path())
     rnd = random.Random(1)
-    for n in (2, 3, 17, 60, 130):
+    for n in (2, 3, 17, 60, 130, bpe.WIDE - 1, bpe.WIDE, bpe.WIDE + 1, bpe.WIDE + 2):
         piece = "".join(rnd.choice("theinrgan") for _ in range(n)).encode()
         assert own.merge_all([piece])[0] == own.merge_one(piece).tobytes()
 
 
 def brute_fingerprint(text):
-    pieces = re.findall(winnowing.PIECE, text)
-    grams = [tuple(pieces[i : i + winnowing.K]) for i in range(len(pieces) - winnowing.K + 1)] or ([tuple(pieces)] if pieces else [])
-    return grams
+    """(position, hash) of the chosen runs, by a rolling hash and a look at each window."""
+    k, whole = winnowing.K, 2**64 - 1
+    value = lambda x: xxhash.xxh64(x.encode(), seed=42).intdigest()
+    if not text:
+        return []
+    if len(text) < k:
+        return [(0, value(text) >> 33)]
+    v = [value(c) for c in text]
+    sums = [0]
+    for c in v[:k]:
+        sums[0] = sums[0] << 1 & whole ^ c
+    for i in range(len(v) - k):
+        sums.append((sums[-1] ^ v[i] << k - 1 & whole) << 1 & whole ^ v[i + k])
+    h = [x >> 33 for x in sums]
+    out = []
+    for s in range(max(1, len(h) - winnowing.WINDOW + 1)):
+        at = min(range(s, min(s + winnowing.WINDOW, len(h))), key=lambda i: (h[i], -i))
+        if not out or out[-1] != (at, h[at]):
+            out.append((at, h[at]))
+    return out
+
+
+def jaccard(a, b):
+    a, b = {h for _, h in a}, {h for _, h in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def winnowing_texts():
+    rnd = random.Random(8)
+    letters = "abcdefgh ijk\n漢字🙂é\u2028"
+    n = winnowing.BLOCK
+    texts = ["".join(rnd.choices(letters, k=size)) for size in [0, 1, 15, 16, 17, 46, 47, 48, 49, 90, 140, 200, 500, n - 1, n, n + 1, n + 45, n + 46, n + 47, 2 * n, 2 * n + 30, 3 * n + 5]]
+    return texts + ["a" * 1000, "ab" * 300, "x", texts[-1], "漢" * 47 + texts[9]]
 
 
 def test_winnowing(spark, docs, no_docs):
-    got = {r["doc_id"]: r["fingerprint"] for r in winnowing.fingerprints(docs).where("doc_id IS NOT NULL").collect()}
-    for i, t in odd_rows():
-        if i is None:
-            continue
-        grams = brute_fingerprint(t or "")
-        chosen = got[i]
-        assert (not grams) == (not chosen)
-        by_hash = {}
-        for p, h in chosen:
-            assert by_hash.setdefault(h, grams[p]) == grams[p]
-        at = sorted(p for p, _ in chosen)
-        if grams:  # each window has a chosen gram
-            assert all(any(s <= p < s + winnowing.WINDOW for p in at) for s in range(max(1, len(grams) - winnowing.WINDOW + 1)))
-            assert len(at) <= max(1, len(grams) - winnowing.WINDOW + 1)
-    assert got[1] == got[2]
+    rows = [(i, t) for i, t in odd_rows() if i is not None] + [(100 + i, t) for i, t in enumerate(winnowing_texts())]
+    got = {r["doc_id"]: [tuple(x) for x in r["fingerprint"]] for r in winnowing.fingerprints(as_frame(spark, rows)).collect()}
+    for i, t in rows:
+        assert got[i] == brute_fingerprint(t or ""), i
     assert winnowing.fingerprints(no_docs).count() == 0
 
 
 def test_equal_hashes_choose_the_rightmost(spark):
-    f = winnowing.fingerprints(as_frame(spark, [(1, "aaaa " * 30)])).first()["fingerprint"]
-    grams = 30 - winnowing.K + 1
-    assert [p for p, _ in f] == list(range(winnowing.WINDOW - 1, grams))
+    f = winnowing.fingerprints(as_frame(spark, [(1, "a" * 300)])).first()["fingerprint"]
+    assert [p for p, _ in f] == list(range(winnowing.WINDOW - 1, 300 - winnowing.K + 1))
+
+
+def test_an_unspaced_passage_is_found_at_any_offset(spark):
+    rnd = random.Random(4)
+    passage = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(winnowing.SPAN))
+    rows = [(i, "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(60 + i)) + passage + "尾" * i) for i in range(9)]
+    found = [{h for _, h in r["fingerprint"]} for r in winnowing.fingerprints(as_frame(spark, rows)).collect()]
+    assert all(a & b for a in found for b in found)
 
 
 def test_edits(spark, docs, no_docs):
     rows = [(i, t) for i, t in odd_rows() if i is not None and i != 8]
+    rnd = random.Random(1)
+    rows += [(100 + i, t) for i, t in enumerate(rnd.sample(winnowing_texts() * 2, 54))]
     got = {r["doc_id"]: r for r in winnowing.compare_with_edits(as_frame(spark, rows)).collect()}
     order = sorted(rows, key=lambda r: -r[0])
+    assert len(got) == len(rows)
     for k, (i, t) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
         cut = len(t) // 3
         edited = t[: len(t) - cut] + after[:cut]
+        own, new, other = map(brute_fingerprint, (t, edited, after))
         assert got[i]["n_chars"] == len(t)
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
-        if edited == t:
-            assert got[i]["near_edited"] == 1 and got[i]["fingerprint"] == got[i]["edited_fingerprint"]
+        for name, want in (("fingerprint", own), ("edited_fingerprint", new)):
+            entries = ",".join(str(h << 31 | winnowing.LAST - p) for p, h in want)
+            assert got[i][name] == hashlib.sha256(entries.encode()).hexdigest(), (i, name)
+        assert got[i]["near_edited"] == pytest.approx(jaccard(own, new)) and got[i]["near_next"] == pytest.approx(jaccard(own, other))
     assert winnowing.compare_with_edits(docs).count() == len(odd_rows())
     assert winnowing.compare_with_edits(no_docs).count() == 0
     one = winnowing.compare_with_edits(as_frame(spark, [(5, "a b c")])).first()
     assert one["near_next"] == 1
 
 
+def test_rows_of_one_id_are_spread(spark):
+    rows = [(None, f"t{i}") for i in range(400)] + [(i, f"u{i}") for i in range(50)]
+    df = as_frame(spark, rows).select(F.coalesce("doc_id", F.lit(-1)).alias("key"), F.xxhash64("text").alias("tie"), "text")
+    got = {r["text"]: r["next_text"] for r in winnowing.with_next(df, ["text"]).collect()}
+    order = [r["text"] for r in df.orderBy(F.desc("key"), "tie").collect()]
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def brute_lines(rows, near=line_dedup.NEAR_WORDS, least=line_dedup.MIN_WORDS):
     def distance(a, b):
         d = list(range(len(b) + 1))
@@ -182,6 +242,14 @@ def test_lines(spark, docs, no_docs):
     for i, t in rows:
         assert got[i]["gone_lines"] == want[i], i
         assert got[i]["text"] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i])
+    # keys of a few bits collide: lines go on to the next of their key until one is near
+    for bits in (0, 3):
+        few = {r["doc_id"]: r["gone_lines"] for r in line_dedup.dedup_lines(as_frame(spark, rows), key_bits=bits).collect()}
+        assert few == {i: want[i] for i, _ in rows}, bits
+    clash = as_frame(spark, rows).withColumnsRenamed({"id": "__id", "key": "tie", "set": "gone", "line": "rest"})
+    out = line_dedup.dedup_lines(clash).orderBy("doc_id").collect()
+    assert [r["gone_lines"] for r in out] == [want[i] for i, _ in rows]
+    assert all((r["__id"], r["tie"], r["gone"], r["rest"]) == (7, "z", "y", "x") for r in out)
     out = line_dedup.dedup_lines(docs)
     assert out.count() == len(odd_rows()) and set(docs.columns) <= set(out.columns)
     assert out.where("doc_id = 4").first()["text"] is None
