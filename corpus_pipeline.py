@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import stored, table
+from loomwright.llm.common import stored, table, unused
 from loomwright.llm.line_dedup import dedup_lines
 from loomwright.llm.minhash import near_duplicates
 from loomwright.llm.packing import pack_documents
@@ -18,16 +18,22 @@ from loomwright.llm.toxicity import score, table_labels, toxicity_chain
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the chain flags as toxic. Null and empty texts are never flagged."""
-    chain = toxicity_chain(docs, table_labels(spark, sf_dir), ["junk", "toxic"])
-    return score(docs, chain).where("NOT is_toxic").select(*[F.col(f"`{c}`") for c in docs.columns])
+    labels = table_labels(spark, sf_dir)
+    more, taken = "", {c.lower() for c in docs.columns}
+    while taken & {f"{kind}_{c}{more}" for kind in ("p", "is") for c in ("junk", "toxic")}:
+        more += "_"
+    names = [f"junk{more}", f"toxic{more}"]  # no column of docs has the name of a result
+    chain = toxicity_chain(docs, labels.toDF("doc_id", *names), names)
+    return score(docs, chain).where(f"NOT is_toxic{more}").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that stand in an earlier document or earlier in the same; documents that lose all their lines go."""
-    out = dedup_lines(docs, gone_col="__gone")
-    left = out.where((F.size("__gone") == 0) | (F.trim("text") != ""))
+    gone = unused(docs, "gone")
+    out = dedup_lines(docs, gone_col=gone)
+    left = out.where((F.size(gone) == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.size("__gone") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        left = left.withColumn("n_chars", F.when(F.size(gone) == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
