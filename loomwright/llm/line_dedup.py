@@ -80,11 +80,11 @@ def counted_lines(rows: DataFrame, near_words: int, min_words: int) -> DataFrame
     )
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
-    """The lines that share one of their ends with another line."""
-    ends = lines.select("line", F.explode("ends").alias("end"))
+def _candidates(distinct: DataFrame) -> DataFrame:
+    """The lines (line, id, tie, no) that share one of their ends with another line; distinct: line, at, ends."""
+    ends = distinct.select("line", "at", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").agg(F.min(F.xxhash64("line")).alias("a"), F.max(F.xxhash64("line")).alias("b")).where("a < b").select("end")
-    return ends.join(shared, "end", "left_semi").select("line").distinct()
+    return ends.join(shared, "end", "left_semi").select("line", "at.*").distinct()
 
 
 def _thinned(places: DataFrame, rows: DataFrame) -> DataFrame:
@@ -142,8 +142,9 @@ def _near(candidates: DataFrame, near_words: int, key_bits: int = KEY_BITS) -> D
 def repeated_lines(rows: DataFrame, near_words: int = NEAR_WORDS, min_words: int = MIN_WORDS, key_bits: int = KEY_BITS) -> DataFrame:
     """id, tie and gone (numbers of the lines that go, from 0) of the documents (id, tie, text) that lose lines."""
     lines = stored(counted_lines(rows, near_words, min_words), "lines")
-    distinct = stored(lines.groupBy("line").agg(F.min(F.struct("id", "tie", "no")).alias("at"), F.count("*").alias("copies")), "distinct")
-    places = stored(_candidates(lines).join(distinct.select("line", "at"), "line").select("line", "at.*"), "places")
+    # a line's ends go with it, so a line that many documents have is looked for once
+    distinct = stored(lines.groupBy("line").agg(F.min(F.struct("id", "tie", "no")).alias("at"), F.count("*").alias("copies"), F.first("ends").alias("ends")), "distinct")
+    places = stored(_candidates(distinct), "places")
     found = _thinned(places, rows).join(places, ["id", "tie", "no"])
     candidates = stored(found.select("line", F.struct("id", "tie", "no").alias("at"), _words(F.col("raw"), F.col("odd")).alias("w")), "candidates")
     near = _near(candidates, near_words, key_bits).withColumn("near", F.lit(True))

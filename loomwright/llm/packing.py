@@ -12,8 +12,8 @@ input. The reduction takes an anchor length and asks whether one small set with
 
 The rest is packed by best fit, longest first. Bins with the same contents are one group with a count, so the plan is
 exactly that of best-fit decreasing over all pieces and its work is bounded by the capacity. Pieces then get their
-place by rank within their length; ranks are counted over salted sub-groups of about ROWS_A_GROUP pieces, as many as a
-length's count asks for, so no length is gathered in one task.
+place by rank within their length; ranks are counted over salted sub-groups, of n pieces of a length about the root of n
+of as many pieces each, so neither the pieces of a length nor its sub-groups are many in one task.
 
 Defined results: null text is empty text (one piece, the end token alone); a document longer than the capacity is cut
 from its end into full pieces, so only the first piece may be shorter; rows that repeat an id are packed as documents of
@@ -22,6 +22,7 @@ their own; every piece has exactly one place and places are gapless; an empty ta
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,8 +37,6 @@ from loomwright.llm.bpe import PATTERN, Bpe, chunks, default_path
 from loomwright.llm.common import batched, only, stored, table
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces of a length that are ranked together.
-ROWS_A_GROUP = 20_000
 #: Runs of one kind of character (white space or not) from which on the segment tree encodes a text: the fast encoder's
 #: time grows with the square of a piece. The ids are the same.
 LONG_RUN = 20_000
@@ -192,13 +191,13 @@ def segments(groups: list[Group]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", rows_a_group: int = ROWS_A_GROUP) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
     """sequence_id and offset for each row of a stored table of pieces."""
     spark = cut.sparkSession
     lengths = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     schema = "length long, _from long, _to long, _q long, _sequence long, _offset long"
     places = spark.createDataFrame(segments(plan(lengths, capacity)), schema)  # bounded by the capacity
-    groups = spark.createDataFrame([(s, -(-n // rows_a_group)) for s, n in lengths.items()], "length long, _groups long")
+    groups = spark.createDataFrame([(s, math.isqrt(n - 1) + 1) for s, n in lengths.items()], "length long, _groups long")
     salted = cut.join(F.broadcast(groups), "length").withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), "_groups")).drop("_groups")
     sub = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = sub.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")

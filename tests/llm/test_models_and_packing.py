@@ -412,8 +412,9 @@ def test_long_runs_use_the_tree(monkeypatch, run):
 def test_groups_of_pieces_are_ranked_as_one(spark):
     rows = [(i, "word " * (i % 7 + 1)) for i in range(300)] + [(1000, "long " * 400)]
     cut = stored(packing.pieces(as_frame(spark, rows), capacity=64), "cut")
-    bins = {check_places(packing.pack(cut, 64, rows_a_group=n).collect(), library_ids(rows), 64) for n in (3, 20_000)}
-    assert len(bins) == 1
+    want = library_ids(rows)
+    lengths = Counter(n for _, ids in want for _, n in packing.cuts(len(ids), 64))
+    assert check_places(packing.pack(cut, 64).collect(), want, 64) == sum(t for t, _ in packing.plan(dict(lengths), 64))
 
 
 def test_texts_of_a_megabyte(spark, sf_dir):
