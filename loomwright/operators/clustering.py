@@ -8,16 +8,19 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.operators import sweeps
 from loomwright.operators.graph import connected
 from loomwright.operators.joins import co_members
 from loomwright.operators.ranking import min_max, with_totals
+from loomwright.storage import stored
+
+#: Dimensions up to which points are sent to the cells around their own.
+MOST_AXES = 6
 
 
 def prepared(df: DataFrame, id_col: str, categories: Sequence[str], numbers: Sequence[str]) -> DataFrame:
@@ -58,104 +61,55 @@ def axes_to_keep(explained: Sequence[float]) -> int:
     return max(2, int((e >= cut).sum()))
 
 
-def _labelled(df: DataFrame, x: str, kind: str, k: int, seed: int = 42) -> DataFrame:
-    make = {"kmeans": KMeans, "bisecting": BisectingKMeans, "gaussian": GaussianMixture}[kind]
-    model = make(k=k, seed=seed, featuresCol="_v", predictionCol="label").fit(df.withColumn("_v", array_to_vector(x)))
-    return model.transform(df.withColumn("_v", array_to_vector(x))).withColumn("label", F.col("label").cast("int"))
-
-
-def cluster_indices(df: DataFrame, x: str) -> tuple[float, float]:
-    """Davies-Bouldin and Calinski-Harabasz of a labelled frame, from sums by cluster. The number of clusters is small."""
-    rows = df.select("label", F.posexplode(x).alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m")).collect()
-    counts = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
-    size = 1 + max(r["i"] for r in rows)
-    centre = {c: np.zeros(size) for c in counts}
-    for r in rows:
-        centre[r["label"]][r["i"]] = r["m"]
-    if len(counts) < 2:
-        return math.inf, 0.0
-    mid = F.create_map(*[y for c, v in centre.items() for y in (F.lit(c), F.array(*map(F.lit, v.tolist())))])
-    far = F.aggregate(F.zip_with(F.col(x), mid[F.col("label")], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    got = df.select("label", far.alias("d")).groupBy("label").agg(F.avg(F.sqrt("d")).alias("s"), F.sum("d").alias("w")).collect()
-    spread, within = {r["label"]: r["s"] for r in got}, sum(r["w"] for r in got)
-    db = np.mean([max((spread[a] + spread[b]) / max(float(np.linalg.norm(centre[a] - centre[b])), 1e-12) for b in counts if b != a) for a in counts])
-    n, k = sum(counts.values()), len(counts)
-    whole = sum(counts[c] * centre[c] for c in counts) / n
-    between = sum(counts[c] * float(((centre[c] - whole) ** 2).sum()) for c in counts)
-    return float(db), between / max(within, 1e-12) * (n - k) / (k - 1)
-
-
-def _scores(df: DataFrame, x: str, kind: str, ks: Iterable[int]) -> list[tuple[int, float, float, float]]:
-    out = []
-    for k in ks:
-        got = _labelled(df, x, kind, k).persist()
-        sil = ClusteringEvaluator(featuresCol="_v", predictionCol="label").evaluate(got) if got.select("label").distinct().count() > 1 else -1.0
-        out.append((k, float(sil), *cluster_indices(got, x)))
-        got.unpersist()
-    return out
-
-
 def _norm(v: np.ndarray) -> np.ndarray:
     span = v.max() - v.min()
     return (v - v.min()) / span if span else np.zeros(len(v))
 
 
+def _scored(df: DataFrame, id_col: str, x: str, kind: str, ks: Sequence[int]) -> tuple[DataFrame, object, list[tuple[int, float, float, float, float]]]:
+    """The rows as a table, the model, and k with its indices and score for each clustering."""
+    ks = list(ks)
+    rows = stored(df.select(id_col, x), "vectors")
+    model = sweeps.fitted(rows, id_col, x, kind, ks)
+    found = sweeps.indices(rows, x, model.labels, ks)
+    s, d, c = (np.array(v) for v in zip(*found, strict=True))
+    worst = d[np.isfinite(d)].max() if np.isfinite(d).any() else 0.0
+    total = _norm(s) + 1 - _norm(np.where(np.isfinite(d), d, worst)) + _norm(c)
+    return rows, model, [(k, *map(float, r), float(t)) for k, r, t in zip(ks, found, total, strict=True)]
+
+
 def scores_of_k(df: DataFrame, id_col: str, x: str, kind: str, ks: Iterable[int]) -> DataFrame:
     """k, its indices and their sum: scaled silhouette, 1 less Davies-Bouldin, Calinski-Harabasz."""
-    rows = _scores(df, x, kind, ks)
-    s, d, c = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
-    total = _norm(s) + 1 - _norm(d) + _norm(c)
-    return df.sparkSession.createDataFrame([(*r, float(t)) for r, t in zip(rows, total, strict=True)], "k int, silhouette double, davies_bouldin double, calinski_harabasz double, score double")
+    return df.sparkSession.createDataFrame(_scored(df, id_col, x, kind, ks)[2], "k int, silhouette double, davies_bouldin double, calinski_harabasz double, score double")
 
 
 def select_and_label(df: DataFrame, id_col: str, x: str, kind: str, ks: Iterable[int]) -> DataFrame:
-    """id and label by the k of the best score."""
-    best = max(scores_of_k(df, id_col, x, kind, ks).collect(), key=lambda r: (r["score"], -r["k"]))["k"]
-    return _labelled(df, x, kind, best).select(id_col, "label")
-
-
-def fuzzy_c_means(df: DataFrame, id_col: str, x: str, k: int, m: float = 2.0, error: float = 0.005, iterations: int = 1000, seed: int = 42) -> DataFrame:
-    """id, label (largest membership) and membership. Centres are on the driver (k vectors); sums are made by partition."""
-    first = df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(k).select(x).collect()
-    centre = np.array([r[0] for r in first], float)
-
-    def memberships(v: np.ndarray, c: np.ndarray) -> np.ndarray:
-        d = np.maximum(((v[:, None, :] - c[None]) ** 2).sum(2), 1e-18) ** (1 / (m - 1))
-        return 1 / (d * (1 / d).sum(1, keepdims=True))
-
-    for _ in range(iterations):
-        now = centre
-
-        def sums(batches: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
-            top, low = np.zeros_like(now), np.zeros(len(now))
-            for b in batches:
-                if len(b):
-                    v = np.stack(b[x].to_numpy())
-                    u = memberships(v, now) ** m
-                    top, low = top + u.T @ v, low + u.sum(0)
-            yield pd.DataFrame({"j": range(len(now)), "top": list(top), "low": low})
-
-        got = df.select(x).mapInPandas(sums, "j int, top array<double>, low double").collect()  # k rows a partition
-        top, low = np.zeros_like(centre), np.zeros(len(centre))
-        for r in got:
-            top[r["j"]] += r["top"]
-            low[r["j"]] += r["low"]
-        centre = top / np.maximum(low, 1e-18)[:, None]
-        if np.abs(centre - now).max() < error:
-            break
-    last = centre
+    """id and label by the k of the best score; all k share each pass over the rows."""
+    rows, model, found = _scored(df, id_col, x, kind, ks)
+    return sweeps.labelled(rows, id_col, x, model, int(np.argmax([r[-1] for r in found])))
+
+
+def fuzzy_c_means(df: DataFrame, id_col: str, x: str, ks: int | Sequence[int], m: float = 2.0, error: float = 0.005, iterations: int = 1000, seed: int = 42) -> DataFrame:
+    """id, label (largest membership) and membership, by the k of the least scaled partition entropy."""
+    ks = [ks] if isinstance(ks, int) else list(ks)
+    rows = stored(df.select(id_col, x), "vectors")
+    model = sweeps.FuzzyMeans.fit(rows, id_col, x, ks, seed, m, error, iterations)
+    best = int(np.argmin(model.partition_entropy(rows, x))) if len(ks) > 1 else 0
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            u = memberships(np.stack(b[x].to_numpy()), last) if len(b) else np.zeros((0, k))
-            yield pd.DataFrame({id_col: b[id_col], "label": u.argmax(1) if len(b) else [], "membership": u.max(1).round(6) if len(b) else []})
+            if len(b):
+                u = model.memberships(np.stack(b[x].to_numpy()), best)
+                yield pd.DataFrame({id_col: b[id_col], "label": u.argmax(1).astype(np.int32), "membership": u.max(1).round(6)})
 
-    return df.select(id_col, x).mapInPandas(label, f"{id_col} {df.schema[id_col].dataType.simpleString()}, label int, membership double")
+    return rows.mapInPandas(label, f"{id_col} {df.schema[id_col].dataType.simpleString()}, label int, membership double")
 
 
 def dbscan(df: DataFrame, id_col: str, x: str, eps: float, min_samples: int) -> DataFrame:
-    """id and label, -1 for noise. Points meet in cells of side eps: each is sent to the cells around its own (two or three dimensions)."""
+    """id and label, -1 for noise. Points meet in cells of side eps: each is sent to the cells around its own (at most MOST_AXES dimensions)."""
     size = len(df.select(x).first()[0])
+    if size > MOST_AXES:
+        raise ValueError(f"{size} dimensions have {3**size} cells around each; bring them down to {MOST_AXES} first, as famd() does")
     cell = F.array(*[F.floor(F.col(x)[i] / eps) for i in range(size)])
     around: list[list[int]] = [[]]
     for _ in range(size):
@@ -172,22 +126,88 @@ def dbscan(df: DataFrame, id_col: str, x: str, eps: float, min_samples: int) ->
     return out.select(F.col("a").alias(id_col), F.coalesce("label", "border", F.lit(-1)).alias("label"))
 
 
-def kmodes(df: DataFrame, id_col: str, columns: Sequence[str], k: int, iterations: int = 20, least: float = 10) -> DataFrame:
-    """id, label and mismatches by k modes. Null is the value -1 while modes are made; modes are k rows on the driver."""
-    filled = df.select(id_col, *[F.coalesce(F.col(c).cast("string"), F.lit("-1")).alias(c) for c in columns])
-    common = filled.groupBy(*columns).count().orderBy(F.desc("count"), *columns).limit(k).collect()
-    modes, before = [tuple(r[c] for c in columns) for r in common], math.inf
-    while True:
-        off = [reduce(lambda a, b: a + b, [(F.col(c) != F.lit(v)).cast("int") for c, v in zip(columns, mode, strict=True)]) for mode in modes]
-        best = F.array_min(F.array(*[F.struct(o.alias("mismatches"), F.lit(j).alias("label")) for j, o in enumerate(off)]))
-        got = filled.withColumn("b", best).select(id_col, *columns, "b.label", "b.mismatches")
-        cost = got.agg(F.sum("mismatches").alias("s")).first()["s"] or 0
-        iterations -= 1
-        if abs(before - cost) < least or not iterations:
-            return got.select(id_col, "label", "mismatches")
-        before = cost
-        new = {r["label"]: tuple(r[c] for c in columns) for r in got.groupBy("label").agg(*[F.mode(c, True).alias(c) for c in columns]).collect()}
-        modes = [new.get(j, m) for j, m in enumerate(modes)]
+def first_modes(filled: DataFrame, columns: Sequence[str], most: int) -> list[tuple[str, ...]]:
+    """Cao's first modes: the densest row, then rows that are dense and far from the modes so far; the first k serve for k.
+
+    A row's density is the mean share of its values. Rows are looked at once for each combination of values that occurs.
+    """
+    rows = filled.groupBy(*columns).agg(F.count("*").alias("_c"))
+    n = filled.count()
+    for c in columns:
+        rows = rows.join(filled.groupBy(c).agg((F.count("*") / F.lit(n * len(columns))).alias(f"_d{c}")), c)
+    rows = stored(rows.select(*columns, reduce(lambda a, b: a + b, [F.col(f"_d{c}") for c in columns]).alias("_d")), "combinations")
+    modes = [tuple(r[c] for c in columns) for r in rows.orderBy(F.desc("_d"), *columns).limit(1).collect()]
+    while modes and len(modes) < most:
+        off = [reduce(lambda a, b: a + b, [(F.col(c) != F.lit(v)).cast("int") for c, v in zip(columns, m, strict=True)]) for m in modes]
+        near = F.array_min(F.array(*off)) * F.col("_d")
+        r = rows.withColumn("_f", near).where("_f > 0").orderBy(F.desc("_f"), *columns).limit(1).collect()
+        if not r:
+            break
+        modes.append(tuple(r[0][c] for c in columns))
+    return modes
+
+
+def _modes_pass(rows: DataFrame, columns: Sequence[str], modes: list[list[tuple[str, ...]]]) -> tuple[list[float], dict[tuple[int, int], str]]:
+    """The cost of each clustering, and the most frequent value of each column of each cluster (key, column)."""
+    offsets = np.concatenate([[0], np.cumsum([len(m) for m in modes])]).astype(int)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            values, parts = b[list(columns)].to_numpy(str), []
+            for i, m in enumerate(modes):
+                off = (values[:, None, :] != np.array(m, str)[None]).sum(2)
+                at = off.argmin(1)
+                parts.append(pd.DataFrame({"key": -1 - i, "column": -1, "value": "", "n": [int(off.min(1).sum())]}))
+                for j in range(len(columns)):
+                    got = pd.Series(values[:, j]).groupby([at + offsets[i], values[:, j]]).size()
+                    parts.append(pd.DataFrame({"key": got.index.get_level_values(0), "column": j, "value": got.index.get_level_values(1), "n": got.to_numpy()}))
+            yield pd.concat(parts)[["key", "column", "value", "n"]]
+
+    counts = rows.select(*columns).mapInPandas(run, "key int, `column` int, value string, n long").groupBy("key", "column", "value").agg(F.sum("n").alias("n"))
+    best = counts.groupBy("key", "column").agg(F.max_by(F.struct("value", "n"), F.struct("n", "value")).alias("b")).collect()  # a row for each cluster and column
+    cost = [0.0] * len(modes)
+    new = {}
+    for r in best:
+        if r["key"] < 0:
+            cost[-1 - r["key"]] = float(r["b"]["n"])
+        else:
+            new[r["key"], r["column"]] = r["b"]["value"]
+    return cost, new
+
+
+def kmodes(df: DataFrame, id_col: str, columns: Sequence[str], ks: int | Sequence[int], rounds: int = 100, least: float = 10) -> DataFrame:
+    """id, label and mismatches by k modes from Cao's first ones. Null is the value -1 while modes are made.
+
+    Of several k the costs are looked at in turn until one changes by less than `least` (from the third on); of those looked
+    at the one with the least cost counts. All k share each pass over the rows; modes are sum(ks) rows on the driver.
+    """
+    ks = [ks] if isinstance(ks, int) else list(ks)
+    rows = stored(df.select(id_col, *[F.coalesce(F.col(c).cast("string"), F.lit("-1")).alias(c) for c in columns]), "rows")
+    first = first_modes(rows, columns, max(ks))
+    modes, cost = [first[:k] for k in ks], [math.inf] * len(ks)
+    if not first:
+        return rows.select(id_col, F.lit(0).alias("label"), F.lit(0).alias("mismatches")).limit(0)
+    live = list(range(len(ks)))
+    for _ in range(rounds):
+        part = [modes[i] for i in live]
+        now, new = _modes_pass(rows, columns, part)
+        at, left = 0, []
+        for i, c in zip(live, now, strict=True):
+            if c < cost[i]:
+                left.append(i)
+                cost[i], kept = c, modes[i]
+                modes[i] = [tuple(new.get((at + j, p), v) for p, v in enumerate(m)) for j, m in enumerate(kept)]
+            at += len(part[live.index(i)])
+        live = left
+        if not live:
+            break
+    seen = next((i + 1 for i in range(2, len(ks)) if abs(cost[i] - cost[i - 1]) < least), len(ks))
+    chosen = modes[int(np.argmin(cost[:seen]))]
+    off = [reduce(lambda a, b: a + b, [(F.col(c) != F.lit(v)).cast("int") for c, v in zip(columns, mode, strict=True)]) for mode in chosen]
+    best = F.array_min(F.array(*[F.struct(o.alias("mismatches"), F.lit(j).alias("label")) for j, o in enumerate(off)]))
+    return rows.withColumn("b", best).select(id_col, "b.label", "b.mismatches")
 
 
 def consensus(df: DataFrame, item: str, algorithm: str, label: str) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import RandomForestRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.operators.ranking import ordinal
+from loomwright.storage import stored
 
-#: The range of forests that are tried: trees, and depth up to what Spark's trees allow.
-TREES, DEPTHS = (30, 40), (20, 30)
+#: The range of forests that are tried: trees and depth. Bins of a feature; items that are predicted together.
+TREES, DEPTHS, BINS, ITEMS = (30, 40), (20, 32), 64, 4096
 
 
 def hash_bucket(key: str, n: int) -> Column:
@@ -33,33 +36,138 @@ def matrix(df: DataFrame, user: str, item: str, value: str, items: Sequence[obje
     return df.groupBy(user).pivot(item, list(items)).agg(F.sum(value)).fillna(unrated)
 
 
-def _forest(trees: int, depth: int, seed: int) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol="features", labelCol="rating", numTrees=trees, maxDepth=min(depth, 30), seed=seed)
-
-
-def fixed_forest(ratings: DataFrame, features: DataFrame, trees: int = 80, depth: int = 20, seed: int = 42) -> DataFrame:
-    """item and prediction for the items without a rating."""
-    train = ratings.join(features, "item").persist()
-    model = _forest(trees, depth, seed).fit(train)
-    train.unpersist()
-    return model.transform(features.join(ratings.select("item"), "item", "left_anti")).select("item", F.round("prediction", 6).alias("prediction"))
+@dataclass
+class Forest:
+    """Regression trees over binned features: of each node the split into two halves of least squared error.
+
+    Trees grow level by level, all nodes of a level at once, from sums of each node and bin. A tree sees the rows as
+    often as a draw with replacement has them.
+    """
+
+    cuts: list[np.ndarray]  #: bounds of the bins of each feature
+    feature: list[np.ndarray]  #: for each tree and node: the feature, -1 for a leaf
+    bin: list[np.ndarray]  #: rows up to this bin go to the first child
+    child: list[np.ndarray]  #: the first child, which the second follows
+    value: list[np.ndarray]
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)])
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        code, out = self.codes(x), np.zeros(len(x))
+        rows = np.arange(len(x))
+        for feature, bin_, child, value in zip(self.feature, self.bin, self.child, self.value, strict=True):
+            node = np.zeros(len(x), np.int64)
+            while (inner := feature[node] >= 0).any():
+                right = code[rows, np.maximum(feature[node], 0)] > bin_[node]
+                node = np.where(inner, child[node] + right, node)
+            out += value[node]
+        return out / max(len(self.value), 1)
+
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int, depth: int, seed: int, bins: int = BINS) -> Forest:
+        rnd = np.random.default_rng(seed)
+        cuts = []
+        for j in range(x.shape[1]):
+            seen = np.unique(x[:, j])
+            middle = (seen[1:] + seen[:-1]) / 2
+            cuts.append(middle if len(middle) < bins else np.unique(middle[np.linspace(0, len(middle) - 1, bins - 1).astype(int)]))
+        out = cls(cuts, [], [], [], [])
+        code = out.codes(x)
+        width = max((len(c) for c in cuts), default=0) + 1
+        for _ in range(trees):
+            weight = np.bincount(rnd.integers(len(y), size=len(y)), minlength=len(y)).astype(float)
+            rows = np.flatnonzero(weight)
+            feature, bin_, child = [np.array([-1])], [np.array([0])], [np.array([0])]
+            value = [np.array([float((weight * y).sum() / weight.sum())])]
+            node, first, count, total = np.zeros(len(rows), np.int64), 0, 1, 1
+            for _level in range(depth):
+                w, wy = weight[rows], weight[rows] * y[rows]
+                best, at = np.full(count, 1e-12), np.zeros((count, 2), np.int64) - 1
+                all_w, all_y = np.bincount(node, w, count), np.bincount(node, wy, count)
+                for j in range(x.shape[1]):
+                    key = node * width + code[rows, j]
+                    left_w = np.bincount(key, w, count * width).reshape(count, width).cumsum(1)[:, :-1]
+                    left_y = np.bincount(key, wy, count * width).reshape(count, width).cumsum(1)[:, :-1]
+                    right_w, right_y = all_w[:, None] - left_w, all_y[:, None] - left_y
+                    ok = (left_w > 0.5) & (right_w > 0.5)
+                    gain = np.where(ok, left_y**2 / np.maximum(left_w, 1) + right_y**2 / np.maximum(right_w, 1), -np.inf) - (all_y**2 / np.maximum(all_w, 1))[:, None]
+                    if not gain.shape[1]:
+                        continue
+                    k = gain.argmax(1)
+                    better = gain[np.arange(count), k] > best
+                    best = np.where(better, gain[np.arange(count), k], best)
+                    at[better] = np.column_stack([np.full(count, j), k])[better]
+                split = np.flatnonzero(at[:, 0] >= 0)
+                if not len(split):
+                    break
+                feature[-1][split], bin_[-1][split] = at[split, 0], at[split, 1]
+                place = np.full(count, -1)
+                place[split] = 2 * np.arange(len(split))
+                child[-1][split] = total + place[split]
+                stay = place[node] >= 0
+                rows, node = rows[stay], node[stay]
+                node = place[node] + (code[rows, at[node, 0]] > at[node, 1])
+                count = 2 * len(split)
+                feature.append(np.full(count, -1))
+                bin_.append(np.zeros(count, np.int64))
+                child.append(np.zeros(count, np.int64))
+                value.append(np.bincount(node, weight[rows] * y[rows], count) / np.maximum(np.bincount(node, weight[rows], count), 1e-12))
+                total += count
+            for to, parts in ((out.feature, feature), (out.bin, bin_), (out.child, child), (out.value, value)):
+                to.append(np.concatenate(parts))
+        return out
+
+
+def best_forest(x: np.ndarray, y: np.ndarray, test: np.ndarray, tries: int, seed: int) -> Forest:
+    """Of some forests the one that fits the held-out rows best; depths are spread evenly by their logarithm."""
+    if tries == 1 or not test.any() or test.all():
+        return Forest.fit(x, y, TREES[1], DEPTHS[0], seed)
+    best: tuple[float, int, Forest] | None = None
+    for t in range(tries):
+        trees = TREES[0] + (7 * t) % (TREES[1] - TREES[0] + 1)
+        depth = round(DEPTHS[0] * (DEPTHS[1] / DEPTHS[0]) ** (t / max(tries - 1, 1)))
+        model = Forest.fit(x[~test], y[~test], trees, depth, seed + t)
+        error = float(np.sqrt(((model.predict(x[test]) - y[test]) ** 2).mean()))
+        if best is None or error < best[0]:
+            best = (error, t, model)
+    return best[2]
+
+
+def forests(ratings: DataFrame, features: DataFrame, fit: Callable[[np.ndarray, np.ndarray, np.ndarray], Forest]) -> DataFrame:
+    """user_id, item and prediction over each user's unrated items; features: item, features (array<double>).
+
+    Users are independent: one task trains a user's forest from all that the user has rated. Items are then predicted in
+    blocks of ITEMS, a block of each user at a time.
+    """
+    rated = split(ratings, "item").join(features, "item").select("user_id", "item", "rating", "test", "features")
+    kind = ratings.schema["user_id"].dataType.simpleString()
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item")
+        model = fit(np.stack(pdf["features"].to_numpy()).astype(float), pdf["rating"].to_numpy(float), pdf["test"].to_numpy(bool))
+        return pd.DataFrame({"user_id": pdf["user_id"].iloc[:1], "model": [pickle.dumps(model)]})
+
+    models = stored(rated.groupBy("user_id").applyInPandas(train, f"user_id {kind}, model binary"), "forests")
+    numbered = features.withColumn("_b", F.pmod(F.xxhash64("item"), F.greatest(F.lit(1), F.ceil(F.lit(features.count() / ITEMS)))))
+    blocks = numbered.groupBy("_b").agg(F.collect_list(F.struct("item", "features")).alias("items"))
+    named = features.schema["item"].dataType.simpleString()
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for user, model, items in zip(b["user_id"], b["model"], b["items"], strict=True):
+                x = np.array([list(i["features"]) for i in items], float)
+                yield pd.DataFrame({"user_id": user, "item": [i["item"] for i in items], "prediction": pickle.loads(model).predict(x).round(6)})  # noqa: S301  made above
+
+    every = blocks.crossJoin(models).repartition("user_id", "_b").select("user_id", "model", "items").mapInPandas(predict, f"user_id {kind}, item {named}, prediction double")
+    return every.join(ratings.select("user_id", "item"), ["user_id", "item"], "left_anti")
 
 
 def user_forests(ratings: DataFrame, features: DataFrame, tries: int = 10, seed: int = 42) -> DataFrame:
     """user_id, item and prediction: for each user the best of some forests by a held-out tenth, over unrated items."""
-    out = None
-    for i, u in enumerate(r["user_id"] for r in ratings.select("user_id").distinct().orderBy("user_id").collect()):
-        own = split(ratings.where(F.col("user_id") == u), "item").join(features, "item").persist()
-        best = None
-        for t in range(tries):
-            trees = TREES[0] + (7 * t + i) % (TREES[1] - TREES[0] + 1)
-            depth = round(DEPTHS[0] * (DEPTHS[1] / DEPTHS[0]) ** (t / max(tries - 1, 1)))
-            model = _forest(trees, depth, seed + t).fit(own.where("NOT test"))
-            held = model.transform(own.where("test"))
-            error = RegressionEvaluator(labelCol="rating", metricName="rmse").evaluate(held) if held.limit(1).count() else 0.0
-            best = min(best or (error, t, model), (error, t, model), key=lambda b: b[:2])
-        own.unpersist()
-        rest = features.join(ratings.where(F.col("user_id") == u).select("item"), "item", "left_anti")
-        got = best[2].transform(rest).select(F.lit(u).alias("user_id"), "item", F.round("prediction", 6).alias("prediction"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    return forests(ratings, features, lambda x, y, test: best_forest(x, y, test, tries, seed))
+
+
+def fixed_forest(ratings: DataFrame, features: DataFrame, trees: int = 80, depth: int = 20, seed: int = 42) -> DataFrame:
+    """item and prediction for the items that a user has not rated, by one forest for each user of the ratings."""
+    return forests(ratings, features, lambda x, y, _: Forest.fit(x, y, trees, depth, seed)).select("item", "prediction")

@@ -27,22 +27,28 @@ def lookup(df: DataFrame, column: str, values: Mapping[object, object], out: str
 def phrase_matches(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """Which labels stand in which texts as whole words, and at which word: an equi-join on runs of words.
 
-    A text emits its runs of the lengths that labels have, so the work grows with the texts and not with texts times
-    labels. The lengths are as few as the words of the longest label.
+    A text emits its runs of the lengths that labels have, where a label's first word stands, so the work grows with the
+    texts and not with texts times labels. First words and lengths of a dimension of labels travel as one row.
     """
     tokens = F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "")
     named = labels.select(F.col(label_col), F.filter(F.split(F.col(label_col), r"\s+"), lambda w: w != "").alias("_w")).where(F.size("_w") > 0)
-    named = named.select(label_col, F.array_join("_w", " ").alias("_run"), F.size("_w").alias("_n"))
-    sizes = named.groupBy().agg(F.collect_set("_n").alias("_sizes"))  # distinct lengths of labels
-    runs = docs.select(id_col, tokens.alias("_t")).crossJoin(F.broadcast(sizes)).select(id_col, "_t", F.explode("_sizes").alias("_n"))
-    runs = runs.where(F.size("_t") >= F.col("_n")).select(id_col, "_n", F.posexplode(F.expr("transform(sequence(1, size(_t) - _n + 1), i -> array_join(slice(_t, i, _n), ' '))")).alias("pos", "_run"))
-    return runs.join(named, ["_run", "_n"]).groupBy(id_col, label_col).agg(F.min("pos").alias("pos"))
+    named = named.select(label_col, F.array_join("_w", " ").alias("_run"), F.size("_w").alias("_n"), F.get("_w", F.lit(0)).alias("_f"))
+    known = named.groupBy().agg(F.collect_set("_n").alias("_sizes"), F.collect_set("_f").alias("_firsts"))
+    own = docs.select(id_col, tokens.alias("_t")).crossJoin(F.broadcast(known)).withColumn("_i", F.array_intersect("_t", "_firsts")).where(F.size("_i") > 0)
+    at = F.filter(F.transform("_t", lambda w, i: F.when(F.array_contains("_i", w), i)), lambda i: i.isNotNull())
+    runs = F.flatten(F.transform(at, lambda i: F.transform("_sizes", lambda n: F.struct(i.alias("pos"), n.alias("_n"), F.array_join(F.slice("_t", i + 1, n), " ").alias("_run")))))
+    found = own.select(id_col, F.size("_t").alias("_s"), F.explode(runs).alias("_r")).where("_r.pos + _r._n <= _s").select(id_col, "_r.*")
+    return found.join(named.drop("_f"), ["_run", "_n"]).groupBy(id_col, label_col).agg(F.min("pos").alias("pos"))
 
 
 def last_containing(df: DataFrame, names: DataFrame, text: str, name: str, order: str) -> DataFrame:
-    """Of the names that stand anywhere in a text, the last by order."""
-    hit = df.join(names, F.col(text).contains(F.col(name)))
-    return hit.groupBy(*df.columns).agg(F.max_by(name, order).alias(name))
+    """Of the names that stand anywhere in a text, the last by order; texts without any are left out.
+
+    The names of a dimension travel as one array, so each text is looked at once and nothing is shuffled.
+    """
+    one = names.where(F.col(name).isNotNull()).agg(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("_names"))
+    hit = df.crossJoin(F.broadcast(one)).withColumn("_hit", F.array_max(F.filter("_names", lambda x: F.contains(F.col(text), x["n"])))).where("_hit IS NOT NULL")
+    return hit.select(*df.columns, F.col("_hit.n").alias(name))
 
 
 def nearest_colour(df: DataFrame, palette: DataFrame, rgb: Sequence[str] = ("red", "green", "blue"), out: str = "name") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +97,25 @@ def diversity(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
 LABELS = [("Length", "the"), ("Length", "and"), ("Fit", "of the"), ("Fit", "of"), ("Sleeve", "la"), ("Sleeve", "und"), ("NeckDesign", "in"), ("NeckDesign", "is")]
 
 
-@query("x09_label_annotation")
+#: Pairs of label forms that are alike, by the standard library's measure.
+_ALIKE = ", ".join(f"('{a}', '{b}')" for a in sorted({x.upper() for _, x in LABELS}) for b in sorted({x.upper() for _, x in LABELS}) if difflib.SequenceMatcher(None, a, b).ratio() >= 0.8)
+_NAMED = ", ".join(f"('{a}', '{x}', '{x.upper()}')" for a, x in LABELS)
+
+
+@query(
+    "x09_label_annotation",
+    rf"""WITH w AS (SELECT doc_id AS oid, src, list_filter(regexp_split_to_array(lower(t), '[ 	
+]+'), lambda x: x <> '') AS w FROM
+  (SELECT doc_id, 0 AS src, string_split(text, chr(10))[1] AS t FROM documents UNION ALL SELECT doc_id, 1, text FROM documents)),
+ l(attr, label, form) AS (VALUES {_NAMED}), alike(a, b) AS (VALUES {_ALIKE}),
+ two AS (SELECT oid, src, w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS r FROM w),
+ bad AS (SELECT DISTINCT oid, label FROM two, l WHERE list_contains(r, label || ' sleeve')),
+ hit AS (SELECT oid, attr, src, form, CASE WHEN contains(label, ' ') THEN list_position(r, label) ELSE list_position(w, label) END AS pos, l.label FROM two, l),
+ good AS (SELECT oid, attr, src, form, pos FROM hit WHERE pos > 0 AND NOT (attr = 'Length' AND (oid, label) IN (SELECT oid, label FROM bad))),
+ num AS (SELECT *, row_number() OVER (PARTITION BY oid, attr ORDER BY src, pos, form) AS i FROM good),
+ kept AS (SELECT * FROM num n WHERE NOT EXISTS (SELECT 1 FROM num m JOIN alike ON m.form = a WHERE m.oid = n.oid AND m.attr = n.attr AND m.i < n.i AND n.form = b))
+ SELECT oid, attr, string_agg(form, ',' ORDER BY i) AS labels, min_by(form, i) AS label FROM kept GROUP BY oid, attr""",
+)
 def x09(spark, d):
     labels = spark.createDataFrame(LABELS, "attr string, label string")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("oid"), F.substring_index("text", "\n", 1).alias("headline"), F.col("text").alias("metadata"))

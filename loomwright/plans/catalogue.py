@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from loomwright.plans import annotate, changes, filters, groups, joins, models, pages, recommend, scalars  # noqa: F401
+from loomwright.plans import annotate, changes, filters, groups, joins, media, models, pages, recommend, scalars  # noqa: F401

@@ -130,12 +130,13 @@ def j16(spark, d):
     return g.select("l_orderkey", F.explode(F.expr("filter(flatten(transform(a, x -> transform(a, y -> struct(x AS i, y AS j)))), p -> p.i < p.j)")).alias("p")).select("l_orderkey", "p.i", "p.j")
 
 
-_LABELS = "SELECT n_nationkey AS item, a.algorithm, CASE a.algorithm WHEN 0 THEN n_nationkey % 3 WHEN 1 THEN n_nationkey % 4 ELSE n_regionkey END AS label FROM nation, (VALUES (0), (1), (2)) a(algorithm)"
+#: Three clusterings of the suppliers: two by their numbers, one by nation.
+_LABELS = "SELECT s_suppkey AS item, a.algorithm, CASE a.algorithm WHEN 0 THEN s_suppkey % 5 WHEN 1 THEN s_suppkey % 7 ELSE s_nationkey END AS label FROM supplier, (VALUES (0), (1), (2)) a(algorithm)"
 
 
 def cluster_labels(spark, d):
-    n = table(spark, d, "nation")
-    return n.select(F.col("n_nationkey").alias("item"), F.posexplode(F.array(F.col("n_nationkey") % 3, F.col("n_nationkey") % 4, F.col("n_regionkey"))).alias("algorithm", "label"))
+    s = table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("item"), F.posexplode(F.array(F.col("s_suppkey") % 5, F.col("s_suppkey") % 7, F.col("s_nationkey"))).alias("algorithm", "label"))
 
 
 @query("j17_co_membership", f"SELECT a.item AS i, b.item AS j, round(count(*) / 3, 3) AS share FROM ({_LABELS}) a JOIN ({_LABELS}) b ON a.algorithm = b.algorithm AND a.label = b.label AND a.item < b.item GROUP BY 1, 2")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +12,13 @@ from loomwright.operators import online as O
 from loomwright.plans.joins import _LABELS, cluster_labels
 from loomwright.registry import query, table
 
-#: The numbers of clusters that are tried.
-KS = range(2, 31)
+#: The numbers of clusters that are tried, and those of modes.
+KS, MODES = range(2, 31), range(2, 75)
 
 
 def vectors(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    """Products by their coordinates on the first axes of their mixed attributes."""
+    return C.famd(mixed(spark, d), "id", ["brand", "kind"], ["size", "price"], 3).withColumnRenamed("coordinates", "x")
 
 
 def mixed(spark, d) -> DataFrame:
@@ -46,14 +45,14 @@ def m03(spark, d):
     return C.select_and_label(vectors(spark, d), "id", "x", "kmeans", KS)
 
 
-@query("m04_birch_by_bisection")
+@query("m04_birch")
 def m04(spark, d):
-    return C.select_and_label(vectors(spark, d), "id", "x", "bisecting", KS)
+    return C.select_and_label(vectors(spark, d), "id", "x", "birch", KS)
 
 
 @query("m05_fuzzy_c_means")
 def m05(spark, d):
-    return C.fuzzy_c_means(vectors(spark, d), "id", "x", 3)
+    return C.fuzzy_c_means(vectors(spark, d), "id", "x", KS)
 
 
 @query("m06_dbscan")
@@ -75,7 +74,7 @@ def m08(spark, d):
 @query("m09_kmodes")
 def m09(spark, d):
     m = mixed(spark, d).withColumn("size", (F.col("size") / 10).cast("int").cast("string"))
-    return C.kmodes(m, "id", ["brand", "kind", "size"], 4)
+    return C.kmodes(m, "id", ["brand", "kind", "size"], MODES)
 
 
 _PAIR = f"SELECT a.item AS i, b.item AS j, round(count(*) / 3, 3) AS share FROM ({_LABELS}) a JOIN ({_LABELS}) b ON a.algorithm = b.algorithm AND a.label = b.label AND a.item < b.item GROUP BY 1, 2"
@@ -109,7 +108,7 @@ def ratings(spark, d) -> DataFrame:
 
 def item_features(spark, d) -> DataFrame:
     p = table(spark, d, "part")
-    return VectorAssembler(inputCols=["p_size", "p_retailprice"], outputCol="features").transform(p).select(F.col("p_partkey").alias("item"), "features")
+    return p.select(F.col("p_partkey").alias("item"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("features"))
 
 
 @query("m14_user_forests")

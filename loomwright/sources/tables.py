@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,29 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
+def write_files(df: DataFrame, folder: str) -> DataFrame:
+    """Writes a file below the folder for each row (name, content); gives name and bytes of those written.
+
+    Tasks write, each file whole under another name first, so a task that runs twice leaves the same files.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        for b in batches:
+            for name, content in zip(b["name"], b["content"], strict=True):
+                at = f"{top}/{name}"
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                beside = f"{at.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(beside) as f:
+                    f.write(bytes(content))
+                store.move(beside, at)
+            yield pd.DataFrame({"name": b["name"], "bytes": [len(c) for c in b["content"]]})
+
+    return df.select("name", "content").mapInPandas(run, "name string, bytes long")
+
+
 def newest_model(spark: SparkSession, folder: str, name: str) -> str | None:
     """The last changed entry of a folder whose name contains the given one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

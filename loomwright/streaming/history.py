@@ -33,20 +33,14 @@ def sessions(events: DataFrame, at: str, user: str, gap: str = "30 minutes", lat
 def upsert_stream(rows: DataFrame, path: str, unique: Sequence[str], key: str, checkpoint: str, last: Sequence[Column] = (), **trigger: object) -> StreamingQuery:
     """Each batch into the table at path: known keys take new values, others get identities.
 
-    The table's column _batch has the number of the batch that last wrote it, so a batch that comes again after a crash
-    changes nothing. Of rows of a batch that repeat a key the last by `last` counts.
+    A batch that comes again after a crash gives the same table, as its keys are known by then and only the last batch
+    can come again. Of rows of a batch that repeat a key the last by `last` counts.
     """
 
-    def each(batch: DataFrame, number: int) -> None:
+    def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         recover_table(spark, path)
-        target = spark.read.parquet(path)
-        if "_batch" not in target.columns:
-            target = target.withColumn("_batch", F.lit(-1).cast("long"))
-        if (target.agg(F.max("_batch").alias("m")).first()["m"] or -1) >= number:
-            return
-        changed = upsert(target.drop("_batch"), batch, list(unique), key, [F.col(u) for u in unique], last)
-        replace_table(changed.withColumn("_batch", F.lit(number).cast("long")), path)
+        replace_table(upsert(spark.read.parquet(path), batch, list(unique), key, [F.col(u) for u in unique], last), path)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 

@@ -14,12 +14,12 @@ from loomwright.functions import images, similarity, tfidf
 from loomwright.functions import metrics as M
 from loomwright.functions import text as X
 from loomwright.operators import clustering as C
-from loomwright.operators import dml, graph, joins, predicates, ranking
+from loomwright.operators import dml, forests, graph, joins, predicates, ranking, sweeps
 from loomwright.operators import online as O
 from loomwright.plans import annotate, recommend
 from loomwright.sources import sheets, shops, social, tables
 from loomwright.sources.fixed import COARSE_PALETTE, DETAILED_PALETTE, palette_frame
-from loomwright.storage import replace_table, scratch_path
+from loomwright.storage import recover_table, replace_table, scratch_path
 from loomwright.streaming import history
 
 
@@ -144,6 +144,46 @@ def test_changes(spark):
     assert rows(dml.reload(t, new.select("name").distinct(), "oid", [F.asc("name")]), "oid") == [(1, "b", None), (2, "d", None)]
 
 
+def test_repeated_changes_and_null_keys(spark):
+    t = spark.createDataFrame([(1, "a", 1), (2, None, 1)], "oid long, name string, n int")
+    changes = spark.createDataFrame([(1, "x", 5, 1), (1, None, 7, 2), (1, "w", 6, 0), (None, "z", 1, 1)], "oid long, name string, n int, at int")
+    assert rows(dml.update_by_key(t, changes, "oid", order=[F.col("at")]), "oid") == [(1, "x", 7), (2, None, 1)]
+    assert rows(dml.update_by_key(t, changes, "oid", strict=True, order=[F.col("at")]), "oid") == [(1, None, 7), (2, None, 1)]
+    new = spark.createDataFrame([("a", 5), ("a", 4), (None, 8), (None, 9), ("c", 1), ("c", 2)], "name string, n int")
+    assert rows(dml.upsert(t, new, ["name"], "oid", [F.col("name")], [F.col("n")]), "oid") == [(1, "a", 5), (2, None, 9), (3, "c", 2)]
+    assert rows(dml.insert_if_absent(t, new, ["name"], "oid", [F.col("n")]), "oid") == [(1, "a", 1), (2, None, 1), (3, "c", 1)]
+
+
+def test_a_crash_leaves_a_table(spark):
+    path = scratch_path(spark, "t")
+    spark.range(3).write.parquet(f"{path}.old")  # renamed away, and the new one not yet in its place
+    recover_table(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    spark.range(9).write.parquet(f"{path}.old")  # the new one is in its place
+    recover_table(spark, path)
+    assert spark.read.parquet(path).count() == 3 and not os.path.exists(path.removeprefix("file:") + ".old")
+
+
+def test_a_batch_that_comes_again_gives_the_same_table(spark, tmp_path):
+    path, source = scratch_path(spark, "dim"), f"{tmp_path}/in"
+    spark.createDataFrame([(1, "a", 1)], "oid long, name string, n int").write.parquet(path)
+    spark.createDataFrame([("a", 4), ("b", 2), ("b", 3)], "name string, n int").coalesce(1).write.parquet(source)
+    for checkpoint in ("one", "two"):  # a lost checkpoint brings the same batch again
+        stream = history.read_stream(spark, source, "name string, n int")
+        history.upsert_stream(stream, path, ["name"], "oid", f"{tmp_path}/{checkpoint}", [F.col("n")]).awaitTermination()
+        assert rows(spark.read.parquet(path), "oid") == [(1, "a", 4), (2, "b", 3)]
+
+
+def test_diversity_leaves_pairs_that_are_0_out(spark):
+    def of(vectors):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id int, x array<double>")
+        return annotate.diversity(df, "id", "x").first()["diversity"]
+
+    assert of([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]) == 0.293
+    assert of([[1.0, 0.0], [0.0, 0.0], [2.0, 0.0]]) == 0.0
+    assert of([[1.0, 0.0], [0.0, 1.0]]) is None
+
+
 def test_replace_table(spark):
     path = scratch_path(spark, "t")
     spark.range(3).write.parquet(path)
@@ -205,6 +245,103 @@ def test_clusters_of_clear_groups(spark):
     assert len(axes) == 30 and all(len(r["coordinates"]) == 2 for r in axes)
 
 
+def plain_indices(v, label):
+    groups = {c: v[label == c] for c in set(label.tolist())}
+    square = lambda a, b: ((a - b) ** 2).sum(-1)
+    sil = []
+    for i, c in enumerate(label.tolist()):
+        if len(groups[c]) == 1:
+            sil.append(0.0)
+            continue
+        a = square(groups[c], v[i]).sum() / (len(groups[c]) - 1)
+        b = min(square(g, v[i]).mean() for o, g in groups.items() if o != c)
+        sil.append((b - a) / max(a, b))
+    mid = {c: g.mean(0) for c, g in groups.items()}
+    wide = {c: np.sqrt(square(g, mid[c])).mean() for c, g in groups.items()}
+    db = np.mean([max((wide[a] + wide[b]) / np.sqrt(square(mid[a], mid[b])) for b in groups if b != a) for a in groups])
+    n, k = len(v), len(groups)
+    between = sum(len(g) * square(mid[c], v.mean(0)) for c, g in groups.items())
+    within = sum(square(g, mid[c]).sum() for c, g in groups.items())
+    return np.mean(sil), db, between / within * (n - k) / (k - 1)
+
+
+@pytest.mark.parametrize("kind", ["kmeans", "birch", "gaussian"])
+def test_sweeps_find_groups_and_their_indices(spark, kind):
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.normal(0, 0.3, (25, 2)) + [g * 4, g % 2] for g in range(4)] + [[[30.0, 30.0]]])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, x array<double>").repartition(3)
+    ks = [2, 4, 5, 7]
+    model = sweeps.fitted(df, "id", "x", kind, ks)
+    labels = model.labels(v)
+    for i, (got, k) in enumerate(zip(sweeps.indices(df, "x", model.labels, ks), ks, strict=True)):
+        assert got == pytest.approx(plain_indices(v, labels[:, i]), rel=1e-6)
+        assert dict(rows(sweeps.labelled(df, "id", "x", model, i), "id")) == dict(enumerate(labels[:, i].tolist()))
+        assert labels[:, i].max() < k
+    five = labels[:, 2]
+    assert all(len(set(five[25 * g : 25 * g + 25].tolist())) == 1 for g in range(4))
+    assert len(set(five.tolist())) == 5 or kind == "gaussian" and len(set(five.tolist())) >= 3  # the process may leave components empty
+
+
+def test_features_stay_few():
+    rng = np.random.default_rng(2)
+    v = rng.normal(0, 5, (400, 2))
+    n, ls, ss, t = sweeps._absorb(np.ones(400), v, (v * v).sum(1), 20, 0.1)
+    assert len(n) <= 20 and t > 0.1 and n.sum() == 400 and np.allclose(ls.sum(0), v.sum(0)) and np.isclose(ss.sum(), (v * v).sum())
+    assert np.allclose(sweeps._digamma(np.array([0.1, 1.0, 2.5, 30.0])), [-10.4237549404, -0.5772156649, 0.7031566406, 3.3844381326])
+
+
+def test_fuzzy_means_choose_k(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(0, 0.2, (30, 2)) + [g * 9, 0] for g in range(3)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, x array<double>")
+    model = sweeps.FuzzyMeans.fit(df, "id", "x", [2, 3, 4], 42)
+    want = []
+    for i, k in enumerate((2, 3, 4)):
+        share = model.memberships(v, i) / model.memberships(v, i).sum(0)
+        want.append(float(-(share * np.log2(share)).sum() / np.log2(k)))
+    assert model.partition_entropy(df, "x") == pytest.approx(want)
+    got = C.fuzzy_c_means(df, "id", "x", [2, 3, 4]).collect()
+    assert len({r["label"] for r in got}) <= (2, 3, 4)[int(np.argmin(want))]
+
+
+def test_modes_start_dense_and_far_apart(spark):
+    data = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "y"), ("b", "z"), ("c", "z"), (None, "z")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "id long, p string, q string")
+    filled = df.fillna("-1")
+    share = lambda r: sum(sum(o[j] == r[j] for o in data) for j in (0, 1)) / 14
+    want = [max(sorted(set(data), key=str), key=share)]
+    while len(want) < 4:
+        far = lambda r: min(sum(a != b for a, b in zip(r, m, strict=True)) for m in want) * share(r)  # noqa: E731, B023
+        want.append(max(sorted(set(data), key=lambda r: (r[0] or "-1", r[1])), key=far))
+    assert C.first_modes(filled, ["p", "q"], 4) == [(a or "-1", b) for a, b in want]
+    cats = spark.createDataFrame([(i, "abcd"[i % 4], "wxyz"[i % 4]) for i in range(80)], "id long, p string, q string")
+    got = C.kmodes(cats, "id", ["p", "q"], range(2, 8))
+    assert got.agg(F.sum("mismatches")).first()[0] == 0 and got.select("label").distinct().count() == 4
+
+
+def test_forests_of_users(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 10, (120, 2))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item int, features array<double>")
+    likes = {1: lambda v: 5.0 if v[0] > 5 else 1.0, 2: lambda v: 4.0 if v[1] > 3 else 0.0}
+    given = [(u, i, f(x[i])) for u, f in likes.items() for i in range(90)]
+    ratings = spark.createDataFrame(given, "user_id int, item int, rating double")
+    for got in (forests.user_forests(ratings, items, tries=3).collect(),):
+        assert {(r["user_id"], r["item"]) for r in got} == {(u, i) for u in likes for i in range(90, 120)}
+        assert np.mean([abs(r["prediction"] - likes[r["user_id"]](x[r["item"]])) for r in got]) < 0.4
+    one = forests.fixed_forest(ratings.where("user_id = 1"), items).collect()
+    assert len(one) == 30 and np.mean([abs(r["prediction"] - likes[1](x[r["item"]])) for r in one]) < 0.4
+
+
+def test_a_tree_is_the_best_split(spark):
+    x = np.array([[0.0], [1.0], [2.0], [3.0], [10.0], [11.0]])
+    y = np.array([1.0, 1.0, 1.0, 2.0, 9.0, 9.0])
+    got = forests.Forest.fit(np.repeat(x, 50, 0), np.repeat(y, 50), 30, 1, 1)
+    assert all(c[0] == pytest.approx(6.5) for c in [[got.cuts[0][b[0]]] for b in got.bin])
+    deep = forests.Forest.fit(np.repeat(x, 50, 0), np.repeat(y, 50), 5, 20, 1)
+    assert deep.predict(x) == pytest.approx(y)
+
+
 def test_naive_bayes_by_hand(spark):
     w = spark.createDataFrame([(1, "good", 1.0), (2, "bad", 1.0), (3, "good", 0.8), (3, "bad", 0.6), (4, "other", 1.0)], "id long, term string, weight double")
     grades = spark.createDataFrame([(1, 5), (2, 0)], "id long, grade int")

@@ -41,11 +41,7 @@ def test_against_sql(spark, db, name):
     assert plain(got) == plain(want)
 
 
-#: They train many models; at this size their operators are tested on small frames instead.
-SLOW = {"m14_user_forests", "m03_kmeans_selected", "m04_birch_by_bisection", "m07_gaussian_mixture", "m13_model_selection"}
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns and df.count() >= 0

@@ -53,8 +53,8 @@ def test_clusterings_try_the_surveyed_range(spark, monkeypatch):
     monkeypatch.setattr(models, "vectors", lambda spark, d: None)
     for f in ("select_and_label", "scores_of_k"):
         monkeypatch.setattr(models.C, f, lambda df, i, x, kind, ks: asked.append((kind, list(ks))))
-    monkeypatch.setattr(models.C, "fuzzy_c_means", lambda df, i, x, k, **more: asked.append(more))
-    for name in ("m03_kmeans_selected", "m04_birch_by_bisection", "m07_gaussian_mixture", "m13_model_selection", "m05_fuzzy_c_means"):
+    monkeypatch.setattr(models.C, "fuzzy_c_means", lambda df, i, x, k: asked.append(list(k)))
+    for name in ("m03_kmeans_selected", "m04_birch", "m07_gaussian_mixture", "m13_model_selection", "m05_fuzzy_c_means"):
         QUERIES[name](spark, "")
     whole = list(range(2, 31))
-    assert asked == [("kmeans", whole), ("bisecting", whole), ("gaussian", whole), ("kmeans", whole), {}]
+    assert asked == [("kmeans", whole), ("birch", whole), ("gaussian", whole), ("kmeans", whole), whole]
