@@ -30,8 +30,9 @@ from loomwright.llm.common import batched, only, table
 
 #: The pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces that a worker remembers, leaves above which pieces are merged singly, characters encoded at once.
-CACHE_PIECES, WIDE, CHUNK_CHARS = 500_000, 256, 500_000
+#: Pieces that a worker remembers and their characters, leaves above which pieces are merged singly (with the same
+#: result), characters encoded at once.
+CACHE_PIECES, CACHE_CHARS, WIDE, CHUNK_CHARS = 500_000, 8_000_000, 256, 500_000
 NONE = np.int64(2**62)
 
 
@@ -73,7 +74,8 @@ class Bpe:
         self.ranks = np.array([first[k] for k in self.keys.tolist()], np.int64)
         self.split = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.pattern = regex.compile(PATTERN)
-        self.memory: dict[str, bytes] = {}
+        self.memory: dict[str | int, bytes] = {}
+        self.held = 0
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * 2**20 + right
@@ -197,10 +199,12 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.parts(t) for t in texts]
-        if len(self.memory) > CACHE_PIECES:
+        if len(self.memory) > CACHE_PIECES or self.held > CACHE_CHARS:
             self.memory.clear()
+            self.held = 0
         new = [p for p in set().union(*parts).difference(self.memory)] if parts else []
         words = [p for p in new if isinstance(p, str)]
+        self.held += sum(map(len, words))
         self.memory.update(zip(words, self.merge_all([p.encode("utf-8", "surrogatepass") for p in words]), strict=True))
         self.memory.update((p, np.array([p], "<u4").tobytes()) for p in new if not isinstance(p, str))
         get = self.memory.__getitem__

@@ -221,23 +221,40 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
     store.move(name, inner)
 
 
-#: Maps of files that a worker keeps: they take address space, not memory.
-@lru_cache(8192)
-def read_arrays(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped; from a store that can't be mapped, through an unnamed local copy."""
-    if local := _plain(path):
-        raw = np.memmap(local, np.uint8, "r").view(np.ndarray)
-    else:
-        from pyarrow import fs
-
-        store, inner = fs.FileSystem.from_uri(path)
-        with tempfile.TemporaryFile() as copy:
-            with store.open_input_stream(inner) as f:
-                while block := f.read(1 << 22):
-                    copy.write(block)
-            copy.flush()
-            raw = np.memmap(copy, np.uint8, "r").view(np.ndarray)
+def _arrays(raw: np.ndarray) -> dict[str, np.ndarray]:
     size = int.from_bytes(raw[:8].tobytes(), "little")
     spec = json.loads(raw[8 : 8 + size].tobytes())
     begin = 8 + size
     return {k: raw[begin + at : begin + at + n * np.dtype(d).itemsize].view(d) for k, (at, n, d) in spec.items()}
+
+
+#: Maps of files that a worker keeps: they take address space, not memory.
+@lru_cache(8192)
+def _mapped(path: str) -> dict[str, np.ndarray]:
+    return _arrays(np.memmap(path, np.uint8, "r").view(np.ndarray))
+
+
+#: Files of a store that can't be mapped, which a worker holds in memory.
+@lru_cache(8)
+def _held(path: str) -> dict[str, np.ndarray]:
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    with store.open_input_file(inner) as f:
+        return _arrays(np.frombuffer(f.read(), np.uint8))
+
+
+def read_arrays(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, memory-mapped; from a store that can't be mapped, in memory, a few files at a time."""
+    local = _plain(path)
+    return _held(path) if local is None else _mapped(local)
+
+
+@lru_cache(16384)
+def _mapped_sequence(path: str, name: str) -> EliasFano:
+    return EliasFano.read(read_arrays(path), name)
+
+
+def sequence(path: str, name: str) -> EliasFano:
+    """A sequence of a file."""
+    return EliasFano.read(read_arrays(path), name) if _plain(path) is None else _mapped_sequence(path, name)

@@ -37,14 +37,16 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.bpe import chunks
 from loomwright.llm.common import batched, scratch_path, stored, table
-from loomwright.llm.elias_fano import EliasFano, pack, read_arrays, unpack, write_arrays
+from loomwright.llm.elias_fano import EliasFano, pack, read_arrays, sequence, unpack, write_arrays
 from loomwright.llm.tokens import words
 
 DISCOUNT = 0.75
 #: Bytes of text for each file of a level, the fewest files, entries that a counting task holds before it sends them.
 FILE_BYTES, FEWEST_FILES, HELD = 32_000_000, 64, 2_000_000
 #: Characters that are looked up at once (the more, the fewer n-grams are looked up twice), and rows sent at once.
-TEXT_CHARS, ROWS_AT_ONCE = 3_000_000, 2000
+TEXT_CHARS, ROWS_AT_ONCE = 4_000_000, 2000
+#: Characters whose words are found at once: as many as the powers that are kept are for.
+WORD_CHARS = 700_000
 #: Steps of a natural logarithm in which runs carry probabilities: 16 bits reach down to exp(-32).
 LOG_STEPS = 2048
 #: Tasks that write a level, at most; each writes some files, one after the other.
@@ -110,11 +112,6 @@ class Model:
         return f"{self.path}/level{order}/{i:06d}.ef"
 
 
-@lru_cache(16384)
-def sequence(path: str, name: str) -> EliasFano:
-    return EliasFano.read(read_arrays(path), name)
-
-
 def by_file(which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each file with the places of its queries."""
     order = np.argsort(which, kind="stable")
@@ -210,15 +207,16 @@ class Text:
 
 
 def read_texts(texts: list[str]) -> Text:
-    w = words(texts)
-    size = w.counts + 2
+    found = [(w.counts, w.hashes) for i, j in chunks(texts, WORD_CHARS) for w in [words(texts[i:j])]]
+    counts, words_of = (np.concatenate([np.empty(0, t), *part]) for t, part in zip((np.int64, np.uint64), zip(*found, strict=True) if found else ((), ()), strict=True))
+    size = counts + 2
     ends = np.cumsum(size)
     all_ = np.full(int(ends[-1]) if len(ends) else 0, END)
     is_start = np.zeros(len(all_), bool)
     is_start[ends - size] = True
     inner = ~is_start
     inner[ends - 1] = False
-    all_[inner] = w.hashes
+    all_[inner] = words_of
     hashes, word = np.unique(all_, return_inverse=True)
     return Text(np.where(is_start, -1, word), is_start, ends, hashes)
 

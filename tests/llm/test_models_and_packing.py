@@ -109,6 +109,14 @@ def test_ngram_scores(spark, no_docs):
     assert ngram.score(no_docs, model).count() == 0
 
 
+def test_files_that_cannot_be_mapped_are_read(tmp_path, monkeypatch):
+    e = elias_fano.EliasFano.of(np.arange(0, 900, 7))
+    path = f"file://{tmp_path}/x.ef"
+    elias_fano.write_arrays(path, {f"x.{k}": a for k, a in e.arrays().items()})
+    monkeypatch.setattr(elias_fano, "_plain", lambda _: None)
+    assert (elias_fano.sequence(path, "x").get(np.arange(e.n)) == np.arange(0, 900, 7)).all()
+
+
 def test_packed_integers():
     for v in ([], [0], [5, 5, 7, 2**40], [9, 3, 2**63], list(range(0, 3000, 3))):
         assert elias_fano.unpack(elias_fano.pack(np.array(v, np.uint64))).tolist() == v
@@ -293,10 +301,9 @@ def test_linked_counts_whole_sets(monkeypatch):
             assert got[i, j] == (100 * both >= 50 * (len(a) + len(b) - both))
 
 
-@pytest.mark.parametrize("each", [100_000, 2])
-def test_components(spark, monkeypatch, each):
-    monkeypatch.setattr(components, "PARTS", 3)
-    monkeypatch.setattr(components, "LINKS_A_PART", each)
+@pytest.mark.parametrize("share", [1000, 8, 1])
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr(components, "HOT_SHARE", share)
     rnd = random.Random(6)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
     parent = {}
