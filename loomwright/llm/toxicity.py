@@ -142,7 +142,7 @@ def laid_out(path: str) -> tuple[list[Sparse], dict[str, np.ndarray]]:
     while at < len(ends):
         begin = int(ends[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(ends, begin + ENTRIES_AT_ONCE, side="right")))
-        row = np.repeat(np.arange(to - at, dtype=np.int32), np.diff(ends[at:to], prepend=begin))
+        row = np.repeat(np.arange(to - at, dtype=np.uint16 if to - at < 2**16 else np.int32), np.diff(ends[at:to], prepend=begin))
         parts.append(Sparse(to - at, row, a["col"][begin : ends[to - 1]], a["value"][begin : ends[to - 1]]))
         at = to
     return parts, a
