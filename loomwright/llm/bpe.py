@@ -22,11 +22,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm.common import batched, only, table
+from loomwright.llm.common import arrow_batched, beside, only, table, texts_of
 
 #: The pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -236,50 +236,48 @@ def encode_frame(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
     """The id column, and ids: the token ids of each whole text."""
     path = path or default_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b[text_col]]
+            texts = texts_of(b, text_col)
             for i, j in chunks(texts):
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe(path).encode(texts[i:j])]
-                yield pd.DataFrame({id_col: b[id_col].iloc[i:j].to_numpy(), "ids": ids})
+                yield beside(b.column(id_col).slice(i, j - i), {"ids": pa.array(ids, pa.list_(pa.int32()))}, id_col)
 
     src = only(df, [id_col, text_col])
-    return batched(src, run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return arrow_batched(src, run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode_frame(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The id column, and text: what the ids spell; bytes that are no UTF-8 become U+FFFD."""
     path = path or default_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [bpe(path).decode(np.asarray([] if x is None else x, "<u4").tobytes()) for x in b[ids_col]]
-            yield pd.DataFrame({id_col: b[id_col].to_numpy(), "text": texts})
+            texts = [bpe(path).decode(np.asarray([] if x is None else x, "<u4").tobytes()) for x in b.column(ids_col).to_pylist()]
+            yield beside(b.column(id_col), {"text": pa.array(texts, pa.string())}, id_col)
 
     src = only(df, [id_col, ids_col])
-    return batched(src, run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, text string")
+    return arrow_batched(src, run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, text string")
 
 
 def round_trip_digests(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: the number of tokens, and digests of the ids and of the text decoded from them."""
     path = path or default_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b[text_col]]
+            texts = texts_of(b, text_col)
             for i, j in chunks(texts):
                 ids = bpe(path).encode(texts[i:j])
-                yield pd.DataFrame(
-                    {
-                        id_col: b[id_col].iloc[i:j].to_numpy(),
-                        "n_tokens": np.array([len(x) // 4 for x in ids], np.int64),
-                        "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                        "decoded_sha256": [hashlib.sha256(bpe(path).decode(x).encode()).hexdigest() for x in ids],
-                    }
-                )
+                made = {
+                    "n_tokens": np.array([len(x) // 4 for x in ids], np.int64),
+                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                    "decoded_sha256": [hashlib.sha256(bpe(path).decode(x).encode()).hexdigest() for x in ids],
+                }
+                yield beside(b.column(id_col).slice(i, j - i), made, id_col)
 
     src = only(df, [id_col, text_col])
-    return batched(src, run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_batched(src, run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ Documents with the same set are one class with its smallest id; only classes go
 Links are 100 * intersection >= threshold * union on the full sets. Components are found by star contraction.
 
 Defined results: null or empty text has an empty set, is linked with nothing and kept; with fewer than k words the whole
-sequence is one shingle; rows without an id are kept, unlinked, with a null component; rows that repeat an id are one
+sequence is one shingle; rows without an id have the size of their set and are kept, unlinked, with a null component; rows that repeat an id are one
 document, so what one of them links the others share; an empty table gives no rows; extra columns do not matter.
 """
 
@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe import chunks
-from loomwright.llm.common import batched, salt, stored, table
+from loomwright.llm.common import arrow_batched, batched, beside, salt, stored, table, texts_of
 from loomwright.llm.components import components
 from loomwright.llm.tokens import mix, words
 
@@ -116,18 +117,19 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def described(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """id, n (size of the set), set (its digest) and the band keys of each row (columns id and text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+            texts = texts_of(b, "text")
             for i, j in chunks(texts):
                 sets = shingle_sets(texts[i:j], k)
                 full = [x for x, s in enumerate(sets) if len(s)]
                 bands_of: list[np.ndarray] = [np.empty(0, np.int64)] * len(sets)
                 for x, keys in zip(full, band_keys(signatures([sets[x] for x in full], bands * rows), bands, rows), strict=True):
                     bands_of[x] = keys
-                yield pd.DataFrame({"id": b["id"].iloc[i:j].to_numpy(), "n": np.array([len(s) for s in sets], np.int64), "set": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": bands_of})
+                made = {"n": np.array([len(s) for s in sets], np.int64), "set": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bands": pa.array(bands_of, pa.list_(pa.int64()))}
+                yield beside(b.column("id").slice(i, j - i), made, "id")
 
-    return batched(docs.select("id", "text").where("id IS NOT NULL"), run, "id long, n long, set binary, bands array<long>")
+    return arrow_batched(docs.select("id", "text"), run, "id long, n long, set binary, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:
@@ -245,16 +247,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int
     """For each row: the id, n_shingles, component_id (the smallest id reachable), kept (the id is its component's)."""
     own = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     seen = stored(described(own, k, bands, rows).withColumn("leaf", salt(SALTS, "id")), "sets")
-    full = seen.where("n > 0")
+    full = seen.where("n > 0 AND id IS NOT NULL")
     classes = full.groupBy("set", "n", "bands").agg(F.min("id").alias("cid"))
     classes = stored(classes, "classes")
     label = components(near_links(classes, own, k, threshold), "a", "b")
     named = classes.join(label, F.col("cid") == F.col("node"), "left").select("set", F.coalesce("component", "cid").alias("component"))
     leaves = full.select("set", "leaf").distinct().join(named, "set")  # a set that many rows share is joined in parts
-    part = seen.select("id", "n", "set", "leaf").join(leaves, ["set", "leaf"], "left")
+    part = seen.where("id IS NOT NULL").select("id", "n", "set", "leaf").join(leaves, ["set", "leaf"], "left")
     out = part.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     out = out.withColumn("kept", F.col(f"`{id_col}`") == F.col("component_id"))
-    loose = own.where("id IS NULL").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    loose = seen.where("id IS NULL").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return out.union(loose)
 
 

@@ -32,11 +32,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe import chunks
-from loomwright.llm.common import batched, scratch_path, stored, table
+from loomwright.llm.common import arrow_batched, batched, beside, scratch_path, stored, table, texts_of
 from loomwright.llm.elias_fano import EliasFano, pack, read_arrays, sequence, unpack, write_arrays
 from loomwright.llm.tokens import words
 
@@ -498,16 +499,15 @@ def score_texts(m: Model, texts: list[str]) -> pd.DataFrame:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, the scores and train_tokens."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["_text"]]
+            texts = texts_of(b, "_text")
             for i, j in chunks(texts, TEXT_CHARS):
-                out = score_texts(model, texts[i:j])
-                out.insert(0, id_col, b["_id"].iloc[i:j].to_numpy())
-                yield out.assign(train_tokens=model.tokens)
+                out = score_texts(model, texts[i:j]).assign(train_tokens=model.tokens)
+                yield beside(b.column("_id").slice(i, j - i), {c: out[c].to_numpy() for c in out}, id_col)
 
     own = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return batched(own, run, f"`{id_col}` {own.schema['_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, train_tokens long", ROWS_AT_ONCE)
+    return arrow_batched(own, run, f"`{id_col}` {own.schema['_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, train_tokens long", ROWS_AT_ONCE)
 
 
 def held_out(id_col: str = "doc_id"):  # noqa: ANN201

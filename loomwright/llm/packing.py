@@ -29,12 +29,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe import PATTERN, Bpe, chunks, default_path
-from loomwright.llm.common import batched, only, stored, table
+from loomwright.llm.common import arrow_batched, beside, only, stored, table, texts_of
 
 CAPACITY, END_ID = 2048, 0
 #: Runs of one kind of character (white space or not) from which on the segment tree encodes a text: the fast encoder's
@@ -82,19 +82,20 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
     """The pieces of each document: piece, start, length and the CRC-32 of their ids."""
     path = path or default_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b[text_col]]
+            texts = texts_of(b, text_col)
             for i, j in chunks(texts):
                 rows: list[tuple[int, int, int, int, int]] = []
                 for k in range(i, j):
                     ids = np.append(encoder(path).ids(texts[k]), np.array(END_ID, "<u4")).astype("<u4", copy=False)
                     rows += [(k, p, s, n, zlib.crc32(ids[s : s + n].tobytes())) for p, (s, n) in enumerate(cuts(len(ids), capacity))]
                 at, *cols = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-                yield pd.DataFrame({id_col: b[id_col].iloc[at].to_numpy()} | dict(zip(("piece", "start", "length", "ids_crc32"), cols, strict=True)))
+                cols[0] = cols[0].astype(np.int32)
+                yield beside(b.column(id_col).take(pa.array(at)), dict(zip(("piece", "start", "length", "ids_crc32"), cols, strict=True)), id_col)
 
     src = only(docs, [id_col, text_col])
-    return batched(src, run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return arrow_batched(src, run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[Group], dict[int, int]]:
@@ -201,7 +202,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> Da
     salted = cut.join(F.broadcast(groups), "length").withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), "_groups")).drop("_groups")
     sub = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = sub.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(id_col, "piece")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(id_col, "piece", "start", "ids_crc32")) - 1
     ranked = salted.withColumn("_rank", rank).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     on = (ranked["length"] == places["length"]) & (ranked["_rank"] >= places["_from"]) & (ranked["_rank"] < places["_to"])
     nth = F.col("_rank") - F.col("_from")

@@ -28,12 +28,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwright.llm.bpe import chunks
-from loomwright.llm.common import batched, scratch_path, stored, table
+from loomwright.llm.common import arrow_batched, batched, beside, scratch_path, stored, table, texts_of
 from loomwright.llm.elias_fano import read_arrays, write_arrays
 from loomwright.llm.tokens import words
 
@@ -250,19 +251,17 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     docs = docs.drop(*added)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType() if c[0] == "p" else T.BooleanType()) for c in added]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = sent.value
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b[text_col]]
+            texts = texts_of(b, text_col)
             for i, j in chunks(texts):
-                odds, out = chain.log_odds(features(texts[i:j])), b.iloc[i:j].copy()
-                for k, c in enumerate(chain.categories):
-                    out[f"p_{c}"] = 1 / (1 + np.exp(-odds[:, k]))
-                for k, c in enumerate(chain.categories):
-                    out[f"is_{c}"] = (odds[:, k] > chain.models[k].cut) & np.array([bool(t) for t in texts[i:j]])
-                yield out
+                odds, full = chain.log_odds(features(texts[i:j])), np.array([bool(t) for t in texts[i:j]])
+                made = {f"p_{c}": 1 / (1 + np.exp(-odds[:, k])) for k, c in enumerate(chain.categories)}
+                made |= {f"is_{c}": (odds[:, k] > chain.models[k].cut) & full for k, c in enumerate(chain.categories)}
+                yield beside(b.slice(i, j - i), made)
 
-    return batched(docs, run, schema)
+    return arrow_batched(docs, run, schema)
 
 
 def table_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

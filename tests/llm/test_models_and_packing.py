@@ -286,6 +286,7 @@ def test_near_duplicates_of_odd_rows(spark, docs, no_docs):
     got = minhash.near_duplicates(docs, k=4).collect()
     assert len(got) == len(odd_rows())
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == brute_components(odd_rows(), 4)
+    assert sorted(r["n_shingles"] for r in got if r["doc_id"] is None) == sorted([0, next(r["n_shingles"] for r in got if r["doc_id"] == 1)])
     assert all(r["kept"] and r["component_id"] is None for r in got if r["doc_id"] is None)
     assert minhash.near_duplicates(no_docs, k=4).count() == 0
 
