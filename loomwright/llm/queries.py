@@ -10,6 +10,7 @@ from loomwright.llm.ngram import op1_elias_fano_ngram_scoring
 from loomwright.llm.packing import op9_martello_toth_best_fit_packing
 from loomwright.llm.sharding import op4_permutation_table_sharding, op4_sql
 from loomwright.llm.toxicity import op5_classifier_chain_toxicity
+from loomwright.llm.vector_codes import op11_partial_distance_vector_codes, op11_sql
 from loomwright.llm.warc import op8_warc_derivatives
 from loomwright.llm.winnowing import op7_winnowing_fingerprints
 
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_martello_toth_best_fit_packing": op9_martello_toth_best_fit_packing,
     "op10_circulant_minhash_near_dedup": op10_circulant_minhash_near_dedup,
+    "op11_partial_distance_vector_codes": op11_partial_distance_vector_codes,
 }
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_tree_merge_exact_dedup": OP2_SQL, "op4_permutation_table_sharding": op4_sql()}
+    return {"op2_tree_merge_exact_dedup": OP2_SQL, "op4_permutation_table_sharding": op4_sql(), "op11_partial_distance_vector_codes": op11_sql()}
