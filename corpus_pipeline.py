@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import stored, table, unused
+from loomwright.llm.common import WORD, stored, table, unused
 from loomwright.llm.line_dedup import dedup_lines
 from loomwright.llm.minhash import near_duplicates
 from loomwright.llm.packing import pack_documents
@@ -28,10 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that stand in an earlier document or earlier in the same; documents that lose all their lines go."""
+    """Without lines that stand in an earlier document or earlier in the same; documents that lose all their words go."""
     gone = unused(docs, "gone")
     out = dedup_lines(docs, gone_col=gone)
-    left = out.where((F.size(gone) == 0) | (F.trim("text") != ""))
+    left = out.where((F.size(gone) == 0) | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.size(gone) == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
