@@ -57,6 +57,12 @@ def test_odd_rows(spark, sf_dir):
         assert nothing.count() == 0, name
 
 
+def test_documents_without_a_word_left_go(spark, sf_dir):
+    d = sf_dir([(1, "alpha\nbeta"), (2, "alpha\n\n\nbeta"), (3, "alpha\n\t\nbeta"), (4, "alpha\n\u3000\nbeta"), (5, "\n\n")])
+    out = dict(corpus_pipeline.STAGES)["line_dedup"](spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    assert {r["doc_id"] for r in out.collect()} == {1, 4, 5}  # U+3000 is a character of words
+
+
 def test_columns_with_names_of_its_own(spark, sf_dir):
     rows, labels = toxic_rows(200)
     d = sf_dir(rows, labels)
