@@ -9,6 +9,7 @@ from loomwright.llm.minhash import op10_circulant_minhash_near_dedup
 from loomwright.llm.ngram import op1_elias_fano_ngram_scoring
 from loomwright.llm.packing import op9_martello_toth_best_fit_packing
 from loomwright.llm.sharding import op4_permutation_table_sharding, op4_sql
+from loomwright.llm.spelling import OP12_SQL, op12_rare_first_spelling_variants
 from loomwright.llm.toxicity import op5_classifier_chain_toxicity
 from loomwright.llm.vector_codes import op11_partial_distance_vector_codes, op11_sql
 from loomwright.llm.warc import op8_warc_derivatives
@@ -26,8 +27,14 @@ QUERIES = {
     "op9_martello_toth_best_fit_packing": op9_martello_toth_best_fit_packing,
     "op10_circulant_minhash_near_dedup": op10_circulant_minhash_near_dedup,
     "op11_partial_distance_vector_codes": op11_partial_distance_vector_codes,
+    "op12_rare_first_spelling_variants": op12_rare_first_spelling_variants,
 }
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_tree_merge_exact_dedup": OP2_SQL, "op4_permutation_table_sharding": op4_sql(), "op11_partial_distance_vector_codes": op11_sql()}
+    return {
+        "op2_tree_merge_exact_dedup": OP2_SQL,
+        "op4_permutation_table_sharding": op4_sql(),
+        "op11_partial_distance_vector_codes": op11_sql(),
+        "op12_rare_first_spelling_variants": OP12_SQL,
+    }
