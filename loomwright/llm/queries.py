@@ -8,6 +8,7 @@ from loomwright.llm.line_dedup import op6_deletion_neighbourhood_line_dedup
 from loomwright.llm.minhash import op10_circulant_minhash_near_dedup
 from loomwright.llm.ngram import op1_elias_fano_ngram_scoring
 from loomwright.llm.packing import op9_martello_toth_best_fit_packing
+from loomwright.llm.pii import op13_boosted_candidate_pii
 from loomwright.llm.sharding import op4_permutation_table_sharding, op4_sql
 from loomwright.llm.spelling import OP12_SQL, op12_rare_first_spelling_variants
 from loomwright.llm.toxicity import op5_classifier_chain_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_circulant_minhash_near_dedup": op10_circulant_minhash_near_dedup,
     "op11_partial_distance_vector_codes": op11_partial_distance_vector_codes,
     "op12_rare_first_spelling_variants": op12_rare_first_spelling_variants,
+    "op13_boosted_candidate_pii": op13_boosted_candidate_pii,
 }
 
 
