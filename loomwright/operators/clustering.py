@@ -19,10 +19,6 @@ from loomwright.operators.joins import co_members
 from loomwright.operators.ranking import min_max, with_totals
 from loomwright.storage import stored
 
-#: Dimensions up to which points are sent to the cells around their own.
-MOST_AXES = 6
-
-
 def prepared(df: DataFrame, id_col: str, categories: Sequence[str], numbers: Sequence[str]) -> DataFrame:
     """Sorted categories with NOT_APPLIED for null, then sorted numbers with the mean for null, scaled to 0..1."""
     categories, numbers = sorted(categories), sorted(numbers)
@@ -105,27 +101,6 @@ def fuzzy_c_means(df: DataFrame, id_col: str, x: str, ks: int | Sequence[int], m
     return rows.mapInPandas(label, f"{id_col} {df.schema[id_col].dataType.simpleString()}, label int, membership double")
 
 
-def dbscan(df: DataFrame, id_col: str, x: str, eps: float, min_samples: int) -> DataFrame:
-    """id and label, -1 for noise. Points meet in cells of side eps: each is sent to the cells around its own (at most MOST_AXES dimensions)."""
-    size = len(df.select(x).first()[0])
-    if size > MOST_AXES:
-        raise ValueError(f"{size} dimensions have {3**size} cells around each; bring them down to {MOST_AXES} first, as famd() does")
-    cell = F.array(*[F.floor(F.col(x)[i] / eps) for i in range(size)])
-    around: list[list[int]] = [[]]
-    for _ in range(size):
-        around = [[*a, s] for a in around for s in (-1, 0, 1)]
-    own = df.select(F.col(id_col).alias("a"), F.col(x).alias("u"), cell.alias("c"))
-    sent = df.select(F.col(id_col).alias("b"), F.col(x).alias("v"), F.explode(F.array(*[F.array(*[cell[i] + s for i, s in enumerate(o)]) for o in around])).alias("c"))
-    far = reduce(lambda p, q: p + q, [(F.col("u")[i] - F.col("v")[i]) * (F.col("u")[i] - F.col("v")[i]) for i in range(size)])
-    near = own.join(sent, "c").where(far <= eps * eps).select("a", "b")
-    core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("a")
-    links = near.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
-    label = core.join(connected(links, "a", "b").withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("component", "a").alias("label"))
-    edge = near.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("border"))
-    out = own.select("a").join(label, "a", "left").join(edge, "a", "left")
-    return out.select(F.col("a").alias(id_col), F.coalesce("label", "border", F.lit(-1)).alias("label"))
-
-
 def first_modes(filled: DataFrame, columns: Sequence[str], most: int) -> list[tuple[str, ...]]:
     """Cao's first modes: the densest row, then rows that are dense and far from the modes so far; the first k serve for k.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import metrics as E
 from loomwright.operators import clustering as C
+from loomwright.operators import density as D
 from loomwright.operators import forests as R
 from loomwright.operators import online as O
 from loomwright.plans.joins import _LABELS, cluster_labels
@@ -14,6 +15,8 @@ from loomwright.registry import query, table
 
 #: The numbers of clusters that are tried, and those of modes.
 KS, MODES = range(2, 31), range(2, 75)
+#: How near points of density clusterings are.
+EPS = 1.0
 
 
 def vectors(spark, d) -> DataFrame:
@@ -57,7 +60,7 @@ def m05(spark, d):
 
 @query("m06_dbscan")
 def m06(spark, d):
-    return C.dbscan(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array((F.col("p_size") * 1.0), (F.col("p_retailprice") / 10)).alias("x")), "id", "x", 1.0, 3)
+    return D.dbscan_selected(vectors(spark, d), "id", "x", EPS, KS)
 
 
 @query("m07_gaussian_mixture")

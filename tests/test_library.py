@@ -14,6 +14,7 @@ from loomwright.functions import images, similarity, tfidf
 from loomwright.functions import metrics as M
 from loomwright.functions import text as X
 from loomwright.operators import clustering as C
+from loomwright.operators import density
 from loomwright.operators import dml, forests, graph, joins, predicates, ranking, sweeps
 from loomwright.operators import online as O
 from loomwright.plans import annotate, recommend
@@ -227,7 +228,7 @@ def test_consensus_and_linkage(spark):
 
 def test_dbscan(spark):
     pts = [(1, [0.0, 0.0]), (2, [0.5, 0.0]), (3, [0.0, 0.5]), (4, [1.3, 0.0]), (5, [9.0, 9.0])]
-    got = dict(rows(C.dbscan(spark.createDataFrame(pts, "id long, x array<double>"), "id", "x", 1.0, 3), "id"))
+    got = dict(rows(density.dbscan(spark.createDataFrame(pts, "id long, x array<double>"), "id", "x", 1.0, 3), "id"))
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: -1}
 
 
