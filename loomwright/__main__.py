@@ -15,6 +15,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--history", required=True, help="table with oid, reference_order and trending_order")
     r.add_argument("--term", required=True)
     r.add_argument("--feedback", help="table with oid, rating and irrelevant: ranks are calculated anew with what it predicts")
+    r.add_argument("--session", help="folder that keeps what feedback has taught; a new one for each call if not given")
     r.add_argument("--limit", type=int, help="results to keep; all with a positive score if left out")
     a = sub.add_parser("annotate", help="find labels of attributes in texts")
     a.add_argument("--products", required=True, help="table with oid, headline and metadata")
@@ -46,6 +47,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         from loomwright.functions import text as X
         from loomwright.operators.online import predict_feedback
         from loomwright.plans.recommend import feedback_score, final_score, recommend
+        from loomwright.storage import scratch_path
 
         stop = X.stop_words(spark)
         term = spark.createDataFrame([(args.term,)], "t string").select(X.preprocess(F.col("t"), stop).alias("t")).first()["t"]
@@ -53,7 +55,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         out = recommend(products.withColumn("seq", F.lit(0)), read(args.history), "oid", term.split(), stop)
         if args.feedback:
             known = read(args.feedback).select("oid", "rating", "irrelevant")
-            predicted = predict_feedback(products.select("oid", "metadata").join(known, "oid", "left"), "oid", "metadata", "rating", "irrelevant")
+            predicted = predict_feedback(products.select("oid", "metadata").join(known, "oid", "left"), "oid", "metadata", "rating", "irrelevant", args.session or scratch_path(spark, "feedback"))
             out = final_score(feedback_score(out.drop("final_score").join(predicted, "oid")))
         out = out.orderBy(F.desc("final_score"), "oid")
         out = out.limit(args.limit) if args.limit else out

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import metrics as E
+from loomwright.functions.tfidf import weights
 from loomwright.operators import clustering as C
 from loomwright.operators import density as D
 from loomwright.operators import forests as R
 from loomwright.operators import online as O
 from loomwright.plans.joins import _LABELS, cluster_labels
 from loomwright.registry import query, table
+from loomwright.storage import scratch_path, stored
 
 #: The numbers of clusters that are tried, and those of modes.
 KS, MODES = range(2, 31), range(2, 75)
@@ -70,8 +72,13 @@ def m07(spark, d):
 
 @query("m08_online_feedback")
 def m08(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.col("quality")).alias("rating"), F.when(F.col("doc_id") % 2 == 0, F.col("toxic") == 1).alias("bad"))
-    return O.predict_feedback(docs, "doc_id", "text", "rating", "bad")
+    """Two calls of a session: each learns from the feedback of half of the labelled documents, for one of five users each."""
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 5).cast("string").alias("user"))
+    given = docs.join(table(spark, d, "labels"), "doc_id").select("user", F.col("doc_id").alias("seq"), "doc_id", F.col("quality").alias("rating"), (F.col("toxic") == 1).alias("irrelevant"))
+    w, session = stored(weights(docs, "doc_id", "text", (), 1, 3, 0.95), "weights"), scratch_path(spark, "feedback")
+    for half in (0, 1):
+        state = O.learn(session, w, given.where(F.floor(F.col("doc_id") / 10) % 2 == half), "doc_id")
+    return O.predicted(state, w, docs, "doc_id")
 
 
 @query("m09_kmodes")

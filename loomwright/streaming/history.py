@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomwright.operators.dml import upsert
+from loomwright.operators.online import learn
 from loomwright.storage import recover_table, replace_table
 
 
@@ -45,9 +46,13 @@ def upsert_stream(rows: DataFrame, path: str, unique: Sequence[str], key: str, c
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 
-def model_stream(feedback: DataFrame, update: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Each batch of feedback to a function that adds it to a model's statistics."""
-    return feedback.writeStream.foreachBatch(lambda batch, _: update(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def feedback_stream(feedback: DataFrame, w: DataFrame, item: str, path: str, **trigger: object) -> StreamingQuery:
+    """Each batch of feedback (user, seq, item, rating, irrelevant) into the session at path, which holds the checkpoint too.
+
+    A batch's number is that of the version it makes, so one that comes again after a crash changes nothing.
+    """
+    each = lambda batch, n: learn(path, w, batch, item, n + 1)
+    return feedback.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(**trigger or {"availableNow": True}).start()
 
 
 def log_stream(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -16,7 +16,6 @@ from loomwright.functions import text as X
 from loomwright.operators import clustering as C
 from loomwright.operators import density
 from loomwright.operators import dml, forests, graph, joins, predicates, ranking, sweeps
-from loomwright.operators import online as O
 from loomwright.plans import annotate, recommend
 from loomwright.sources import sheets, shops, social, tables
 from loomwright.sources.fixed import COARSE_PALETTE, DETAILED_PALETTE, palette_frame
@@ -343,17 +342,6 @@ def test_a_tree_is_the_best_split(spark):
     assert deep.predict(x) == pytest.approx(y)
 
 
-def test_naive_bayes_by_hand(spark):
-    w = spark.createDataFrame([(1, "good", 1.0), (2, "bad", 1.0), (3, "good", 0.8), (3, "bad", 0.6), (4, "other", 1.0)], "id long, term string, weight double")
-    grades = spark.createDataFrame([(1, 5), (2, 0)], "id long, grade int")
-    sums = O.class_sums(w, grades, "id")
-    got = {r["id"]: r["grade"] for r in O.naive_bayes(w, sums, grades.groupBy("grade").agg(F.count("*").alias("n")), "id").collect()}
-    assert got == {1: 5, 2: 0, 3: 5}
-    marks = spark.createDataFrame([(1, False), (2, True)], "id long, irrelevant boolean")
-    bad, _ = O.irrelevance(w, marks, "id")
-    assert {r["id"]: r["irrelevant"] for r in bad.collect()}[2]
-
-
 def test_diversity_without_pairs(spark):
     v = np.random.default_rng(1).normal(size=(30, 5))
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -457,7 +445,4 @@ def test_streams(spark, tmp_path):
     assert history.collected(history.first_seen(s, "ts", "user_id"), "seen_users").count() == 3
     w = history.collected(history.windowed_ranks(s, "ts", "user_id", "rank"), "ranks", "complete")
     assert {r["best"] for r in w.collect()} == {0.0, 1.0, 2.0}
-    n = []
-    history.model_stream(s, lambda b: n.append(b.count()), str(tmp_path / "c")).awaitTermination()
-    assert sum(n) == 10
     assert history.collected(history.sessions(s, "ts", "user_id"), "sess", "complete").count() == 3
