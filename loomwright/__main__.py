@@ -74,9 +74,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     elif args.command == "consensus":
         from loomwright.operators import clustering as C
 
-        labels = read(args.labels)
-        near = C.rbf_distance(C.consensus(labels, "item", "algorithm", "label"))
-        out = C.complete_linkage(near, labels.select("item").distinct(), "item", args.threshold)
+        out = C.linked_items(read(args.labels), "item", "algorithm", "label", 0.2, args.threshold)
     else:
         import loomwright.plans.catalogue  # noqa: F401
         from loomwright.registry import QUERIES

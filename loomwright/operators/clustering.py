@@ -196,37 +196,57 @@ def rbf_distance(share: DataFrame, delta: float = 0.2) -> DataFrame:
     return share.withColumn("distance", F.exp(-F.col("share") * F.col("share") / (2 * delta * delta)))
 
 
-def complete_linkage(near: DataFrame, items: DataFrame, item: str, threshold: float, most: int = 5000) -> DataFrame:
-    """item and label by agglomeration with complete linkage below a threshold, over at most `most` items.
+def consensus_classes(df: DataFrame, item: str, algorithm: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Membership (item, class) and pairs of classes i < j that some algorithm puts together (share, n_i, n_j).
 
-    Items that no pair below the threshold joins are alone. The rest is worked on by component of such pairs, each in a
-    task of its own; a component of more than `most` items is refused.
+    Items with the same labels of all algorithms are one class, named by its smallest item; items of a class share all.
+    So a label that all items have makes a row for each pair of combinations of labels, not of items.
     """
-    close = near.where(F.col("distance") < threshold).select("i", "j", "distance")
-    part = connected(close, "i", "j")
-    if part.groupBy("component").count().where(F.col("count") > most).limit(1).count():
-        raise ValueError(f"a component has more than {most} items; complete linkage needs all their distances at once")
-    pairs = close.join(part.select(F.col("node").alias("i"), "component"), "i")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(pdf[["i", "j"]].to_numpy())
-        a, b = np.searchsorted(names, pdf["i"]), np.searchsorted(names, pdf["j"])
-        d = np.full((len(names), len(names)), np.inf)
-        d[a, b] = d[b, a] = pdf["distance"]
-        groups = {i: [i] for i in range(len(names))}
-        while True:
-            np.fill_diagonal(d, np.inf)
-            p, q = np.unravel_index(d.argmin(), d.shape)
-            if not d[p, q] < threshold:
-                break
-            p, q = min(p, q), max(p, q)
-            groups[p] += groups.pop(q)
-            d[p] = d[:, p] = np.maximum(d[p], d[q])
-            d[q] = d[:, q] = np.inf
-        label = np.empty(len(names), np.int64)
-        for g in groups.values():
-            label[g] = names[min(g)]
-        return pd.DataFrame({"node": names, "label": label})
-
-    found = pairs.groupBy("component").applyInPandas(run, "node long, label long")
-    return items.join(found.withColumnRenamed("node", item), item, "left").select(item, F.coalesce("label", F.col(item)).cast("long").alias("label"))
+    tuples = df.where(F.col(label).isNotNull()).groupBy(item).agg(F.sort_array(F.collect_set(F.struct(F.col(algorithm).alias("a"), F.col(label).alias("l")))).alias("t"))  # a row for each algorithm
+    named = stored(tuples.groupBy("t").agg(F.min(item).alias("class"), F.count("*").alias("n")), "classes")
+    members = stored(tuples, "tuples").join(named.select("t", "class"), "t").select(item, "class")
+    each = named.select("class", F.explode("t").alias("x")).select("class", F.col("x.a").alias("a"), F.col("x.l").alias("l"))
+    n = df.select(algorithm).distinct().count()
+    sizes = named.select(F.col("class").alias("i"), F.col("n").alias("n_i"))
+    pairs = co_members(stored(each, "labels"), "class", "a", "l", n).join(sizes, "i").join(sizes.toDF("j", "n_j"), "j")
+    return members, pairs.select("i", "j", "share", "n_i", "n_j")
+
+
+def complete_linkage(near: DataFrame, items: DataFrame, item: str, threshold: float) -> DataFrame:
+    """item and label (the smallest item of its cluster) by agglomeration with complete linkage below a threshold.
+
+    near: i, j and distance; pairs that are not listed are too far. Of the pairs of clusters only those are kept whose
+    items are all near each other, as no others can ever join. In each round all pairs of clusters that are each
+    other's nearest join at once: with complete linkage no such pair can be parted by another, so the result is that of
+    joining one pair after the other. Equal distances go by a hash of the two clusters' smallest items, so that many
+    pairs find each other in a round. Nothing is gathered in a task or on the driver.
+    """
+    links = near.where(F.col("distance") < threshold).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.col("distance").alias("d")).where("a < b")
+    links = stored(links.groupBy("a", "b").agg(F.max("d").alias("d")), "links")
+    joined = [links.select("a", "b").limit(0)]
+    while not links.isEmpty():
+        order = F.struct("d", F.xxhash64("a", "b").alias("h"), "a", "b")
+        ends = links.select(F.explode(F.array("a", "b")).alias("x"), order.alias("e"))
+        best = ends.groupBy("x").agg(F.min("e").alias("e"))
+        chosen = stored(best.groupBy("e").agg(F.count("*").alias("c")).where("c = 2").select("e.a", "e.b"), "chosen")
+        joined.append(chosen)
+        two = F.lit(2).alias("m")
+        moved = stored(chosen.select(F.col("a").alias("x"), F.col("a").alias("y"), two).union(chosen.select(F.col("b").alias("x"), F.col("a").alias("y"), two)), "moved")
+        on = links.join(moved.toDF("a", "a2", "m"), "a", "left").join(moved.toDF("b", "b2", "k"), "b", "left")
+        new = on.select(F.coalesce("a2", "a").alias("p"), F.coalesce("b2", "b").alias("q"), "d", (F.coalesce("m", F.lit(1)) * F.coalesce("k", F.lit(1))).alias("need")).where("p <> q")
+        both = new.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.max("d").alias("d"), F.count("*").alias("c"), F.max("need").alias("need"))
+        links = stored(both.where("c = need").select("a", "b", "d"), "links")
+    found = connected(stored(reduce(DataFrame.union, joined), "joined"), "a", "b")
+    return items.join(found.select(F.col("node").alias(item), F.col("component").alias("label")), item, "left").select(item, F.coalesce("label", F.col(item)).cast("long").alias("label"))
+
+
+def linked_items(labels: DataFrame, item: str, algorithm: str, label: str, delta: float, threshold: float) -> DataFrame:
+    """item and label by complete linkage of the consensus of several clusterings, class by class.
+
+    Items of a class are nearest to each other, so they join first and the rest is between classes.
+    """
+    members, pairs = consensus_classes(labels, item, algorithm, label)
+    if math.exp(-1 / (2 * delta * delta)) >= threshold:
+        return members.select(item, F.col(item).cast("long").alias("label"))
+    found = complete_linkage(rbf_distance(pairs, delta), members.select("class").distinct(), "class", threshold)
+    return members.join(found, "class").select(item, "label")

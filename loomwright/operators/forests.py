@@ -1,21 +1,30 @@
-"""Ratings, splits and random forests over item features."""
+"""Ratings, splits and random forests over item features.
+
+The forests of all users grow together, level by level, as tables. A level is one aggregate by user, tree, node, feature
+and bin, whatever a user has rated; windows over the bins of a node find its best split, and a join brings the rows to
+its halves. So a user with a third of all ratings is no single task, and no model leaves the tables. Items of equal bins
+(a cell) are one row; cells that a user has not rated go along with weight 0, so predictions need no pass of their own.
+
+A row's weight in a tree is drawn by a hash (Poisson, as of draws with replacement), so every run gives the same trees.
+"""
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+import itertools
+import math
+from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.operators.ranking import ordinal
 from loomwright.storage import stored
 
-#: The range of forests that are tried: trees and depth. Bins of a feature; items that are predicted together.
-TREES, DEPTHS, BINS, ITEMS = (30, 40), (20, 32), 64, 4096
+#: The range of forests that are tried: trees and depth. Bins of a feature.
+TREES, DEPTHS, BINS = (30, 40), (20, 32), 64
+#: Chances that a Poisson draw of mean 1 is at most 0, 1, 2 and so on.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
 
 
 def hash_bucket(key: str, n: int) -> Column:
@@ -36,138 +45,128 @@ def matrix(df: DataFrame, user: str, item: str, value: str, items: Sequence[obje
     return df.groupBy(user).pivot(item, list(items)).agg(F.sum(value)).fillna(unrated)
 
 
-@dataclass
-class Forest:
-    """Regression trees over binned features: of each node the split into two halves of least squared error.
+def cuts(features: DataFrame, bins: int = BINS) -> list[list[float]]:
+    """Bounds between the bins of each feature: between all values, or quantiles of what has more values than bins."""
+    first = features.select("features").first()
+    out = []
+    for j in range(len(first[0]) if first else 0):
+        v = features.select(F.col("features")[j].alias("v")).where("v IS NOT NULL")
+        few = sorted(r["v"] for r in v.distinct().limit(bins + 1).collect())
+        if len(few) > bins:
+            few = sorted(set(v.agg(F.percentile_approx("v", [k / bins for k in range(bins)], 100_000).alias("q")).first()["q"]))
+        out.append([(a + b) / 2 for a, b in itertools.pairwise(few)])
+    return out
+
+
+def binned(features: DataFrame, bounds: Sequence[Sequence[float]]) -> DataFrame:
+    """item and cell: for each feature the number of bounds below its value; null is below all."""
+    code = lambda j, b: F.size(F.filter(F.array(*[F.lit(float(c)) for c in b]), lambda c: F.coalesce(F.col("features")[j] > c, F.lit(False)))) if b else F.lit(0)
+    return features.select("item", F.array(*[code(j, b) for j, b in enumerate(bounds)]).cast("array<int>").alias("cell"))
+
+
+def drawn(user: str, item: str, tree: str, seed: int) -> Column:
+    """How often a tree sees a row."""
+    u = F.shiftrightunsigned(F.xxhash64(user, item, tree, F.lit(seed)), 11) / F.lit(float(2**53))
+    return reduce(lambda a, b: a + b, [(u > c).cast("double") for c in POISSON])
 
-    Trees grow level by level, all nodes of a level at once, from sums of each node and bin. A tree sees the rows as
-    often as a draw with replacement has them.
-    """
 
-    cuts: list[np.ndarray]  #: bounds of the bins of each feature
-    feature: list[np.ndarray]  #: for each tree and node: the feature, -1 for a leaf
-    bin: list[np.ndarray]  #: rows up to this bin go to the first child
-    child: list[np.ndarray]  #: the first child, which the second follows
-    value: list[np.ndarray]
-
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)])
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        code, out = self.codes(x), np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, bin_, child, value in zip(self.feature, self.bin, self.child, self.value, strict=True):
-            node = np.zeros(len(x), np.int64)
-            while (inner := feature[node] >= 0).any():
-                right = code[rows, np.maximum(feature[node], 0)] > bin_[node]
-                node = np.where(inner, child[node] + right, node)
-            out += value[node]
-        return out / max(len(self.value), 1)
-
-    @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int, depth: int, seed: int, bins: int = BINS) -> Forest:
-        rnd = np.random.default_rng(seed)
-        cuts = []
-        for j in range(x.shape[1]):
-            seen = np.unique(x[:, j])
-            middle = (seen[1:] + seen[:-1]) / 2
-            cuts.append(middle if len(middle) < bins else np.unique(middle[np.linspace(0, len(middle) - 1, bins - 1).astype(int)]))
-        out = cls(cuts, [], [], [], [])
-        code = out.codes(x)
-        width = max((len(c) for c in cuts), default=0) + 1
-        for _ in range(trees):
-            weight = np.bincount(rnd.integers(len(y), size=len(y)), minlength=len(y)).astype(float)
-            rows = np.flatnonzero(weight)
-            feature, bin_, child = [np.array([-1])], [np.array([0])], [np.array([0])]
-            value = [np.array([float((weight * y).sum() / weight.sum())])]
-            node, first, count, total = np.zeros(len(rows), np.int64), 0, 1, 1
-            for _level in range(depth):
-                w, wy = weight[rows], weight[rows] * y[rows]
-                best, at = np.full(count, 1e-12), np.zeros((count, 2), np.int64) - 1
-                all_w, all_y = np.bincount(node, w, count), np.bincount(node, wy, count)
-                for j in range(x.shape[1]):
-                    key = node * width + code[rows, j]
-                    left_w = np.bincount(key, w, count * width).reshape(count, width).cumsum(1)[:, :-1]
-                    left_y = np.bincount(key, wy, count * width).reshape(count, width).cumsum(1)[:, :-1]
-                    right_w, right_y = all_w[:, None] - left_w, all_y[:, None] - left_y
-                    ok = (left_w > 0.5) & (right_w > 0.5)
-                    gain = np.where(ok, left_y**2 / np.maximum(left_w, 1) + right_y**2 / np.maximum(right_w, 1), -np.inf) - (all_y**2 / np.maximum(all_w, 1))[:, None]
-                    if not gain.shape[1]:
-                        continue
-                    k = gain.argmax(1)
-                    better = gain[np.arange(count), k] > best
-                    best = np.where(better, gain[np.arange(count), k], best)
-                    at[better] = np.column_stack([np.full(count, j), k])[better]
-                split = np.flatnonzero(at[:, 0] >= 0)
-                if not len(split):
-                    break
-                feature[-1][split], bin_[-1][split] = at[split, 0], at[split, 1]
-                place = np.full(count, -1)
-                place[split] = 2 * np.arange(len(split))
-                child[-1][split] = total + place[split]
-                stay = place[node] >= 0
-                rows, node = rows[stay], node[stay]
-                node = place[node] + (code[rows, at[node, 0]] > at[node, 1])
-                count = 2 * len(split)
-                feature.append(np.full(count, -1))
-                bin_.append(np.zeros(count, np.int64))
-                child.append(np.zeros(count, np.int64))
-                value.append(np.bincount(node, weight[rows] * y[rows], count) / np.maximum(np.bincount(node, weight[rows], count), 1e-12))
-                total += count
-            for to, parts in ((out.feature, feature), (out.bin, bin_), (out.child, child), (out.value, value)):
-                to.append(np.concatenate(parts))
-        return out
-
-
-def best_forest(x: np.ndarray, y: np.ndarray, test: np.ndarray, tries: int, seed: int) -> Forest:
-    """Of some forests the one that fits the held-out rows best; depths are spread evenly by their logarithm."""
-    if tries == 1 or not test.any() or test.all():
-        return Forest.fit(x, y, TREES[1], DEPTHS[0], seed)
-    best: tuple[float, int, Forest] | None = None
-    for t in range(tries):
-        trees = TREES[0] + (7 * t) % (TREES[1] - TREES[0] + 1)
-        depth = round(DEPTHS[0] * (DEPTHS[1] / DEPTHS[0]) ** (t / max(tries - 1, 1)))
-        model = Forest.fit(x[~test], y[~test], trees, depth, seed + t)
-        error = float(np.sqrt(((model.predict(x[test]) - y[test]) ** 2).mean()))
-        if best is None or error < best[0]:
-            best = (error, t, model)
-    return best[2]
-
-
-def forests(ratings: DataFrame, features: DataFrame, fit: Callable[[np.ndarray, np.ndarray, np.ndarray], Forest]) -> DataFrame:
-    """user_id, item and prediction over each user's unrated items; features: item, features (array<double>).
-
-    Users are independent: one task trains a user's forest from all that the user has rated. Items are then predicted in
-    blocks of ITEMS, a block of each user at a time.
+def grown(rows: DataFrame, depth: int) -> DataFrame:
+    """The rows (user_id, cell, tree, w, wy: weight and weighted rating) with node, the leaf they reach; node 1 has the children 2 and 3.
+
+    Of each node the split into two halves of least squared error; ties go to the first feature and the lowest bin.
     """
-    rated = split(ratings, "item").join(features, "item").select("user_id", "item", "rating", "test", "features")
-    kind = ratings.schema["user_id"].dataType.simpleString()
+    key = ["user_id", "tree", "node"]
+    active, leaves = rows.withColumn("node", F.lit(1).cast("long")), []
+    for _ in range(depth):
+        bins = active.where("w > 0").select(*key, "w", "wy", F.posexplode("cell").alias("f", "bin"))
+        sums = bins.groupBy(*key, "f", "bin").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
+        over = Window.partitionBy(*key, "f")
+        below = over.orderBy("bin")
+        cut = sums.select(*key, "f", "bin", *[F.sum(c).over(o).alias(f"{n}{c}") for n, o in (("l", below), ("a", over)) for c in ("w", "wy")]).where("aw - lw > 0.5")
+        gain = F.expr("lwy * lwy / lw + (awy - lwy) * (awy - lwy) / (aw - lw) - awy * awy / aw")
+        best = cut.groupBy(*key).agg(F.max(F.struct(F.round(gain, 9).alias("gain"), (-F.col("f")).alias("f"), (-F.col("bin")).alias("bin"))).alias("s")).where("s.gain > 0")
+        splits = stored(best.select(*key, (-F.col("s.f")).alias("f"), (-F.col("s.bin")).alias("bin")), "splits")
+        right = (F.get("cell", F.col("f")) > F.col("bin")).cast("long")
+        step = active.join(splits, key, "left").select("user_id", "cell", "tree", "w", "wy", F.when(F.col("f").isNull(), F.col("node")).otherwise(2 * F.col("node") + right).alias("node"), F.col("f").isNull().alias("done"))
+        step = stored(step, "level")
+        leaves.append(step.where("done").drop("done"))
+        active = step.where("NOT done").drop("done")
+        if active.isEmpty():
+            break
+    return reduce(DataFrame.union, [*leaves, active])
+
+
+def _level(node: str) -> Column:
+    return F.length(F.bin(node)) - 1
+
+
+def _at_depth() -> Column:
+    """The node itself, or its ancestor at depth `depth` if it is deeper."""
+    return F.expr("shiftright(node, greatest(0, length(bin(node)) - 1 - depth))")
+
+
+def _rows(ratings: DataFrame, features: DataFrame, trees: int, seed: int, tuned: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What trees grow from, the cells of items, and the ratings with their cells. Of the trees the first `tuned` don't see held-out ratings."""
+    items = stored(binned(features.where("features IS NOT NULL"), cuts(features)), "cells")
+    rated = stored(split(ratings.where("rating IS NOT NULL"), "item").join(items, "item").select("user_id", "item", "rating", "test", "cell"), "rated")
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    w = F.when((F.col("tree") < tuned) & F.col("test"), 0.0).otherwise(drawn("user_id", "item", "tree", seed))
+    seen = rated.select("user_id", "item", "cell", "rating", "test", tree).select("user_id", "cell", "tree", w.alias("w"), (w * F.col("rating")).alias("wy"))
+    everyone = items.select("cell").distinct().crossJoin(F.broadcast(ratings.select("user_id").distinct()))  # all that is predicted
+    zero = F.lit(0.0)
+    rows = seen.union(everyone.select("user_id", "cell", tree, zero.alias("w"), zero.alias("wy")))
+    return stored(rows.groupBy("user_id", "cell", "tree").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy")), "rows"), items, rated
+
+
+def _valued(leaves: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """user_id, cell, tree and value: the mean rating of what a tree has seen in the leaf (at `depth` at most)."""
+    at = leaves.withColumn("node", _at_depth())
+    key = ["user_id", "tree", "node", *extra]
+    value = stored(at.groupBy(*key).agg((F.sum("wy") / F.nullif(F.sum("w"), F.lit(0.0))).alias("value")), "values")
+    return at.select(*key, "cell").join(value, key)
+
+
+def _unrated(predicted: DataFrame, items: DataFrame, rated: DataFrame) -> DataFrame:
+    """user_id, item and prediction from those of cells; a user whose trees have seen nothing gets the mean rating."""
+    mean = rated.groupBy("user_id").agg(F.avg("rating").alias("mean"))
+    out = predicted.join(items, "cell").join(rated.select("user_id", "item"), ["user_id", "item"], "left_anti").join(mean, "user_id", "left")
+    return out.select("user_id", "item", F.round(F.coalesce("prediction", "mean"), 6).alias("prediction"))
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item")
-        model = fit(np.stack(pdf["features"].to_numpy()).astype(float), pdf["rating"].to_numpy(float), pdf["test"].to_numpy(bool))
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[:1], "model": [pickle.dumps(model)]})
 
-    models = stored(rated.groupBy("user_id").applyInPandas(train, f"user_id {kind}, model binary"), "forests")
-    numbered = features.withColumn("_b", F.pmod(F.xxhash64("item"), F.greatest(F.lit(1), F.ceil(F.lit(features.count() / ITEMS)))))
-    blocks = numbered.groupBy("_b").agg(F.collect_list(F.struct("item", "features")).alias("items"))
-    named = features.schema["item"].dataType.simpleString()
+def fixed_forest(ratings: DataFrame, features: DataFrame, trees: int = 80, depth: int = 20, seed: int = 42) -> DataFrame:
+    """user_id, item and prediction for all that each user has not rated; features: item, features (array<double>).
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for user, model, items in zip(b["user_id"], b["model"], b["items"], strict=True):
-                x = np.array([list(i["features"]) for i in items], float)
-                yield pd.DataFrame({"user_id": user, "item": [i["item"] for i in items], "prediction": pickle.loads(model).predict(x).round(6)})  # noqa: S301  made above
+    Rows without a rating or features are left out; users who have rated nothing that has features are, too.
+    """
+    rows, items, rated = _rows(ratings, features, trees, seed, 0)
+    leaves = grown(rows, depth).withColumn("depth", F.lit(depth))
+    return _unrated(_valued(leaves).groupBy("user_id", "cell").agg(F.avg("value").alias("prediction")), items, rated)
 
-    every = blocks.crossJoin(models).repartition("user_id", "_b").select("user_id", "model", "items").mapInPandas(predict, f"user_id {kind}, item {named}, prediction double")
-    return every.join(ratings.select("user_id", "item"), ["user_id", "item"], "left_anti")
 
+def tries_of(n: int) -> list[tuple[int, int]]:
+    """Trees and depth of each forest that is tried; depths are spread evenly by their logarithm."""
+    return [(TREES[0] + (7 * t) % (TREES[1] - TREES[0] + 1), round(DEPTHS[0] * (DEPTHS[1] / DEPTHS[0]) ** (t / max(n - 1, 1)))) for t in range(n)]
 
-def user_forests(ratings: DataFrame, features: DataFrame, tries: int = 10, seed: int = 42) -> DataFrame:
-    """user_id, item and prediction: for each user the best of some forests by a held-out tenth, over unrated items."""
-    return forests(ratings, features, lambda x, y, test: best_forest(x, y, test, tries, seed))
 
+def user_forests(ratings: DataFrame, features: DataFrame, tries: int = 10, seed: int = 42) -> DataFrame:
+    """user_id, item and prediction over unrated items, for each user by the size of forest that fits a held-out tenth best.
 
-def fixed_forest(ratings: DataFrame, features: DataFrame, trees: int = 80, depth: int = 20, seed: int = 42) -> DataFrame:
-    """item and prediction for the items that a user has not rated, by one forest for each user of the ratings."""
-    return forests(ratings, features, lambda x, y, _: Forest.fit(x, y, trees, depth, seed)).select("item", "prediction")
+    One forest of the largest size has all that are tried: fewer trees are its first ones, a lesser depth is its nodes up
+    to there. The forests that predict have seen all ratings and grow beside it.
+    """
+    spark, most = ratings.sparkSession, max(TREES)
+    options = tries_of(tries)
+    rows, items, rated = _rows(ratings, features, 2 * most, seed, most)
+    leaves = grown(rows, max(DEPTHS))
+    deepest = leaves.agg(F.max(_level("node")).alias("d")).first()["d"] or 0  # deeper sizes are all alike
+    sizes = spark.createDataFrame([(t, n, min(d, deepest)) for t, (n, d) in enumerate(options)], "t int, n int, depth int")
+    depths = F.array(*[F.lit(d) for d in sorted({min(d, deepest) for _, d in options})])
+    tests = rated.where("test").select("user_id", "cell", "rating")
+    told = _valued(leaves.where(F.col("tree") < most).withColumn("depth", F.explode(depths)), ["depth"]).join(tests.select("user_id", "cell").distinct(), ["user_id", "cell"], "left_semi")
+    guess = told.join(F.broadcast(sizes), "depth").where("tree < n").groupBy("user_id", "cell", "t").agg(F.avg("value").alias("p"))
+    error = guess.join(tests, ["user_id", "cell"]).groupBy("user_id", "t").agg(F.avg((F.col("p") - F.col("rating")) * (F.col("p") - F.col("rating"))).alias("e"))
+    best = error.where("e IS NOT NULL").groupBy("user_id").agg(F.min(F.struct(F.round("e", 9).alias("e"), "t")).alias("b")).select("user_id", F.col("b.t").alias("t")).join(F.broadcast(sizes), "t")
+    own = leaves.where(F.col("tree") >= most).join(stored(best, "best"), "user_id", "left")
+    own = own.withColumn("n", F.coalesce("n", F.lit(most))).withColumn("depth", F.coalesce("depth", F.lit(DEPTHS[0]))).where(F.col("tree") - most < F.col("n"))
+    predicted = _valued(own.select("user_id", "cell", "tree", "node", "w", "wy", "depth")).groupBy("user_id", "cell").agg(F.avg("value").alias("prediction"))
+    return _unrated(predicted, items, rated)

@@ -100,10 +100,25 @@ def m11(spark, d):
     return C.rbf_distance(C.consensus(cluster_labels(spark, d), "item", "algorithm", "label"), 0.2).select("i", "j", F.round("distance", 6).alias("distance"))
 
 
+_CLASSES = f"SELECT item, min(item) OVER (PARTITION BY t) AS class, count(*) OVER (PARTITION BY t) AS n, t FROM (SELECT item, list(label ORDER BY algorithm) AS t FROM ({_LABELS}) GROUP BY item)"
+
+
+@query("m10_consensus_members", f"SELECT item, class FROM ({_CLASSES})")
+def m10_members(spark, d):
+    return C.consensus_classes(cluster_labels(spark, d), "item", "algorithm", "label")[0]
+
+
+@query(
+    "m10_consensus_classes",
+    f"WITH c AS (SELECT DISTINCT class, n, t FROM ({_CLASSES})), s AS (SELECT a.class AS i, b.class AS j, a.n AS n_i, b.n AS n_j, len(list_filter(range(1, 4), lambda k: a.t[k] = b.t[k])) AS k FROM c a JOIN c b ON a.class < b.class) SELECT i, j, round(k / 3, 3) AS share, n_i, n_j FROM s WHERE k > 0",
+)
+def m10_classes(spark, d):
+    return C.consensus_classes(cluster_labels(spark, d), "item", "algorithm", "label")[1]
+
+
 @query("m12_agglomerative")
 def m12(spark, d):
-    near = C.rbf_distance(C.consensus(cluster_labels(spark, d), "item", "algorithm", "label"), 0.2)
-    return C.complete_linkage(near, cluster_labels(spark, d).select("item").distinct(), "item", 0.35)
+    return C.linked_items(cluster_labels(spark, d), "item", "algorithm", "label", 0.2, 0.35)
 
 
 @query("m13_model_selection")
@@ -128,12 +143,13 @@ def m14(spark, d):
 
 @query("m15_fixed_forest")
 def m15(spark, d):
-    return R.fixed_forest(ratings(spark, d).where("user_id = 3"), item_features(spark, d))
+    return R.fixed_forest(ratings(spark, d), item_features(spark, d))
 
 
 def forest_recommendation(spark, d) -> DataFrame:
-    r = ratings(spark, d).where("user_id = 1").select("user_id", "item", (F.col("rating") >= 2.5).cast("double").alias("rating"))
-    return R.fixed_forest(r, item_features(spark, d)).where("prediction >= 0.5").select("item", "prediction")
+    """user_id, item and prediction of what each user has not rated and will like."""
+    liked = ratings(spark, d).select("user_id", "item", (F.col("rating") >= 2.5).cast("double").alias("rating"))
+    return R.fixed_forest(liked, item_features(spark, d)).where("prediction >= 0.5")
 
 
 @query("m16_split", "SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10 = 0 AS test FROM labels")

@@ -15,7 +15,7 @@ from loomwright.functions import metrics as M
 from loomwright.functions import text as X
 from loomwright.operators import clustering as C
 from loomwright.operators import density
-from loomwright.operators import dml, forests, graph, joins, predicates, ranking, sweeps
+from loomwright.operators import dml, graph, joins, predicates, ranking, sweeps
 from loomwright.plans import annotate, recommend
 from loomwright.sources import sheets, shops, social, tables
 from loomwright.sources.fixed import COARSE_PALETTE, DETAILED_PALETTE, palette_frame
@@ -319,29 +319,6 @@ def test_modes_start_dense_and_far_apart(spark):
     assert got.agg(F.sum("mismatches")).first()[0] == 0 and got.select("label").distinct().count() == 4
 
 
-def test_forests_of_users(spark):
-    rng = np.random.default_rng(4)
-    x = rng.uniform(0, 10, (120, 2))
-    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item int, features array<double>")
-    likes = {1: lambda v: 5.0 if v[0] > 5 else 1.0, 2: lambda v: 4.0 if v[1] > 3 else 0.0}
-    given = [(u, i, f(x[i])) for u, f in likes.items() for i in range(90)]
-    ratings = spark.createDataFrame(given, "user_id int, item int, rating double")
-    for got in (forests.user_forests(ratings, items, tries=3).collect(),):
-        assert {(r["user_id"], r["item"]) for r in got} == {(u, i) for u in likes for i in range(90, 120)}
-        assert np.mean([abs(r["prediction"] - likes[r["user_id"]](x[r["item"]])) for r in got]) < 0.4
-    one = forests.fixed_forest(ratings.where("user_id = 1"), items).collect()
-    assert len(one) == 30 and np.mean([abs(r["prediction"] - likes[1](x[r["item"]])) for r in one]) < 0.4
-
-
-def test_a_tree_is_the_best_split(spark):
-    x = np.array([[0.0], [1.0], [2.0], [3.0], [10.0], [11.0]])
-    y = np.array([1.0, 1.0, 1.0, 2.0, 9.0, 9.0])
-    got = forests.Forest.fit(np.repeat(x, 50, 0), np.repeat(y, 50), 30, 1, 1)
-    assert all(c[0] == pytest.approx(6.5) for c in [[got.cuts[0][b[0]]] for b in got.bin])
-    deep = forests.Forest.fit(np.repeat(x, 50, 0), np.repeat(y, 50), 5, 20, 1)
-    assert deep.predict(x) == pytest.approx(y)
-
-
 def test_diversity_without_pairs(spark):
     v = np.random.default_rng(1).normal(size=(30, 5))
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
