@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import similarity as S
 from loomwright.functions import text as X
+from loomwright.operators.fuzzy import likest
 from loomwright.operators.joins import phrase_matches
 from loomwright.registry import query, table
+from loomwright.storage import stored
 
 
 def collapsed(df: DataFrame, key: str, texts: list[str], lists: dict[str, str]) -> DataFrame:
@@ -71,27 +73,72 @@ def widen(long: DataFrame, key: str, tokens: list[str]) -> DataFrame:
     return long.groupBy(key).pivot("token", tokens).agg(F.max("has")).fillna(0)
 
 
+#: Components of a pattern whose subsets are counted; pairs with larger ones are found through what they share.
+SUBSETS = 16
+
+
+def disjoint_pairs(patterns: DataFrame) -> DataFrame:
+    """n: the ordered pairs of rows that share nothing. patterns: p (distinct sets, as sorted arrays) and c (rows).
+
+    By inclusion and exclusion: the pairs of rows that both have all of a set, added over all sets of an even number of
+    components (the empty one too) and taken off over all others. A set's rows are counted once, so there are no pairs.
+    """
+    subsets = F.aggregate("p", F.array(F.array().cast("array<int>")), lambda a, x: F.concat(a, F.transform(a, lambda s: F.concat(s, F.array(x.cast("int"))))))
+    counts = patterns.select("c", F.explode(subsets).alias("s")).groupBy("s").agg(F.sum("c").cast("decimal(19,0)").alias("c"))
+    sign = F.when(F.size("s") % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    return counts.agg(F.coalesce(F.sum((sign * F.col("c") * F.col("c")).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("n"))
+
+
+def sharing_pairs(patterns: DataFrame, most: int = 0) -> DataFrame:
+    """pairs: the pairs of different rows that share a component (one row). patterns: p (distinct, not empty) and c.
+
+    Components that one row alone has are left out of the sets, as they are never shared. Sets of more than `most`
+    components that are left meet others by what they share.
+    """
+    most = most or SUBSETS
+    patterns = stored(patterns.select("p", "c"), "patterns")
+    each = patterns.select("p", "c", F.explode("p").alias("i"))
+    common = each.groupBy("i").agg(F.sum("c").alias("n")).where("n > 1").select("i")
+    kept = each.join(common, "i").groupBy("p", "c").agg(F.sort_array(F.collect_set("i")).alias("q"))
+    sets = patterns.join(kept, ["p", "c"], "left").groupBy(F.coalesce("q", F.array().cast("array<int>")).alias("p")).agg(F.sum("c").alias("c"))
+    sets = stored(sets, "sets")
+    small, large = sets.where(F.size("p") <= most), sets.where(F.size("p") > most)
+    total = patterns.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("decimal(19,0)").alias("all"))
+    among = small.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("decimal(19,0)").alias("few"), F.coalesce(F.sum(F.when(F.size("p") > 0, F.col("c"))), F.lit(0)).cast("decimal(19,0)").alias("own"))
+    one = disjoint_pairs(small).crossJoin(F.broadcast(among)).crossJoin(F.broadcast(total))  # one row each
+    # a row with nothing common is disjoint from itself too, by its set; all others share with themselves
+    pairs = (F.col("few") * F.col("few") - F.col("n") - F.col("own")) / 2
+    if not large.isEmpty():
+        at = large.select("p", "c", F.explode("p").alias("i"))
+        other = sets.select(F.col("p").alias("q"), F.col("c").alias("d"), F.explode("p").alias("i"))
+        met = at.join(other, "i").where((F.size("q") <= most) | (F.col("p") < F.col("q"))).select("p", "q", "c", "d").distinct()
+        across = met.agg(F.coalesce(F.sum((F.col("c") * F.col("d")).cast("decimal(38,0)")), F.lit(0)).alias("across"))
+        within = large.agg(F.sum((F.col("c") * (F.col("c") - 1) / 2).cast("decimal(38,0)")).alias("within"))
+        one, pairs = one.crossJoin(F.broadcast(across)).crossJoin(F.broadcast(within)), pairs + F.col("across") + F.col("within")
+    return one.select(pairs.cast("double").alias("pairs"))
+
+
 def diversity(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     """1 less the mean of the cosines of all pairs that are not 0, to three places, for a list of recommendations.
 
     Each vector is made one of unit length; the sum of all cosines is the squared length of the sum of these vectors. A
     cosine is not 0 if two vectors have a component in common (features are not negative, so nothing cancels out, and
-    real-valued ones do so with probability 0). Such pairs are counted by pattern, the set of a vector's components, so
-    no pairs of rows are made. A vector of nothing has no cosine; without pairs the answer is null.
+    real-valued ones do so with probability 0). Such pairs are counted by pattern, the set of a vector's components,
+    without pairs of rows or of patterns. A vector of nothing has no cosine; without pairs the answer is null.
     """
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
     some = vectors.select(id_col, vector, norm.alias("n")).where("n > 0")
     unit = some.select(id_col, F.posexplode(vector).alias("i", "x"), "n").select(id_col, "i", (F.col("x") / F.col("n")).alias("u"))
     total = unit.groupBy("i").agg(F.sum("u").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("all"))
     parts = F.filter(F.transform(vector, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
-    patterns = some.groupBy(parts.alias("p")).agg(F.count("*").alias("c"))
-    within = patterns.agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("within"))
-    by = patterns.select("p", "c", F.explode("p").alias("i"))
-    met = by.join(by.select("i", F.col("p").alias("q"), F.col("c").alias("d")), "i").where("p < q").select("p", "q", "c", "d").distinct()
-    across = met.agg(F.coalesce(F.sum(F.col("c") * F.col("d")), F.lit(0)).alias("across"))
-    one = within.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(across))
-    pairs = F.col("within") + F.col("across")
-    return one.select(F.round(1 - F.try_divide((F.col("all") - F.col("n")) / 2, pairs), 3).alias("diversity"))
+    patterns = stored(some.groupBy(parts.alias("p")).agg(F.count("*").alias("c")), "patterns")
+    width = patterns.agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).first()
+    # a component that all rows have makes every pair one that shares
+    full = patterns.select("c", F.explode("p").alias("i")).groupBy("i").agg(F.sum("c").alias("n")).where(F.col("n") == (width["n"] or 0))
+    n = width["n"] or 0
+    pairs = sharing_pairs(patterns) if full.isEmpty() else patterns.sparkSession.createDataFrame([(n * (n - 1) / 2,)], "pairs double")
+    one = total.crossJoin(F.broadcast(pairs))
+    return one.select(F.round(1 - F.try_divide((F.col("all") - F.lit(n)) / 2, F.col("pairs")), 3).alias("diversity"))
 
 
 LABELS = [("Length", "the"), ("Length", "and"), ("Fit", "of the"), ("Fit", "of"), ("Sleeve", "la"), ("Sleeve", "und"), ("NeckDesign", "in"), ("NeckDesign", "is")]
@@ -105,7 +152,8 @@ _NAMED = ", ".join(f"('{a}', '{x}', '{x.upper()}')" for a, x in LABELS)
 @query(
     "x09_label_annotation",
     rf"""WITH w AS (SELECT doc_id AS oid, src, list_filter(regexp_split_to_array(lower(t), '[ 	
-]+'), lambda x: x <> '') AS w FROM
+
+]+'), lambda x: x <> '') AS w FROM
   (SELECT doc_id, 0 AS src, string_split(text, chr(10))[1] AS t FROM documents UNION ALL SELECT doc_id, 1, text FROM documents)),
  l(attr, label, form) AS (VALUES {_NAMED}), alike(a, b) AS (VALUES {_ALIKE}),
  two AS (SELECT oid, src, w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS r FROM w),
@@ -184,16 +232,15 @@ def x17b(spark, d):
 
 
 def recommended_from_query(products: DataFrame, predicted: DataFrame, term: str, k: int = 3) -> DataFrame:
-    """item, prediction and grade of what a search recommends, by system grade.
+    """user_id, item, prediction and grade of what a search recommends to each user, by system grade.
 
-    products: item, word (its search words), grade. predicted: item and prediction of unrated items that a model keeps.
-    The k likest of all search words stand for the term; search words are those of a dimension.
+    products: item, word (its search words), grade. predicted: user_id, item and prediction of unrated items that a model
+    keeps. The k likest of all search words stand for the term.
     """
-    words = [r["word"] for r in products.select(F.lower("word").alias("word")).where("word IS NOT NULL").distinct().orderBy("word").collect()]
     asked = products.sparkSession.createDataFrame([(term.lower(),)], "term string")
-    found = asked.select(F.explode(S.close_matches(F.col("term"), words, k)).alias("word"))
+    found = likest(asked, "term", products.select(F.lower("word").alias("word")), "word", k).select("word")
     matched = products.withColumn("word", F.lower("word")).join(found, "word").select("item", "grade")
-    return matched.join(predicted, "item").select("item", "prediction", "grade").orderBy("grade", "item")
+    return matched.join(predicted, "item").select("user_id", "item", "prediction", "grade").orderBy("user_id", "grade", "item")
 
 
 @query("x18_recommend_from_query")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import similarity as S
 from loomwright.functions import text as X
+from loomwright.operators.fuzzy import likest
 from loomwright.plans.joins import _COLOURS, colours
 from loomwright.registry import query, table
 from loomwright.sources.fixed import LABEL_CODES
@@ -85,8 +86,9 @@ def f15(spark, d):
 
 @query("t09_fuzzy_top_k")
 def t09(spark, d):
-    words = [r["p_brand"] for r in table(spark, d, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
-    return table(spark, d, "part").select("p_partkey", S.close_matches(F.lower("p_brand"), [w.lower() for w in words], 3).alias("close"))
+    part = table(spark, d, "part").select("p_partkey", F.lower("p_brand").alias("brand"))
+    found = likest(part, "brand", part, "brand", 3).groupBy("term").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("w"))  # three rows at most
+    return part.join(found, F.col("brand") == F.col("term"), "left").select("p_partkey", F.coalesce(F.col("w.word"), F.array().cast("array<string>")).alias("close"))
 
 
 @query("f16_whole_word", "SELECT doc_id, contains(' ' || text || ' ', ' the ') AS hit FROM documents")

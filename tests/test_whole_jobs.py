@@ -41,9 +41,9 @@ def test_recommendation_starts_from_search_words(spark):
     from loomwright.plans import annotate
 
     products = spark.createDataFrame([(1, "Red Dress", 3), (2, "red dress", 1), (3, "blue bolt", 1), (4, "red dresses", 2), (5, "RED DRESS", 2)], "item int, word string, grade int")
-    kept = spark.createDataFrame([(1, 0.9), (2, 0.6), (3, 0.8), (4, 0.7)], "item int, prediction double")  # 5 is rated
+    kept = spark.createDataFrame([(8, 1, 0.9), (8, 2, 0.6), (8, 3, 0.8), (8, 4, 0.7), (9, 5, 0.5)], "user_id int, item int, prediction double")  # 8 has rated 5
     got = annotate.recommended_from_query(products, kept, "red dres", 2).collect()
-    assert [tuple(r) for r in got] == [(2, 0.6, 1), (4, 0.7, 2), (1, 0.9, 3)]
+    assert [tuple(r) for r in got] == [(8, 2, 0.6, 1), (8, 4, 0.7, 2), (8, 1, 0.9, 3), (9, 5, 0.5, 2)]
 
 
 def test_clusterings_try_the_surveyed_range(spark, monkeypatch):
