@@ -18,6 +18,9 @@ from loomwright.operators.graph import connected
 from loomwright.operators.joins import co_members
 from loomwright.operators.ranking import min_max, with_totals
 from loomwright.storage import stored
+#: Components of a factor analysis that are looked at.
+MOST_COMPONENTS = 19
+
 
 def prepared(df: DataFrame, id_col: str, categories: Sequence[str], numbers: Sequence[str]) -> DataFrame:
     """Sorted categories with NOT_APPLIED for null, then sorted numbers with the mean for null, scaled to 0..1."""
@@ -27,34 +30,43 @@ def prepared(df: DataFrame, id_col: str, categories: Sequence[str], numbers: Seq
     return min_max(df, {c: c for c in numbers}, 0.0, 1.0) if numbers else df
 
 
-def famd(df: DataFrame, id_col: str, categories: Sequence[str], numbers: Sequence[str], k: int) -> DataFrame:
-    """Coordinates on the first k axes of a factor analysis of mixed data.
+def famd(df: DataFrame, id_col: str, categories: Sequence[str], numbers: Sequence[str], k: int | None = None) -> DataFrame:
+    """Coordinates on the first k axes of a factor analysis of mixed data; without k on as many as axes_to_keep() says.
 
     Numbers are standardised; a category's indicator is divided by the root of its share and centred. Categories are
     those of dimensions, so their levels are a short list.
     """
-    df = prepared(df, id_col, categories, numbers)
+    df = stored(prepared(df, id_col, categories, numbers), "prepared")
     n = df.count()
     stats = df.agg(*[f(c).alias(f"{p}{c}") for c in numbers for p, f in (("m", F.avg), ("s", F.stddev_pop))]).first() if numbers else {}
     parts = [(F.col(c) - F.lit(float(stats[f"m{c}"]))) / F.lit(float(stats[f"s{c}"]) or 1.0) for c in sorted(numbers)]
-    for c in sorted(categories):
-        for r in df.groupBy(c).count().orderBy(c).collect():
+    if categories:
+        level = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in sorted(categories)])).alias("x")
+        for r in df.select(level).groupBy("x.c", "x.v").count().orderBy("c", "v").collect():  # levels of dimensions
             p = r["count"] / n
-            parts.append(((F.col(c) == r[c]).cast("double") - F.lit(p)) / F.lit(math.sqrt(p)))
+            parts.append(((F.col(r["c"]).cast("string") == r["v"]).cast("double") - F.lit(p)) / F.lit(math.sqrt(p)))
     x = df.select(id_col, array_to_vector(F.array(*parts)).alias("x"))
-    model = PCA(k=min(k, len(parts)), inputCol="x", outputCol="y").fit(x)
+    model = PCA(k=min(k or MOST_COMPONENTS, len(parts)), inputCol="x", outputCol="y").fit(x)
     # the sign of an axis is free: its largest loading is made positive
     load = model.pc.toArray()
     sign = [float(np.sign(load[np.abs(load[:, j]).argmax(), j]) or 1.0) for j in range(load.shape[1])]
+    kept = sign[: k or axes_to_keep(model.explainedVariance.toArray())]
     y = vector_to_array("y")
-    return model.transform(x).select(id_col, F.array(*[y[j] * s for j, s in enumerate(sign)]).alias("coordinates"))
+    return model.transform(x).select(id_col, F.array(*[y[j] * s for j, s in enumerate(kept)]).alias("coordinates"))
 
 
 def axes_to_keep(explained: Sequence[float]) -> int:
-    """How many axes to keep: of those at or above the 70th percentile (nearest) of the shares, while they capture most."""
+    """How many axes to keep. explained: the shares of all axes that were asked for, the largest first.
+
+    Of the first n axes (2 at least) those at or above the 70th percentile (nearest) would stay; n is where these hold most
+    of what the n explain (ties: the largest n).
+    """
     e = np.asarray(explained, float)
-    cut = np.quantile(e, 0.7, method="nearest")
-    return max(2, int((e >= cut).sum()))
+    best = (-1.0, 0, min(len(e), 1))
+    for n in range(2, len(e) + 1):
+        stay = e[:n] >= np.quantile(e[:n], 0.7, method="nearest")
+        best = max(best, (float(e[:n][stay].sum() / max(e[:n].sum(), 1e-300)), n, int(stay.sum())))
+    return best[2]
 
 
 def _norm(v: np.ndarray) -> np.ndarray:

@@ -37,9 +37,11 @@ def insert_if_absent(target: DataFrame, rows: DataFrame, unique: Sequence[str],
 
 
 def get_or_create(target: DataFrame, rows: DataFrame, unique: Sequence[str], key: str) -> tuple[DataFrame, DataFrame]:
-    """The grown dimension, and the rows with its key."""
+    """The grown dimension, and the rows with its key; null is a value like others."""
     grown = insert_if_absent(target, rows.select(*unique).distinct(), unique, key, [F.col(u) for u in unique])
-    return grown, rows.join(grown.select(*unique, key), list(unique))
+    named = grown.select(*[F.col(u).alias(f"_k{i}") for i, u in enumerate(unique)], key)
+    same = reduce(lambda a, b: a & b, [F.col(u).eqNullSafe(F.col(f"_k{i}")) for i, u in enumerate(unique)])
+    return grown, rows.join(named, same).drop(*[f"_k{i}" for i in range(len(unique))])
 
 
 def update_first(target: DataFrame, criteria: Mapping[str, object], values: Mapping[str, Column], key: str, stamp: str | None = None) -> tuple[DataFrame, DataFrame]:

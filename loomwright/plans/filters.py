@@ -51,9 +51,9 @@ def p03(spark, d):
     return table(spark, d, "orders").where(P.matches({"o_orderstatus": "F", "o_orderpriority": "1-URGENT", "o_custkey": None, "o_totalprice": float("nan")})).select("o_orderkey", "o_custkey")
 
 
-@query("p03_null_criterion", "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL")
+@query("p03_null_criterion", "SELECT c.c_custkey FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL")
 def p03b(spark, d):
-    both = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    both = table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 450000"), F.col("c_custkey") == F.col("o_custkey"), "left")
     return both.where(P.matches({"o_orderkey": "NULL"})).select("c_custkey")
 
 
@@ -95,9 +95,9 @@ def p09(spark, d):
     return P.members(table(spark, d, "part"), big, ["p_partkey"]).select("p_partkey", "p_name")
 
 
-@query("p10_non_membership", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("p10_non_membership", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def p10(spark, d):
-    return P.non_members(table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
+    return P.non_members(table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
 
 
 _FEEDBACK = """SELECT d.doc_id AS oid, CASE WHEN l.quality = 1 THEN l.doc_id % 6 END AS grade, l.toxic = 1 AS irrelevant
@@ -180,9 +180,9 @@ def p21b(spark, d):
     return v.crossJoin(F.broadcast(v.agg(F.avg("v").alias("m")))).select("c_custkey", F.round(F.coalesce("v", "m"), 6).alias("v"))
 
 
-@query("p22_missing_probe", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("p22_missing_probe", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)")
 def p22(spark, d):
-    back = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    back = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, d, "part").join(back, "p_partkey", "left_anti").select("p_partkey")
 
 

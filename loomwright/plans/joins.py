@@ -174,9 +174,13 @@ def j19(spark, d):
 _BRANDS = "SELECT brand, row_number() OVER (ORDER BY known DESC, CASE WHEN known THEN brand END, brand) AS oid FROM (SELECT p_brand AS brand, p_brand < 'Brand#3' AS known FROM part GROUP BY p_brand)"
 
 
-@query("j20_get_or_create", f"SELECT p_partkey, oid FROM part JOIN ({_BRANDS}) ON p_brand = brand")
+_SOME_BRANDS = "SELECT p_partkey, CASE WHEN p_size > 3 THEN p_brand END AS brand FROM part"
+_GROWN = f"SELECT brand, row_number() OVER (ORDER BY CASE WHEN brand < 'Brand#3' THEN 0 ELSE 1 END, brand NULLS FIRST) AS oid FROM (SELECT DISTINCT brand FROM ({_SOME_BRANDS}))"
+
+
+@query("j20_get_or_create", f"SELECT p_partkey, oid FROM ({_SOME_BRANDS}) p JOIN ({_GROWN}) g ON p.brand IS NOT DISTINCT FROM g.brand")
 def j20(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"))
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 3, F.col("p_brand")).alias("brand"))
     dim = ordinal(p.select("brand").distinct().where("brand < 'Brand#3'"), [F.asc("brand")], "oid")
     return get_or_create(dim, p, ["brand"], "oid")[1].select("p_partkey", "oid")
 

@@ -23,7 +23,7 @@ EPS = 1.0
 
 def vectors(spark, d) -> DataFrame:
     """Products by their coordinates on the first axes of their mixed attributes."""
-    return C.famd(mixed(spark, d), "id", ["brand", "kind"], ["size", "price"], 3).withColumnRenamed("coordinates", "x")
+    return C.famd(mixed(spark, d), "id", ["brand", "kind"], ["size", "price"]).withColumnRenamed("coordinates", "x")
 
 
 def mixed(spark, d) -> DataFrame:
@@ -33,7 +33,7 @@ def mixed(spark, d) -> DataFrame:
 
 @query("m01_famd")
 def m01(spark, d):
-    return C.famd(mixed(spark, d), "id", ["brand", "kind"], ["size", "price"], 3).select("id", F.transform("coordinates", lambda x: F.round(x, 4)).alias("coordinates"))
+    return C.famd(mixed(spark, d), "id", ["brand", "kind"], ["size", "price"]).select("id", F.transform("coordinates", lambda x: F.round(x, 4)).alias("coordinates"))
 
 
 @query(

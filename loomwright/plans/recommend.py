@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as X
@@ -186,10 +186,15 @@ def x15(spark, d):
     return feedback(spark, d).agg(F.round(F.count_if(F.col("grade").isNull()) / F.count("*"), 2).alias("novelty"))
 
 
-@query("x16_coverage", f"SELECT round(count(*) FILTER (grade IS NULL) / (4325 - count(*) FILTER (grade IS NOT NULL)), 3) AS coverage FROM ({_FEEDBACK})")
+def coverage(items: DataFrame, recommended: Column, rated: Column) -> DataFrame:
+    """The share of the catalogue's items, less those rated, that are recommended, to three places."""
+    return items.agg(F.round(F.try_divide(F.count_if(recommended), F.count("*") - F.count_if(rated)), 3).alias("coverage"))
+
+
+@query("x16_coverage", f"SELECT round(count(*) FILTER (grade IS NULL AND oid % 4 <> 0) / (count(*) - count(*) FILTER (grade IS NOT NULL)), 3) AS coverage FROM ({_FEEDBACK})")
 def x16(spark, d):
     f = feedback(spark, d)
-    return f.agg(F.round(F.count_if(F.col("grade").isNull()) / (4325 - F.count("grade")), 3).alias("coverage"))
+    return coverage(f, F.col("grade").isNull() & (F.col("oid") % 4 != 0), F.col("grade").isNotNull())
 
 
 @query("x19_query_accuracy", "SELECT round(avg(CASE WHEN (doc_id % 11 >= 8) = (quality = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM labels")

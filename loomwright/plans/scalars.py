@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomwright.functions import similarity as S
 from loomwright.functions import text as X
+from loomwright.operators import vocabulary as V
 from loomwright.operators.fuzzy import likest
 from loomwright.plans.joins import _COLOURS, colours
 from loomwright.registry import query, table
 from loomwright.sources.fixed import LABEL_CODES
+from loomwright.storage import stored
 
 STOP = ["the", "and", "for", "that", "with", "was", "und", "der", "die", "que", "les", "des", "los", "las"]
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
@@ -67,16 +70,23 @@ for _f in (
 _q("f13_text_pipeline", _CHAIN, lambda t: X.preprocess(t, STOP))
 
 
+def letters(text) -> Column:
+    """The words of a text: runs of letters, lowered."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+
+
 @query("f09_segmentation")
 def f09(spark, d):
-    counts = dict.fromkeys(["the", "that", "in", "on", "er", "st", "re", "and", "of", "is", "an", "th"], 50)
+    """Texts without their spaces, split again by the counts of the corpus's own words."""
+    counts = V.dictionary(V.unigrams(docs(spark, d), letters("text")))
     return docs(spark, d).select("doc_id", S.segment(F.regexp_replace("text", " ", ""), counts).alias("words"))
 
 
 @query("f14_spelling")
 def f14(spark, d):
-    counts = {"yellow": 9, "light": 8, "green": 7, "blue": 6, "linen": 5, "brass": 4, "steel": 4, "copper": 3}
-    return table(spark, d, "part").select("p_partkey", S.correct_spelling(F.lower("p_type"), counts).alias("corrected"))
+    """Words of fewer than five occurrences in the corpus are spelt as the frequent words near them."""
+    known = stored(V.unigrams(docs(spark, d), letters("text")).where("n >= 5"), "known")
+    return V.corrected_texts(docs(spark, d), "doc_id", letters("text"), known)
 
 
 @query("f15_gestalt_ratio")
