@@ -74,16 +74,20 @@ def _norm(v: np.ndarray) -> np.ndarray:
     return (v - v.min()) / span if span else np.zeros(len(v))
 
 
+def _scores(found: Sequence[tuple[float, float, float]]) -> np.ndarray:
+    """The sum of the scaled indices of each clustering."""
+    s, d, c = (np.array(v) for v in zip(*found, strict=True))
+    worst = d[np.isfinite(d)].max() if np.isfinite(d).any() else 0.0
+    return _norm(s) + 1 - _norm(np.where(np.isfinite(d), d, worst)) + _norm(c)
+
+
 def _scored(df: DataFrame, id_col: str, x: str, kind: str, ks: Sequence[int]) -> tuple[DataFrame, object, list[tuple[int, float, float, float, float]]]:
     """The rows as a table, the model, and k with its indices and score for each clustering."""
     ks = list(ks)
     rows = stored(df.select(id_col, x), "vectors")
     model = sweeps.fitted(rows, id_col, x, kind, ks)
     found = sweeps.indices(rows, x, model.labels, ks)
-    s, d, c = (np.array(v) for v in zip(*found, strict=True))
-    worst = d[np.isfinite(d)].max() if np.isfinite(d).any() else 0.0
-    total = _norm(s) + 1 - _norm(np.where(np.isfinite(d), d, worst)) + _norm(c)
-    return rows, model, [(k, *map(float, r), float(t)) for k, r, t in zip(ks, found, total, strict=True)]
+    return rows, model, [(k, *map(float, r), float(t)) for k, r, t in zip(ks, found, _scores(found), strict=True)]
 
 
 def scores_of_k(df: DataFrame, id_col: str, x: str, kind: str, ks: Iterable[int]) -> DataFrame:
@@ -97,6 +101,19 @@ def select_and_label(df: DataFrame, id_col: str, x: str, kind: str, ks: Iterable
     return sweeps.labelled(rows, id_col, x, model, int(np.argmax([r[-1] for r in found])))
 
 
+def birch_session(df: DataFrame, id_col: str, x: str, ks: Iterable[int], known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """id and label of new rows by all rows so far, and the clustering features to keep for the next call.
+
+    known: the features of earlier calls; their rows are not read again. The number of clusters is the one of the best
+    score over the new rows.
+    """
+    ks = list(ks)
+    rows = stored(df.select(id_col, x), "vectors")
+    features = sweeps.Birch.features(rows, x, known)
+    model = sweeps.Birch.of_features(features, ks)
+    return sweeps.labelled(rows, id_col, x, model, int(np.argmax(_scores(sweeps.indices(rows, x, model.labels, ks))))), features
+
+
 def fuzzy_c_means(df: DataFrame, id_col: str, x: str, ks: int | Sequence[int], m: float = 2.0, error: float = 0.005, iterations: int = 1000, seed: int = 42) -> DataFrame:
     """id, label (largest membership) and membership, by the k of the least scaled partition entropy."""
     ks = [ks] if isinstance(ks, int) else list(ks)

@@ -41,16 +41,6 @@ def phrase_matches(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     return found.join(named.drop("_f"), ["_run", "_n"]).groupBy(id_col, label_col).agg(F.min("pos").alias("pos"))
 
 
-def last_containing(df: DataFrame, names: DataFrame, text: str, name: str, order: str) -> DataFrame:
-    """Of the names that stand anywhere in a text, the last by order; texts without any are left out.
-
-    The names of a dimension travel as one array, so each text is looked at once and nothing is shuffled.
-    """
-    one = names.where(F.col(name).isNotNull()).agg(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("_names"))
-    hit = df.crossJoin(F.broadcast(one)).withColumn("_hit", F.array_max(F.filter("_names", lambda x: F.contains(F.col(text), x["n"])))).where("_hit IS NOT NULL")
-    return hit.select(*df.columns, F.col("_hit.n").alias(name))
-
-
 def nearest_colour(df: DataFrame, palette: DataFrame, rgb: Sequence[str] = ("red", "green", "blue"), out: str = "name") -> DataFrame:
     """The palette's colour at the least squared distance; of equal ones the last by its column `seq`.
 

@@ -67,18 +67,6 @@ def flags_on(df: DataFrame, keys: Sequence[str], flags: Sequence[str], name: str
     return long.where("_on").select(*keys, F.lower(name).alias(name))
 
 
-def first_prefix_match(df: DataFrame, names: DataFrame, text: str, name: str, order: str) -> DataFrame:
-    """Of the names that a text starts with, the first by order. Names are texts, not patterns; empty ones match nothing.
-
-    The names of a dimension travel as one array, so each text is looked at once and nothing is shuffled.
-    """
-    own = names.where(F.trim(F.col(name)) != "")
-    one = own.agg(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n"), F.lower(F.trim(F.col(name))).alias("p"))).alias("_names"))
-    a = F.lower(F.trim(F.col(text)))
-    hit = df.crossJoin(F.broadcast(one)).withColumn("_hit", F.array_min(F.filter("_names", lambda x: F.startswith(a, x["p"])))).where("_hit IS NOT NULL")
-    return hit.select(*df.columns, F.col("_hit.n").alias(name), F.col("_hit.o").alias(order))
-
-
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 

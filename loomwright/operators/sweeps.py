@@ -154,8 +154,12 @@ class Birch:
     def labels(self, v: np.ndarray) -> np.ndarray:
         return self.of[_nearest(v, self.centroids)]
 
-    @classmethod
-    def fit(cls, df: DataFrame, id_col: str, x: str, ks: Sequence[int], seed: int, threshold: float = 0.5, most: int = FEATURES, fan_in: int = 32) -> Birch:
+    @staticmethod
+    def features(df: DataFrame, x: str, known: DataFrame | None = None, threshold: float = 0.5, most: int = FEATURES, fan_in: int = 32) -> DataFrame:
+        """n, ls, ss and threshold: at most `most` clustering features of the rows, merged with those known (the same table of earlier rows).
+
+        The table is all that the model keeps of its rows: store it, and rows that come later are merged into it.
+        """
         names = ["part", "n", "ls", "ss", "threshold"]
 
         def frame(part: int, got: tuple) -> pd.DataFrame:
@@ -173,16 +177,24 @@ class Birch:
                 yield frame(part, held)
 
         def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("part", kind="stable")
             return frame(int(pdf["part"].iloc[0]), _absorb(pdf["n"].to_numpy(float), np.stack(pdf["ls"].to_numpy()), pdf["ss"].to_numpy(float), most, float(pdf["threshold"].max())))
 
         schema = "part int, n double, ls array<double>, ss double, threshold double"
-        found = stored(df.select(x, F.spark_partition_id().alias("part")).mapInPandas(gathered, schema), "features")
+        found = df.select(x, (F.spark_partition_id() + 1).alias("part")).mapInPandas(gathered, schema)
+        if known is not None:  # they come before all new ones
+            found = known.select(F.lit(0).alias("part"), "n", "ls", "ss", "threshold").union(found)
+        found = stored(found, "features")
         parts = int(found.agg(F.max("part").alias("m")).first()["m"] or 0) + 1
         while True:
             found = stored(found.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).groupBy("part").applyInPandas(joined, schema), "features")
             parts = -(-parts // fan_in)
             if parts <= 1:
-                break
+                return found.drop("part")
+
+    @classmethod
+    def of_features(cls, found: DataFrame, ks: Sequence[int]) -> Birch:
+        """The model of a table of features."""
         rows = sorted(found.collect(), key=lambda r: list(np.array(r["ls"]) / r["n"]))  # `most` rows
         centroids = np.array([np.array(r["ls"]) / r["n"] for r in rows])
         parent, of, left, merges = list(range(len(rows))), {}, len(rows), iter(_ward(centroids))
@@ -195,6 +207,10 @@ class Birch:
             of[k] = [first[p] for p in parent]
         return cls(centroids, np.column_stack([of[k] for k in ks]))
 
+    @classmethod
+    def fit(cls, df: DataFrame, id_col: str, x: str, ks: Sequence[int], seed: int) -> Birch:
+        return cls.of_features(cls.features(df, x), ks)
+
 
 def _digamma(x: np.ndarray) -> np.ndarray:
     x, out = np.array(x, float), np.zeros(np.shape(x))

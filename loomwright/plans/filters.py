@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwright.operators import predicates as P
+from loomwright.operators.names import first_prefix_match
 from loomwright.operators.ranking import ordinal, top_by_group
 from loomwright.registry import query, table
 from loomwright.sources.tables import read_csv_dimension, word_list
@@ -155,7 +156,7 @@ def p17(spark, d):
  ON starts_with(lower(trim(p_brand)), lower(trim(n))) AND trim(n) <> '' GROUP BY p_partkey""")
 def p18(spark, d):
     names = spark.createDataFrame([("", 0), ("Brand#1", 1), ("BRAND", 2), ("x", 3)], "n string, o int")
-    return P.first_prefix_match(table(spark, d, "part").select("p_partkey", "p_brand"), F.broadcast(names), "p_brand", "n", "o").select("p_partkey", "n", "o")
+    return first_prefix_match(table(spark, d, "part").select("p_partkey", "p_brand"), names, "p_brand", "n", "o").select("p_partkey", "n", "o")
 
 
 @query("p19_numeric_columns", "SELECT p_partkey, p_size, p_retailprice FROM part")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwright.operators import joins as J
 from loomwright.operators.dml import get_or_create
+from loomwright.operators.names import last_containing
 from loomwright.operators.ranking import ordinal
 from loomwright.registry import query, table
 from loomwright.sources.fixed import COARSE_PALETTE, GENDER_WORDS, palette_frame
@@ -82,8 +83,8 @@ def j09(spark, d):
 
 @query("j10_containment_last_match", "SELECT p_partkey, max_by(w, o) AS w FROM part JOIN (VALUES ('a', 1), ('re', 2), ('in', 3), ('ed', 4)) t(w, o) ON contains(p_name, w) GROUP BY p_partkey")
 def j10(spark, d):
-    names = F.broadcast(spark.createDataFrame([("a", 1), ("re", 2), ("in", 3), ("ed", 4)], "w string, o int"))
-    return J.last_containing(table(spark, d, "part").select("p_partkey", "p_name"), names, "p_name", "w", "o").drop("p_name")
+    names = spark.createDataFrame([("a", 1), ("re", 2), ("in", 3), ("ed", 4)], "w string, o int")
+    return last_containing(table(spark, d, "part").select("p_partkey", "p_name"), names, "p_name", "w", "o").drop("p_name")
 
 
 @query(

@@ -55,6 +55,14 @@ def m04(spark, d):
     return C.select_and_label(vectors(spark, d), "id", "x", "birch", KS)
 
 
+@query("m04_birch_incremental")
+def m04_more(spark, d):
+    """A first call over three of four products, then the rest: its rows are labelled by what both have taught."""
+    v = stored(vectors(spark, d), "vectors")
+    features = C.birch_session(v.where("id % 4 <> 0"), "id", "x", KS)[1]
+    return C.birch_session(v.where("id % 4 = 0"), "id", "x", KS, features)[0]
+
+
 @query("m05_fuzzy_c_means")
 def m05(spark, d):
     return C.fuzzy_c_means(vectors(spark, d), "id", "x", KS)

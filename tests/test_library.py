@@ -15,6 +15,7 @@ from loomwright.functions import metrics as M
 from loomwright.functions import text as X
 from loomwright.operators import clustering as C
 from loomwright.operators import density
+from loomwright.operators import names as names_of
 from loomwright.operators import dml, graph, joins, predicates, ranking, sweeps
 from loomwright.plans import annotate, recommend
 from loomwright.sources import sheets, shops, social, tables
@@ -111,7 +112,7 @@ def test_separators_and_prefixes(spark):
     df = spark.createDataFrame([("Red Top",)], "t string")
     assert df.select(X.multi_words(F.col("t")).alias("x")).first()["x"] == ["red", "p"] or df.select(X.multi_words(F.col("t")).alias("x")).first()["x"] == ["red", "p", ""]
     names = spark.createDataFrame([("", 0), ("re(d", 1), ("red", 2)], "n string, o int")
-    assert predicates.first_prefix_match(df, names, "t", "n", "o").first()["n"] == "red"
+    assert names_of.first_prefix_match(df, names, "t", "n", "o").first()["n"] == "red"
 
 
 def test_containment_is_by_whole_words(spark):
