@@ -73,6 +73,11 @@ def m06(spark, d):
     return D.dbscan_selected(vectors(spark, d), "id", "x", EPS, KS)
 
 
+@query("m06_optics")
+def m06_optics(spark, d):
+    return D.optics_selected(vectors(spark, d), "id", "x", EPS, 5, [EPS * c for c in (1.0, 0.6, 0.4, 0.25)])
+
+
 @query("m07_gaussian_mixture")
 def m07(spark, d):
     return C.select_and_label(vectors(spark, d), "id", "x", "gaussian", KS)
