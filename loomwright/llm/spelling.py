@@ -5,8 +5,9 @@ rare the bigram is; one edit changes two bigrams at most, so two words one edit
 at places that differ by one at most (taken in one order, the first that the edit leaves alone is among the three of
 both). Only these three meet in the join. As the edit stands wholly before or after the bigram they share, either
 everything up to its end or everything from its start is equal too: each bigram is sent under both, which keeps a common
-bigram from bringing all its words together. What meets within the limits of position and length is verified by its
-edit distance.
+bigram from bringing all its words together. Where that equal part is short, what is left of the word is halved: one of
+its halves (of the shorter word's) is equal as well, so the bigram is sent with each. What meets within the limits of
+position and length is verified by its edit distance.
 
 A word's form is the most frequent word near it, if that is frequent enough; roots follow forms to the last, by doubling
 the steps in each round (a form is RATIO times as frequent, so chains are short).
@@ -36,6 +37,8 @@ LENGTH, COUNT, RATIO, EVERY = 6, 5, 5, 199
 EDITS, Q = 1, 2
 RAREST = Q * EDITS + 1
 WORDS_AT_ONCE = 10_000
+#: Letters of an equal part from which on it is sent alone. The result is the same.
+PLENTY = 5
 
 
 def runs(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,6 +100,17 @@ def rarest(words: list[str], rank: np.ndarray) -> np.ndarray:
     return place[order][first[:, None] + np.arange(RAREST)].astype(np.int32)
 
 
+def meeting_keys() -> Column:
+    """Hashes under which an end (side, half: the equal part, rest) is sent: alone, or with each half of the rest.
+
+    Rests of two words differ by one letter at most; where the shorter has m, one edit leaves its first m / 2 letters or
+    its last m - m / 2 alone. A word is the shorter or the longer one, so it sends the halves for both.
+    """
+    alone = F.array(F.xxhash64("side", "half"))
+    halves = [F.expr(f"xxhash64(side, half, {m}, {part}, {text.format(m=m)})") for m in ("char_length(rest)", "greatest(char_length(rest) - 1, 0)") for part, text in ((0, "left(rest, int({m} div 2))"), (1, "right(rest, int({m} - {m} div 2))"))]
+    return F.when(F.char_length("half") >= PLENTY, alone).otherwise(F.array_distinct(F.array(*halves)))
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """word, near and near_n for all words (a stored table of word and n) that are one edit apart, both ways."""
     sent = words.sparkSession.sparkContext.broadcast(bigram_ranks(words))
@@ -107,9 +121,10 @@ def near_words(words: DataFrame) -> DataFrame:
             yield beside(b, {"places": pa.array(list(places), pa.list_(pa.int32()))})
 
     placed = arrow_batched(words.select("word", "n"), run, "word string, n long, places array<int>", WORDS_AT_ONCE)
-    ends = F.array(F.struct(F.lit(0).alias("side"), F.expr("substring(word, 1, place + 2)").alias("half")), F.struct(F.lit(1).alias("side"), F.expr("substring(word, place + 1)").alias("half")))
-    sent_keys = placed.select("word", "n", F.explode("places").alias("place")).select("word", "n", "place", F.explode(ends).alias("e"))
-    keys = stored(sent_keys.select("word", "n", "place", F.char_length("word").alias("size"), F.xxhash64("e.side", "e.half").alias("key")), "grams")
+    left = F.struct(F.lit(0).alias("side"), F.expr("substring(word, 1, place + 2)").alias("half"), F.expr("substring(word, place + 3)").alias("rest"))
+    right = F.struct(F.lit(1).alias("side"), F.expr("substring(word, place + 1)").alias("half"), F.expr("substring(word, 1, place)").alias("rest"))
+    ends = placed.select("word", "n", F.explode("places").alias("place")).select("word", "n", "place", F.explode(F.array(left, right)).alias("e")).select("word", "n", "place", "e.*")
+    keys = stored(ends.select("word", "n", "place", F.char_length("word").alias("size"), F.explode(meeting_keys()).alias("key")), "grams")
     a, b = (keys.toDF(*[f"{x}_{c}" for c in keys.columns]) for x in "ab")
     limits = "a_key = b_key AND a_word < b_word AND abs(a_place - b_place) <= 1 AND abs(a_size - b_size) <= 1 AND levenshtein(a_word, b_word, 1) = 1"
     pairs = a.join(b, F.expr(limits)).select("a_word", "a_n", "b_word", "b_n").distinct()

@@ -55,7 +55,9 @@ def check(spark, rows):
     return got
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("plenty", [0, 5, 99])
+def test_against_brute_force(spark, monkeypatch, plenty):
+    monkeypatch.setattr(S, "PLENTY", plenty)
     rnd = random.Random(4)
     base = ["".join(rnd.choice("abcé") for _ in range(rnd.randint(6, 9))) for _ in range(25)] + ["aaaaaaa", "aaaaaaaa", "abababab", "babababa"]
     words = []
