@@ -35,12 +35,14 @@ def no_docs(spark):
 
 @pytest.fixture()
 def sf_dir(spark, tmp_path):
-    """A folder of tables from rows of documents, and labels, pages."""
+    """A folder of tables from rows of documents, and labels, pages; 40 embeddings are always there."""
 
     def make(rows, labels=(), pages=()):
         as_frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
         spark.createDataFrame(list(labels), "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
         spark.createDataFrame(list(pages), "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+        vectors = [(i, [float((i * (k + 3)) % 17) / 17 for k in range(16)], i % 3) for i in range(40)]
+        spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
         return str(tmp_path)
 
     return make

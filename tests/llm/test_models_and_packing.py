@@ -441,6 +441,7 @@ def test_texts_of_a_megabyte(spark, sf_dir):
         assert got["op3"][i]["n_tokens"] == len(ids[i]) - 1 and got["op3"][i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
         assert got["op7"][i]["n_chars"] == len(t)
         assert got["op10"][i]["component_id"] == (1 if i < 5 else i)  # lines or words, the shingles are the same
+        assert got["op13"][i]["n_email"] == 0 and got["op13"][i]["spans"] == ""
     assert got["op6"][3]["n_gone"] == got["op6"][2]["n_gone"] == 1 and got["op6"][4]["n_gone"] == 200_000 - len(set(words))
     check_places(QUERIES["op9_martello_toth_best_fit_packing"](spark, d).collect(), list(ids.items()), 2048)
     assert {len(r["block"]) for r in QUERIES["op8_warc_derivatives"](spark, d).where("record_type = 'conversion'").collect()} == {2 * 300_000 - 1}
@@ -593,10 +594,15 @@ def test_queries_have_their_columns(spark, sf_dir):
         "op7": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
         "op9": "doc_id piece start length ids_crc32 sequence_id offset",
         "op10": "doc_id n_shingles component_id kept",
+        "op11": "vec_id code error label_error codebooks_sha256",
+        "op12": "word form root n n_near form_n",
+        "op13": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     }
     for name, query in QUERIES.items():
         out = query(spark, d)
         assert set(need.get(name.split("_")[0], "").split()) <= set(out.columns), name
-        if name.split("_")[0] not in ("op8", "op9"):
+        if name.split("_")[0] == "op11":
+            assert out.count() == 40
+        elif name.split("_")[0] not in ("op8", "op9", "op12"):
             assert out.count() == len(rows) + len(odd_rows()), name
     assert set(oracle()) <= set(QUERIES)
