@@ -40,4 +40,4 @@ def test_library_stands_without_the_subpackage(tmp_path, gone):
 
 def test_entry(spark):
     if os.path.isdir("/root/testdata/sf0.001"):
-        assert __spark_entry__.entry(spark).count() >= 0
+        assert __spark_entry__.entry(spark).count() > 0
