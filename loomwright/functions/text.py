@@ -24,6 +24,7 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+# Fixed value: the pattern decides the result.
 def strip_urls(text: Column) -> Column:
     """Addresses that end in .com, with the character before them."""
     return F.regexp_replace(text, r"(www\S+)*(.\S+\.com)", "")
@@ -37,6 +38,7 @@ def drop_short(text: Column, most: int = 2) -> Column:
     return F.array_join(F.filter(tokens(text), lambda w: F.length(w) > most), " ")
 
 
+# Fixed value: the pattern decides the result.
 def drop_numbers(text: Column) -> Column:
     return F.regexp_replace(text, "([a-z]*[0-9]+[a-z]*)", "")
 
@@ -91,6 +93,7 @@ def position(text: Column, word: Column) -> Column:
     return F.position(word, text) - 1
 
 
+# The forms of labels in their dimensions.
 def canonical_label(label: Column, attribute: Column) -> Column:
     """The form of a label that its dimension has, whatever the case."""
     x, a = F.upper(label), F.lower(attribute)
@@ -113,6 +116,7 @@ def followed_by(words: Column, word: Column, after: str) -> Column:
     return F.exists(pairs, lambda p: F.coalesce(p, F.lit(False)))
 
 
+# Fixed value: the separators decide the result.
 def multi_words(text: Column, separators: str = r"/|,|to|and| |&|-") -> Column:
     """The distinct parts of an attribute's text, lowered, split at the listed separators and nowhere else."""
     return F.array_distinct(F.filter(F.split(F.lower(text), separators), lambda w: w != ""))

@@ -94,7 +94,7 @@ def s12(spark, d):
     kept = F.struct(F.lit("pin").alias("type"), link.alias("link"), F.col("n_name").alias("title"))
     promoted = F.struct(F.lit("promoted").alias("type"), F.lit("https://ad.example").alias("link"), F.lit("ad").alias("title"))
     path = _pages(spark, d, "pins", F.struct(F.array(kept, promoted, kept).alias("results")))
-    return social.read_posts(spark, path.removeprefix("file:")).select("term", "url", "title")
+    return social.read_posts(spark, path).select("term", "url", "title")
 
 
 @query("s13_tagged_posts", "SELECT r_name AS term, 'n' || n_nationkey AS url, array_to_string(regexp_extract_all('new ' || n_name || ' x9 99', '[a-zA-Z]+'), ' ') AS description FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -105,7 +105,7 @@ def s13(spark, d):
 
     layout = F.struct(F.struct(F.array(post(2), post(1)).alias("medias")).alias("layout_content"))
     path = _pages(spark, d, "posts", F.struct(F.struct(F.struct(F.array(layout).alias("sections")).alias("recent")).alias("data")))
-    return social.letters_only(social.read_posts(spark, path.removeprefix("file:"), "post")).select("term", "url", "description")
+    return social.letters_only(social.read_posts(spark, path, "post")).select("term", "url", "description")
 
 
 @query("s16_first_usable_picture", f"SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'photo' ELSE 'none' END AS source, CASE s_suppkey % 3 WHEN 0 THEN {SIDE} WHEN 1 THEN {SIDE} - 1 END AS height FROM supplier")

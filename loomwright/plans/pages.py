@@ -107,9 +107,6 @@ def s18(spark, d):
     return rows.agg(F.count("*").alias("n")).crossJoin(one.agg(F.bool_and(F.length("content") == F.col("length")).alias("whole")))
 
 
-_PICTURE_ROWS = 40
-
-
 def pictures(spark, d):
     """A small picture for each supplier, of four fields of colour and noise of its number."""
 

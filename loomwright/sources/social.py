@@ -6,11 +6,12 @@ its replies is the user's). It keeps up to `limit` posts of a term, and stops af
 
 from __future__ import annotations
 
-import glob
 import json
 import os
+import re
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -41,6 +42,13 @@ def results(page: dict) -> list[dict]:
     return [m for s in sections for m in s.get("layout_content", {}).get("medias", [])]
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, with or without a scheme, and the path within it."""
+    if ":" not in path.split("/")[0]:
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
 class _Term(InputPartition):
     def __init__(self, term: str, files: list[str]) -> None:
         self.term, self.files = term, files
@@ -53,14 +61,16 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Term]:
         """One for each term: a folder of numbered pages."""
-        terms = sorted(d for d in glob.glob(f"{self.path}/*") if os.path.isdir(d))
-        return [_Term(os.path.basename(d), sorted(glob.glob(f"{d}/*.json"))) for d in terms]
+        store, root = _store(self.path)
+        found = lambda at, kind: sorted(f.path for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.type == kind)
+        return [_Term(os.path.basename(d), [f for f in found(d, fs.FileType.File) if f.endswith(".json")]) for d in found(root, fs.FileType.Directory)]
 
     def read(self, partition: _Term) -> Iterator[tuple]:
         made, seen, empty = {"pin": pin, "post": post}[self.kind], set(), 0
+        store = _store(self.path)[0]
         for name in partition.files:
-            with open(name, encoding="utf-8") as f:
-                rows = [x for x in (made(partition.term, r) for r in results(json.load(f))) if x and x[1] not in seen]
+            with store.open_input_stream(name) as f:
+                rows = [x for x in (made(partition.term, r) for r in results(json.loads(f.read()))) if x and x[1] not in seen]
             empty = 0 if rows else empty + 1
             for r in rows:
                 if len(seen) >= self.limit:

@@ -383,6 +383,7 @@ def test_social_posts(spark, tmp_path):
     os.makedirs(tmp_path / "red")
     for i, p in enumerate(pages):
         (tmp_path / "red" / f"{i:03d}.json").write_text(json.dumps({"results": p}))
+    assert social.read_posts(spark, f"file:{tmp_path}").collect() == social.read_posts(spark, str(tmp_path)).collect()
     got = social.read_posts(spark, str(tmp_path))
     assert [(r["term"], r["url"], r["image"]) for r in got.orderBy("url").collect()] == [("red", "l1", "i1"), ("red", "l4", "i4")]
     assert social.read_posts(spark, str(tmp_path), limit=1).count() == 1
