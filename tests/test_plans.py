@@ -39,6 +39,22 @@ def test_no_cartesian_products_in_the_flagship(spark):
         assert "CartesianProduct" not in p and "PythonUDF" not in p and "Python" not in p
 
 
+def test_texts_are_split_once(spark):
+    for name in ("x01_tfidf", "x03_text_score"):
+        p = plan(QUERIES[name](spark, SF))
+        assert "regexp_extract_all" not in p and p.count("documents.parquet") <= 1  # terms are a table by now
+    from loomwright.functions import tfidf
+
+    df = spark.createDataFrame([(i, "red dress " + "of all " * 3 + str(i)) for i in range(50)], "id int, t string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(tfidf.weights(df, "id", "t"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = p[p.index("SortMergeJoin") :]
+    assert join.count("Exchange hashpartitioning(term") == 2 and "HashAggregate" not in join  # both sides can be split
+
+
 def test_no_window_over_the_whole_frame(spark):
     df = spark.range(100).withColumn("v", F.rand(1))
     from loomwright.operators.ranking import min_max
