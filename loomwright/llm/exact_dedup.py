@@ -8,7 +8,9 @@ of one digest then stand side by side, at most `fanout` of them, in the order of
 merged run adds up their counts and keeps the last, which holds the largest (or smallest) identifier. Entries are the
 same only if digest, length and second hash agree, at every level. After `levels` rounds the root's run is final, still
 spread over slices of the digests. The way back goes through the leaves' entries, so that a text that a third of all rows
-share is joined as fanout ** levels keys and not as one. Texts are read once: digests are a table of their own.
+share is joined as fanout ** levels keys and not as one. The fan-out grows with the number of rows, so that such a key
+stays within about ROWS_A_LEAF rows, while the rounds and what they exchange stay the same. Texts are read once: digests
+are a table of their own.
 
 Defined results: null text is empty text; rows with a null id are merged like others, are kept only if their group has
 no other id, and never win; rows that repeat id and text are one document seen twice, so all of them carry the same
@@ -24,14 +26,24 @@ from loomwright.llm.common import salt, stored, table
 
 #: Slices of the digests by which the runs of a node are spread: hexadecimal digits.
 SLICE_DIGITS = 4
+#: Rows that a leaf is for; the fewest runs that meet in a round.
+ROWS_A_LEAF, FANOUT = 1_000_000, 4
 ENTRY = ["digest", "bytes", "check"]
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str, leaves: int, digest_bytes: int = 32) -> DataFrame:
+def fanout_for(rows: int, levels: int, rows_a_leaf: int = ROWS_A_LEAF) -> int:
+    """The fewest runs a round (FANOUT at least) with which `levels` rounds have leaves for so many rows."""
+    fanout = FANOUT
+    while fanout**levels * rows_a_leaf < rows:
+        fanout += 1
+    return fanout
+
+
+def digests(docs: DataFrame, id_col: str, text_col: str, digest_bytes: int = 32) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     got = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
     digest = F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, digest_bytes)
-    return got.select("id", digest.alias("digest"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("check"), salt(leaves, "id").alias("leaf"))
+    return got.select("id", digest.alias("digest"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("check"))
 
 
 def leaf_runs(rows: DataFrame, keep: str) -> DataFrame:
@@ -50,9 +62,11 @@ def merge_round(runs: DataFrame, keep: str, fanout: int) -> DataFrame:
     return both.where("_after IS NULL").select("node", "slice", *ENTRY, "keep_id", F.col("_sum").alias("group_size"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fanout: int = 4, levels: int = 3, digest_bytes: int = 32) -> DataFrame:
-    """For each row: id, digest, keep_id (the id that stays), group_size, kept."""
-    rows = stored(digests(docs, id_col, text_col, fanout**levels, digest_bytes), "digests")
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fanout: int | None = None, levels: int = 3, digest_bytes: int = 32) -> DataFrame:
+    """For each row: id, digest, keep_id (the id that stays), group_size, kept. The fan-out follows the number of rows unless given."""
+    rows = stored(digests(docs, id_col, text_col, digest_bytes), "digests")
+    fanout = fanout or fanout_for(rows.count(), levels)  # counted by the footers of the table's files
+    rows = rows.withColumn("leaf", salt(fanout**levels, "id"))
     leaves = leaf_runs(rows, keep)
     runs = leaves
     for _ in range(levels):

@@ -11,9 +11,20 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loomwright.llm import bpe, exact_dedup, line_dedup, sharding, winnowing
+from loomwright.llm.common import salt
 from tests.llm.conftest import as_frame, odd_rows
 
 
+def test_exact_groups_of_a_growing_tree(spark, docs, monkeypatch):
+    assert exact_dedup.fanout_for(0, 3) == exact_dedup.fanout_for(64 * exact_dedup.ROWS_A_LEAF, 3) == 4
+    assert exact_dedup.fanout_for(64 * exact_dedup.ROWS_A_LEAF + 1, 3) == 5
+    assert exact_dedup.fanout_for(10**10, 3) ** 3 * exact_dedup.ROWS_A_LEAF >= 10**10
+    plain = sorted(map(str, exact_dedup.exact_groups(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "fanout_for", lambda rows, levels: 9 + 0 * rows)
+    assert sorted(map(str, exact_dedup.exact_groups(docs).collect())) == plain
+    assert sorted(map(str, exact_dedup.exact_groups(docs, fanout=2, levels=1).collect())) == plain
+
+
 def test_exact_groups(spark, docs, no_docs):
     for keep in ("max", "min"):
         got = exact_dedup.exact_groups(docs, keep=keep).collect()
@@ -28,7 +39,7 @@ def test_exact_groups(spark, docs, no_docs):
 
 
 def test_every_round_merges_sorted_runs(spark, docs):
-    rows = exact_dedup.digests(docs, "doc_id", "text", 64)
+    rows = exact_dedup.digests(docs, "doc_id", "text").withColumn("leaf", salt(64, "id"))
     runs = exact_dedup.leaf_runs(rows, "max")
     before = runs._jdf.queryExecution().executedPlan().toString().count("HashAggregate")
     for _ in range(3):
