@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, SparkSession
@@ -61,15 +62,45 @@ def shorten_runs(text: Column) -> Column:
     return F.regexp_replace(text, r"(.)\1{2,}", "$1$1$1")
 
 
+_SPACE, _SIGN = r" \t\n\x0b\f\r", r"\p{L}\p{N}_"
+_EYES, _NOSE, _MOUTH = "[:;=8]", "[o*'-]?", r"[)\](\[dDpP/\\:}{@|]"
+# The kinds of tokens of short posts, tried in this order at each place. They use no look-around and no
+# classes whose meaning differs between engines, so SQL engines read them alike.
+POST_TOKENS = {
+    "address": rf"(?:https?://|www\.)[^{_SPACE}<>]+",
+    "emoticon": f"[<>]?{_EYES}{_NOSE}{_MOUTH}|{_MOUTH}{_NOSE}{_EYES}[<>]?|</?3",
+    "tag": rf"<[^>{_SPACE}]+>",
+    "arrow": "-+>|<-+",
+    "handle": f"@[{_SIGN}]+",
+    "hashtag": f"#+[{_SIGN}]+(?:['-]+[{_SIGN}]+)*",
+    "mail": rf"[{_SIGN}.+-]+@[{_SIGN}-]+(?:\.[{_SIGN}-]+)+",
+    "word": r"\p{L}[\p{L}'_-]+\p{L}",
+    "number": r"[+-]?\p{Nd}+[,/.:-]\p{Nd}+[+-]?",
+    "plain": f"[{_SIGN}]+",
+    "dots": rf"\.(?:[{_SPACE}]*\.)+",
+    "sign": f"[^{_SPACE}]",
+}
+POST_TOKEN = "|".join(f"(?:{p})" for p in POST_TOKENS.values())
+
+
+def post_tokens(text: Column, reduce_len: bool = True) -> Column:
+    """The tokens of a short post: addresses, emoticons, handles, hashtags, words with their apostrophes and dashes, numbers,
+    rows of dots, single signs. With reduce_len longer runs of a character count as three. Null stays null."""
+    return F.regexp_extract_all(shorten_runs(text) if reduce_len else text, F.lit(POST_TOKEN), F.lit(0))
+
+
 def lemma(word: Column) -> Column:
     """The singular of an English noun, by rules on its end."""
+    n = F.length(word)
+    ends = lambda *of: functools.reduce(Column.__or__, [word.endswith(e) for e in of])
+    cut = lambda k, more="": F.concat(F.left(word, n - k), F.lit(more))
     return (
-        F.when(word.rlike("men$") & (F.length(word) > 3), F.regexp_replace(word, "men$", "man"))
-        .when(F.length(word) <= 3, word)
-        .when(word.rlike("ies$") & (F.length(word) > 4), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("(?:ss|x|ch|sh|zz)es$"), F.regexp_replace(word, "es$", ""))
-        .when(word.rlike("(?:ss|us|is)$"), word)
-        .otherwise(F.regexp_replace(word, "s$", ""))
+        F.when(ends("men") & (n > 3), cut(2, "an"))
+        .when(n <= 3, word)
+        .when(ends("ies") & (n > 4), cut(3, "y"))
+        .when(ends("sses", "xes", "ches", "shes", "zzes"), cut(2))
+        .when(ends("ss", "us", "is") | ~word.endswith("s"), word)
+        .otherwise(cut(1))
     )
 
 
@@ -81,7 +112,7 @@ def preprocess(text: Column, words: Sequence[str], segmented: Column | None = No
     """The whole chain. segmented: the lowered text without addresses, split into words where they are glued."""
     x = strip_urls(F.lower(text)) if segmented is None else segmented
     x = ascii_only(drop_numbers(drop_short(strip_punctuation(x))))
-    return lemmatise(shorten_runs(drop_words(squeeze(x), words)))
+    return F.array_join(F.transform(post_tokens(drop_words(squeeze(x), words)), lemma), " ")
 
 
 def has_word(text: Column, word: Column) -> Column:

@@ -217,17 +217,19 @@ def i02(spark, d):
     return mapped(scenes(spark, d), lambda r: [(r.s_suppkey, int(I.not_skin(I.read_ppm(bytes(r.picture))).sum()))], "s_suppkey long, left long")
 
 
-@query("i03_segmented_person", "SELECT s_suppkey, 24 * 24 AS person, 24 * 24 AS kept FROM supplier WHERE s_suppkey % 5 = 0")
+#: Skin ends before the last five columns, whatever its size.
+@query("i03_segmented_person", "SELECT s_suppkey, 24 * (43 - s_suppkey % 5) AS person, s_suppkey % 5 > 0 AS bare, 24 * 5 AS beyond FROM supplier")
 def i03(spark, d):
-    """Without skin the cloth is the person that a segmentation gives."""
+    """Without skin the cloth is the person that a segmentation gives: here of a width that depends on the picture."""
 
     def of(r):
         a = I.read_ppm(bytes(r.picture))
         person = np.zeros(a.shape[:2])
-        person[:24, :24] = 1
-        return [(r.s_suppkey, int(person.sum()), int(I.cloth_mask(a, person).sum()))]
+        person[:24, int(r.s_suppkey) % 5 + 5 :] = 1
+        cloth = I.cloth_mask(a, person)
+        return [(r.s_suppkey, int(person.sum()), bool(cloth.sum() < person.sum()), int(cloth[:, 43:].sum()))]
 
-    return mapped(scenes(spark, d).where("s_suppkey % 5 = 0"), of, "s_suppkey long, person long, kept long")
+    return mapped(scenes(spark, d), of, "s_suppkey long, person long, bare boolean, beyond long")
 
 
 @query("i04_mask_combination")

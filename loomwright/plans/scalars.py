@@ -50,11 +50,28 @@ _q("f24_folder_name", "replace(trim(regexp_replace(text, '[0-9]', '', 'g')), ' '
 _q("f33_unescape", "replace(replace(text, '''', '\\'''), '\\', '')", lambda t: F.replace(F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("\\"), F.lit("")))
 
 
-@query("f10_shorten_runs")
+def _shortened(x: str) -> str:
+    """A text in which a character goes that repeats the three before it; ends of lines stay."""
+    behind = ", ".join(f"list_concat(list_resize([]::VARCHAR[], {k}), string_split({x}, ''))" for k in range(4))
+    same = "z[1] = z[2] AND z[1] = z[3] AND z[1] = z[4] AND unicode(z[1]) NOT IN (10, 13, 133, 8232, 8233)"
+    return f"array_to_string(list_transform(list_filter(list_zip({behind}), lambda z: z[1] IS NOT NULL AND coalesce(NOT ({same}), true)), lambda z: z[1]), '')"
+
+
+def _tokens_sql(x: str) -> str:
+    return f"""regexp_extract_all({x}, '{X.POST_TOKEN.replace("'", "''")}')"""
+
+
+@query("f10_shorten_runs", f"SELECT doc_id, {_shortened("regexp_replace(text, '([aeo])', '\\1\\1\\1\\1', 'g')")} AS text FROM documents")
 def f10(spark, d):
     return docs(spark, d).select("doc_id", X.shorten_runs(F.regexp_replace("text", "([aeo])", "$1$1$1$1")).alias("text"))
 
 
+@query("f10_post_tokens", f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tokens_sql(_shortened('text'))} AS t FROM documents)")
+def f10b(spark, d):
+    t = docs(spark, d).select("doc_id", X.post_tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
+
+
 _CHAIN = "lower(text)"
 for _f in (
     lambda x: rf"regexp_replace({x}, '(www\S+)*(.\S+\.com)', '', 'g')",
@@ -64,7 +81,7 @@ for _f in (
     lambda x: rf"regexp_replace({x}, '[^\x00-\x7F]', '', 'g')",
     lambda x: f"array_to_string(list_filter({_SPLIT.format(x)}, lambda w: NOT list_contains({_STOP}, w)), ' ')",
     *[lambda x, c=c: f"regexp_replace({x}, '{c}{{4,}}', '{c * 3}', 'g')" for c in "abcdefghijklmnopqrstuvwxyz_"],
-    lambda x: f"array_to_string(list_transform({_SPLIT.format(x)}, lambda w: {_LEMMA}), ' ')",
+    lambda x: f"array_to_string(list_transform({_tokens_sql(x)}, lambda w: {_LEMMA}), ' ')",
 ):
     _CHAIN = _f(_CHAIN)
 _q("f13_text_pipeline", _CHAIN, lambda t: X.preprocess(t, STOP))

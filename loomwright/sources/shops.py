@@ -7,6 +7,7 @@ Results keep their place on the page, so the order of a search is a column and n
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,28 +16,38 @@ from pyspark.sql import functions as F
 from loomwright.functions.text import absolute, strip_tags, without_query
 from loomwright.operators.joins import lookup
 from loomwright.sources.fixed import GENDER_WORDS
+from loomwright.sources.web import Page, WebClient
 
-Fetch = Callable[[str], str | None]
+Fetch = Callable[..., "str | Page | None"]
+#: Addresses that a task asks for at once: pages of one batch wait for each other's answers, not for one another.
+AT_ONCE = 8
 
 
 def fetch_pages(urls: DataFrame, fetch: Fetch, retry: int = 3) -> DataFrame:
-    """url, html, tries: pages through a function that a user gives (a client with its agent and timeout). retry = 3 means two tries."""
+    """url, html, tries, final_url: pages through a client, as WebClient, or a function of an address that gives its text.
+
+    retry = 3 means two tries. A page that stays away has null html and final_url and loses no other; OSErrors and missing
+    answers are tried again, other errors end the job.
+    """
+    more = isinstance(fetch, WebClient)
+
+    def one(url: str | None) -> tuple[str | None, str | None, int, str | None]:
+        got, tries = None, 0
+        while url is not None and got is None and tries < max(1, retry - 1):
+            tries += 1
+            try:
+                got = fetch(url, tries) if more else fetch(url)
+            except OSError:
+                got = None
+        page = Page(url, got) if isinstance(got, str) else got
+        return (url, page.html, tries, page.url) if page else (url, None, tries, None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for u in b["url"]:
-                got, tries = None, 0
-                while got is None and tries < max(1, retry - 1):
-                    tries += 1
-                    try:
-                        got = fetch(u)
-                    except OSError:
-                        got = None
-                rows.append((u, got, tries))
-            yield pd.DataFrame(rows, columns=["url", "html", "tries"])
-
-    return urls.select("url").mapInPandas(run, "url string, html string, tries int")
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for b in batches:
+                yield pd.DataFrame(list(pool.map(one, b["url"])), columns=["url", "html", "tries", "final_url"])
+
+    return urls.select("url").mapInPandas(run, "url string, html string, tries int, final_url string")
 
 
 def gender(column: str, df: DataFrame, out: str = "gender") -> DataFrame:

@@ -1,9 +1,13 @@
 """Semantics with values worked out by hand, and quirks that are pinned."""
 
+import http.server
 import io
 import json
 import math
 import os
+import re
+import threading
+import time
 import zipfile
 
 import numpy as np
@@ -18,7 +22,7 @@ from loomwright.operators import density
 from loomwright.operators import names as names_of
 from loomwright.operators import dml, graph, joins, predicates, ranking, sweeps
 from loomwright.plans import annotate, recommend
-from loomwright.sources import sheets, shops, social, tables
+from loomwright.sources import sheets, shops, social, tables, web
 from loomwright.sources.fixed import COARSE_PALETTE, DETAILED_PALETTE, palette_frame
 from loomwright.storage import recover_table, replace_table, scratch_path
 from loomwright.streaming import history
@@ -367,8 +371,82 @@ def test_fetch_tries_again(spark):
     def fetch(url):
         raise TimeoutError(url)
 
-    urls = spark.createDataFrame([("a",)], "url string")
-    assert shops.fetch_pages(urls, fetch, retry=3).first()["tries"] == 2
+    urls = spark.createDataFrame([("a",), (None,)], "url string")
+    assert rows(shops.fetch_pages(urls, fetch, retry=3), "tries") == [(None, None, 0, None), ("a", None, 2, None)]
+    assert rows(shops.fetch_pages(urls.where("url = 'a'"), lambda u: u * 2)) == [("a", "aa", 1, "a")]
+
+
+class _Shop(http.server.BaseHTTPRequestHandler):
+    asked: dict = {}
+
+    def do_GET(self):
+        seen = self.asked[self.path] = self.asked.get(self.path, 0) + 1
+        if self.path.startswith("/moved"):
+            self.send_response(302)
+            self.send_header("Location", "/page" if self.path == "/moved" else "/first-lost")
+        elif self.path == "/slow":
+            time.sleep(1.5)
+            return
+        else:
+            lost = self.path == "/gone" or self.path == "/shaky" and seen == 1 or self.path == "/first-lost" and seen == 1
+            self.send_response(503 if lost else 200)
+            self.send_header("Content-Type", "text/html; charset=latin-1")
+        self.end_headers()
+        words = self.headers["User-Agent"], self.headers["Referer"].rsplit("/", 1)[1], self.headers.get("Cookie", "-"), "caf\u00e9"
+        self.wfile.write("|".join(words).encode("latin-1"))
+
+    def log_message(self, *_):
+        pass
+
+
+def test_client_of_shops(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Shop)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    site = f"http://127.0.0.1:{server.server_port}"
+    client = web.WebClient(agents=["one", "two"], timeout=0.5, cookies={"/page": {"shop": "gr", "size": "m"}})
+    try:
+        urls = spark.createDataFrame([(f"{site}/{p}",) for p in ("page", "moved", "moved-lost", "shaky", "gone", "slow")] + [("file:///etc/hostname",)], "url string")
+        got = {r["url"].rsplit("/", 1)[1]: r for r in shops.fetch_pages(urls.coalesce(1), client).collect()}
+    finally:
+        server.shutdown()
+    assert got["page"]["html"] in ("one|page|shop=gr; size=m|café", "two|page|shop=gr; size=m|café") and got["page"]["tries"] == 1
+    assert got["moved"]["final_url"] == f"{site}/page" and "|moved|" in got["moved"]["html"]
+    assert got["moved-lost"]["final_url"] == f"{site}/first-lost" and got["moved-lost"]["tries"] == 1  # asked once more where it led to
+    assert (got["shaky"]["tries"], got["gone"]["tries"], got["slow"]["tries"]) == (2, 2, 2)
+    assert got["shaky"]["html"] and not got["gone"]["html"] and not got["slow"]["html"] and not got["hostname"]["html"]
+
+
+def test_post_tokens(spark):
+    posts = {
+        "Loving my new dress :-) <3 #OOTD @the_shop!": ["Loving", "my", "new", "dress", ":-)", "<3", "#OOTD", "@the_shop", "!"],
+        "see https://shop.example/a?b=1, or www.x.de": ["see", "https://shop.example/a?b=1,", "or", "www.x.de"],
+        "soooooo nice....... it's a V-neck, size 10-12": ["sooo", "nice", "...", "it's", "a", "V-neck", ",", "size", "10-12"],
+        "mail me@shop.co.uk --> <b>now</b>": ["mail", "me@shop.co.uk", "-->", "<b>", "now", "</b>"],
+        "caf\u00e9 cr\u00e8me \U0001f457\U0001f457 don't_stop foo_": ["café", "crème", "\U0001f457", "\U0001f457", "don't_stop", "foo", "_"],
+        "": [],
+    }
+    df = spark.createDataFrame([*[(p,) for p in posts], (None,)], "t string")
+    got = {r["t"]: r["w"] for r in df.select("t", X.post_tokens(F.col("t")).alias("w")).collect()}
+    assert got == {**posts, None: None}
+    assert df.limit(3).select(X.post_tokens(F.col("t"), reduce_len=False).alias("w")).collect()[2]["w"][:2] == ["soooooo", "nice"]
+
+
+def test_lemma_rules(spark):
+    words = ["women", "men", "amen", "dress", "dresses", "boxes", "watches", "dishes", "ties", "parties", "skirts", "bus", "axis", "pass", "s", "", "buzzes", "shoe"]
+
+    def plain(w):
+        if w.endswith("men") and len(w) > 3:
+            return w[:-2] + "an"
+        if len(w) <= 3:
+            return w
+        if w.endswith("ies") and len(w) > 4:
+            return w[:-3] + "y"
+        if re.search("(ss|x|ch|sh|zz)es$", w):
+            return w[:-2]
+        return w if re.search("(ss|us|is)$", w) else re.sub("s$", "", w)
+
+    df = spark.createDataFrame([*[(w,) for w in words], (None,)], "w string")
+    assert {r["w"]: r["l"] for r in df.select("w", X.lemma(F.col("w")).alias("l")).collect()} == {**{w: plain(w) for w in words}, None: None}
 
 
 def test_tile_requests(spark):
