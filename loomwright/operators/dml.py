@@ -21,6 +21,24 @@ def insert(target: DataFrame, rows: DataFrame, key: str, order: Sequence[Column]
     return target.unionByName(next_ids(rows, target, key, order), allowMissingColumns=True)
 
 
+def insert_literals(target: DataFrame, key: str, rows: Sequence[Mapping[str, object]]) -> DataFrame:
+    """The rows of a statement that spells them out, appended in its order with the identities that follow.
+
+    Columns that a row lacks are null; columns that the target lacks are an error. There are as many as a program writes.
+    """
+    fields = [f for f in target.schema.fields if f.name != key]
+    unknown = {c for r in rows for c in r} - {f.name for f in fields}
+    if unknown:
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    if not rows:
+        return target
+    kind, name = target.schema[key].dataType, lambda f: f"`{f.name}` {f.dataType.simpleString()}"
+    made = target.sparkSession.createDataFrame([(i, *[r.get(f.name) for f in fields]) for i, r in enumerate(rows, 1)], ", ".join(["_nth long", *map(name, fields)]))
+    last = target.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))
+    new = made.crossJoin(F.broadcast(last)).withColumn(key, (F.col("_last") + F.col("_nth")).cast(kind))
+    return target.unionByName(new.drop("_nth", "_last"))
+
+
 def _absent(rows: DataFrame, target: DataFrame, unique: Sequence[str]) -> DataFrame:
     """The rows whose unique columns the target has not; null is a value like others."""
     known = target.select(*[F.col(u).alias(f"_k{i}") for i, u in enumerate(unique)])

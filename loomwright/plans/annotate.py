@@ -47,9 +47,11 @@ def annotated(df: DataFrame, labels: DataFrame, key: str, sources: dict[str, int
     sleeve = df.select(key, F.array(*[X.tokens(F.lower(c)) for c in sources]).alias("_w"))
     bad = F.exists("_w", lambda w: X.followed_by(w, F.col("label"), "sleeve"))
     found = found.join(sleeve, key).where(~((F.lower("attr") == "length") & bad)).drop("_w")
-    by = found.groupBy(key, "attr").agg(F.array_sort(F.collect_list(F.struct("src", "pos", "form"))).alias("all"))
-    pairs = by.select(key, "attr", F.posexplode("all").alias("i", "a"), "all").select(key, "attr", "i", F.col("a.form").alias("a"), F.posexplode("all").alias("j", "b")).where("i < j")
-    late = pairs.where(S.gestalt_ratio("a", F.col("b.form")) >= alike).select(key, "attr", F.col("j").alias("i")).distinct()
+    by = stored(found.groupBy(key, "attr").agg(F.array_sort(F.collect_list(F.struct("src", "pos", "form"))).alias("all")), "labels")
+    pairs = by.select(key, "attr", F.posexplode("all").alias("i", "a"), "all").select(key, "attr", F.col("a.form").alias("a"), "i", F.posexplode("all").alias("j", "b")).where("i < j").select(key, "attr", "a", F.col("b.form").alias("b"), F.col("j").alias("i"))
+    # two forms are compared once, however many products have both
+    same = stored(pairs.select("a", "b").distinct().where(S.gestalt_ratio("a", "b") >= alike), "alike")
+    late = pairs.join(same, ["a", "b"]).select(key, "attr", "i").distinct()
     kept = by.select(key, "attr", F.posexplode("all").alias("i", "a")).join(late, [key, "attr", "i"], "left_anti")
     lists = kept.groupBy(key, "attr").agg(F.array_sort(F.collect_list(F.struct("i", F.col("a.form").alias("form")))).alias("l"))
     names = F.transform("l", lambda s: s["form"])

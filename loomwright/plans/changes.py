@@ -93,9 +93,11 @@ def w09(spark, d):
     return W.fill_sentinel(both, ["quality", "toxic"])
 
 
-@query("w10_literal_rows", "SELECT * FROM (VALUES (1, 'WOMAN'), (2, 'MAN'), (3, 'KIDS')) t(oid, description)")
+@query("w10_literal_rows", "SELECT CAST(r_regionkey AS BIGINT) AS oid, r_name AS description FROM region UNION ALL SELECT i + (SELECT max(r_regionkey) FROM region), description FROM (VALUES (1, 'WOMAN'), (2, 'MAN'), (3, 'KIDS')) t(i, description)")
 def w10(spark, d):
-    return spark.sql("SELECT * FROM VALUES (1, 'WOMAN'), (2, 'MAN'), (3, 'KIDS') AS t(oid, description)")
+    """Rows that the statement spells out, after those of a dimension, with the keys that follow."""
+    dim = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("oid"), F.col("r_name").alias("description"))
+    return W.insert_literals(dim, "oid", [{"description": x} for x in ("WOMAN", "MAN", "KIDS")])
 
 
 @query("w11_create_table", "SELECT n_nationkey, n_name FROM nation")

@@ -128,16 +128,21 @@ def f17(spark, d):
     return docs(spark, d).select("doc_id", X.position(F.col("text"), F.lit("an")).alias("pos"))
 
 
+_LABELS = ("v-neck", "short", "knee", "maxi", "mao", "slim", "Polo", "off-shoulder")
+_ATTRIBUTES = ("NeckDesign", "Length", "CollarDesign", "Fit")
+
+
 @query(
     "f18_label_forms",
-    """SELECT label, attr, CASE WHEN attr = 'NeckDesign' AND label = 'v-neck' THEN 'V NECK' WHEN attr = 'Length' AND label IN ('short', 'knee') THEN upper(label) || ' LENGTH'
- WHEN attr = 'Length' AND label = 'maxi' THEN 'LONG' WHEN attr = 'CollarDesign' AND label = 'mao' THEN 'MAO COLLAR' WHEN attr = 'Fit' AND label = 'slim' THEN 'SLIM FIT' ELSE upper(label) END AS form
- FROM (VALUES ('v-neck'), ('short'), ('knee'), ('maxi'), ('mao'), ('slim')) a(label), (VALUES ('NeckDesign'), ('Length'), ('CollarDesign'), ('Fit')) b(attr)""",
+    f"""SELECT p_partkey, CASE WHEN attr = 'NeckDesign' AND label IN ('v-neck', 'off-shoulder') THEN replace(upper(label), '-', ' ') WHEN attr = 'Length' AND label IN ('short', 'knee') THEN upper(label) || ' LENGTH'
+ WHEN attr = 'Length' AND label = 'maxi' THEN 'LONG' WHEN attr = 'CollarDesign' AND label IN ('mao', 'Polo') THEN upper(label) || ' COLLAR' WHEN attr = 'Fit' AND label = 'slim' THEN 'SLIM FIT' ELSE upper(label) END AS form
+ FROM (SELECT p_partkey, ({list(_LABELS)})[p_partkey % {len(_LABELS)} + 1] AS label, ({list(_ATTRIBUTES)})[p_size % {len(_ATTRIBUTES)} + 1] AS attr FROM part)""",
 )
 def f18(spark, d):
-    a = spark.createDataFrame([(x,) for x in ("v-neck", "short", "knee", "maxi", "mao", "slim")], "label string")
-    b = spark.createDataFrame([(x,) for x in ("NeckDesign", "Length", "CollarDesign", "Fit")], "attr string")
-    return a.crossJoin(b).withColumn("form", X.canonical_label(F.col("label"), F.col("attr")))
+    """Labels as a product's sellers write them: here one for each part, of one of four attributes."""
+    nth = lambda of, n: F.get(F.array(*map(F.lit, of)), (n % len(of)).cast("int"))
+    p = table(spark, d, "part").select("p_partkey", nth(_LABELS, F.col("p_partkey")).alias("label"), nth(_ATTRIBUTES, F.col("p_size")).alias("attr"))
+    return p.select("p_partkey", X.canonical_label(F.col("label"), F.col("attr")).alias("form"))
 
 
 @query("f19_next_token_guard", "SELECT doc_id, contains(' ' || array_to_string(string_split(lower(text), ' '), ' ') || ' ', ' of the ') AS guarded FROM documents")

@@ -503,3 +503,24 @@ def test_streams(spark, tmp_path):
     w = history.collected(history.windowed_ranks(s, "ts", "user_id", "rank"), "ranks", "complete")
     assert {r["best"] for r in w.collect()} == {0.0, 1.0, 2.0}
     assert history.collected(history.sessions(s, "ts", "user_id"), "sess", "complete").count() == 3
+
+
+def test_literal_rows(spark):
+    dim = spark.createDataFrame([(7, "a", None), (3, None, 1)], "oid int, name string, more int")
+    got = dml.insert_literals(dim, "oid", [{"name": "x"}, {"name": "x", "more": 2}])
+    assert got.schema == dim.schema
+    assert rows(got, "oid") == [(3, None, 1), (7, "a", None), (8, "x", None), (9, "x", 2)]
+    assert rows(dml.insert_literals(dim.limit(0), "oid", [{}])) == [(1, None, None)]
+    assert dml.insert_literals(dim, "oid", []) is dim
+    with pytest.raises(ValueError, match="colour"):
+        dml.insert_literals(dim, "oid", [{"colour": 1}])
+
+
+def test_alike_labels_of_many_products(spark):
+    labels = spark.createDataFrame([("Fit", "slim"), ("Fit", "slimm"), ("Fit", "loose")], "attr string, label string")
+    texts = [(i, "slim slimm loose" if i % 2 else "loose slimm") for i in range(40)] + [(40, "nothing"), (41, None)]
+    got = annotate.annotated(spark.createDataFrame(texts, "id int, t string"), labels, "id", {"t": 0})
+    want = [(i, "Fit", "SLIM FIT,SLIMM,LOOSE" if i % 2 else "LOOSE,SLIMM") for i in range(40)]
+    assert [(r["id"], r["attr"], r["labels"]) for r in got.orderBy("id").collect()] == want
+    near = annotate.annotated(spark.createDataFrame(texts, "id int, t string"), labels.replace({"Fit": "Style"}), "id", {"t": 0})
+    assert [r["labels"] for r in near.orderBy("id").collect()] == ["SLIM,LOOSE" if i % 2 else "LOOSE,SLIMM" for i in range(40)]
