@@ -37,10 +37,11 @@ def min_max(df: DataFrame, columns: dict[str, str], low: float, high: float) ->
     return df.drop(*totals)
 
 
-def linear_rank_score(df: DataFrame, order: Sequence[Column], name: str, best: float = 1.0, worst: float = 0.5) -> DataFrame:
-    """best for the first, worst for the last, evenly between; a lone row is worst."""
+def linear_rank_score(df: DataFrame, order: Sequence[Column], name: str, best: float = 1.0, worst: float = 0.5, from_last: str | None = None) -> DataFrame:
+    """best for the first, worst for the last, evenly between; a lone row is worst. from_last: a column for the place counted from the last, which is 0."""
     df = with_totals(ordinal(df, order, "_rank"), _n=F.count("*"))
-    return df.withColumn(name, F.when(F.col("_n") == 1, F.lit(worst)).otherwise(F.lit(best) - F.lit(best - worst) * F.try_divide(F.col("_rank") - 1, F.col("_n") - 1))).drop("_rank", "_n")
+    df = df.withColumn(name, F.when(F.col("_n") == 1, F.lit(worst)).otherwise(F.lit(best) - F.lit(best - worst) * F.try_divide(F.col("_rank") - 1, F.col("_n") - 1)))
+    return (df.withColumn(from_last, F.col("_n") - F.col("_rank")) if from_last else df).drop("_rank", "_n")
 
 
 def top_by_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1, name: str = "rank") -> DataFrame:

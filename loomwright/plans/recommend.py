@@ -155,10 +155,10 @@ def social_rank(posts: DataFrame, term: str, keywords: Sequence[str], stop: Sequ
     cos = T.cosine_with(posts, "oid", "metadata", term, stop, 2, 2)
     posts = posts.withColumn("factor", overlap_ratio(X.tokens(F.lower("metadata")), keywords)).drop("metadata").join(cos, "oid", "left")
     posts = posts.withColumn("cosine", F.coalesce("cosine", F.lit(0.0)) * F.col("factor") * times)
-    posts = linear_rank_score(posts, [F.desc("at"), F.asc("oid")], "social")
+    # from the stalest to the freshest is the order of their scores, so one sort gives both
+    posts = linear_rank_score(posts, [F.desc("at"), F.asc("oid")], "social", from_last="trending_order")
     posts = posts.withColumn("final", 0.7 * F.col("cosine") + 0.3 * F.col("social"))
-    posts = ordinal(posts, [F.desc(F.round("final", 9)), F.asc("oid")], "reference_order", 0)
-    return ordinal(posts, [F.asc(F.round("social", 9)), F.asc("oid")], "trending_order", 0)
+    return ordinal(posts, [F.desc(F.round("final", 9)), F.asc("oid")], "reference_order", 0)
 
 
 @query(

@@ -524,3 +524,11 @@ def test_alike_labels_of_many_products(spark):
     assert [(r["id"], r["attr"], r["labels"]) for r in got.orderBy("id").collect()] == want
     near = annotate.annotated(spark.createDataFrame(texts, "id int, t string"), labels.replace({"Fit": "Style"}), "id", {"t": 0})
     assert [r["labels"] for r in near.orderBy("id").collect()] == ["SLIM,LOOSE" if i % 2 else "LOOSE,SLIMM" for i in range(40)]
+
+
+def test_rank_score_and_place_from_the_last(spark):
+    df = spark.createDataFrame([(1, 5), (2, 9), (3, 5), (4, None)], "id int, at int")
+    got = ranking.linear_rank_score(df, [F.desc("at"), F.asc("id")], "score", from_last="place")
+    assert rows(got.select("id", F.round("score", 4), "place")) == [(1, 0.8333, 2), (2, 1.0, 3), (3, 0.6667, 1), (4, 0.5, 0)]
+    assert rows(ranking.linear_rank_score(df.limit(1), [F.desc("at")], "score", from_last="place").select("score", "place")) == [(0.5, 0)]
+    assert ranking.linear_rank_score(df, [F.desc("at")], "score").columns == ["id", "at", "score"]
