@@ -37,7 +37,8 @@ def sums(df: DataFrame, x: str, of: Callable[[np.ndarray], np.ndarray], size: in
             for v in _vectors(b, x):
                 total += of(v)
         some = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame({"key": some, "v": list(total[some])})
+        if len(some):  # a part without rows has no column of arrays
+            yield pd.DataFrame({"key": some, "v": list(total[some])})
 
     parts = df.select(x).mapInPandas(run, "key int, v array<double>").withColumn("v", array_to_vector("v"))
     out = np.zeros((size, width))
