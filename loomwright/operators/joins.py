@@ -7,6 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.storage import stored
+
+#: Items of a block of a class; pairs of items that a task lists.
+BLOCK, PAIRS_A_TASK = 512, 4_000_000
+
 
 def star(fact: DataFrame, dims: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """Left joins of a fact with dimensions: {foreign key: (dimension, its key, its text)} gives a column <foreign key>_text.
@@ -74,8 +79,50 @@ def overlay(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left").select(key, *pick)
 
 
+def label_classes(df: DataFrame, item: str, algorithm: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Membership (item, c, n) and pairs of classes c <= e that meet under a label: k (how often), n_c and n_e.
+
+    Items with the same labels of the same algorithms, as often, are one class, named by its smallest item; n is its size.
+    """
+    rows = df.where(F.col(item).isNotNull() & F.col(algorithm).isNotNull() & F.col(label).isNotNull())
+    tuples = stored(rows.groupBy(F.col(item).alias("item")).agg(F.sort_array(F.collect_list(F.struct(F.col(algorithm).alias("a"), F.col(label).alias("l")))).alias("t")), "tuples")  # a row for each algorithm
+    named = stored(tuples.groupBy("t").agg(F.min("item").alias("c"), F.count("*").alias("n")), "classes")
+    each = named.select("c", "n", F.explode("t").alias("x")).groupBy("c", "n", "x").agg(F.count("*").alias("m"))
+    left, right = each.select("c", F.col("n").alias("n_c"), "x", "m"), each.select(F.col("c").alias("e"), F.col("n").alias("n_e"), "x", F.col("m").alias("m2"))
+    pairs = left.join(right, "x").where("c <= e").groupBy("c", "e", "n_c", "n_e").agg(F.sum(F.col("m") * F.col("m2")).alias("k"))
+    return tuples.join(named, "t").select("item", "c", "n"), stored(pairs, "class_pairs")
+
+
+def _number_of_pairs() -> Column:
+    return F.when(F.col("c") < F.col("e"), F.col("n_c") * F.col("n_e")).otherwise((F.col("n_c") * (F.col("n_c") - 1) / 2).cast("long"))
+
+
 def co_members(df: DataFrame, item: str, algorithm: str, label: str, algorithms: int) -> DataFrame:
-    """For pairs of items i < j: the share of the algorithms that put both under one label, to three places."""
+    """For pairs of items i < j: the share of the algorithms that put both under one label, to three places.
+
+    Shares are counted for classes of items with the same labels. The pairs of items come from blocks of at most some
+    hundreds of items (BLOCK, by hash), so no pair of items is exchanged and no label makes a large task.
+    """
+    members, pairs = label_classes(df, item, algorithm, label)
+    blocks = members.groupBy("c", F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / BLOCK)).alias("b")).agg(F.collect_list("item").alias("items"))
+    blocks = stored(blocks, "blocks")
+    share = F.round(F.col("k") / F.lit(algorithms), 3).alias("share")
+    both = pairs.select("c", "e", share).join(blocks.toDF("c", "b", "p"), "c").join(blocks.toDF("e", "f", "q"), "e").where("c < e OR b <= f")
+    total = pairs.agg(F.sum(_number_of_pairs())).first()[0] or 0
+    dealt = both.repartition(1 + total // PAIRS_A_TASK, "c", "b", "e", "f")
+    found = dealt.withColumn("i", F.explode("p")).withColumn("j", F.explode("q")).where("c < e OR b < f OR i < j")
+    return found.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "share")
+
+
+def co_member_totals(df: DataFrame, item: str, algorithm: str, label: str, algorithms: int) -> DataFrame:
+    """mean_share and pairs: one row over the pairs that co_members() lists, from the sizes of classes."""
+    pairs = label_classes(df, item, algorithm, label)[1]
+    each = pairs.select(F.round(F.col("k") / F.lit(algorithms), 3).alias("share"), _number_of_pairs().alias("w")).where("w > 0")
+    return each.agg((F.sum(F.col("share") * F.col("w")) / F.sum("w")).alias("mean_share"), F.coalesce(F.sum("w"), F.lit(0).cast("long")).alias("pairs"))
+
+
+def co_labelled(df: DataFrame, item: str, algorithm: str, label: str, algorithms: int) -> DataFrame:
+    """What co_members() lists, for items that all differ in their labels (classes)."""
     a = df.select(F.col(item).alias("i"), algorithm, label)
     b = df.select(F.col(item).alias("j"), algorithm, label)
     both = a.join(b, [algorithm, label]).where("i < j")
