@@ -532,3 +532,21 @@ def test_rank_score_and_place_from_the_last(spark):
     assert rows(got.select("id", F.round("score", 4), "place")) == [(1, 0.8333, 2), (2, 1.0, 3), (3, 0.6667, 1), (4, 0.5, 0)]
     assert rows(ranking.linear_rank_score(df.limit(1), [F.desc("at")], "score", from_last="place").select("score", "place")) == [(0.5, 0)]
     assert ranking.linear_rank_score(df, [F.desc("at")], "score").columns == ["id", "at", "score"]
+
+
+def test_terms_of_a_file_of_one_part_are_counted_side_by_side(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(tfidf, "stored", lambda df, name: written.append((name, df)) or df)
+    text = "the red dress and the blue dress " * 3
+    df = spark.createDataFrame([(i, f"{text}w{i}") for i in range(40)] + [(40, None)], "id long, t string").coalesce(1)
+    w = tfidf.weights(df, "id", "t", ["the"], 2)
+    tf = dict(written)["terms"]
+    conf = "spark.sql.adaptive.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        assert tf.rdd.getNumPartitions() > 1
+        assert tf._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # dealt out once, not again for the counts
+    finally:
+        spark.conf.set(conf, "true")
+    assert {(r["term"], r["tf"]) for r in tf.where("id = 7").collect()} == {("red", 3), ("dress", 6), ("and", 3), ("blue", 3), ("w7", 1), ("red dress", 3), ("dress and", 3), ("and blue", 3), ("blue dress", 3), ("dress red", 2), ("dress w7", 1)}
+    assert w.where("id = 40").count() == 0
