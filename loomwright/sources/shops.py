@@ -83,9 +83,11 @@ def router_search(pages: DataFrame, site: str = "https://www.asos.com/uk/", most
     raw = F.replace(F.regexp_extract("html", r"JSON\.parse.+?(\{\\?\"router\\?\".+\})", 1), F.lit("\\"), F.lit(""))
     schema = "search STRUCT<products: ARRAY<STRUCT<url: STRING, image: STRING, price: DOUBLE, reducedPrice: DOUBLE, isSale: BOOLEAN>>>"
     most_ = F.regexp_extract("html", r'<progress[^>]*max="(\d+)"', 1).try_cast("int")
-    df = pages.select(F.col("url").alias("page"), most_.alias("_most"), F.posexplode(F.from_json(raw, schema)["search"]["products"]).alias("_i", "p"))
-    out = df.select("page", (F.col("_i") + 1).alias("place"), F.concat(F.lit(site), "p.url").alias("url"), F.concat(F.lit("https://"), "p.image").alias("image"), F.when(F.col("p.isSale"), F.col("p.reducedPrice")).otherwise(F.col("p.price")).alias("price"), "_most")
-    return out.where(F.col("place") <= F.least(F.coalesce("_most", F.lit(2**31 - 1)), F.lit(2**31 - 1 if most is None else most))).drop("_most")
+    # the limit cuts the list before its products become rows, or it would be looked for in the page again for each of them
+    products = F.from_json(raw, schema)["search"]["products"]
+    shown = F.slice(products, F.lit(1), F.greatest(F.lit(0), F.least(F.coalesce(most_, F.lit(2**31 - 1)), F.lit(2**31 - 1 if most is None else most))))
+    df = pages.select(F.col("url").alias("page"), F.posexplode(shown).alias("_i", "p"))
+    return df.select("page", (F.col("_i") + 1).alias("place"), F.concat(F.lit(site), "p.url").alias("url"), F.concat(F.lit("https://"), "p.image").alias("image"), F.when(F.col("p.isSale"), F.col("p.reducedPrice")).otherwise(F.col("p.price")).alias("price"))
 
 
 # --- a shop whose lists come in steps of twelve tiles

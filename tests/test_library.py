@@ -550,3 +550,16 @@ def test_terms_of_a_file_of_one_part_are_counted_side_by_side(spark, monkeypatch
         spark.conf.set(conf, "true")
     assert {(r["term"], r["tf"]) for r in tf.where("id = 7").collect()} == {("red", 3), ("dress", 6), ("and", 3), ("blue", 3), ("w7", 1), ("red dress", 3), ("dress and", 3), ("and blue", 3), ("blue dress", 3), ("dress red", 2), ("dress w7", 1)}
     assert w.where("id = 40").count() == 0
+
+
+def test_the_limit_of_a_search_page_is_read_once_a_page(spark):
+    def page(n, limit):
+        items = ",".join(f'{{"url":"{i}","image":"i","price":{i}.0,"reducedPrice":0.5,"isSale":false}}' for i in range(n))
+        return f"{limit}<script>JSON.parse('{{\"router\":\"x\",\"search\":{{\"products\":[{items}]}}}}')</script>"
+
+    pages = spark.createDataFrame([("a", page(9, '<progress max="4"></progress>')), ("b", page(9, "")), ("c", page(9, '<progress max="0"></progress>')), ("d", "x"), ("e", None), ("f", page(0, ""))], "url string, html string")
+    found = shops.router_search(pages)
+    assert sorted((r["page"], r["place"], r["price"]) for r in found.collect()) == [("a", i + 1, float(i)) for i in range(4)] + [("b", i + 1, float(i)) for i in range(9)]
+    assert sorted((r["page"], r["place"]) for r in shops.router_search(pages, most=2).collect()) == [(p, i) for p in "ab" for i in (1, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan[: plan.index("Generate")]  # nothing looks at the page for each product
