@@ -14,9 +14,12 @@ from loomwright.plans.joins import _COLOURS, colours
 from loomwright.registry import query, table
 from loomwright.sources import shops as S
 from loomwright.sources.fixed import COARSE_PALETTE, DETAILED_PALETTE, LABEL_CODES, palette_frame
-from loomwright.storage import scratch_path
+from loomwright.storage import scratch_path, stored
 from loomwright.streaming import history as H
 
+#: Pictures that a task makes and looks at.
+PICTURES_A_TASK = 1000
+
 
 def _parts(spark, d):
     return table(spark, d, "part")
@@ -119,7 +122,9 @@ def pictures(spark, d):
                 rows.append((k, I.write_ppm(np.clip(a + rng.integers(-3, 4, a.shape), 0, 255))))
             yield pd.DataFrame(rows, columns=["s_suppkey", "picture"])
 
-    return table(spark, d, "supplier").select("s_suppkey").mapInPandas(run, "s_suppkey long, picture binary")
+    s = table(spark, d, "supplier").select("s_suppkey")
+    # a picture costs much more than a key; files of keys are small and come in few parts
+    return s.repartition(max(spark.sparkContext.defaultParallelism, s.count() // PICTURES_A_TASK), "s_suppkey").mapInPandas(run, "s_suppkey long, picture binary")
 
 
 @query("i06_dominant_colours")
@@ -137,7 +142,7 @@ def i07(spark, d):
 
 @query("i08_colour_write_back")
 def i08(spark, d):
-    found = I.extract_colours(pictures(spark, d), "s_suppkey", "picture")
+    found = stored(I.extract_colours(pictures(spark, d), "s_suppkey", "picture"), "colours")  # the names are of its colours, so it is read twice
     names = nearest_colour(found.select("red", "green", "blue").distinct(), palette_frame(spark, COARSE_PALETTE)).withColumn("name", F.regexp_replace("name", "^tab:", ""))
     return I.write_colours(found, names)
 
