@@ -33,6 +33,10 @@ def _channels(k):
 _PIXELS = f"SELECT s_suppkey, (s_suppkey * 37 + i * 11) % 256 AS r, (s_suppkey * 17 + i * 29) % 256 AS g, (s_suppkey * 71 + i * 5) % 256 AS b FROM supplier, range({SIDE * SIDE}) t(i)"
 
 
+#: Pictures that a task makes and looks at.
+PICTURES_A_TASK = 1000
+
+
 def mapped(df: DataFrame, of, schema: str) -> DataFrame:
     """Rows of `of` for each row of df."""
 
@@ -49,7 +53,9 @@ def suppliers(spark, d) -> DataFrame:
 
 
 def pixel_pictures(spark, d) -> DataFrame:
-    return mapped(suppliers(spark, d), lambda r: [(r.s_suppkey, I.write_ppm(_channels(int(r.s_suppkey))))], "s_suppkey long, picture binary")
+    s = suppliers(spark, d)
+    s = s.repartition(max(spark.sparkContext.defaultParallelism, s.count() // PICTURES_A_TASK), "s_suppkey")  # files of keys come in few parts
+    return mapped(s, lambda r: [(r.s_suppkey, I.write_ppm(_channels(int(r.s_suppkey))))], "s_suppkey long, picture binary")
 
 
 @query("s03_direct_scan", "SELECT n_nationkey, n_name FROM nation")

@@ -61,9 +61,9 @@ def test_clusterings_try_the_surveyed_range(spark, monkeypatch):
 
 
 def test_pictures_of_a_file_of_one_part_are_made_side_by_side(spark, tmp_path):
-    from loomwright.plans import pages
+    from loomwright.plans import media, pages
 
     spark.range(40).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
-    made = pages.pictures(spark, str(tmp_path))
-    used = made.select(F.spark_partition_id().alias("p"), "s_suppkey").collect()
-    assert len({r["p"] for r in used}) > 1 and sorted(r["s_suppkey"] for r in used) == list(range(40))
+    for made in (pages.pictures(spark, str(tmp_path)), media.pixel_pictures(spark, str(tmp_path))):
+        used = made.select(F.spark_partition_id().alias("p"), "s_suppkey").collect()
+        assert len({r["p"] for r in used}) > 1 and sorted(r["s_suppkey"] for r in used) == list(range(40))
