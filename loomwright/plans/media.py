@@ -49,13 +49,13 @@ def mapped(df: DataFrame, of, schema: str) -> DataFrame:
 
 
 def suppliers(spark, d) -> DataFrame:
-    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
+    """The keys that pictures are made from, dealt out, as files of keys come in few parts."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
+    return s.repartition(max(spark.sparkContext.defaultParallelism, s.count() // PICTURES_A_TASK), "s_suppkey")
 
 
 def pixel_pictures(spark, d) -> DataFrame:
-    s = suppliers(spark, d)
-    s = s.repartition(max(spark.sparkContext.defaultParallelism, s.count() // PICTURES_A_TASK), "s_suppkey")  # files of keys come in few parts
-    return mapped(s, lambda r: [(r.s_suppkey, I.write_ppm(_channels(int(r.s_suppkey))))], "s_suppkey long, picture binary")
+    return mapped(suppliers(spark, d), lambda r: [(r.s_suppkey, I.write_ppm(_channels(int(r.s_suppkey))))], "s_suppkey long, picture binary")
 
 
 @query("s03_direct_scan", "SELECT n_nationkey, n_name FROM nation")
