@@ -33,13 +33,15 @@ def phrase_matches(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     """Which labels stand in which texts as whole words, and at which word: an equi-join on runs of words.
 
     A text emits its runs of the lengths that labels have, where a label's first word stands, so the work grows with the
-    texts and not with texts times labels. First words and lengths of a dimension of labels travel as one row.
+    texts and not with texts times labels. First words and lengths of a dimension of labels travel as one row. Texts are
+    dealt out before they are split, as files may come in few parts.
     """
     tokens = F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "")
     named = labels.select(F.col(label_col), F.filter(F.split(F.col(label_col), r"\s+"), lambda w: w != "").alias("_w")).where(F.size("_w") > 0)
     named = named.select(label_col, F.array_join("_w", " ").alias("_run"), F.size("_w").alias("_n"), F.get("_w", F.lit(0)).alias("_f"))
     known = named.groupBy().agg(F.collect_set("_n").alias("_sizes"), F.collect_set("_f").alias("_firsts"))
-    own = docs.select(id_col, tokens.alias("_t")).crossJoin(F.broadcast(known)).withColumn("_i", F.array_intersect("_t", "_firsts")).where(F.size("_i") > 0)
+    dealt = docs.select(id_col, text_col).repartition(id_col)
+    own = dealt.select(id_col, tokens.alias("_t")).crossJoin(F.broadcast(known)).withColumn("_i", F.array_intersect("_t", "_firsts")).where(F.size("_i") > 0)
     at = F.filter(F.transform("_t", lambda w, i: F.when(F.array_contains("_i", w), i)), lambda i: i.isNotNull())
     runs = F.flatten(F.transform(at, lambda i: F.transform("_sizes", lambda n: F.struct(i.alias("pos"), n.alias("_n"), F.array_join(F.slice("_t", i + 1, n), " ").alias("_run")))))
     found = own.select(id_col, F.size("_t").alias("_s"), F.explode(runs).alias("_r")).where("_r.pos + _r._n <= _s").select(id_col, "_r.*")

@@ -30,11 +30,15 @@ def product_words(df: DataFrame, key: str, columns: list[str], stop: list[str])
 
 def occurrences(df: DataFrame, labels: DataFrame, key: str, sources: dict[str, int]) -> DataFrame:
     """key, attr, label, pos, src: where labels (attr, label) stand as whole words in the text columns; src orders columns."""
-    parts = [phrase_matches(df.select(key, F.lower(c).alias("t")), labels.select(F.lower("label").alias("label")).distinct(), key, "t", "label").withColumn("src", F.lit(n)) for c, n in sources.items()]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.join(labels.select("attr", F.lower("label").alias("label")).distinct(), "label")
+    named = labels.select("attr", F.lower("label").alias("label")).distinct()
+    return _placed(df, named.select("label").distinct(), key, sources).join(named, "label")
+
+
+def _placed(df: DataFrame, labels: DataFrame, key: str, sources: dict[str, int]) -> DataFrame:
+    """key, src, label and pos: all texts of a product are looked through in one pass."""
+    texts = F.explode(F.array(*[F.struct(F.lit(n).alias("src"), F.lower(c).alias("t")) for c, n in sources.items()])).alias("x")
+    each = df.select(key, texts).select(F.struct(key, "x.src").alias("at"), "x.t")
+    return phrase_matches(each, labels, "at", "t", "label").select("at.*", "label", "pos")
 
 
 def annotated(df: DataFrame, labels: DataFrame, key: str, sources: dict[str, int], alike: float = 0.8) -> DataFrame:
@@ -43,10 +47,12 @@ def annotated(df: DataFrame, labels: DataFrame, key: str, sources: dict[str, int
     A length that is followed by SLEEVE in the same text is the sleeve's and does not count. A product has few labels,
     so pairs are made within its own list.
     """
-    found = occurrences(df, labels, key, sources).withColumn("form", X.canonical_label(F.col("label"), F.col("attr")))
-    sleeve = df.select(key, F.array(*[X.tokens(F.lower(c)) for c in sources]).alias("_w"))
-    bad = F.exists("_w", lambda w: X.followed_by(w, F.col("label"), "sleeve"))
-    found = found.join(sleeve, key).where(~((F.lower("attr") == "length") & bad)).drop("_w")
+    named = labels.select("attr", F.lower("label").alias("label")).distinct()
+    sleeve = named.where((F.lower("attr") == "length") & ~F.col("label").rlike(r"\s")).select("label", F.concat("label", F.lit(" sleeve")).alias("run"))
+    placed = stored(_placed(df.where(F.col(key).isNotNull()), named.select("label").union(sleeve.select("run")).distinct(), key, sources), "placed")
+    bad = placed.withColumnRenamed("label", "run").join(sleeve, "run").select(key, "label", F.lit(True).alias("_bad")).distinct()
+    found = placed.join(named, "label").join(bad, [key, "label"], "left").where("NOT (lower(attr) = 'length' AND coalesce(_bad, false))")
+    found = found.withColumn("form", X.canonical_label(F.col("label"), F.col("attr")))
     by = stored(found.groupBy(key, "attr").agg(F.array_sort(F.collect_list(F.struct("src", "pos", "form"))).alias("all")), "labels")
     pairs = by.select(key, "attr", F.posexplode("all").alias("i", "a"), "all").select(key, "attr", F.col("a.form").alias("a"), "i", F.posexplode("all").alias("j", "b")).where("i < j").select(key, "attr", "a", F.col("b.form").alias("b"), F.col("j").alias("i"))
     # two forms are compared once, however many products have both
