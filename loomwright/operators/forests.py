@@ -23,6 +23,8 @@ from loomwright.storage import stored
 
 #: The range of forests that are tried: trees and depth. Bins of a feature.
 TREES, DEPTHS, BINS = (30, 40), (20, 32), 64
+#: Trees whose draws stand side by side in a row.
+SIDE = 8
 #: Chances that a Poisson draw of mean 1 is at most 0, 1, 2 and so on.
 POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
 
@@ -64,10 +66,19 @@ def binned(features: DataFrame, bounds: Sequence[Sequence[float]]) -> DataFrame:
     return features.select("item", F.array(*[code(j, b) for j, b in enumerate(bounds)]).cast("array<int>").alias("cell"))
 
 
+def uniform(user: str, item: str, tree: str | Column, seed: int) -> Column:
+    """A number from 0 to 1 for a row and a tree."""
+    return F.shiftrightunsigned(F.xxhash64(user, item, tree, F.lit(seed)), 11) / F.lit(float(2**53))
+
+
+def poisson(u: Column) -> Column:
+    """The Poisson draw that a number from 0 to 1 stands for: how many of the chances are below it."""
+    return reduce(lambda out, k: out.when(u <= POISSON[k], float(k)), range(1, len(POISSON)), F.when(u <= POISSON[0], 0.0)).otherwise(float(len(POISSON)))
+
+
 def drawn(user: str, item: str, tree: str, seed: int) -> Column:
     """How often a tree sees a row."""
-    u = F.shiftrightunsigned(F.xxhash64(user, item, tree, F.lit(seed)), 11) / F.lit(float(2**53))
-    return reduce(lambda a, b: a + b, [(u > c).cast("double") for c in POISSON])
+    return poisson(uniform(user, item, tree, seed))
 
 
 def grown(rows: DataFrame, depth: int) -> DataFrame:
@@ -105,17 +116,31 @@ def _at_depth() -> Column:
     return F.expr("shiftright(node, greatest(0, length(bin(node)) - 1 - depth))")
 
 
+def summed(rated: DataFrame, everyone: DataFrame, trees: int, seed: int, tuned: int) -> DataFrame:
+    """user_id, cell, tree, w and wy of everyone (user_id, cell): how often a tree sees the cell's rows, and their ratings so often.
+
+    Of the trees the first `tuned` don't see held-out ratings. A rating makes a row for SIDE trees, not for each; they are
+    dealt out by item before that, as a table of few parts makes many rows. Hashes are columns before draws are made of them,
+    and held-out rows are left out, not weighed: longer expressions make code that the virtual machine does not compile.
+    """
+    side = range(SIDE)
+    first = F.explode(F.lit([*range(0, tuned, SIDE), *range(tuned, trees, SIDE)])).alias("first")
+    each = rated.select("user_id", "item", "cell", "rating", "test").repartition("item").select("*", first).where(~F.col("test") | (F.col("first") >= tuned))
+    each = each.select("user_id", "cell", "first", "rating", *[uniform("user_id", "item", F.col("first") + k, seed).alias(f"w{k}") for k in side])
+    seen = each.select("user_id", "cell", "first", "rating", *[poisson(F.col(f"w{k}")).alias(f"w{k}") for k in side])
+    none = everyone.select("user_id", "cell", first, F.lit(0.0).alias("rating"), *[F.lit(0.0).alias(f"w{k}") for k in side])  # all that is predicted
+    sums = [F.struct((F.col("first") + k).alias("tree"), F.sum(f"w{k}").alias("w"), F.sum(F.col(f"w{k}") * F.col("rating")).alias("wy")) for k in side]
+    out = seen.union(none).groupBy("user_id", "cell", "first").agg(F.array(*sums).alias("s")).select("user_id", "cell", "first", F.inline("s"))
+    return out.where(F.col("tree") < F.when(F.col("first") < tuned, tuned).otherwise(trees)).drop("first")
+
+
 def _rows(ratings: DataFrame, features: DataFrame, trees: int, seed: int, tuned: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What trees grow from, the cells of items, and the ratings with their cells. Of the trees the first `tuned` don't see held-out ratings."""
-    items = stored(binned(features.where("features IS NOT NULL"), cuts(features)), "cells")
-    rated = stored(split(ratings.where("rating IS NOT NULL"), "item").join(items, "item").select("user_id", "item", "rating", "test", "cell"), "rated")
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    w = F.when((F.col("tree") < tuned) & F.col("test"), 0.0).otherwise(drawn("user_id", "item", "tree", seed))
-    seen = rated.select("user_id", "item", "cell", "rating", "test", tree).select("user_id", "cell", "tree", w.alias("w"), (w * F.col("rating")).alias("wy"))
-    everyone = items.select("cell").distinct().crossJoin(F.broadcast(ratings.select("user_id").distinct()))  # all that is predicted
-    zero = F.lit(0.0)
-    rows = seen.union(everyone.select("user_id", "cell", tree, zero.alias("w"), zero.alias("wy")))
-    return stored(rows.groupBy("user_id", "cell", "tree").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy")), "rows"), items, rated
+    """What trees grow from, the cells of items, and the ratings with their cells."""
+    items = stored(binned(features.where("features IS NOT NULL").repartition("item"), cuts(features)), "cells")
+    given = stored(split(ratings, "item").join(items, "item", "left").select("user_id", "item", "rating", "test", "cell"), "rated")
+    rated = given.where("rating IS NOT NULL AND cell IS NOT NULL")
+    everyone = items.select("cell").distinct().crossJoin(F.broadcast(given.select("user_id").distinct()))
+    return stored(summed(rated, everyone, trees, seed, tuned), "rows"), items, rated
 
 
 def _valued(leaves: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

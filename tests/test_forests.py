@@ -105,3 +105,28 @@ def test_no_task_holds_a_user(spark):
     rows = spark.createDataFrame([(1, [k % 50, k % 7], 0, 1.0, float(k)) for k in range(1000)], "user_id long, cell array<int>, tree int, w double, wy double")
     leaves = R.grown(rows, 3)
     assert leaves.count() == 1000 and leaves.select("node").distinct().count() == 8
+
+
+def test_draws_are_added_up_in_compiled_code_and_dealt_out(spark, tmp_path):
+    """One row for many trees of a rating; the virtual machine compiles no method of more than 8000 bytes."""
+    rated = [(u, i, [i % 5], float(i % 7), i % 4 == 0) for u in range(2) for i in range(60)]
+    spark.createDataFrame(rated, "user_id long, item long, cell array<int>, rating double, test boolean").coalesce(1).write.parquet(str(tmp_path / "rated"))
+    table = spark.read.parquet(str(tmp_path / "rated"))
+    everyone = table.select("user_id", "cell").distinct().union(spark.createDataFrame([(0, [9])], "user_id long, cell array<int>"))
+    out = R.summed(table, everyone, 21, 42, 11)  # neither number is a multiple of SIDE
+    w, want = draws(spark, table, 21), {}
+    for u, i, c, y, test in rated:
+        for t in range(21):
+            n = 0.0 if test and t < 11 else w[u, i, t]
+            a, b = want.get((u, c[0], t), (0.0, 0.0))
+            want[u, c[0], t] = a + n, b + n * y
+    want |= {(0, 9, t): (0.0, 0.0) for t in range(21)}
+    assert {(r["user_id"], r["cell"][0], r["tree"]): (r["w"], r["wy"]) for r in out.collect()} == want and out.count() == len(want)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = R.summed(table, everyone, 80, 42, 40)._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
+    assert table.rdd.getNumPartitions() == 1 and "REPARTITION_BY_COL" in out._jdf.queryExecution().toString()
