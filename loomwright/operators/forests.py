@@ -90,7 +90,7 @@ def grown(rows: DataFrame, depth: int) -> DataFrame:
     active, leaves = rows.withColumn("node", F.lit(1).cast("long")), []
     for _ in range(depth):
         bins = active.where("w > 0").select(*key, "w", "wy", F.posexplode("cell").alias("f", "bin"))
-        sums = bins.groupBy(*key, "f", "bin").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
+        sums = bins.groupBy(*key, "f", "bin").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy")).repartition(*key)  # a row for each bin at most: windows and best need no more
         over = Window.partitionBy(*key, "f")
         below = over.orderBy("bin")
         cut = sums.select(*key, "f", "bin", *[F.sum(c).over(o).alias(f"{n}{c}") for n, o in (("l", below), ("a", over)) for c in ("w", "wy")]).where("aw - lw > 0.5")
@@ -173,6 +173,11 @@ def tries_of(n: int) -> list[tuple[int, int]]:
     return [(TREES[0] + (7 * t) % (TREES[1] - TREES[0] + 1), round(DEPTHS[0] * (DEPTHS[1] / DEPTHS[0]) ** (t / max(n - 1, 1)))) for t in range(n)]
 
 
+def held_out(rated: DataFrame) -> DataFrame:
+    """user_id, cell, and k, m, v: number, mean and variance of its held-out ratings, from which follows the squared error of any p."""
+    return rated.where("test").groupBy("user_id", "cell").agg(F.count("*").alias("k"), F.avg("rating").alias("m"), F.var_pop("rating").alias("v"))
+
+
 def user_forests(ratings: DataFrame, features: DataFrame, tries: int = 10, seed: int = 42) -> DataFrame:
     """user_id, item and prediction over unrated items, for each user by the size of forest that fits a held-out tenth best.
 
@@ -186,10 +191,10 @@ def user_forests(ratings: DataFrame, features: DataFrame, tries: int = 10, seed:
     deepest = leaves.agg(F.max(_level("node")).alias("d")).first()["d"] or 0  # deeper sizes are all alike
     sizes = spark.createDataFrame([(t, n, min(d, deepest)) for t, (n, d) in enumerate(options)], "t int, n int, depth int")
     depths = F.array(*[F.lit(d) for d in sorted({min(d, deepest) for _, d in options})])
-    tests = rated.where("test").select("user_id", "cell", "rating")
-    told = _valued(leaves.where(F.col("tree") < most).withColumn("depth", F.explode(depths)), ["depth"]).join(tests.select("user_id", "cell").distinct(), ["user_id", "cell"], "left_semi")
+    tests = held_out(rated)
+    told = _valued(leaves.where(F.col("tree") < most).withColumn("depth", F.explode(depths)), ["depth"]).join(tests.select("user_id", "cell"), ["user_id", "cell"], "left_semi")
     guess = told.join(F.broadcast(sizes), "depth").where("tree < n").groupBy("user_id", "cell", "t").agg(F.avg("value").alias("p"))
-    error = guess.join(tests, ["user_id", "cell"]).groupBy("user_id", "t").agg(F.avg((F.col("p") - F.col("rating")) * (F.col("p") - F.col("rating"))).alias("e"))
+    error = guess.join(tests, ["user_id", "cell"]).groupBy("user_id", "t").agg(F.expr("sum(k * ((p - m) * (p - m) + v)) / sum(CASE WHEN p IS NOT NULL THEN k END)").alias("e"))
     best = error.where("e IS NOT NULL").groupBy("user_id").agg(F.min(F.struct(F.round("e", 9).alias("e"), "t")).alias("b")).select("user_id", F.col("b.t").alias("t")).join(F.broadcast(sizes), "t")
     own = leaves.where(F.col("tree") >= most).join(stored(best, "best"), "user_id", "left")
     own = own.withColumn("n", F.coalesce("n", F.lit(most))).withColumn("depth", F.coalesce("depth", F.lit(DEPTHS[0]))).where(F.col("tree") - most < F.col("n"))

@@ -130,3 +130,10 @@ def test_draws_are_added_up_in_compiled_code_and_dealt_out(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sizes and max(sizes) < 8000
     assert table.rdd.getNumPartitions() == 1 and "REPARTITION_BY_COL" in out._jdf.queryExecution().toString()
+
+
+def test_held_out_ratings_of_a_cell_are_one_row(spark):
+    y = [float(k % 11) / 4 for k in range(200)]
+    rated = spark.createDataFrame([(3, [1, 2], v, k % 2 == 0) for k, v in enumerate(y)], "user_id long, cell array<int>, rating double, test boolean")
+    (r,) = R.held_out(rated).collect()
+    assert r["k"] == 100 and (1.7 - r["m"]) ** 2 + r["v"] == pytest.approx(np.mean([(1.7 - v) ** 2 for v in y[::2]]), abs=1e-12)
