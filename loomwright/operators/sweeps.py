@@ -2,7 +2,8 @@
 
 Rows are vectors of some columns (array<double>); what a model keeps (centres, clustering features, mixture components) is
 bounded by the numbers of clusters that are asked for and travels with the tasks. Sums are made by partition and added up
-by key, so the driver sees a row for each cluster.
+by key, so the driver sees a row for each cluster. Passes go over the distinct vectors, each with the number of its rows,
+dealt out over all cores; what a pass makes has a row for each cluster of all clusterings and a column for each vector.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from loomwright.storage import stored
 
 #: Rows from which first centres are drawn; clustering features that are kept; rows that are worked on at once.
 SAMPLE, FEATURES, AT_ONCE = 4096, 500, 2048
+#: Vectors of a pass that are worked on at once (with all clusters they stay in a core's memory); the column of numbers of rows.
+BLOCK, TIMES = 256, "_times"
 
 
 def _vectors(b: pd.DataFrame, x: str) -> Iterator[np.ndarray]:
@@ -28,19 +31,26 @@ def _vectors(b: pd.DataFrame, x: str) -> Iterator[np.ndarray]:
         yield np.stack(b[x].iloc[i : i + AT_ONCE].to_numpy()).astype(float)
 
 
-def sums(df: DataFrame, x: str, of: Callable[[np.ndarray], np.ndarray], size: int, width: int) -> np.ndarray:
-    """The sum over all rows of `of`, which gives an array of the given size and width for some vectors."""
+def places(df: DataFrame, x: str) -> DataFrame:
+    """The distinct vectors with the number of their rows, dealt out over all cores however few files the rows came in."""
+    return stored(df.groupBy(x).agg(F.count("*").alias(TIMES)).repartition(max(df.sparkSession.sparkContext.defaultParallelism, 2), x), "places")
+
+
+def sums(df: DataFrame, x: str, of: Callable[..., np.ndarray], size: int, width: int) -> np.ndarray:
+    """The sum over all rows of `of`, which gives an array of the given size and width for some vectors (of places(): and their numbers of rows)."""
+    times = [TIMES] if TIMES in df.columns else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((size, width))
         for b in batches:
-            for v in _vectors(b, x):
-                total += of(v)
+            for i in range(0, len(b), BLOCK):
+                part = b.iloc[i : i + BLOCK]
+                total += of(np.stack(part[x].to_numpy()).astype(float), *(part[t].to_numpy(float) for t in times))
         some = np.flatnonzero(total.any(axis=1))
         if len(some):  # a part without rows has no column of arrays
             yield pd.DataFrame({"key": some, "v": list(total[some])})
 
-    parts = df.select(x).mapInPandas(run, "key int, v array<double>").withColumn("v", array_to_vector("v"))
+    parts = df.select(x, *times).mapInPandas(run, "key int, v array<double>").withColumn("v", array_to_vector("v"))
     out = np.zeros((size, width))
     for r in parts.groupBy("key").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("v")).collect():
         out[r["key"]] = r["v"]
@@ -54,11 +64,21 @@ def _nearest(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def _by_label(labels: np.ndarray, offsets: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of the values (a row each) by cluster of each clustering (a column of labels)."""
     out = np.zeros((size, values.shape[1]))
-    for c, first in enumerate(offsets.tolist()):
-        np.add.at(out, first + labels[:, c], values)
+    keys = (labels + offsets).ravel()
+    for j in range(values.shape[1]):
+        out[:, j] = np.bincount(keys, np.repeat(values[:, j], labels.shape[1]), size)
     return out
 
 
+def _starts(sizes: Sequence[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(int)
+
+
+def _with_ones(v: np.ndarray, times: np.ndarray | float, *more: np.ndarray) -> np.ndarray:
+    """Columns of ones, the vectors and more, as often as their rows."""
+    return np.column_stack([np.ones(len(v)), v, *more]) * np.reshape(times, (-1, 1))
+
+
 @dataclass
 class KMeans:
     """Lloyd's algorithm from one sequence of first centres, drawn far from each other."""
@@ -69,7 +89,8 @@ class KMeans:
         return np.column_stack([_nearest(v, c) for c in self.centres])
 
     @classmethod
-    def fit(cls, df: DataFrame, id_col: str, x: str, ks: Sequence[int], seed: int, rounds: int = 50, tol: float = 1e-4) -> KMeans:
+    def fit(cls, df: DataFrame, id_col: str, x: str, ks: Sequence[int], seed: int, rounds: int = 50, tol: float = 1e-4, at: DataFrame | None = None) -> KMeans:
+        at = places(df, x) if at is None else at
         first = df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(SAMPLE).select(x).collect()  # SAMPLE rows
         some, rnd = np.unique(np.array([r[0] for r in first], float).reshape(len(first), -1), axis=0), np.random.default_rng(seed)
         chosen = [int(rnd.integers(len(some)))]
@@ -84,10 +105,10 @@ class KMeans:
             part = cls([model.centres[i] for i in live])
             offsets = np.concatenate([[0], np.cumsum([len(c) for c in part.centres])])
 
-            def of(v: np.ndarray, part: KMeans = part, offsets: np.ndarray = offsets) -> np.ndarray:
-                return _by_label(part.labels(v), offsets[:-1], np.column_stack([np.ones(len(v)), v]), int(offsets[-1]))
+            def of(v: np.ndarray, times: np.ndarray, part: KMeans = part, offsets: np.ndarray = offsets) -> np.ndarray:
+                return _by_label(part.labels(v), offsets[:-1], _with_ones(v, times), int(offsets[-1]))
 
-            got = sums(df, x, of, int(offsets[-1]), 1 + some.shape[1])
+            got = sums(at, x, of, int(offsets[-1]), 1 + some.shape[1])
             moved = []
             for i, a, b in zip(live, offsets[:-1], offsets[1:], strict=True):
                 n = got[a:b, :1]
@@ -235,25 +256,31 @@ class Mixture:
     factors: list[np.ndarray]
     constants: list[np.ndarray]
 
-    def scores(self, v: np.ndarray, i: int) -> np.ndarray:
-        y = np.einsum("nd,kde->kne", v, self.factors[i]) - np.einsum("kd,kde->ke", self.means[i], self.factors[i])[:, None]
-        return self.constants[i] - 0.5 * (y * y).sum(2).T
+    def scores(self, v: np.ndarray) -> np.ndarray:
+        """A row for each component of all clusterings, a column for each vector."""
+        means, factors, far = np.concatenate(self.means), np.concatenate(self.factors), 0.0
+        across = np.ascontiguousarray(v.T)
+        for e in range(v.shape[1]):
+            y = factors[:, :, e] @ across - (means * factors[:, :, e]).sum(1)[:, None]
+            far = far + y * y
+        return np.concatenate(self.constants)[:, None] - 0.5 * far
 
     def labels(self, v: np.ndarray) -> np.ndarray:
-        return np.column_stack([self.scores(v, i).argmax(1) for i in range(len(self.means))])
+        s, at = self.scores(v), _starts([len(m) for m in self.means])
+        return np.column_stack([s[a:b].argmax(0) for a, b in zip(at[:-1], at[1:], strict=True)])
 
     @staticmethod
-    def _stacked(r: np.ndarray, v: np.ndarray, extra: float = 0.0) -> np.ndarray:
+    def _stacked(r: np.ndarray, v: np.ndarray, times: np.ndarray | float) -> np.ndarray:
+        """Sums of shares (a row for each component), of vectors and of their products; the last column is free."""
         outer = (v[:, :, None] * v[:, None, :]).reshape(len(v), -1)
-        out = r.T @ np.column_stack([np.ones(len(v)), v, outer, np.zeros(len(v))])
-        out[0, -1] = extra
-        return out
+        return r @ _with_ones(v, times, outer, np.zeros(len(v)))
 
     @classmethod
-    def fit(cls, df: DataFrame, id_col: str, x: str, ks: Sequence[int], seed: int, rounds: int = 100, tol: float = 1e-3) -> Mixture:
-        start = KMeans.fit(df, id_col, x, ks, seed)
+    def fit(cls, df: DataFrame, id_col: str, x: str, ks: Sequence[int], seed: int, rounds: int = 100, tol: float = 1e-3, at: DataFrame | None = None) -> Mixture:
+        at = places(df, x) if at is None else at
+        start = KMeans.fit(df, id_col, x, ks, seed, at=at)
         d = start.centres[0].shape[1]
-        whole = sums(df, x, lambda v: Mixture._stacked(np.ones((len(v), 1)), v), 1, 2 + d + d * d)[0]
+        whole = sums(at, x, lambda v, times: Mixture._stacked(np.ones((1, len(v))), v, times), 1, 2 + d + d * d)[0]
         n = whole[0]
         mean0 = whole[1 : 1 + d] / n
         cov0 = (whole[1 + d : -1].reshape(d, d) - n * np.outer(mean0, mean0)) / max(n - 1, 1) + 1e-6 * np.eye(d)
@@ -276,32 +303,33 @@ class Mixture:
             return means, factors, constants
 
         size = [len(c) for c in start.centres]
-        offsets = np.concatenate([[0], np.cumsum(size)]).astype(int)
+        offsets = _starts(size)
 
-        def first(v: np.ndarray) -> np.ndarray:
+        def first(v: np.ndarray, times: np.ndarray) -> np.ndarray:
             labels = start.labels(v)
-            return np.concatenate([cls._stacked(np.eye(k)[labels[:, i]], v) for i, k in enumerate(size)])
+            return cls._stacked(np.concatenate([np.eye(k)[:, labels[:, i]] for i, k in enumerate(size)]), v, times)
 
-        got = sums(df, x, first, int(offsets[-1]), 2 + d + d * d)
+        got = sums(at, x, first, int(offsets[-1]), 2 + d + d * d)
         made = [updated(got[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         model = cls(*(list(p) for p in zip(*made, strict=True)))
         live, before = list(range(len(ks))), [-np.inf] * len(ks)
         for _ in range(rounds):
             part = cls(*([p[i] for i in live] for p in (model.means, model.factors, model.constants)))
-            at = np.concatenate([[0], np.cumsum([size[i] for i in live])]).astype(int)
-
-            def of(v: np.ndarray, part: Mixture = part) -> np.ndarray:
-                out = []
-                for i in range(len(part.means)):
-                    s = part.scores(v, i)
-                    top = s.max(1, keepdims=True)
-                    total = top + np.log(np.exp(s - top).sum(1, keepdims=True))
-                    out.append(cls._stacked(np.exp(s - total), v, float(total.sum())))
-                return np.concatenate(out)
-
-            got = sums(df, x, of, int(at[-1]), 2 + d + d * d)
+            many = [size[i] for i in live]
+            spans = _starts(many)
+
+            def of(v: np.ndarray, times: np.ndarray, part: Mixture = part, many: list[int] = many, first: np.ndarray = spans[:-1]) -> np.ndarray:
+                s = part.scores(v)
+                top = np.maximum.reduceat(s, first, axis=0)
+                s = np.exp(s - np.repeat(top, many, axis=0))
+                total = np.add.reduceat(s, first, axis=0)
+                out = cls._stacked(s / np.repeat(total, many, axis=0), v, times)
+                out[first, -1] = (top + np.log(total)) @ times
+                return out
+
+            got = sums(at, x, of, int(spans[-1]), 2 + d + d * d)
             left = []
-            for i, a, b in zip(live, at[:-1], at[1:], strict=True):
+            for i, a, b in zip(live, spans[:-1], spans[1:], strict=True):
                 model.means[i], model.factors[i], model.constants[i] = updated(got[a:b])
                 like = got[a, -1] / n
                 if abs(like - before[i]) >= tol:
@@ -320,28 +348,38 @@ class FuzzyMeans:
     centres: list[np.ndarray]
     m: float
 
+    def every(self, v: np.ndarray) -> np.ndarray:
+        """Memberships: a row for each cluster of all clusterings, a column for each vector."""
+        centres, sizes, d = np.concatenate(self.centres), [len(c) for c in self.centres], 0.0
+        for j, x in enumerate(np.ascontiguousarray(v.T)):
+            gap = x - centres[:, j, None]
+            d = d + gap * gap
+        d = np.maximum(d, 1e-18)
+        if self.m != 2:
+            d = d ** (1 / (self.m - 1))
+        return 1 / (d * np.repeat(np.add.reduceat(1 / d, _starts(sizes)[:-1], axis=0), sizes, axis=0))
+
     def memberships(self, v: np.ndarray, i: int) -> np.ndarray:
-        d = np.maximum(((v[:, None, :] - self.centres[i][None]) ** 2).sum(2), 1e-18) ** (1 / (self.m - 1))
-        return 1 / (d * (1 / d).sum(1, keepdims=True))
+        return FuzzyMeans([self.centres[i]], self.m).every(v).T
 
     def labels(self, v: np.ndarray) -> np.ndarray:
         return np.column_stack([self.memberships(v, i).argmax(1) for i in range(len(self.centres))])
 
     @classmethod
-    def fit(cls, df: DataFrame, id_col: str, x: str, ks: Sequence[int], seed: int, m: float = 2.0, error: float = 0.005, rounds: int = 1000) -> FuzzyMeans:
+    def fit(cls, df: DataFrame, id_col: str, x: str, ks: Sequence[int], seed: int, m: float = 2.0, error: float = 0.005, rounds: int = 1000, at: DataFrame | None = None) -> FuzzyMeans:
+        at = places(df, x) if at is None else at
         first = df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(max(ks)).select(x).collect()  # the largest k rows
         some = np.array([r[0] for r in first], float)
         model = cls([some[:k] for k in ks], m)
         live = list(range(len(ks)))
         for _ in range(rounds):
             part = cls([model.centres[i] for i in live], m)
-            offsets = np.concatenate([[0], np.cumsum([len(c) for c in part.centres])]).astype(int)
+            offsets = _starts([len(c) for c in part.centres])
 
-            def of(v: np.ndarray, part: FuzzyMeans = part) -> np.ndarray:
-                u = [part.memberships(v, i) ** m for i in range(len(part.centres))]
-                return np.concatenate([np.column_stack([w.sum(0), w.T @ v]) for w in u])
+            def of(v: np.ndarray, times: np.ndarray, part: FuzzyMeans = part) -> np.ndarray:
+                return part.every(v) ** m @ _with_ones(v, times)
 
-            got = sums(df, x, of, int(offsets[-1]), 1 + some.shape[1])
+            got = sums(at, x, of, int(offsets[-1]), 1 + some.shape[1])
             left = []
             for i, a, b in zip(live, offsets[:-1], offsets[1:], strict=True):
                 new = got[a:b, 1:] / np.maximum(got[a:b, :1], 1e-18)
@@ -355,11 +393,11 @@ class FuzzyMeans:
 
     def partition_entropy(self, df: DataFrame, x: str) -> list[float]:
         """The entropies (base 2) of the clusters' shares over all rows, added up and divided by log2 k."""
-        offsets = np.concatenate([[0], np.cumsum([len(c) for c in self.centres])]).astype(int)
+        offsets = _starts([len(c) for c in self.centres])
 
-        def of(v: np.ndarray) -> np.ndarray:
-            u = [self.memberships(v, i) for i in range(len(self.centres))]
-            return np.concatenate([np.column_stack([w.sum(0), (w * np.log2(np.maximum(w, 1e-300))).sum(0)]) for w in u])
+        def of(v: np.ndarray, times: np.ndarray | float = 1.0) -> np.ndarray:
+            u = self.every(v)
+            return np.stack([u, u * np.log2(np.maximum(u, 1e-300))], 2).transpose(0, 2, 1) @ (np.ones(len(v)) * times)
 
         got = sums(df, x, of, int(offsets[-1]), 2)
         each = np.log2(np.maximum(got[:, 0], 1e-300)) - got[:, 1] / np.maximum(got[:, 0], 1e-300)
@@ -369,8 +407,9 @@ class FuzzyMeans:
 KINDS = {"kmeans": KMeans, "birch": Birch, "gaussian": Mixture}
 
 
-def fitted(df: DataFrame, id_col: str, x: str, kind: str, ks: Sequence[int], seed: int = 42) -> KMeans | Birch | Mixture:
-    return KINDS[kind].fit(df, id_col, x, list(ks), seed)
+def fitted(df: DataFrame, id_col: str, x: str, kind: str, ks: Sequence[int], seed: int = 42, at: DataFrame | None = None) -> KMeans | Birch | Mixture:
+    """A model of the rows. at: their places(), if they are there; Birch takes one row after the other."""
+    return Birch.fit(df, id_col, x, list(ks), seed) if kind == "birch" else KINDS[kind].fit(df, id_col, x, list(ks), seed, at=at)
 
 
 def labelled(df: DataFrame, id_col: str, x: str, model: KMeans | Birch | Mixture, which: int) -> DataFrame:
@@ -392,12 +431,12 @@ def indices(df: DataFrame, x: str, labels: Callable[[np.ndarray], np.ndarray], s
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
     size = int(offsets[-1])
     width = len(df.select(x).first()[0])
-    one = sums(df, x, lambda v: _by_label(labels(v), offsets[:-1], np.column_stack([np.ones(len(v)), v, (v * v).sum(1)]), size), size, 2 + width)
+    one = sums(df, x, lambda v, times=1.0: _by_label(labels(v), offsets[:-1], _with_ones(v, times, (v * v).sum(1)), size), size, 2 + width)
     n, total, square = one[:, 0], one[:, 1:-1], one[:, -1]
     centre = total / np.maximum(n, 1)[:, None]
     mean_square = square / np.maximum(n, 1)
 
-    def second(v: np.ndarray) -> np.ndarray:
+    def second(v: np.ndarray, times: np.ndarray | float = 1.0) -> np.ndarray:
         got, out = labels(v), np.zeros((size, 2))
         own2 = (v * v).sum(1)
         for c, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
@@ -412,7 +451,8 @@ def indices(df: DataFrame, x: str, labels: Callable[[np.ndarray], np.ndarray], s
             s = np.where((k > 1) & np.isfinite(outer), (outer - inner) / wide, 0.0)
             s = np.where(np.isfinite(s), s, 0.0)
             gap = np.sqrt(np.maximum(((v - centre[a:b][at]) ** 2).sum(1), 0))
-            np.add.at(out, a + at, np.column_stack([s, gap]))
+            for j, value in enumerate((s * times, gap * times)):
+                out[a:b, j] = np.bincount(at, value, b - a)
         return out
 
     two = sums(df, x, second, size, 2)
