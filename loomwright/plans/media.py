@@ -177,7 +177,7 @@ VOCABULARY = ["haus", "la", "of", "on"]
 )
 def w17(spark, d):
     path = scratch_path(spark, "dense")
-    wide = T.dense(T.weights(products(spark, d), "oid", "metadata", STOP, 2, 2), "oid", VOCABULARY)
+    wide = T.dense_weights(products(spark, d), "oid", "metadata", VOCABULARY, STOP, 2, 2)
     wide.select("oid", *[F.round(t, 6).alias(t) for t in VOCABULARY]).write.csv(path, header=True)
     return spark.read.csv(path, header=True, schema="oid long, " + ", ".join(f"`{t}` double" for t in VOCABULARY), enforceSchema=True)
 
